@@ -31,13 +31,13 @@ def attach(
     """
     keys = list(keys)
     table = cut_lineage(table)
-    total = table.agg(F.sum(F.col(weight).cast("double"))).head()[0] or 0.0
-    is_heavy = F.col(weight) * F.lit(heavy_parts) > F.lit(total)
-    small = table.count() <= heavy_parts
-    if small:
+    load = F.col(weight).cast("double")
+    size, total, top = table.agg(F.count("*"), F.sum(load), F.max(load)).head()
+    if size <= heavy_parts:
         return rows.join(F.broadcast(table), keys, "left")
-    if table.where(is_heavy).isEmpty():
+    if top * heavy_parts <= total:
         return rows.join(table, keys, "left")
+    is_heavy = load * heavy_parts > total
     values = [c for c in table.columns if c not in keys]
     heavy = table.where(is_heavy).select(*keys, F.struct(*values).alias("_hv"))
     light = table.where(~is_heavy).select(*keys, F.struct(*values).alias("_lv"), F.lit(0).alias("_salt"))
