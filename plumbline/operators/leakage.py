@@ -12,16 +12,21 @@ SHINGLE = 6
 GRAM = 8
 
 
+def _runs(items: Column, k: int, kind: int) -> Column:
+    """Distinct hashes of all runs of ``k`` neighbours: ``k`` shifted copies zipped once."""
+    n = F.greatest(F.size(items) - k + 1, F.lit(0))
+    shifted = [F.slice(items, i + 1, n).alias(f"x{i}") for i in range(k)]
+    return F.array_distinct(
+        F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(F.lit(kind), *[z[f"x{i}"] for i in range(k)]))
+    )
+
+
 def _shingles(words: Column, k: int) -> Column:
-    n = F.size(words) - k + 1
-    spots = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.lit(k), F.slice(words, i, k))))
+    return _runs(words, k, k)
 
 
 def _grams(text: Column, q: int) -> Column:
-    n = F.length(text) - q + 1
-    spots = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.lit(-q), F.substring(text, i, F.lit(q)))))
+    return _runs(F.split(text, ""), q, -q)
 
 
 def contained_texts(documents: DataFrame, forbidden: DataFrame, *, document: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -46,7 +51,8 @@ def contained_texts(documents: DataFrame, forbidden: DataFrame, *, document: str
     lengths = sorted({r["_k"] for r in kinds if r["_k"] > 0})
     grams = sorted({r["_q"] for r in kinds if r["_q"] is not None})
     if not kinds:
-        return documents.select(document).join(items.select(item), F.lit(False)).select(document, item)
+        nothing = items.select(item).where(F.lit(False))
+        return nothing.withColumn(document, F.lit(None).cast(documents.schema[document].dataType)).select(document, item)
     runs = [_shingles(words, k) for k in lengths] + [_grams(F.col("hay"), q) for q in grams]
     posted = texts.select(document, F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("h"))
     branches = [F.when(F.col("_k") == k, _shingles(F.col("_inner"), k)) for k in lengths]

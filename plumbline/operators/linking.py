@@ -289,7 +289,8 @@ def report_vs_table(targets: DataFrame, reported: DataFrame, scope: Sequence[str
     """The single reported value of an unordered pair within its scope; none when not unique."""
 
     def pair(df: DataFrame) -> DataFrame:
-        ok = (F.col("left_id") != "") & (F.col("right_id") != "") & (F.col("left_id") != F.col("right_id"))
+        filled = (F.col("left_id").cast("string") != "") & (F.col("right_id").cast("string") != "")
+        ok = filled & (F.col("left_id") != F.col("right_id"))
         return df.withColumn("_lo", F.when(ok, F.least("left_id", "right_id"))).withColumn(
             "_hi", F.when(ok, F.greatest("left_id", "right_id"))
         )
