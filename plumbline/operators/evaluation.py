@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.diff import multiset_difference
 from plumbline.session import cut_lineage
+from plumbline.skew import numbered
 
 # Outcome states and the names and order of the metrics.
 UNSAFE = ("overstated_root_match", "false_root_localization")
@@ -183,24 +184,6 @@ def excluded_cases(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("case_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """``idx`` = 0-based position by ``order``, without gathering the rows in one task."""
-    placed = (
-        df.repartitionByRange(F.col(order))
-        .sortWithinPartitions(order)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    placed = cut_lineage(placed)
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_pid").agg(F.count("*").alias("_n")).select(
-        "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    return placed.join(F.broadcast(starts), "_pid").withColumn("idx", F.col("_start") + F.col("_at")).drop(
-        "_pid", "_at", "_start"
-    )
-
-
 def counter_draw(domain: str, input_digest: str, replicate: Column, position: Column, size: int) -> Column:
     """Cluster index drawn by SHA-256 counter mode: 256-bit value modulo ``size``.
 
@@ -236,7 +219,7 @@ def cluster_bootstrap(
     order statistics ceil(n/40) and ceil(39n/40) of the valid replicates.
     """
     spark: SparkSession = outcomes.sparkSession
-    sums = numbered(_wide_pairs(outcomes, [cluster]), cluster)
+    sums = numbered(_wide_pairs(outcomes, [cluster]), [cluster])
     sums = cut_lineage(sums)
     size = sums.count()
     draws = spark.range(0, replicates * size).select(

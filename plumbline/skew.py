@@ -118,3 +118,21 @@ def running(
     else:
         both = (F.least if kind == "min" else F.greatest)("_carry", "_local")
     return joined.withColumn(out, both).drop("_carry", "_local")
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``idx`` = 0-based position by ``order``, without gathering the rows in one task."""
+    placed = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    placed = cut_lineage(placed)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_pid").agg(F.count("*").alias("_n")).select(
+        "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    return placed.join(F.broadcast(starts), "_pid").withColumn("idx", F.col("_start") + F.col("_at")).drop(
+        "_pid", "_at", "_start"
+    )
