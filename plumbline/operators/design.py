@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.contracts import DesignContract
+from plumbline.contracts import ContractError, DesignContract
 from plumbline.outcomes import APPLICABLE, UNSUPPORTED, outcome_of
 
 # The safeguards a dependence case must have looked for.
@@ -153,7 +153,7 @@ def _clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _any_empty(columns: Sequence[str]) -> Column:
     out = F.lit(False)
     for name in columns:
-        out = out | (F.col(name) == "")
+        out = out | (F.col(name).cast("string") == "")
     return out
 
 
@@ -297,3 +297,48 @@ def aliasing(contrast: DataFrame, contract: DesignContract, case: Sequence[str])
 
     verdict = gram.groupBy(*key).applyInPandas(decide, schema + ", aliased boolean")
     return verdict if case else verdict.select("aliased")
+
+
+# Membership columns of the three declaration profiles, with the columns that
+# name the analysed observation and the independent unit.
+PRESETS = {
+    "single_cell": (("cell_id", "sample_id", "participant_id"), "cell_id", "participant_id"),
+    "longitudinal": (("measurement_id", "participant_id", "timepoint_id"), "measurement_id", "participant_id"),
+    "nested_experiment": (
+        ("observation_id", "field_id", "well_id", "specimen_id", "animal_id"),
+        "observation_id",
+        "animal_id",
+    ),
+}
+
+
+def declared_units(df: DataFrame, profile: str) -> DataFrame:
+    """Units of each declared case (see :func:`unit_multiplicity`) from a profile's own columns.
+
+    ``df``: case_id and exactly the profile's membership columns.  An empty cell or an
+    observation listed twice makes the case unsupported.
+    """
+    if profile not in PRESETS:
+        raise ContractError(f"no profile named {profile}")
+    columns, observation, unit = PRESETS[profile]
+    if set(df.columns) != {"case_id", *columns}:
+        raise ContractError(f"the {profile} profile needs exactly {', '.join(columns)}")
+    listed = df.groupBy("case_id", observation).agg(
+        F.count("*").alias("_n"), F.some(_any_empty(columns) | _any_null(columns)).alias("_empty"), F.min(unit).alias("_unit")
+    )
+    units = listed.groupBy("case_id", "_unit").agg(
+        F.count("*").alias("_obs"), F.some((F.col("_n") > 1) | F.col("_empty")).alias("_bad")
+    )
+    return units.groupBy("case_id").agg(
+        F.sum("_obs").alias("nominal_n"),
+        F.count("*").alias("effective_n"),
+        F.count_if(F.col("_obs") > 1).alias("repeated_units"),
+        F.when(F.some("_bad"), F.lit(UNSUPPORTED)).otherwise(F.lit(APPLICABLE)).alias("applicability"),
+    )
+
+
+def _any_null(columns: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for name in columns:
+        out = out | F.col(name).isNull()
+    return out

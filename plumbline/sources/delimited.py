@@ -31,10 +31,11 @@ def separator_of(path: str) -> str | None:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, columns: Sequence[str], sep: str | None = None, *, multi_line: bool = True
+    spark: SparkSession, path: str, columns: Sequence[str], sep: str | None = None, *, multi_line: bool = True,
+    header: bool = True,
 ) -> DataFrame:
     """All cells as strings (empty cells stay empty strings) plus ``_bad``, true for a row that
-    is ragged or not UTF-8.  Feed ``_bad`` to the family gate: one bad row fails its table.
+    is ragged or not UTF-8, and the folder's partition columns.  Feed ``_bad`` to the family gate: one bad row fails its table.
 
     ``multi_line=False`` lets Spark split large plain files when no cell holds a line break.
     """
@@ -42,7 +43,7 @@ def read_delimited(
     raw = [T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_corrupt", T.StringType())]
     df = (
         spark.read.schema(T.StructType(raw))
-        .option("header", True)
+        .option("header", header)
         .option("enforceSchema", True)
         .option("sep", sep)
         .option("quote", '"')
@@ -55,8 +56,10 @@ def read_delimited(
     broken = F.lit(False)
     for c in columns:
         broken = broken | F.coalesce(F.contains(F.col(c), F.lit("�")), F.lit(False))
+    partitions = [c for c in df.columns if c not in columns and c != "_corrupt"]
     return df.select(
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns],
+        *partitions,
         (F.col("_corrupt").isNotNull() | broken).alias(BAD),
     )
 
