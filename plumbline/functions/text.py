@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from plumbline.skew import spread
+
 # --- Fixed values: number grammar, unit symbols and sentence forms -------------------------
 NUMBER_TOKEN = (
     r"(?<![\w.])(?<!\w-)(?<!\d-)(?<!-)"
@@ -94,7 +96,7 @@ def line_number_at(text: Column, offset: Column) -> Column:
 def document_spans(df: DataFrame, text: str) -> DataFrame:
     """One row per nonblank line that is not a heading: 1-based line, columns, trimmed text."""
     others = [c for c in df.columns if c != text]
-    lines = df.select(*others, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("_pos", "_line"))
+    lines = spread(df).select(*others, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("_pos", "_line"))
     bare = F.regexp_replace("_line", EDGE_SPACE, "")
     left = F.length(F.regexp_replace("_line", r"(?U)^\s+", ""))
     return (

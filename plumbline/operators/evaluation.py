@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.diff import multiset_difference
 from plumbline.session import cut_lineage
-from plumbline.skew import numbered
+from plumbline.skew import numbered, spread
 
 # Outcome states and the names and order of the metrics.
 UNSAFE = ("overstated_root_match", "false_root_localization")
@@ -96,11 +96,12 @@ def _case_terms() -> dict[str, tuple[Column, Column]]:
 
 
 def _wide_pairs(outcomes: DataFrame, group: Sequence[str]) -> DataFrame:
-    sums = []
-    for i, name in enumerate(METRICS):
-        top, bottom = _case_terms()[name]
-        sums += [F.sum(top.cast("long")).alias(f"n{i}"), F.sum(bottom.cast("long")).alias(f"d{i}")]
-    return outcomes.groupBy(*group).agg(*sums)
+    """Sums n0, d0, n1, d1 ... per group; each case is reduced to its own numbers first."""
+    terms = _case_terms()
+    columns = [c.cast("long").alias(x + str(i)) for i, m in enumerate(METRICS) for x, c in zip("nd", terms[m])]
+    cases = spread(outcomes).select(*group, *columns)
+    sums = [F.sum(f"{x}{i}").alias(f"{x}{i}") for i in range(len(METRICS)) for x in "nd"]
+    return cases.groupBy(*group).agg(*sums)
 
 
 def _stack(keys: Sequence[str], wide: DataFrame) -> DataFrame:

@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import normalize_text
 from plumbline.session import cut_lineage
+from plumbline.skew import spread
 
 SHINGLE = 6
 GRAM = 8
 
 
+def _hashed_words(text: Column) -> Column:
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _hashed_characters(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+
+
 def _runs(items: Column, k: int, kind: int) -> Column:
     """Distinct hashes of all runs of ``k`` neighbours: ``k`` shifted copies zipped once."""
     n = F.greatest(F.size(items) - k + 1, F.lit(0))
@@ -21,14 +31,6 @@ def _runs(items: Column, k: int, kind: int) -> Column:
     )
 
 
-def _shingles(words: Column, k: int) -> Column:
-    return _runs(words, k, k)
-
-
-def _grams(text: Column, q: int) -> Column:
-    return _runs(F.split(text, ""), q, -q)
-
-
 def contained_texts(documents: DataFrame, forbidden: DataFrame, *, document: str = "doc_id", item: str = "item_id") -> DataFrame:
     """Every (document, item) where the item's normalised text occurs in the document's.
 
@@ -40,28 +42,29 @@ def contained_texts(documents: DataFrame, forbidden: DataFrame, *, document: str
     items = cut_lineage(
         forbidden.select(item, normalize_text(F.col("text")).alias("needle"))
         .where(F.length("needle") > 0)
-        .withColumn("_w", F.filter(F.split("needle", r"(?U)\s+"), lambda w: w != ""))
+        .select("*", _hashed_words(F.col("needle")).alias("_w"), _hashed_characters(F.col("needle")).alias("_c"))
         .withColumn("_inner", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
         .withColumn("_k", F.least(F.size("_inner"), F.lit(SHINGLE)))
-        .withColumn("_q", F.when(F.col("_k") == 0, F.least(F.length("needle"), F.lit(GRAM))))
+        .withColumn("_q", F.when(F.col("_k") == 0, F.least(F.size("_c"), F.lit(GRAM))))
     )
-    texts = documents.select(document, normalize_text(F.col("text")).alias("hay"))
-    words = F.filter(F.split("hay", r"(?U)\s+"), lambda w: w != "")
+    texts = spread(documents.select(document, "text")).select(document, normalize_text(F.col("text")).alias("hay"))
     kinds = items.select("_k", "_q").distinct().collect()  # at most SHINGLE + GRAM rows
     lengths = sorted({r["_k"] for r in kinds if r["_k"] > 0})
     grams = sorted({r["_q"] for r in kinds if r["_q"] is not None})
     if not kinds:
         nothing = items.select(item).where(F.lit(False))
         return nothing.withColumn(document, F.lit(None).cast(documents.schema[document].dataType)).select(document, item)
-    runs = [_shingles(words, k) for k in lengths] + [_grams(F.col("hay"), q) for q in grams]
-    posted = texts.select(document, F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("h"))
-    branches = [F.when(F.col("_k") == k, _shingles(F.col("_inner"), k)) for k in lengths]
-    branches += [F.when(F.col("_q") == q, _grams(F.col("needle"), q)) for q in grams]
+    # Characters are only taken apart when some item is too short to be found by its words.
+    parts = [_hashed_words(F.col("hay")).alias("_w")] * bool(lengths) + [_hashed_characters(F.col("hay")).alias("_c")] * bool(grams)
+    runs = [_runs(F.col("_w"), k, k) for k in lengths] + [_runs(F.col("_c"), q, -q) for q in grams]
+    posted = texts.select(document, *parts).select(document, F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("h"))
+    branches = [F.when(F.col("_k") == k, _runs(F.col("_inner"), k, k)) for k in lengths]
+    branches += [F.when(F.col("_q") == q, _runs(F.col("_c"), q, -q)) for q in grams]
     keys = items.select(item, F.explode(F.coalesce(*branches)).alias("h"))
     # Only runs that some item has are kept, so the posting list is as small as the overlap.
     hits = cut_lineage(posted.join(keys.select("h").distinct(), "h", "left_semi"))
-    spread = hits.groupBy("h").agg(F.count("*").alias("_f"))
-    anchors = keys.join(spread, "h").groupBy(item).agg(F.min(F.struct("_f", "h")).alias("_a"))
+    frequency = hits.groupBy("h").agg(F.count("*").alias("_f"))
+    anchors = keys.join(frequency, "h").groupBy(item).agg(F.min(F.struct("_f", "h")).alias("_a"))
     candidates = anchors.select(item, F.col("_a.h").alias("h")).join(hits, "h").select(document, item)
     return (
         candidates.join(texts, document)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.contracts import MultiplicityContract
 from plumbline.operators import validate as V
 from plumbline.outcomes import outcome_of
-from plumbline.skew import attach, running, with_blocks
+from plumbline.skew import attach, running, spread, with_blocks
 
 ROWS_PER_BLOCK = 2_000_000
 EXACT = "decimal(20,18)"
@@ -93,10 +93,11 @@ def bh_recheck_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """(gate, rows): family verdicts, and the recomputed rows of families that pass."""
     c = contract
+    bound = V.bind_columns(
+        df, {"family": c.family, "test_id": c.test_id, "raw": c.raw, "reported": c.adjusted, "call": c.call}
+    )
     checked = V.validate_cells(
-        V.bind_columns(
-            df, {"family": c.family, "test_id": c.test_id, "raw": c.raw, "reported": c.adjusted, "call": c.call}
-        ),
+        spread(bound),
         [
             V.nonempty("test_id"),
             V.exact_unit_decimal("raw"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import number_tokens, rate_readings
+from plumbline.session import cut_lineage
+from plumbline.skew import spread
 
 # A document with more stated numbers is outside the bounded scan; the answer
 # for it is "unsupported", as for the checks this follows.
@@ -22,7 +24,7 @@ def stated_numbers(df: DataFrame, document: str, text: str) -> DataFrame:
     Columns: ``integers`` array<struct<v, n>>, ``rates`` (readings), ``decimals`` (tokens) and
     ``in_scan``, false when the document states too many numbers to be scanned completely.
     """
-    tokens = df.select(document, number_tokens(F.col(text)).alias("tokens"))
+    tokens = spread(df.select(document, text)).select(document, number_tokens(F.col(text)).alias("tokens"))
     whole = F.transform(
         F.filter("tokens", lambda t: t["is_integer"] & ~t["is_percent"]), lambda t: t["value"].cast("long")
     )
@@ -109,7 +111,7 @@ def quantity_interpretations(numbers: DataFrame, document: str) -> DataFrame:
 
 def quantity_reconcile(df: DataFrame, document: str, text: str) -> DataFrame:
     """One row per document: the denominator its stated rate uses, when exactly one is read."""
-    numbers = stated_numbers(df, document, text)
+    numbers = cut_lineage(stated_numbers(df, document, text))
     per_doc = (
         quantity_interpretations(numbers, document)
         .groupBy(document)
@@ -159,11 +161,11 @@ def corroboration(readings: DataFrame, numbers: DataFrame, document: str, projec
     posted = stock.select(
         project, "n_docs", F.map_from_entries("integers").alias("occ"), F.explode("integers.v").alias("anchor")
     )
-    spread = posted.groupBy(project, "anchor").agg(F.count("*").alias("_f"))
+    frequency = posted.groupBy(project, "anchor").agg(F.count("*").alias("_f"))
     accounts = readings.select(project, *roles).distinct()
     anchored = (
         accounts.select("*", F.explode(F.array_distinct(F.array(*roles))).alias("anchor"))
-        .join(spread, [project, "anchor"])
+        .join(frequency, [project, "anchor"])
         .groupBy(project, *roles)
         .agg(F.min(F.struct("_f", "anchor")).alias("_a"))
         .select(project, *roles, F.col("_a.anchor").alias("anchor"))
@@ -188,7 +190,7 @@ def corroboration(readings: DataFrame, numbers: DataFrame, document: str, projec
 
 def state_table_reconcile(df: DataFrame, document: str, text: str) -> DataFrame:
     """Counts of states 0, 1, 2 with total and stated mean that reconcile; one table or none."""
-    numbers = stated_numbers(df, document, text)
+    numbers = cut_lineage(stated_numbers(df, document, text))
 
     def splits(total: Column) -> Column:
         def with_first(c0: Column) -> Column:
@@ -246,7 +248,7 @@ def state_table_reconcile(df: DataFrame, document: str, text: str) -> DataFrame:
 
 def orientation_reconcile(df: DataFrame, document: str, text: str) -> DataFrame:
     """Marker total t, agreements a and a rate equal to a/t or (t-a)/t but not both."""
-    numbers = stated_numbers(df, document, text)
+    numbers = cut_lineage(stated_numbers(df, document, text))
 
     def near(r: Column, ratio: Column) -> Column:
         return F.abs(r["rate"] - ratio) <= r["tolerance"] + SLACK

@@ -500,7 +500,7 @@ def nation_graph(t: Tables) -> DataFrame:
     nc = t.customer.select(name("n", "c_nationkey").alias("source"), F.lit("serves").alias("relation"), name("c", "c_custkey").alias("target"))
     co = t.orders.select(name("c", "o_custkey").alias("source"), F.lit("placed").alias("relation"), name("o", "o_orderkey").alias("target"))
     twin = co.where("pmod(cast(substr(target, 2) as bigint), 7) = 0")
-    back = co.select(F.col("target").alias("source"), F.lit("of").alias("relation"), F.col("source").alias("target"))
+    back = co.where("pmod(cast(substr(target, 2) as bigint), 50) = 0").select(F.col("target").alias("source"), F.lit("of").alias("relation"), F.col("source").alias("target"))
     edges = rn.unionByName(nc).unionByName(co).unionByName(twin).unionByName(back)
     return edges.withColumn("profile", F.when(F.col("relation") == "serves", F.lit("b")).otherwise(F.lit("a")))
 

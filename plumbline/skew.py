@@ -13,6 +13,7 @@ from plumbline.session import cut_lineage
 # fewer than HEAVY_PARTS heavy keys whatever the data: a proven broadcast bound.
 HEAVY_PARTS = 2000
 SALTS = 256
+SMALL_BYTES = 256 * 1024 * 1024
 
 
 def attach(
@@ -52,6 +53,17 @@ def attach(
     return joined.select(*kept, *[F.col("_v").getField(c).alias(c) for c in values])
 
 
+def spread(df: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Give an input too small to be split by its reader to every core before heavy row work.
+
+    Larger inputs already arrive in many splits and are left as they are, unshuffled.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(plan.stats().sizeInBytes()) > small_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def with_blocks(df: DataFrame, order: str, rows_per_block: int) -> tuple[DataFrame, int]:
     """Add ``_block``: position of ``order`` among evenly loaded cut points of the whole frame.
 
