@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.contracts import MultiplicityContract
 from plumbline.operators import validate as V
 from plumbline.outcomes import outcome_of
+from plumbline.session import cut_lineage
 from plumbline.skew import attach, running, spread, with_blocks
 
 ROWS_PER_BLOCK = 2_000_000
@@ -105,15 +106,21 @@ def bh_recheck_rows(
             V.boolean_text("call"),
         ],
     )
-    gate = V.family_gate(checked, ["family"], ["test_id"])
-    state = gate.select("family", "n_rows", "applicability")
-    good = attach(checked, state, ["family"], "n_rows").where(F.col("applicability") == "applicable").select(
-        "family",
-        "test_id",
-        F.col("raw").cast("string").cast(EXACT).alias("raw"),
-        F.col("reported").cast("string").cast(EXACT).alias("reported"),
-        (F.lower(F.col("call").cast("string")) == "true").alias("reported_call"),
+    # Cells are parsed once; the gate, the ranking and the comparison read the typed table.
+    typed = cut_lineage(
+        checked.select(
+            "family",
+            "test_id",
+            F.col("raw").cast("string").try_cast(EXACT).alias("raw"),
+            F.col("reported").cast("string").try_cast(EXACT).alias("reported"),
+            (F.lower(F.col("call").cast("string")) == "true").alias("reported_call"),
+            "reasons",
+        )
     )
+    gate = cut_lineage(V.family_gate(typed, ["family"], ["test_id"]))
+    state = gate.select("family", "n_rows", "applicability")
+    good = attach(typed.drop("reasons"), state, ["family"], "n_rows").where(F.col("applicability") == "applicable")
+    good = good.select("family", "test_id", "raw", "reported", "reported_call")
     levels = bh_levels(good, ["family"], "raw", exact=True, **options)
     alpha = F.lit(c.alpha).cast(EXACT)
     limit = (_units(alpha) * F.col("best_rank").cast("decimal(18,0)")).cast("decimal(38,0)")

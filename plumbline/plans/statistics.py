@@ -26,7 +26,7 @@ def tests(t: Tables) -> DataFrame:
     return t.lineitem.select(
         F.col("l_returnflag").alias("family"),
         F.col("l_suppkey").alias("supplier"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("test_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")).alias("test_id"),
         F.expr("(l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 10000").alias("k"),
         F.col("l_extendedprice").alias("price"),
     ).withColumn("p", (F.col("k") * F.col("k")).cast("decimal(12,0)") * F.lit(Decimal("0.00000001")))
@@ -36,7 +36,7 @@ def tests(t: Tables) -> DataFrame:
 # adjusted value.  Ratios k*k/rank are compared as exact fractions scaled to integers.
 TESTS = """tests AS (
   SELECT l_returnflag AS family, l_suppkey AS supplier,
-    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS test_id, l_extendedprice AS price,
+    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS test_id, l_extendedprice AS price,
     (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 10000 AS k FROM lineitem)"""
 
 
@@ -150,14 +150,15 @@ def correction_scope(t: Tables) -> DataFrame:
 @query(
     "pvalue_family_gate",
     f"""WITH {TESTS}, g AS (SELECT supplier, count(*) AS n_rows, count(DISTINCT test_id) AS n_keys,
-    count(*) FILTER (WHERE price < 910) AS bad FROM tests GROUP BY ALL)
-    SELECT supplier, n_rows, n_keys, CASE WHEN bad > 0 THEN 'p is not in [0, 1]' END AS reason,
-    CASE WHEN bad > 0 THEN 'unsupported' ELSE 'applicable' END AS applicability FROM g""",
+    count(*) FILTER (WHERE price < 910) AS bad FROM (SELECT * FROM tests UNION ALL SELECT * FROM tests WHERE supplier % 7 = 0 AND k < 100) GROUP BY ALL),
+    r AS (SELECT *, CASE WHEN bad > 0 THEN 'p is not in [0, 1]' WHEN n_rows > n_keys THEN 'identifiers are duplicated' END AS reason FROM g)
+    SELECT supplier, n_rows, n_keys, reason, CASE WHEN reason IS NULL THEN 'applicable' ELSE 'unsupported' END AS applicability FROM r""",
 )
 def pvalue_family_gate(t: Tables) -> DataFrame:
     p = F.when(F.col("price") < 910, F.lit("not-a-number")).otherwise(F.col("p").cast("string"))
+    twice = tests(t).unionByName(tests(t).where("supplier % 7 = 0 AND k < 100"))
     rows = V.validate_cells(
-        tests(t).withColumn("p", p), [V.nonempty("test_id"), V.trimmed("test_id"), V.unit_interval("p")]
+        twice.withColumn("p", p), [V.nonempty("test_id"), V.trimmed("test_id"), V.unit_interval("p")]
     )
     gate = V.family_gate(rows, ["supplier"], ["test_id"])
     return gate.select("supplier", "n_rows", "n_keys", "reason", "applicability")
