@@ -45,6 +45,17 @@ def lineage_grade(grades: DataFrame, claim: str) -> DataFrame:
     return stats.select(claim, status.alias("lineage_status"))
 
 
+def _members_differ(left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
+    """Per result: do the two member lists differ as sets?  With ``once`` a repeat on the right
+    counts as a difference.  Members are counted, never gathered."""
+    tagged = left.withColumn("_s", F.lit(0)).unionByName(right.withColumn("_s", F.lit(1)))
+    per_member = tagged.groupBy("result_id", "_m").agg(
+        F.count_if(F.col("_s") == 0).alias("_l"), F.count_if(F.col("_s") == 1).alias("_r")
+    )
+    wrong = (F.col("_l") == 0) | (F.col("_r") == 0) | (F.lit(once) & (F.col("_r") > 1))
+    return per_member.groupBy("result_id").agg(F.some(wrong).alias("_differ"))
+
+
 def finding_admission(results: DataFrame, premises: DataFrame, checks: DataFrame, required: DataFrame) -> DataFrame:
     """Which gate stops each candidate finding; ``admitted`` when none does.
 
@@ -54,25 +65,39 @@ def finding_admission(results: DataFrame, premises: DataFrame, checks: DataFrame
     outcome.  ``required``: detector_id, check_id.
     """
     established = (F.col("state") == "established") & (F.col("evidence") > 0)
-    met = premises.where("material").groupBy("result_id").agg(
-        F.every(F.coalesce(established, F.lit(False))).alias("_established"),
-        F.array_sort(F.collect_set("premise_id")).alias("_evaluated"),
-    )
+    material = premises.where("material")
+    met = material.groupBy("result_id").agg(F.every(F.coalesce(established, F.lit(False))).alias("_established"))
     clean = ((F.col("status") == "completed") & (F.col("outcome") == "no_counterevidence")) | (
         (F.col("status") == "not_applicable") & (F.col("outcome") == "not_applicable")
     )
-    run = checks.groupBy("result_id").agg(
-        F.count("*").alias("_runs"),
-        F.every(F.coalesce(clean, F.lit(False))).alias("_clean"),
-        F.array_sort(F.collect_set("check_id")).alias("_checks"),
-    )
+    run = checks.groupBy("result_id").agg(F.every(F.coalesce(clean, F.lit(False))).alias("_clean"))
     need = required.groupBy("detector_id").agg(
-        F.count("*").alias("_need"), F.array_sort(F.collect_set("check_id")).alias("_required")
+        F.count("*").alias("_need"), F.count_distinct("check_id").alias("_kinds")
     )
+    wanted = results.select("result_id", "detector_id").join(required.distinct(), "detector_id")
     joined = (
-        results.join(met, "result_id", "left").join(run, "result_id", "left").join(need, "detector_id", "left")
+        results.join(met, "result_id", "left")
+        .join(run, "result_id", "left")
+        .join(need, "detector_id", "left")
+        .join(
+            _members_differ(
+                results.select("result_id", F.explode("declared_premises").alias("_m")),
+                material.select("result_id", F.col("premise_id").alias("_m")),
+            ).withColumnRenamed("_differ", "_premises_differ"),
+            "result_id",
+            "left",
+        )
+        .join(
+            _members_differ(
+                wanted.select("result_id", F.col("check_id").alias("_m")),
+                checks.select("result_id", F.col("check_id").alias("_m")),
+                once=True,
+            ).withColumnRenamed("_differ", "_checks_differ"),
+            "result_id",
+            "left",
+        )
     )
-    declared = F.array_sort("declared_premises")
+    declared = F.col("declared_premises")
     gate = (
         F.when(~F.col("applicability").eqNullSafe("applicable"), F.lit("applicability"))
         .when(~F.col("coverage").eqNullSafe("covered") | (F.col("gaps") > 0), F.lit("coverage"))
@@ -84,15 +109,12 @@ def finding_admission(results: DataFrame, premises: DataFrame, checks: DataFrame
             F.lit("premise_declaration"),
         )
         .when(~F.coalesce("_established", F.lit(False)), F.lit("premise_not_established"))
-        .when(~F.col("_evaluated").eqNullSafe(declared), F.lit("premise_sets_differ"))
+        .when(F.coalesce("_premises_differ", F.lit(True)), F.lit("premise_sets_differ"))
         .when(
-            F.col("_need").isNull() | (F.size("_required") != F.col("_need")) | ~F.coalesce("_clean", F.lit(False)),
+            F.col("_need").isNull() | (F.col("_kinds") != F.col("_need")) | ~F.coalesce("_clean", F.lit(False)),
             F.lit("counterevidence"),
         )
-        .when(
-            (F.col("_runs") != F.size("_checks")) | ~F.col("_checks").eqNullSafe(F.col("_required")),
-            F.lit("counterevidence_incomplete"),
-        )
+        .when(F.coalesce("_checks_differ", F.lit(True)), F.lit("counterevidence_incomplete"))
         .when(~F.col("draft_matches"), F.lit("draft"))
         .when(~F.col("digest").eqNullSafe(F.col("expected_digest")), F.lit("digest"))
     )

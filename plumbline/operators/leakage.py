@@ -11,65 +11,103 @@ from plumbline.skew import spread
 
 SHINGLE = 6
 GRAM = 8
+BORDER = 3
 
 
-def _hashed_words(text: Column) -> Column:
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def _hashed_characters(text: Column) -> Column:
-    return F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _runs(items: Column, k: int, kind: int) -> Column:
+def _runs(items: Column, k: int) -> Column:
     """Distinct hashes of all runs of ``k`` neighbours: ``k`` shifted copies zipped once."""
     n = F.greatest(F.size(items) - k + 1, F.lit(0))
     shifted = [F.slice(items, i + 1, n).alias(f"x{i}") for i in range(k)]
     return F.array_distinct(
-        F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(F.lit(kind), *[z[f"x{i}"] for i in range(k)]))
+        F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(F.lit(k), *[z[f"x{i}"] for i in range(k)]))
     )
 
 
+def _borders(words: Column, a: int, b: int) -> Column:
+    """Hashes of the last ``a`` letters of each word with the first ``b`` of the next."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pair = lambda x, y: F.xxhash64(F.lit(-100 - 10 * a - b), F.right(x, F.lit(a)), F.left(y, F.lit(b)))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), pair))
+
+
+def _grams(words: Column, q: int) -> Column:
+    """Hashes of the runs of ``q`` letters inside each distinct word."""
+
+    def inside(w: Column) -> Column:
+        n = F.length(w) - q + 1
+        spots = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.xxhash64(F.lit(-q), F.substring(w, i, F.lit(q))))
+
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(words), inside)))
+
+
 def contained_texts(documents: DataFrame, forbidden: DataFrame, *, document: str = "doc_id", item: str = "item_id") -> DataFrame:
     """Every (document, item) where the item's normalised text occurs in the document's.
 
-    The words of an item between its first and its last one occur in a containing document as
-    whole words, in order.  So each item is looked up through its rarest run of ``SHINGLE``
-    inner words (all of them when it has fewer; character runs when it has two words or less),
-    and only documents that hold that run are compared in full.  Exact for every item length.
+    An item is looked up through its rarest key, and only documents that hold the key are
+    compared in full.  Keys hold for every containing document, so the answer is exact:
+
+    * three words or more: runs of up to ``SHINGLE`` words between the first and the last word,
+      which occur in the document as whole words;
+    * two words: the letters on both sides of the gap between them;
+    * one word: letter runs, which lie inside one word of the document;
+    * only white space: any white space at all.
     """
     items = cut_lineage(
         forbidden.select(item, normalize_text(F.col("text")).alias("needle"))
         .where(F.length("needle") > 0)
-        .select("*", _hashed_words(F.col("needle")).alias("_w"), _hashed_characters(F.col("needle")).alias("_c"))
-        .withColumn("_inner", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+        .withColumn("_t", _words(F.col("needle")))
+        .withColumn("_inner", _hashed(F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0)))))
         .withColumn("_k", F.least(F.size("_inner"), F.lit(SHINGLE)))
-        .withColumn("_q", F.when(F.col("_k") == 0, F.least(F.size("_c"), F.lit(GRAM))))
+        .withColumn("_a", F.when(F.size("_t") == 2, F.least(F.length(F.get("_t", F.lit(0))), F.lit(BORDER))))
+        .withColumn("_b", F.when(F.size("_t") == 2, F.least(F.length(F.get("_t", F.lit(1))), F.lit(BORDER))))
+        .withColumn("_q", F.when(F.size("_t") == 1, F.least(F.length(F.get("_t", F.lit(0))), F.lit(GRAM))))
+        .withColumn("_blank", F.size("_t") == 0)
     )
-    texts = spread(documents.select(document, "text")).select(document, normalize_text(F.col("text")).alias("hay"))
-    kinds = items.select("_k", "_q").distinct().collect()  # at most SHINGLE + GRAM rows
-    lengths = sorted({r["_k"] for r in kinds if r["_k"] > 0})
-    grams = sorted({r["_q"] for r in kinds if r["_q"] is not None})
+    # Kinds of keys in use: at most SHINGLE + BORDER * BORDER + GRAM + 1 rows.
+    kinds = items.select("_k", "_a", "_b", "_q", "_blank").distinct().collect()
     if not kinds:
         nothing = items.select(item).where(F.lit(False))
         return nothing.withColumn(document, F.lit(None).cast(documents.schema[document].dataType)).select(document, item)
-    # Characters are only taken apart when some item is too short to be found by its words.
-    parts = [_hashed_words(F.col("hay")).alias("_w")] * bool(lengths) + [_hashed_characters(F.col("hay")).alias("_c")] * bool(grams)
-    runs = [_runs(F.col("_w"), k, k) for k in lengths] + [_runs(F.col("_c"), q, -q) for q in grams]
-    posted = texts.select(document, *parts).select(document, F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("h"))
-    branches = [F.when(F.col("_k") == k, _runs(F.col("_inner"), k, k)) for k in lengths]
-    branches += [F.when(F.col("_q") == q, _runs(F.col("_c"), q, -q)) for q in grams]
-    keys = items.select(item, F.explode(F.coalesce(*branches)).alias("h"))
-    # Only runs that some item has are kept, so the posting list is as small as the overlap.
+    texts = spread(documents.select(document, "text")).select(document, normalize_text(F.col("text")).alias("hay"))
+    parts = texts.select(document, _words(F.col("hay")).alias("_t"), F.regexp_count("hay", F.lit(r"(?U)\s")).alias("_gaps"))
+    parts = parts.select("*", _hashed(F.col("_t")).alias("_w"))
+    ours: list[Column] = []
+    theirs: list[Column] = []
+    for k in sorted({r["_k"] for r in kinds if r["_k"] > 0}):
+        ours.append(_runs(F.col("_w"), k))
+        theirs.append(F.when(F.col("_k") == k, _runs(F.col("_inner"), k)))
+    for a, b in sorted({(r["_a"], r["_b"]) for r in kinds if r["_a"] is not None}):
+        ours.append(_borders(F.col("_t"), a, b))
+        theirs.append(F.when((F.col("_a") == a) & (F.col("_b") == b), _borders(F.col("_t"), a, b)))
+    for q in sorted({r["_q"] for r in kinds if r["_q"] is not None}):
+        ours.append(_grams(F.col("_t"), q))
+        theirs.append(F.when(F.col("_q") == q, _grams(F.col("_t"), q)))
+    if any(r["_blank"] for r in kinds):
+        space = F.array(F.xxhash64(F.lit("white space")))
+        ours.append(F.when(F.col("_gaps") > 0, space).otherwise(F.array().cast("array<bigint>")))
+        theirs.append(F.when(F.col("_blank"), space))
+    posted = parts.select(document, F.explode(F.concat(*ours) if len(ours) > 1 else ours[0]).alias("h"))
+    keys = items.select(item, F.explode(F.coalesce(*theirs)).alias("h"))
+    # Only keys that some item has are kept, so the posting list is as small as the overlap.
     hits = cut_lineage(posted.join(keys.select("h").distinct(), "h", "left_semi"))
     frequency = hits.groupBy("h").agg(F.count("*").alias("_f"))
     anchors = keys.join(frequency, "h").groupBy(item).agg(F.min(F.struct("_f", "h")).alias("_a"))
     candidates = anchors.select(item, F.col("_a.h").alias("h")).join(hits, "h").select(document, item)
+    # Texts are normalised again only for documents that are candidates.
     return (
-        candidates.join(texts, document)
+        documents.select(document, "text")
+        .join(candidates, document)
         .join(items.select(item, "needle"), item)
-        .where(F.contains("hay", "needle"))
+        .where(F.contains(normalize_text(F.col("text")), F.col("needle")))
         .select(document, item)
     )
 

@@ -67,7 +67,7 @@ def segment_clock(
     after that event is charged.  Segments may be any size.
     """
     micros = events.select(segment, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.col(tie).alias("_k"), F.col(state).alias("_s"))
-    blocked, blocks = with_blocks(micros, "_t", rows_per_block)
+    blocked, blocks = with_blocks(micros, "_t", rows_per_block, ties=["_k"])
     order = [F.col("_t"), F.col("_k")]
     before = F.struct(F.col("_t").alias("t"), F.col("_k").alias("k"), F.col("_s").alias("s"))
     gaps = running(blocked, blocks, [segment], order, before, "max", "_prev", inclusive=False)

@@ -9,6 +9,7 @@ from plumbline.functions import ids
 from plumbline.operators import diff, graph, leakage, linking, ordering
 from plumbline.plans.registry import Tables, query
 from plumbline.plans.texts import CLAIMS, claim_lines
+from plumbline.skew import running, with_blocks
 from plumbline.functions import text
 
 
@@ -624,10 +625,9 @@ def segment_clock(t: Tables) -> DataFrame:
     WHERE c > 1 OR (seq > 1 AND coalesce(pf >= seq, true))""",
 )
 def ledger_links(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = t.orders.select(F.col("o_custkey").alias("ledger"), seq.cast("long").alias("seq"), F.col("o_orderkey").alias("k"))
+    keyed = t.orders.select(F.col("o_custkey").alias("ledger"), F.col("o_orderkey").alias("k"))
+    blocked, blocks = with_blocks(keyed, "k", 2_000_000)
+    rows = running(blocked, blocks, ["ledger"], [F.col("k")], F.lit(1).cast("long"), "sum", "seq")
     run = F.when(F.col("k") % 29 == 0, F.lit("run")).otherwise(F.concat(F.lit("run"), F.col("seq").cast("string")))
     parent = F.when(F.col("k") % 31 == 0, F.lit("lost")).otherwise(F.concat(F.lit("run"), (F.col("seq") - 1).cast("string")))
     segments = rows.select("ledger", "seq", run.alias("run"), parent.alias("parent"))

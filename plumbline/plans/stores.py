@@ -17,6 +17,7 @@ from plumbline.plans.statistics import CONTRACT, REPORTED, reported
 from plumbline.plans.texts import CLAIMS
 from plumbline.operators import multiplicity
 from plumbline.session import shared_folder
+from plumbline.skew import running, with_blocks
 from plumbline.sources import delimited, files, matrices, records
 from plumbline.streaming import records as record_stream
 from plumbline.streaming.segments import stream_segment_time
@@ -182,12 +183,11 @@ def axis_decode(t: Tables) -> DataFrame:
     SELECT m AS matrix_id, count(*) + 1 AS n_rows, NOT (m = 2 AND bool_or(o = 2)) AS monotone, m <> 7 AND NOT (m = 2 AND bool_or(o = 2)) AS valid FROM c GROUP BY m""",
 )
 def pointer_check(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     m = F.col("matrix_id")
     rows = t.events.groupBy((F.col("user_id") % 10).alias("matrix_id"), F.floor(F.col("user_id") / 10).alias("o")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("matrix_id").orderBy("o"))
-    ends = rows.select("matrix_id", (F.col("o") + 1).alias("pos"), upto.alias("pointer"))
+    blocked, blocks = with_blocks(rows, "o", 2_000_000)
+    upto = running(blocked, blocks, ["matrix_id"], [F.col("o")], F.col("n"), "sum", "upto")
+    ends = upto.select("matrix_id", (F.col("o") + 1).alias("pos"), F.col("upto").alias("pointer"))
     starts = rows.select("matrix_id").distinct().select("matrix_id", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("pointer"))
     pointers = ends.unionByName(starts).withColumn("pointer", F.when((m == 2) & (F.col("pos") == 3), 0).otherwise(F.col("pointer")))
     nnz = rows.groupBy("matrix_id").agg(F.sum("n").alias("stored")).withColumn("stored", F.col("stored") + (m == 7).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import ids, text, values
 from plumbline.operators import reconcile
 from plumbline.plans.registry import Tables, query
+from plumbline.skew import spread
 
 
 @query(
@@ -52,7 +53,7 @@ def text_identity(t: Tables) -> DataFrame:
     FROM documents""",
 )
 def normalized_text_digest(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("digest"))
+    return spread(t.documents).select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("digest"))
 
 
 @query(

@@ -13,6 +13,8 @@ from plumbline.session import cut_lineage
 # fewer than HEAVY_PARTS heavy keys whatever the data: a proven broadcast bound.
 HEAVY_PARTS = 2000
 SALTS = 256
+# More blocks than this would make the cut points themselves large; blocks grow instead.
+MAX_BLOCKS = 5000
 SMALL_BYTES = 256 * 1024 * 1024
 
 
@@ -64,26 +66,32 @@ def spread(df: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def with_blocks(df: DataFrame, order: str, rows_per_block: int) -> tuple[DataFrame, int]:
+def with_blocks(
+    df: DataFrame, order: str, rows_per_block: int, ties: Sequence[str] = ()
+) -> tuple[DataFrame, int]:
     """Add ``_block``: position of ``order`` among evenly loaded cut points of the whole frame.
 
     Returns the frame, written once, and the number of blocks; one block means it is small.
-    Only the cut points (one number per block) come back to the driver.
+    Only the cut points (one number per block) come back to the driver.  When many rows may
+    share one ``order`` value, ``ties`` breaks them and blocks are cut by exact position.
     """
     from pyspark.ml.feature import Bucketizer
 
     df = cut_lineage(df)
-    numbered = df.withColumn("_order", F.col(order).cast("double"))
     n_rows = df.count()
-    blocks = max(1, -(-n_rows // rows_per_block))
+    blocks = min(max(1, -(-n_rows // rows_per_block)), MAX_BLOCKS)
     if blocks == 1:
         return df.withColumn("_block", F.lit(0)), 1
+    if ties:
+        placed = numbered(df, [order, *ties])
+        return placed.withColumn("_block", F.floor(F.col("idx") * blocks / n_rows).cast("int")).drop("idx"), blocks
+    ordered = df.withColumn("_order", F.col(order).cast("double"))
     probs = [i / blocks for i in range(1, blocks)]
-    cuts = numbered.agg(F.percentile_approx("_order", probs, 100 * blocks)).head()[0]
+    cuts = ordered.agg(F.percentile_approx("_order", probs, max(10_000, 20 * blocks))).head()[0]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucketed = Bucketizer(
         splits=splits, inputCol="_order", outputCol="_block", handleInvalid="keep"
-    ).transform(numbered)
+    ).transform(ordered)
     return bucketed.withColumn("_block", F.col("_block").cast("int")).drop("_order"), len(splits) - 1
 
 

@@ -37,3 +37,14 @@ def test_numbered_gives_every_position_once(spark):
     df = spark.createDataFrame([(f"k{i:03d}",) for i in range(200)], "k string").repartition(7)
     got = {r.k: r.idx for r in numbered(df, ["k"]).collect()}
     assert got == {f"k{i:03d}": i for i in range(200)}
+
+
+def test_blocks_split_equal_order_values(spark):
+    df = spark.createDataFrame([("a", 5, i, i % 7) for i in range(300)] + [("b", i, i, 1) for i in range(60)], "g string, o int, t int, v int")
+    blocked, blocks = with_blocks(df, "o", 40, ties=["t"])
+    assert blocks == 9 and max(r["count"] for r in blocked.groupBy("_block").count().collect()) <= 41
+    got = running(blocked, blocks, ["g"], [F.col("o"), F.col("t")], F.col("v"), "sum", "r").where("g = 'a'").collect()
+    total = 0
+    for r in sorted(got, key=lambda r: r.t):
+        total += r.v
+        assert r.r == total
