@@ -318,7 +318,7 @@ def denominator_check(counts: DataFrame, case: str, stated: DataFrame) -> DataFr
         .withColumn("applicability", F.when(known, F.lit("applicable")).otherwise(F.lit("not_applicable")))
         .withColumn(
             "comparison_outcome",
-            F.when(~known, F.lit("unknown"))
+            F.when(~known, F.lit("not_applicable"))
             .when(F.col("used") == F.col("claims"), F.lit("conformant"))
             .otherwise(F.lit("nonconformant")),
         )

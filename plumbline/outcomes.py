@@ -24,19 +24,34 @@ CHECK_SCHEMA = (
 
 
 def outcome_of(applicability: Column, conformant: Column) -> Column:
-    """Comparison outcome allowed by a state: only an applicable case is ever compared."""
-    return F.when(
-        applicability == APPLICABLE,
-        F.when(conformant, F.lit(CONFORMANT)).otherwise(F.lit(NONCONFORMANT)),
-    ).otherwise(F.lit(UNKNOWN))
+    """Comparison outcome a state allows: only an applicable case is ever compared."""
+    return (
+        F.when(applicability == APPLICABLE, F.when(conformant, F.lit(CONFORMANT)).otherwise(F.lit(NONCONFORMANT)))
+        .when(applicability == NOT_APPLICABLE, F.lit(NOT_APPLICABLE))
+        .otherwise(F.lit(UNKNOWN))
+    )
 
 
 def lineage_of(applicability: Column) -> Column:
     return (
         F.when(applicability == APPLICABLE, F.lit("complete"))
-        .when(applicability == NOT_APPLICABLE, F.lit("complete"))
-        .otherwise(F.lit("partial"))
+        .when(applicability == NOT_APPLICABLE, F.lit(NOT_APPLICABLE))
+        .otherwise(F.lit("incomplete"))
+    )
+
+
+def illegal(observations: DataFrame) -> DataFrame:
+    """Observations whose outcome, lineage or operands their state does not allow."""
+    state, result = F.col("applicability"), F.col("comparison_outcome")
+    compared = (state == APPLICABLE) & result.isin(CONFORMANT, NONCONFORMANT)
+    allowed = (
+        compared
+        | ((state == NOT_APPLICABLE) & (result == NOT_APPLICABLE))
+        | (state.isin(AMBIGUOUS, UNSUPPORTED) & (result == UNKNOWN))
     )
+    empty = (state == APPLICABLE) & (F.size("operands") + F.size("metrics") == 0)
+    fine = allowed & (F.col("lineage_status") == lineage_of(state)) & ~empty
+    return observations.where(~F.coalesce(fine, F.lit(False)))
 
 
 def as_observations(

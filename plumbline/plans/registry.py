@@ -77,7 +77,7 @@ def _boundary(spark: SparkSession, name: str, state: str, reason: str) -> DataFr
         F.lit(None).cast("string").alias("case_id"),
         F.lit(state).alias("applicability"),
         F.lit("unknown").alias("comparison_outcome"),
-        F.lit("partial").alias("lineage_status"),
+        F.lit("incomplete").alias("lineage_status"),
         F.expr("cast(map() as map<string,string>)").alias("operands"),
         F.expr("cast(map() as map<string,double>)").alias("metrics"),
         F.lit(reason).alias("reason"),

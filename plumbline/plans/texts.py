@@ -223,7 +223,7 @@ def orientation_reconcile(t: Tables) -> DataFrame:
       WHEN re THEN 'retained' ELSE 'neither' END AS used FROM f)
     SELECT doc_id, n AS planned, m AS retained, e AS events, used,
       CASE WHEN used IN ('planned', 'retained') THEN 'applicable' ELSE 'not_applicable' END AS applicability,
-      CASE WHEN used = 'planned' THEN 'conformant' WHEN used = 'retained' THEN 'nonconformant' ELSE 'unknown' END AS comparison_outcome
+      CASE WHEN used = 'planned' THEN 'conformant' WHEN used = 'retained' THEN 'nonconformant' ELSE 'not_applicable' END AS comparison_outcome
     FROM u""",
 )
 def denominator_check(t: Tables) -> DataFrame:
