@@ -162,11 +162,13 @@ def correction_scope(
     and compared with the asserted values.
     """
     family = list(family)
-    exact = df.select(*family, test_id, F.col(p).cast(EXACT).alias("p"), F.col(asserted).cast(EXACT).alias("asserted"))
+    exact = cut_lineage(
+        df.select(*family, test_id, F.col(p).cast(EXACT).alias("p"), F.col(asserted).cast(EXACT).alias("asserted"))
+    )
     corrected = exact.where(F.col("asserted").isNotNull())
     full = bh_levels(exact, family, "p", exact=True, **options)
     part = bh_levels(corrected, family, "p", exact=True, **options)
-    per_value = corrected.groupBy(*family, "p", "asserted").agg(F.count("*").alias("n"))
+    per_value = cut_lineage(corrected.groupBy(*family, "p", "asserted").agg(F.count("*").alias("n")))
 
     def misses(levels: DataFrame, out: str) -> DataFrame:
         joined = per_value.join(levels.drop("n_tests", "rank"), [*family, "p"], "left")
