@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, simhash
+from plumbline.llm import bpe, decontaminate, language, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,57 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_bpe_digests")
 def op5_bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    learnt = language.learn(language.training_part(documents))
+    return language.identify(documents.select("doc_id", "text"), learnt).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "margin"
+    )
+
+
+@query(
+    "op6_quality_rules",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w FROM d),
+m AS (SELECT doc_id, len(w)::BIGINT n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols,
+             len(list_distinct(w))::BIGINT n_distinct,
+             length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT n_capitals,
+             length(regexp_replace(t, '[^a-z\x{80}-\x{10FFFF}]', '', 'g'))::BIGINT n_small FROM w),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM d),
+l AS (SELECT doc_id, count(*) n_lines, count(*) - count(DISTINCT line) n_dup_lines FROM lines
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) i FROM w WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) n FROM win) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT p) n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) p FROM rep) GROUP BY doc_id),
+a AS (SELECT m.*, coalesce(n_lines, 0)::BIGINT n_lines, coalesce(n_dup_lines, 0)::BIGINT n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT n_repeat_words
+      FROM m LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+        + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 5 * n_lines THEN 8 ELSE 0 END
+        + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END
+        + CASE WHEN n_capitals > n_small AND n_words >= 20 THEN 32 ELSE 0 END
+        + CASE WHEN 2 * (n_capitals + n_small) < word_chars THEN 64 ELSE 0 END
+        + CASE WHEN 7 * n_distinct < n_words AND n_words < 200 THEN 128 ELSE 0 END)::BIGINT failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 base_failed,
+       failed = 0 kept, failed FROM b
+""",
+)
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.ledger(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (~quality.passes(quality.BASE)).alias("base_failed"),
+        quality.passes(quality.BASE | quality.POLICIES[quality.CURRENT]).alias("kept"),
+        "failed",
+    )
