@@ -4,19 +4,49 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate
+from plumbline.llm import bpe, decontaminate, language, secrets, simhash
 from plumbline.session import shared_folder
 
 
+def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is told; learn from those that have one."""
+    return language.confident(docs, language.learn(language.training_part(docs)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group."""
+    return simhash.first_of_each(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a window of a benchmark item."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", drop_contaminated)]
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets taken for live; copied examples stay."""
+    clean = secrets.redact(docs, repository=F.concat_ws("/", "source", "lang"), owner="source")
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add the token ids of every document."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language identification", drop_unknown_languages),
+    ("SimHash near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scan", redact_secrets),
+    ("BPE encoding", encode_tokens),
+]
 
-#: Compression sizes, fingerprint components and merges have no SQL form; the tests use brute force instead.
+#: Compressed sizes, fingerprint components and merges have no SQL form; a test holds the rows against brute force.
 ORACLE_SQL = None
 
 

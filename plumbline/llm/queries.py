@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, language, quality, simhash
+from plumbline.llm import bpe, decontaminate, language, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,61 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         quality.passes(quality.BASE | quality.POLICIES[quality.CURRENT]).alias("kept"),
         "failed",
     )
+
+
+@query(
+    "op1_secret_scan",
+    r"""
+WITH k AS (SELECT * FROM (VALUES
+  ('assign', 0, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 18),
+  ('hex', 2, '[0-9a-f]{16,}', 0, 16),
+  ('prefixed', 3, '\b(?:gh[opsur]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})', 0, 15),
+  ('signed', 4, '\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', 0, 32)) k(kind, o, p, g, least)),
+m AS (SELECT doc_id, source AS owner, source || '/' || lang AS repository, kind, o, least,
+        regexp_extract_all(text, p, 0) w, CASE g WHEN 2 THEN regexp_extract_all(text, p, 2) ELSE regexp_extract_all(text, p, 0) END v,
+        string_split_regex(text, p) b FROM documents, k WHERE regexp_matches(text, p)),
+e AS (SELECT doc_id, owner, repository, kind, o, least, v[i] AS val, length(w[i]) AS size,
+        list_sum(list_transform(b[1:i], lambda x: length(x)))::BIGINT
+        + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+      FROM (SELECT *, unnest(range(1, len(w) + 1)) i FROM m)),
+c AS (SELECT * FROM e WHERE length(val) >= least),
+f AS (SELECT val, count(DISTINCT repository) n_repositories, count(DISTINCT owner) n_owners FROM c GROUP BY val),
+j AS (SELECT c.*, n_repositories, n_owners, n_owners < 3 AND regexp_matches(val, '[A-Za-z]') AND regexp_matches(val, '[0-9]')
+        AND len(list_distinct(string_split(val, ''))) >= 8
+        AND NOT regexp_matches(val, '(?i)example|sample|changeme|placeholder|your|dummy|test|xxxx|0123456|1234567|abcdef') AS live
+      FROM c JOIN f USING (val)),
+a AS (SELECT doc_id, count(*) FILTER (o = 0) n_assign, count(*) FILTER (o = 1) n_access, count(*) FILTER (o = 2) n_hex,
+        string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, o) FILTER (o < 3) base,
+        string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, o) FILTER (o < 3 OR live) spans,
+        count(*) FILTER (live) n_live, count(*) FILTER (o < 3 AND n_owners >= 3) n_copied FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT n_assign, coalesce(n_access, 0)::BIGINT n_access, coalesce(n_hex, 0)::BIGINT n_hex,
+       sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_live, 0)::BIGINT n_live,
+       coalesce(n_copied, 0)::BIGINT n_copied
+FROM documents LEFT JOIN a USING (doc_id)
+""",
+)
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The owner of a document is its source; a source keeps a repository for each language."""
+    found = secrets.scan(
+        table(spark, folder, "documents"),
+        repository=F.concat_ws("/", "source", "lang"),
+        owner=F.col("source"),
+        keep=["doc_id"],
+    )
+    base = F.filter("secrets", lambda s: s["base"])
+
+    def count(holds) -> Column:
+        return F.size(F.filter("secrets", holds)).cast("long")
+
+    def of_kind(kind: str) -> Column:
+        return count(lambda s: s["kind"] == kind)
+
+    return found.select(
+        "doc_id",
+        *[of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"),
+        count(lambda s: s["base"] & (s["n_owners"] >= secrets.MANY_OWNERS)).alias("n_copied"),
+    )
