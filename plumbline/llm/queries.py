@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, language, quality, secrets, simhash
+from plumbline.llm import bpe, decontaminate, language, quality, secrets, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +183,12 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: s["base"] & (s["n_owners"] >= secrets.MANY_OWNERS)).alias("n_copied"),
     )
+
+
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select(
+        "doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
+    )
