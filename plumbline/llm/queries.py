@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, language, quality, secrets, simhash, suffix_dedup
+from plumbline.llm import bpe, decontaminate, html_text, language, quality, secrets, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +192,10 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.train(spark))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
