@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, html_text, language, quality, secrets, simhash, suffix_dedup
+from plumbline.llm import bpe, decontaminate, html_text, language, licenses, quality, secrets, simhash, suffix_dedup, token_counts
+from plumbline.session import cut_lineage, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +202,53 @@ def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     found = html_text.extract(pages, html_text.train(spark))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches over all documents, the first and last sent twice: both tokenizers' counts come in, copies of a
+    text with a smaller id go, and the first tokenizer is recounted with an end token for each document."""
+    files = {n: public_tokenizers.path(f"{n}.tiktoken") for n in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    documents = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    keyed = documents.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    counted = cut_lineage(token_counts.count_tokens(keyed, files, public_tokenizers.PATTERN).drop("text"))
+    first = cut_lineage(counted.groupBy("text_key").agg(F.min("doc_id").alias("first")))
+    marked = cut_lineage(counted.join(first, "text_key").drop("text_key"))
+    copies = marked.where("doc_id > first")
+
+    def changes(rows: DataFrame, kind: str, names: list[str], tokens, old=None) -> DataFrame:
+        each = [
+            rows.select(
+                F.lit(kind).alias("kind"),
+                "source",
+                "lang",
+                F.lit(n).alias("tokenizer"),
+                tokens(n).alias("tokens"),
+                (F.lit(None).cast("long") if old is None else old(n)).alias("old_tokens"),
+            )
+            for n in names
+        ]
+        return reduce(DataFrame.unionByName, each)
+
+    ledger = token_counts.Ledger(spark, f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
+    names = list(files)
+    batches = [
+        ("load", changes(marked, token_counts.INSERT, names, F.col)),
+        ("copies", changes(copies, token_counts.DELETE, names, F.col)),
+        ("recount", changes(marked.where("doc_id <= first"), token_counts.REVISE, names[:1], lambda n: F.col(n) + 1, F.col)),
+    ]
+    for name, rows in [*batches, batches[0], batches[2]]:
+        ledger.commit(name, rows)
+    return ledger.totals()
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents lie as source/lang/hundreds/id.txt; those whose id ends in 00 or 50 are their folder's LICENSE."""
+    documents = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    name = F.when(F.col("doc_id") % 50 == 0, F.concat_ws("-", F.lit("LICENSE"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    folders = F.when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", "lang")).otherwise(
+        F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100))
+    )
+    scanned = licenses.scan(documents).drop("text").withColumn("path", F.concat_ws("/", folders, name))
+    return licenses.inherit(scanned).select("doc_id", "path", "license", "cosine", "line", "effective", "origin")
