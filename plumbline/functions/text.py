@@ -24,7 +24,6 @@ UNIT_SUFFIX = (
 )
 PERCENT_SUFFIX = r"\s*(?:%|percent\b)"
 SLASH_DATE = r"(?<![\d/])(\d{1,4})/(\d{1,2})/(\d{1,4})(?![\d/])"
-LARGEST_TOKEN = 10.0**15
 NUMBER = r"-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?"
 DIRECTIONAL = (
     r"(?i)^([A-Za-z][A-Za-z0-9 _-]*?) (increased|decreased) (.+?) "
@@ -59,8 +58,7 @@ ONE_PRIMARY = (
 INCOMPLETE_FAMILY = r"(?is)only\s+selected\s+hits.*?complete\s+set\s+of\s+tested\s+hypotheses.*?unavailable"
 OTHER_PROCEDURE = r"(?i)\b(?:Storey|weighted|hierarchical|Bonferroni|Holm|Benjamini-Yekutieli)\b"
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWYBXZJUO"
-SEQUENCE_LENGTHS = (20, 10_000)
-LABEL_LENGTH = 256
+SHORTEST_SEQUENCE = 20
 # --------------------------------------------------------------------------------------------
 
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -82,9 +80,13 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def normalize_text(c: Column) -> Column:
-    """NFC, LF newlines, no byte order mark.  ASCII text is NFC already and stays in the JVM."""
+    """NFC, LF newlines, no byte order mark.
+
+    Spark runs a Python function on every row it is named for, so ASCII text, which is NFC already, goes to it as null
+    and stays in the JVM.
+    """
     plain = normalize_newlines(c)
-    return F.when(plain.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(nfc(plain))
+    return F.coalesce(nfc(F.when(plain.rlike(r"[^\x00-\x7F]"), plain)), plain)
 
 
 def line_number_at(text: Column, offset: Column) -> Column:
@@ -112,11 +114,12 @@ def document_spans(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def number_tokens(text: Column) -> Column:
+def number_tokens(text: Column, largest: float | None = None) -> Column:
     """Array of (raw, value, is_integer, decimals, is_percent) for every stated number.
 
     The slashes of a date become letters first, so its parts fail the number grammar and
-    everything around the date is judged as before.
+    everything around the date is judged as before.  ``raw`` keeps every digit of any size; tokens above ``largest``
+    are left out if it is given.
     """
     masked = F.regexp_replace(text, "(?U)" + SLASH_DATE, "$1x$2x$3")
     pattern = "(?U)" + NUMBER_TOKEN + f"(?!{UNIT_SUFFIX})(?:{PERCENT_SUFFIX})?"
@@ -134,7 +137,8 @@ def number_tokens(text: Column) -> Column:
             match.rlike(PERCENT_SUFFIX + "$").alias("is_percent"),
         )
 
-    return F.filter(F.transform(found, token), lambda t: t["value"] <= LARGEST_TOKEN)
+    tokens = F.transform(found, token)
+    return tokens if largest is None else F.filter(tokens, lambda t: t["value"] <= largest)
 
 
 def rate_readings(tokens: Column) -> Column:
@@ -226,20 +230,25 @@ def multiplicity_declaration(df: DataFrame, text: str) -> DataFrame:
     return out
 
 
-def sequence_record(c: Column) -> Column:
-    """Is the text one sequence line and one label line, and nothing else?"""
+def sequence_record(
+    c: Column, shortest: int = SHORTEST_SEQUENCE, longest: int | None = None, longest_label: int | None = None
+) -> Column:
+    """Is the text one sequence line and one label line, and nothing else?  Upper lengths hold only if given."""
     lines = F.split(F.regexp_replace(c, r"(?:\r\n|[\n\r])$", ""), LINE_BREAK)
     sequence, label = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
-    low, high = SEQUENCE_LENGTHS
     letters = f"^(?i)[{AMINO_ACIDS}]+$"
     tidy = lambda x: (x != "") & (F.regexp_replace(x, EDGE_SPACE, "") == x)
+    bounded = F.length(sequence) >= shortest
+    if longest is not None:
+        bounded = bounded & (F.length(sequence) <= longest)
+    if longest_label is not None:
+        bounded = bounded & (F.length(label) <= longest_label)
     return (
         (F.size(lines) == 2)
         & tidy(sequence)
         & tidy(label)
-        & F.length(sequence).between(low, high)
+        & bounded
         & sequence.rlike(letters)
-        & (F.length(label) <= LABEL_LENGTH)
         & ~label.startswith(">")
         & label.rlike(r"\p{L}")
         & ~label.rlike(letters)

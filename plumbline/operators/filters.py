@@ -63,7 +63,7 @@ def selection_funnel(df: DataFrame, predicates: Sequence[Predicate], group: Sequ
 
 def contrast_filter(df: DataFrame, condition: str, reference: str, test: str, group: Sequence[str] = ()) -> DataFrame:
     """Per group: rows at the two levels; unsupported unless both are present."""
-    arms = df.where(F.col(condition).isin(reference, test)).groupBy(*group).agg(
+    arms = df.groupBy(*group).agg(
         F.count_if(F.col(condition) == reference).alias("reference_rows"),
         F.count_if(F.col(condition) == test).alias("test_rows"),
     )

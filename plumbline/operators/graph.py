@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,17 +86,17 @@ def _distance_to(hop: DataFrame, targets: DataFrame, max_edges: int) -> DataFram
     return reached
 
 
-def lineage_closure(edges: DataFrame, seeds: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
+def lineage_closure(edges: DataFrame, seeds: DataFrame, max_edges: int | None = None) -> DataFrame:
     """Descendants of each seed with their depth and the relations of one shortest path.
 
-    ``edges``: source, relation, target.  ``seeds``: seed.
+    The walk ends when it finds no further node, or after ``max_edges`` if given.  ``edges``: source, relation, target.  ``seeds``: seed.
     """
     hop = cut_lineage(edges.select(F.col("source").alias("node"), "relation", F.col("target").alias("next")).distinct())
     reached = cut_lineage(
         seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit("").alias("relations"))
     )
     front = reached
-    for depth in range(1, max_edges + 1):
+    for depth in count(1) if max_edges is None else range(1, max_edges + 1):
         step = front.join(hop, "node").select(
             "seed",
             F.col("next").alias("node"),

@@ -39,10 +39,13 @@ def merge_by_id(prior: DataFrame, current: DataFrame, key: Sequence[str], order:
 def monotone_check(
     df: DataFrame, group: Sequence[str], order: str, value: str, *, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
-    """Rows per group whose value is below the one before it; groups may be any size."""
-    blocked, blocks = with_blocks(df.select(*group, order, value), order, rows_per_block)
+    """Rows per group whose value is below the one before it; groups may be any size.
+
+    Rows that share a position are taken from the least value up, so the order of the input never matters.
+    """
+    blocked, blocks = with_blocks(df.select(*group, order, value), order, rows_per_block, ties=[value])
     previous = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
-    seen = running(blocked, blocks, group, [F.col(order)], previous, "max", "_prev", inclusive=False)
+    seen = running(blocked, blocks, group, [F.col(order), F.col(value)], previous, "max", "_prev", inclusive=False)
     return seen.groupBy(*group).agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.col(value) < F.col("_prev.v")).alias("decreases"),

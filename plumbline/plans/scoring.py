@@ -281,7 +281,7 @@ ROLES = ("positive", "corrected_twin", "hard_negative", "ambiguous", "unsupporte
     "baseline_coverage",
     """WITH comp AS (SELECT s_suppkey AS c, CASE WHEN s_suppkey % 2 = 0 THEN 'calculation_check' ELSE 'scientific_check' END AS kind FROM supplier),
     cs AS (SELECT l_suppkey AS c, ['positive','corrected_twin','hard_negative','ambiguous','unsupported','removal','replay'][1 + l_orderkey % 7] AS role, count(*) AS n
-      FROM lineitem WHERE l_quantity > 50 - (l_suppkey % 5) GROUP BY ALL),
+      FROM lineitem WHERE NOT (l_suppkey % 5 = l_orderkey % 7) GROUP BY ALL),
     need AS (SELECT * FROM (VALUES ('positive_or_applicable','positive',2),('corrected_or_conformant','corrected_twin',0),('hard_negative','hard_negative',0),('matching_close_negative','hard_negative',1),
       ('ambiguity_or_unsupported_boundary','ambiguous',2),('ambiguity_or_unsupported_boundary','unsupported',2),('removal_and_sibling_isolation','removal',2),('semantic_replay','replay',2)) v(requirement, role, k)),
     g AS (SELECT comp.c AS component_id, kind AS component_kind, requirement, CAST(coalesce(sum(n), 0) AS BIGINT) AS cases FROM comp JOIN need ON k = 2 OR (k = 0 AND kind = 'calculation_check') OR (k = 1 AND kind = 'scientific_check')
@@ -293,7 +293,7 @@ def baseline_coverage(t: Tables) -> DataFrame:
         F.col("s_suppkey").alias("component_id"),
         F.when(F.col("s_suppkey") % 2 == 0, F.lit("calculation_check")).otherwise(F.lit("scientific_check")).alias("component_kind"),
     )
-    cases = t.lineitem.where("l_quantity > 50 - (l_suppkey % 5)").select(
+    cases = t.lineitem.where("NOT (l_suppkey % 5 = l_orderkey % 7)").select(
         F.col("l_orderkey").alias("case_id"),
         F.get(F.array(*[F.lit(r) for r in ROLES]), (F.col("l_orderkey") % 7).cast("int")).alias("case_role"),
         F.array("l_suppkey").alias("component_refs"),

@@ -252,12 +252,14 @@ def selection_funnel(t: Tables) -> DataFrame:
 
 @query(
     "contrast_filter",
-    """SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS reference_rows, count(*) FILTER (WHERE event_type = 'view') AS test_rows,
+    """WITH marked AS (SELECT user_id, CASE WHEN user_id % 11 = 3 THEN 'other' ELSE event_type END AS event_type FROM events)
+    SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS reference_rows, count(*) FILTER (WHERE event_type = 'view') AS test_rows,
     CASE WHEN count(*) FILTER (WHERE event_type = 'click') > 0 AND count(*) FILTER (WHERE event_type = 'view') > 0 THEN 'applicable'
-    ELSE 'unsupported' END AS applicability FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id""",
+    ELSE 'unsupported' END AS applicability FROM marked GROUP BY user_id""",
 )
 def contrast_filter(t: Tables) -> DataFrame:
-    return filters.contrast_filter(t.events, "event_type", "click", "view", ["user_id"])
+    marked = F.when(F.col("user_id") % 11 == 3, F.lit("other")).otherwise(F.col("event_type"))  # groups without either level
+    return filters.contrast_filter(t.events.withColumn("event_type", marked), "event_type", "click", "view", ["user_id"])
 
 
 @query(

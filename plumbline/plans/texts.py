@@ -34,7 +34,7 @@ def document_spans(t: Tables) -> DataFrame:
     "text_identity",
     r"""SELECT doc_id, 'sha256:' || sha256(text) AS digest,
     'doc:' || substr(sha256(CAST(doc_id AS VARCHAR) || chr(31) || lang || chr(31) || source), 1, 20) AS stable_id,
-    trim(regexp_replace(lower(left(text, 200)), '\s+', ' ', 'g')) AS head_key,
+    sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS key_digest,
     length(replace(text, chr(10), '')) AS flat_length FROM documents""",
 )
 def text_identity(t: Tables) -> DataFrame:
@@ -42,7 +42,7 @@ def text_identity(t: Tables) -> DataFrame:
         "doc_id",
         ids.sha256_digest(F.col("text")).alias("digest"),
         ids.stable_id("doc", F.col("doc_id"), F.col("lang"), F.col("source")).alias("stable_id"),
-        text.text_key(F.substring("text", 1, 200)).alias("head_key"),
+        F.sha2(text.text_key(F.col("text")), 256).alias("key_digest"),
         F.length(F.replace(text.normalize_newlines(F.col("text")), F.lit("\n"), F.lit(""))).cast("long").alias("flat_length"),
     )
 
