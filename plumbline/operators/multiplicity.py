@@ -3,47 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.contracts import MultiplicityContract
+from plumbline.functions import exact as E
 from plumbline.operators import validate as V
-from plumbline.outcomes import outcome_of
+from plumbline.outcomes import APPLICABLE, UNSUPPORTED, outcome_of
 from plumbline.session import cut_lineage
 from plumbline.skew import attach, running, spread, with_blocks
 
 ROWS_PER_BLOCK = 2_000_000
-EXACT = "decimal(20,18)"
 
 
-def _ratio(p: Column, rank: Column, exact: bool) -> Column:
-    """p / rank as something that orders exactly; 37 decimals in the exact case."""
-    if not exact:
-        return p / rank
-    units = (p * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(19,0)")
-    scaled = (units * F.lit(10**13).cast("decimal(14,0)")).cast("decimal(33,0)").cast("decimal(32,0)")
-    return scaled / rank.cast("decimal(19,0)")
+def longest_digits(df: DataFrame, *numbers: str) -> int:
+    """Digits of the longest of the parsed numbers, 1 at least; it sets how many limbs an exact quotient takes."""
+    sizes = [F.max(F.length(F.col(n)["digits"])) for n in numbers]
+    return max([1, *(x for x in df.agg(*sizes).head() if x is not None)])
 
 
 def bh_levels(
-    df: DataFrame, family: Sequence[str], p: str, *, exact: bool = False, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, family: Sequence[str], p: str, *, limbs: int | None = None, weight: str | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """One row per (family, distinct p): tests at p, rank, family size and the step that sets
     the adjusted value, ``min(best_p * family_size / best_rank, 1)``.
 
     Equal p-values share one adjusted value, so only distinct values are ranked; the rank is
-    the one of the last of the ties, which gives the smallest ratio.
+    the one of the last of the ties, which gives the smallest ratio.  With ``limbs`` the p-values are
+    numbers of :mod:`plumbline.functions.exact` and ratios are compared exactly; without, they are doubles.
+    ``weight`` names a column that says how many tests a row stands for.
     """
     family = list(family)
-    levels = df.groupBy(*family, p).agg(F.count("*").alias("n_tests"))
-    blocked, blocks = with_blocks(levels, p, rows_per_block)
+    approximate = (E.text_of(F.col(p)) if limbs else F.col(p)).cast("double")
+    levels = df.groupBy(*family, p).agg((F.sum(weight) if weight else F.count("*")).alias("n_tests")).withColumn("_d", approximate)
+    blocked, blocks = with_blocks(levels, "_d", rows_per_block)
     ranked = running(blocked, blocks, family, [F.col(p)], F.col("n_tests"), "sum", "rank")
-    step = F.struct(
-        _ratio(F.col(p), F.col("rank"), exact).alias("q"), F.col(p).alias("p"), F.col("rank").alias("r")
-    )
+    ratio = E.quotient_key(F.col(p), F.col("rank"), limbs) if limbs else F.col(p) / F.col("rank")
+    step = F.struct(ratio.alias("q"), F.col(p).alias("p"), F.col("rank").alias("r"))
     stepped = running(ranked, blocks, family, [F.col(p)], step, "min", "_step", descending=True)
-    size = levels.groupBy(*family).agg(F.sum("n_tests").alias("family_size"))
+    size = blocked.groupBy(*family).agg(F.sum("n_tests").alias("family_size"))
     return stepped.join(size, family).select(
         *family,
         p,
@@ -52,41 +53,72 @@ def bh_levels(
         "family_size",
         F.col("_step.p").alias("best_p"),
         F.col("_step.r").alias("best_rank"),
+        F.col("_step.q").alias("best_ratio"),
     )
 
 
-def adjusted_value() -> Column:
-    return F.least(
-        F.col("best_p").cast("double") * F.col("family_size") / F.col("best_rank"), F.lit(1.0)
-    )
+def adjusted_value(best_p: Column) -> Column:
+    return F.least(best_p.cast("double") * F.col("family_size") / F.col("best_rank"), F.lit(1.0))
 
 
 def bh_adjust(df: DataFrame, family: Sequence[str], p: str, **options) -> DataFrame:
-    """Rows with ``rank`` (of the last tie) and ``adjusted``."""
-    levels = bh_levels(df, family, p, **options)
-    levels = levels.withColumn("adjusted", adjusted_value()).drop("family_size", "best_p", "best_rank")
-    return attach(df, levels, [*family, p], "n_tests").drop("n_tests")
+    """All rows with ``applicability``, ``rank`` (of the last tie) and ``adjusted``.
+
+    A family with a p-value that is null, not a number or outside [0, 1] is unsupported as a whole: its rows have no
+    rank and no adjusted value, and no other family is affected.
+    """
+    family = list(family)
+    number = F.col(p).try_cast("double")
+    sound = F.coalesce(number.between(0, 1) & ~F.isnan(number), F.lit(False))
+    rows = df.withColumn("_p", F.when(sound, number))
+    state = rows.groupBy(*family).agg(
+        F.count("*").alias("_rows"),
+        F.when(F.count("_p") == F.count("*"), F.lit(APPLICABLE)).otherwise(F.lit(UNSUPPORTED)).alias("applicability"),
+    )
+    judged = attach(rows, state, family, "_rows").drop("_rows")
+    judged = judged.withColumn("_p", F.when(F.col("applicability") == APPLICABLE, F.col("_p")))
+    levels = bh_levels(judged.where(F.col("_p").isNotNull()), family, "_p", **options)
+    levels = levels.withColumn("adjusted", adjusted_value(F.col("best_p")))
+    levels = levels.drop("family_size", "best_p", "best_rank", "best_ratio")
+    return attach(judged, levels, [*family, "_p"], "n_tests").drop("n_tests", "_p")
+
+
+def _with_unit(levels: DataFrame, limbs: int) -> DataFrame:
+    """Add ``unit``, 1 / family_size: the adjusted value is 1 where ``best_ratio`` is not less."""
+    return levels.withColumn("unit", E.quotient_key(E.literal("1"), F.col("family_size"), limbs))
 
 
-def _units(value: Column) -> Column:
-    return (value * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(19,0)")
+def _at_most(alpha: str, limbs: int) -> Column:
+    """The adjusted value is at most ``alpha``."""
+    given = E.literal(alpha)
+    below = F.col("best_ratio") <= E.quotient_key(given, F.col("family_size"), limbs)
+    return F.when(F.col("best_ratio") < F.col("unit"), below).otherwise(given >= E.literal("1"))
 
 
-def equals_adjusted(reported: Column, scale: int | None = None) -> Column:
-    """Exact test ``reported == min(best_p * m / r, 1)`` by products, never by division.
+def differs_from_adjusted(reported: Column, limbs: int, scale: int | None) -> Column:
+    """``reported`` differs from ``min(best_p * m / r, 1)``; both are divided by m and compared by digits.
 
-    With ``scale`` the report counts as equal when it is the adjusted value rounded half up
-    to that many decimals.
+    With ``scale`` the report counts as equal when it is the adjusted value rounded half up to that many decimals; a
+    report of more than 36 decimals is no rounded one.  The row has best_ratio, unit and family_size.
     """
-    rank = F.col("best_rank").cast("decimal(18,0)")
-    whole = (_units(F.col("best_p")) * F.col("family_size").cast("decimal(18,0)")).cast("decimal(38,0)")
-    cap = (F.lit(10**18).cast("decimal(19,0)") * rank).cast("decimal(38,0)")
-    target = F.least(whole, cap)
-    stated = (_units(reported) * rank).cast("decimal(38,0)")
+    ratio, size = F.col("best_ratio"), F.col("family_size")
+    capped = ratio >= F.col("unit")
     if scale is None:
-        return stated == target
-    half = (F.lit(5 * 10 ** (17 - scale)).cast("decimal(19,0)") * rank).cast("decimal(38,0)")
-    return (target >= stated - half) & (target < stated + half)
+        return F.when(capped, reported != E.literal("1")).otherwise(ratio != E.quotient_key(reported, size, limbs))
+    half = F.lit(Decimal(5).scaleb(-scale - 1)).cast("decimal(37,36)")
+
+    def beside(stated: Column) -> Column:
+        low, high = E.parse(F.greatest(stated - half, F.lit(0))), E.parse(stated + half)
+        inside = (ratio >= E.quotient_key(low, size, limbs)) & (ratio < E.quotient_key(high, size, limbs))
+        return F.when(capped, stated + half > 1).otherwise(inside)
+
+    short = (reported["digits"] == "") | (F.length(reported["digits"]) - reported["exponent"] <= 36)
+    return ~(short & E.let(E.text_of(reported).cast("decimal(37,36)"), beside))
+
+
+def _limbs(df: DataFrame, *numbers: str) -> int:
+    # Half-unit bounds of a rounded report have up to 37 digits.
+    return E.limbs_for(max(37, longest_digits(df, *numbers)))
 
 
 def bh_recheck_rows(
@@ -111,30 +143,28 @@ def bh_recheck_rows(
         checked.select(
             "family",
             "test_id",
-            F.col("raw").cast("string").try_cast(EXACT).alias("raw"),
-            F.col("reported").cast("string").try_cast(EXACT).alias("reported"),
+            E.parse(F.col("raw")).alias("raw"),
+            E.parse(F.col("reported")).alias("reported"),
             (F.lower(F.col("call").cast("string")) == "true").alias("reported_call"),
             "reasons",
         )
     )
     gate = cut_lineage(V.family_gate(typed, ["family"], ["test_id"]))
     state = gate.select("family", "n_rows", "applicability")
-    good = attach(typed.drop("reasons"), state, ["family"], "n_rows").where(F.col("applicability") == "applicable")
+    good = attach(typed.drop("reasons"), state, ["family"], "n_rows").where(F.col("applicability") == APPLICABLE)
     good = good.select("family", "test_id", "raw", "reported", "reported_call")
-    levels = bh_levels(good, ["family"], "raw", exact=True, **options)
-    alpha = F.lit(c.alpha).cast(EXACT)
-    limit = (_units(alpha) * F.col("best_rank").cast("decimal(18,0)")).cast("decimal(38,0)")
-    whole = (_units(F.col("best_p")) * F.col("family_size").cast("decimal(18,0)")).cast("decimal(38,0)")
-    rows = attach(good, levels, ["family", "raw"], "n_tests").select(
-        "family",
-        "test_id",
-        "raw",
-        "reported",
-        "reported_call",
-        adjusted_value().alias("adjusted"),
-        (whole <= limit).alias("recomputed_call"),
-        (~equals_adjusted(F.col("reported"), reported_scale)).alias("adjusted_differs"),
+    limbs = _limbs(typed, "raw", "reported")
+    levels = _with_unit(bh_levels(good, ["family"], "raw", limbs=limbs, **options), limbs)
+    levels = levels.withColumns(
+        {"adjusted": adjusted_value(E.text_of(F.col("best_p"))), "recomputed_call": _at_most(str(c.alpha), limbs)}
     )
+    # Rows of one p-value and one reported value get one comparison.
+    said = cut_lineage(good.groupBy("family", "raw", "reported").agg(F.count("*").alias("_n")))
+    differs = differs_from_adjusted(F.col("reported"), limbs, reported_scale).alias("adjusted_differs")
+    judged = said.join(levels, ["family", "raw"]).select(
+        "family", "raw", "reported", "_n", "adjusted", "recomputed_call", differs
+    )
+    rows = attach(good, judged, ["family", "raw", "reported"], "_n").drop("_n")
     return gate, rows.withColumn("call_differs", F.col("reported_call") != F.col("recomputed_call"))
 
 
@@ -159,31 +189,44 @@ def correction_scope(
     """Was the correction run over the complete family or only over the corrected rows?
 
     Rows with a null ``asserted`` value were not corrected.  BH is recomputed over both scopes
-    and compared with the asserted values.
+    and compared with the asserted values.  A family with a bad p-value, a bad asserted value, or a
+    repeated test is unsupported: it has no scope, and its reason is given.
     """
     family = list(family)
-    exact = cut_lineage(
-        df.select(*family, test_id, F.col(p).cast(EXACT).alias("p"), F.col(asserted).cast(EXACT).alias("asserted"))
+    asserted_cell = F.when(F.col(asserted).isNotNull(), V.exact_unit_decimal(asserted))
+    checked = V.validate_cells(df, [V.nonempty(test_id), V.exact_unit_decimal(p), asserted_cell], "_reasons")
+    typed = cut_lineage(
+        checked.select(
+            *family, test_id, E.parse(F.col(p)).alias("p"), E.parse(F.col(asserted)).alias("asserted"), "_reasons"
+        )
     )
-    corrected = exact.where(F.col("asserted").isNotNull())
-    full = bh_levels(exact, family, "p", exact=True, **options)
-    part = bh_levels(corrected, family, "p", exact=True, **options)
-    per_value = cut_lineage(corrected.groupBy(*family, "p", "asserted").agg(F.count("*").alias("n")))
+    gate = cut_lineage(V.family_gate(typed, family, [test_id], "_reasons"))
+    limbs = _limbs(typed, "p", "asserted")
+    state = gate.select(*family, "n_rows", "applicability")
+    exact = attach(typed.drop("_reasons"), state, family, "n_rows").where(F.col("applicability") == APPLICABLE)
+    per_value = cut_lineage(exact.groupBy(*family, "p", "asserted").agg(F.count("*").alias("n")))
+    # The levels need no more than how often each p-value stands in each scope.
+    full = bh_levels(per_value, family, "p", limbs=limbs, weight="n", **options)
+    corrected = per_value.where(F.col("asserted").isNotNull())
+    part = bh_levels(corrected, family, "p", limbs=limbs, weight="n", **options)
 
     def misses(levels: DataFrame, out: str) -> DataFrame:
-        joined = per_value.join(levels.drop("n_tests", "rank"), [*family, "p"], "left")
-        wrong = ~equals_adjusted(F.col("asserted"), scale)
+        joined = corrected.join(_with_unit(levels, limbs).drop("n_tests", "rank"), [*family, "p"])
+        wrong = differs_from_adjusted(F.col("asserted"), limbs, scale)
         return joined.groupBy(*family).agg(F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias(out))
 
-    sizes = exact.groupBy(*family).agg(
-        F.count("*").alias("family_rows"), F.count("asserted").alias("corrected_rows")
+    sizes = per_value.groupBy(*family).agg(
+        F.sum("n").alias("family_rows"), F.sum(F.when(F.col("asserted").isNotNull(), F.col("n")).otherwise(0)).alias("corrected_rows")
     )
     return (
-        sizes.join(misses(full, "full_mismatches"), family, "left")
+        gate.select(*family, "applicability", "reason")
+        .join(sizes, family, "left")
+        .join(misses(full, "full_mismatches"), family, "left")
         .join(misses(part, "subset_mismatches"), family, "left")
         .withColumn(
             "scope",
-            F.when(F.col("corrected_rows") == 0, F.lit("none"))
+            F.when(F.col("applicability") != APPLICABLE, F.lit(None))
+            .when(F.col("corrected_rows") == 0, F.lit("none"))
             .when((F.col("full_mismatches") == 0), F.lit("complete"))
             .when(F.col("subset_mismatches") == 0, F.lit("subset"))
             .otherwise(F.lit("mismatch")),

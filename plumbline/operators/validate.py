@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.contracts import ContractError
+from plumbline.functions import exact
 from plumbline.outcomes import APPLICABLE, UNSUPPORTED
 
 # Number spellings a measurement or a p-value may use.
@@ -56,13 +57,8 @@ def unit_interval(name: str) -> Column:
 
 
 def exact_unit_decimal(name: str) -> Column:
-    """In [0, 1] with at most 18 decimals, the precision the exact comparison carries."""
-    text = F.col(name).cast("string")
-    wide, kept = text.try_cast("decimal(38,37)"), text.try_cast("decimal(20,18)")
-    return _rule(
-        kept.isNull() | wide.isNull() | (wide != kept) | ~kept.between(0, 1),
-        f"{name} is not an exact decimal in [0, 1]",
-    )
+    """A finite decimal in [0, 1], in plain or exponent spelling, of any number of digits."""
+    return _rule(~exact.in_unit(exact.parse(F.col(name))), f"{name} is not an exact decimal in [0, 1]")
 
 
 def boolean_text(name: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.contracts import (
@@ -14,6 +14,7 @@ from plumbline.contracts import (
     Predicate,
     SensitivityContract,
 )
+from plumbline.functions import exact
 from plumbline.operators import design, filters, groups, multiplicity
 from plumbline.operators import validate as V
 from plumbline.plans.registry import Tables, query
@@ -49,26 +50,36 @@ def bh(family: str, source: str = "tests", name: str = "lv") -> str:
 
 @query(
     "bh_adjust",
-    f"WITH {TESTS}, {bh('supplier')} SELECT t.supplier, t.test_id, CAST(l.r AS BIGINT) AS rank_of_last_tie, "
-    "least((s.k*s.k/1e8)*m/s.r, 1.0) AS adjusted "
-    "FROM tests t JOIN lv l ON t.supplier = l.fam AND t.k = l.k",
+    f"WITH {TESTS}, {bh('supplier')}, state AS (SELECT supplier, bool_or(supplier % 17 = 3 AND k % 10 = 1 OR supplier % 17 = 4 AND k % 10 = 2 "
+    "OR supplier % 17 = 5 AND k % 10 = 3) AS bad FROM tests GROUP BY ALL) "
+    "SELECT t.supplier, t.test_id, CASE WHEN bad THEN 'unsupported' ELSE 'applicable' END AS applicability, "
+    "CASE WHEN NOT bad THEN CAST(l.r AS BIGINT) END AS rank_of_last_tie, CASE WHEN NOT bad THEN least((s.k*s.k/1e8)*m/s.r, 1.0) END AS adjusted "
+    "FROM tests t JOIN lv l ON t.supplier = l.fam AND t.k = l.k JOIN state USING (supplier)",
 )
 def bh_adjust(t: Tables) -> DataFrame:
-    rows = tests(t).select("supplier", "test_id", F.col("p").cast("double").alias("p"))
-    return multiplicity.bh_adjust(rows, ["supplier"], "p").select(
-        "supplier", "test_id", F.col("rank").alias("rank_of_last_tie"), "adjusted"
+    family, k = F.col("supplier") % 17, F.col("k") % 10
+    p = (
+        F.when((family == 3) & (k == 1), F.lit(float("nan")))
+        .when((family == 4) & (k == 2), F.lit(None))
+        .when((family == 5) & (k == 3), F.lit(1.7))
+        .otherwise(F.col("p").cast("double"))
+    )
+    return multiplicity.bh_adjust(tests(t).select("supplier", "test_id", p.alias("p")), ["supplier"], "p").select(
+        "supplier", "test_id", "applicability", F.col("rank").alias("rank_of_last_tie"), "adjusted"
     )
 
 
 def reported(t: Tables) -> DataFrame:
     """A report of the recheck: values rounded half up to 8 decimals, some of them changed."""
     rows = tests(t)
-    levels = multiplicity.bh_levels(rows, ["family"], "p", exact=True)
+    rows = rows.withColumn("number", exact.parse(F.col("p")))
+    levels = multiplicity.bh_levels(rows, ["family"], "number", limbs=4)
+    levels = levels.withColumn("best_p", exact.text_of(F.col("best_p")).cast("decimal(20,8)"))
     units = F.expr(
         "least((cast(best_p * 100000000 as bigint) * family_size * 2 + best_rank) div (2 * best_rank), 100000000)"
     )
-    levels = levels.select("family", "p", "n_tests", units.cast("bigint").alias("u"))
-    joined = multiplicity.attach(rows, levels, ["family", "p"], "n_tests")
+    levels = levels.select("family", "number", "n_tests", units.cast("bigint").alias("u"))
+    joined = multiplicity.attach(rows, levels, ["family", "number"], "n_tests")
     changed = F.when((F.col("k") % 97 == 0) & (F.col("u") > 1), F.col("u") - 1).otherwise(F.col("u"))
     table = joined.select(
         "family",
@@ -77,8 +88,32 @@ def reported(t: Tables) -> DataFrame:
         (changed.cast("decimal(10,0)") * F.lit(Decimal("0.00000001"))).cast("string").alias("reported"),
         F.when((F.col("u") <= 5000000) != (F.col("k") % 101 == 7), F.lit("true")).otherwise(F.lit("False")).alias("call"),
     )
-    return cut_lineage(table)
+    return cut_lineage(table.unionByName(hostile(table)))
+
 
+def hostile(table: DataFrame) -> DataFrame:
+    """Families of the same rows with p-values of 1e-30 and less, a repeated test, one cell that is not a number, and
+    one beyond 1.  The first is sound and stays below every level, the others are refused."""
+    row = F.row_number().over(Window.partitionBy("family").orderBy("test_id"))
+    few = table.where("family = 'A'").withColumn("n", row)
+    deep = few.select(
+        F.lit("deep").alias("family"), "test_id", F.concat("n", F.lit("e-38")).alias("p"), F.lit("0.00000000").alias("reported"), F.lit("TRUE").alias("call")
+    )
+    twice = few.withColumns({"family": F.lit("twice"), "test_id": F.when(F.col("n") == 2, F.lit("x")).when(F.col("n") == 1, F.lit("x")).otherwise(F.col("test_id"))})
+    nan = few.withColumns({"family": F.lit("nan"), "p": F.when(F.col("n") == 3, F.lit("NaN")).otherwise(F.col("p"))})
+    wide = few.withColumns({"family": F.lit("wide"), "p": F.when(F.col("n") == 3, F.lit("1.0000000000000000000001")).otherwise(F.col("p"))})
+    out = deep
+    for part in (twice, nan, wide):
+        out = out.unionByName(part.select(*table.columns))
+    return out
+
+
+HOSTILE = """SELECT v.family, n AS n_rows, v.state AS applicability, v.reason, CASE WHEN v.state = 'applicable' THEN n END AS reported_discoveries,
+      CASE WHEN v.state = 'applicable' THEN n END AS recomputed_discoveries, CASE WHEN v.state = 'applicable' THEN 0 END AS adjusted_mismatches,
+      CASE WHEN v.state = 'applicable' THEN 0 END AS call_mismatches, CASE WHEN v.state = 'applicable' THEN 'conformant' ELSE 'unknown' END AS comparison_outcome
+    FROM (SELECT count(*) AS n FROM tests WHERE family = 'A'), (VALUES ('deep', 'applicable', NULL), ('twice', 'unsupported', 'identifiers are duplicated'),
+      ('nan', 'unsupported', 'raw is not an exact decimal in [0, 1]'), ('wide', 'unsupported', 'raw is not an exact decimal in [0, 1]')) v(family, state, reason)
+    WHERE n > 2"""
 
 REPORTED = f"""{TESTS}, {bh('family')},
 reported AS (SELECT t.family, t.test_id, t.k, l.m, l.s.k AS bk, l.s.r AS br,
@@ -93,16 +128,16 @@ CONTRACT = MultiplicityContract("family", "test_id", "p", "reported", "call", "0
 
 @query(
     "bh_check",
-    f"""WITH {REPORTED} SELECT family, count(*) AS n_rows, 'applicable' AS applicability,
+    f"""WITH {REPORTED} SELECT family, count(*) AS n_rows, 'applicable' AS applicability, NULL AS reason,
     count(*) FILTER (WHERE called) AS reported_discoveries, count(*) FILTER (WHERE true_call) AS recomputed_discoveries,
     count(*) FILTER (WHERE differs) AS adjusted_mismatches, count(*) FILTER (WHERE called <> true_call) AS call_mismatches,
     CASE WHEN count(*) FILTER (WHERE differs) = 0 AND count(*) FILTER (WHERE called <> true_call) = 0 THEN 'conformant' ELSE 'nonconformant' END
-      AS comparison_outcome FROM diffed GROUP BY family""",
+      AS comparison_outcome FROM diffed GROUP BY family UNION ALL {HOSTILE}""",
 )
 def bh_check(t: Tables) -> DataFrame:
     checked = multiplicity.bh_check(reported(t), CONTRACT, reported_scale=8)
     return checked.select(
-        "family", "n_rows", "applicability", "reported_discoveries", "recomputed_discoveries",
+        "family", "n_rows", "applicability", "reason", "reported_discoveries", "recomputed_discoveries",
         "adjusted_mismatches", "call_mismatches", "comparison_outcome",
     )
 
@@ -128,23 +163,30 @@ def bh_mismatch_rows(t: Tables) -> DataFrame:
     judged AS (SELECT said.supplier, count(*) AS corrected_rows,
       count(*) FILTER (WHERE u <> least((CAST(fl.s.k AS HUGEINT)*fl.s.k*fl.m*2 + fl.s.r) // (2*fl.s.r), 100000000)) AS full_mismatches
       FROM said JOIN fl ON said.supplier = fl.fam AND said.k = fl.k GROUP BY ALL),
-    sizes AS (SELECT supplier, count(*) AS family_rows FROM tests GROUP BY ALL)
-    SELECT s.supplier, s.family_rows, corrected_rows, full_mismatches, CAST(0 AS BIGINT) AS subset_mismatches,
-      CASE WHEN full_mismatches = 0 THEN 'complete' ELSE 'subset' END AS scope
-    FROM sizes s JOIN judged USING (supplier)""",
+    sizes AS (SELECT supplier, count(*) AS family_rows FROM tests GROUP BY ALL),
+    state AS (SELECT supplier, bool_or(supplier % 13 = 5 AND k < 5000) AS bad FROM tests GROUP BY ALL)
+    SELECT s.supplier, CASE WHEN bad THEN 'unsupported' ELSE 'applicable' END AS applicability, CASE WHEN NOT bad THEN s.family_rows END AS family_rows,
+      CASE WHEN NOT bad THEN corrected_rows END AS corrected_rows, CASE WHEN NOT bad THEN full_mismatches END AS full_mismatches,
+      CASE WHEN NOT bad THEN CAST(0 AS BIGINT) END AS subset_mismatches,
+      CASE WHEN bad THEN NULL WHEN full_mismatches = 0 THEN 'complete' ELSE 'subset' END AS scope
+    FROM sizes s JOIN judged USING (supplier) JOIN state USING (supplier)""",
 )
 def correction_scope(t: Tables) -> DataFrame:
     rows = tests(t)
     inside = (F.col("supplier") % 3 != 0) | (F.col("price") < 50000)
-    levels = multiplicity.bh_levels(rows.where(inside), ["supplier"], "p", exact=True)
+    rows = rows.withColumn("number", exact.parse(F.col("p")))
+    levels = multiplicity.bh_levels(rows.where(inside), ["supplier"], "number", limbs=4)
+    levels = levels.withColumn("best_p", exact.text_of(F.col("best_p")).cast("decimal(20,8)"))
     units = F.expr(
         "least((cast(best_p * 100000000 as bigint) * family_size * 2 + best_rank) div (2 * best_rank), 100000000)"
     )
-    levels = levels.select("supplier", "p", "n_tests", units.cast("bigint").alias("u"))
-    said = multiplicity.attach(rows, levels, ["supplier", "p"], "n_tests").withColumn(
+    levels = levels.select("supplier", "number", "n_tests", units.cast("bigint").alias("u"))
+    said = multiplicity.attach(rows, levels, ["supplier", "number"], "n_tests").withColumn(
         "asserted", F.when(inside, F.col("u").cast("decimal(10,0)") * F.lit(Decimal("0.00000001")))
     )
-    return multiplicity.correction_scope(said, ["supplier"], "test_id", "p", "asserted", scale=8)
+    # One supplier in thirteen has a cell that no number can be read from.
+    p = F.when((F.col("supplier") % 13 == 5) & (F.col("k") < 5000), F.lit("n/a")).otherwise(F.col("p").cast("string"))
+    return multiplicity.correction_scope(said.withColumn("p", p), ["supplier"], "test_id", "p", "asserted", scale=8).drop("reason")
 
 
 @query(

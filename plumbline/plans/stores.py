@@ -13,7 +13,7 @@ from plumbline.operators.validate import family_gate
 from plumbline.outcomes import as_observations, route
 from plumbline.plans.links import RESULTS, claims, results
 from plumbline.plans.registry import CheckRegistry, Tables, query
-from plumbline.plans.statistics import CONTRACT, REPORTED, reported
+from plumbline.plans.statistics import CONTRACT, HOSTILE, REPORTED, reported
 from plumbline.plans.texts import CLAIMS
 from plumbline.operators import multiplicity
 from plumbline.session import shared_folder
@@ -307,7 +307,9 @@ def declared_units(t: Tables) -> DataFrame:
     "bh_observations",
     f"""WITH {REPORTED} SELECT 'bh_complete_family' AS check_id, family AS case_id, 'applicable' AS applicability,
     CASE WHEN count(*) FILTER (WHERE differs OR called <> true_call) = 0 THEN 'conformant' ELSE 'nonconformant' END AS comparison_outcome, 'complete' AS lineage_status,
-    CAST(count(*) FILTER (WHERE differs) AS DOUBLE) AS adjusted_mismatches, 'disclosure' AS route FROM diffed GROUP BY family""",
+    CAST(count(*) FILTER (WHERE differs) AS DOUBLE) AS adjusted_mismatches, 'disclosure' AS route FROM diffed GROUP BY family
+    UNION ALL SELECT 'bh_complete_family', family, applicability, comparison_outcome, CASE applicability WHEN 'applicable' THEN 'complete' ELSE 'incomplete' END,
+      CAST(adjusted_mismatches AS DOUBLE), CASE applicability WHEN 'applicable' THEN 'none' ELSE 'disclosure' END FROM ({HOSTILE})""",
 )
 def bh_observations(t: Tables) -> DataFrame:
     checked = multiplicity.bh_check(reported(t), CONTRACT, reported_scale=8)

@@ -66,7 +66,7 @@ def test_wrong_call_is_found(spark):
     assert (r.comparison_outcome, r.call_mismatches) == ("nonconformant", 1)
 
 
-@pytest.mark.parametrize("column, value", [(2, "not-a-number"), (2, "1.2"), (3, "-0.1"), (4, "yes"), (1, ""), (1, "t0"), (2, "0.1234567890123456789")])
+@pytest.mark.parametrize("column, value", [(2, "not-a-number"), (2, "1.2"), (3, "-0.1"), (4, "yes"), (1, ""), (1, "t0"), (2, "NaN"), (2, "1.0000000000000000000000001"), (3, "0x1")])
 def test_one_bad_row_stops_the_family(spark, column, value):
     r = verdict(spark, lambda rows: rows[2].__setitem__(column, value))
     assert (r.applicability, r.comparison_outcome) == ("unsupported", "unknown")
@@ -117,3 +117,81 @@ def test_empty_family_is_unsupported(spark):
     expected = spark.createDataFrame([("f",), ("empty",)], "family string")
     got = {r.family: (r.applicability, r.n_rows) for r in V.with_empty_families(gate, expected, ["family"]).collect()}
     assert got == {"f": ("applicable", 5), "empty": ("unsupported", 0)}
+
+
+SPELLINGS = ["0", "-0", "0.000", "1", "1.0", "01", "+1", " 1 ", "1_0e-1", "1e0", "1E-30", "5e-324", "0.1234567890123456789012345678901234567890", ".5", "5.", "0.10"]
+
+
+def test_numbers_are_read_exactly(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import exact as E
+
+    bad = ["", ".", "e5", "1e", "nan", "inf", "--1", "1 0", "0x1", "1__0", None]
+    rows = [(x,) for x in SPELLINGS + ["-0.5", "1.1", "1e5", *bad]]
+    read = spark.createDataFrame(rows, "t string").select("t", E.parse(F.col("t")).alias("n"), E.in_unit(E.parse(F.col("t"))).alias("unit"))
+    for r in read.collect():
+        try:
+            value = Decimal(r.t) if r.t is not None else Decimal("nan")
+        except ArithmeticError:
+            value = Decimal("nan")
+        if not value.is_finite():
+            assert r.n is None and not r.unit, r.t
+            continue
+        digits = Fraction(int(r.n.digits or 0)) * Fraction(10) ** (r.n.exponent - len(r.n.digits) if r.n.digits else 0)
+        assert (-digits if r.n.negative else digits) == Fraction(value) and r.unit == (0 <= value <= 1), r.t
+
+
+def test_quotients_order_exactly(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import exact as E
+
+    rng = random.Random(8)
+    rows = [(rng.choice(SPELLINGS[:1] + SPELLINGS[9:]), rng.choice([1, 2, 3, 7, 10, 999, 10**13 - 1, 10**12])) for _ in range(60)]
+    rows += [("0.3333333333333333333333333333333333333333", 10**12 - 1), ("0.3333333333333333333333333333333333333334", 10**12 - 1)]
+    rows += [(f"{k}e-3", k) for k in range(1, 40)]
+    frame = spark.createDataFrame(rows, "t string, r long")
+    keyed = frame.select("t", "r", E.quotient_key(E.parse(F.col("t")), F.col("r"), E.limbs_for(40)).alias("k")).collect()
+    for a in keyed:
+        for b in keyed:
+            x, y = Fraction(Decimal(a.t)) / a.r, Fraction(Decimal(b.t)) / b.r
+            ka, kb = (a.k.exponent, a.k.limbs), (b.k.exponent, b.k.limbs)
+            assert (ka < kb, ka == kb) == (x < y, x == y), (a, b)
+
+
+@pytest.mark.parametrize("rows_per_block", [10_000, 25])
+def test_long_and_tiny_p_values_are_compared_exactly(spark, rows_per_block):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for family in ("deep", "long"):
+        ps = [Decimal(rng.randint(1, 9999)).scaleb(-38) if family == "deep" else Decimal(rng.randint(1, 10**19)).scaleb(-19) for _ in range(64)]
+        for i, (p, q) in enumerate(zip(ps, twin([Fraction(p) for p in ps]))):
+            with localcontext() as ctx:
+                ctx.prec = 60
+                near = (Decimal(q.numerator) / Decimal(q.denominator)).quantize(Decimal(10) ** -55).normalize()
+            text = format(near, "f") if rng.random() < 0.5 else f"{near:e}"
+            rows.append((family, f"{family}{i}", f"{p:e}", text, str(q <= Fraction(1, 20))))
+            want[f"{family}{i}"] = Fraction(near) != q
+    frame = spark.createDataFrame(rows, "family string, test_id string, p string, q string, call string").repartition(4)
+    gate, out = M.bh_recheck_rows(frame, CONTRACT, rows_per_block=rows_per_block)
+    assert {r.applicability for r in gate.collect()} == {"applicable"}
+    got = out.collect()
+    assert {r.test_id: r.adjusted_differs for r in got} == want and len(set(want.values())) == 2
+    assert not any(r.call_differs for r in got)
+
+
+def test_adjusting_refuses_a_family_with_a_bad_value(spark):
+    bad = [("nan", float("nan")), ("wide", 1.7), ("none", None)]
+    rows = [(f, i, 0.01 * i) for f in ("good", "nan", "wide", "none") for i in range(1, 5)] + [(f, 0, p) for f, p in bad]
+    got = M.bh_adjust(spark.createDataFrame(rows, "family string, id int, p double"), ["family"], "p").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.applicability == "applicable") == (r.family == "good") == (r.adjusted is not None) == (r.rank is not None)
+
+
+def test_scope_of_a_bad_family_is_unknown(spark):
+    rows = [("ok", "a", "0.01", "0.01"), ("cell", "a", "0.01", "0.01"), ("cell", "b", "x", None), ("cell2", "a", "0.01", "y"), ("twice", "a", "0.01", None), ("twice", "a", "0.02", None)]
+    frame = spark.createDataFrame(rows, "family string, id string, p string, q string")
+    got = {r.family: (r.applicability, r.scope) for r in M.correction_scope(frame, ["family"], "id", "p", "q").collect()}
+    assert got == {"ok": ("applicable", "complete"), "cell": ("unsupported", None), "cell2": ("unsupported", None), "twice": ("unsupported", None)}
