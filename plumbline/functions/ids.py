@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 UNIT_SEPARATOR = "\x1f"
 
@@ -20,9 +25,66 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(joined, 256), 1, 20))
 
 
+# Texts whose numbers or keys the JVM's variant type would spell or sort in another way: fractions, exponents, minus
+# zero, integers of 16 digits and more, characters beyond the basic plane.
+SPELT = r"\d[.eE]|-0|\d{16}|[^\x00-\uFFFF]|\\\\u[dD][89abAB]"
+
+
+class _Repeated(ValueError):
+    pass
+
+
+def _once(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise _Repeated
+    return dict(pairs)
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+def resolve(value: Any, pointer: str) -> Any:
+    """The place a JSON pointer names; LookupError if there is none."""
+    for token in pointer.split("/")[1:]:
+        key = token.replace("~1", "/").replace("~0", "~")
+        if isinstance(value, list):
+            if not key.isdecimal() or len(key) > 1 and key[0] == "0":
+                raise LookupError(key)
+            value = value[int(key)]
+        elif isinstance(value, dict):
+            value = value[key]
+        else:
+            raise LookupError(key)
+    return value
+
+
+def canonical_text(text: str | None, pointer: str = "") -> str | None:
+    """One text's canonical form, or that of the place a pointer names; numbers keep integers and fractions apart."""
+    if text is None:
+        return None
+    try:
+        value = resolve(json.loads(text, object_pairs_hook=_once, parse_constant=_refuse), pointer)
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except (ValueError, LookupError, RecursionError):
+        return None
+
+
+def canonical_at(text: Column, pointer: str, plain: Column) -> Column:
+    """``plain``, made in the JVM, except for texts it could spell otherwise; only those are sent to Python."""
+
+    @pandas_udf(StringType())
+    def spell(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: canonical_text(t, pointer), na_action="ignore")
+
+    spelt = F.coalesce(text.rlike(SPELT), F.lit(False))
+    return F.when(spelt, spell(F.when(spelt, text))).otherwise(plain)
+
+
 def canonical_json(text: Column) -> Column:
-    """Sorted keys, no spaces; null where the text is not one JSON value."""
-    return F.to_json(F.try_parse_json(text))
+    """Sorted keys, no spaces, 1 and 1.0 apart, integers of any length; null where the text is not one JSON value or
+    repeats a key."""
+    return canonical_at(text, "", F.to_json(F.try_parse_json(text)))
 
 
 def semantic_digest(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ids import canonical_json
+from plumbline.functions.ids import canonical_at, canonical_json
 
 # Languages and roles by file suffix and name.
 LANGUAGES = {
@@ -39,7 +39,8 @@ def pointer_path(pointer: str) -> str:
 
 def json_at(text: Column, pointer: str) -> Column:
     """The JSON text at a pointer; null for malformed JSON, repeated keys or no such place."""
-    return F.to_json(F.try_variant_get(F.try_parse_json(text), pointer_path(pointer), "variant"))
+    plain = F.to_json(F.try_variant_get(F.try_parse_json(text), pointer_path(pointer), "variant"))
+    return canonical_at(text, pointer, plain)
 
 
 def json_grade(df: DataFrame, actual: str, expected: str, pointer: str = "") -> DataFrame:
@@ -48,7 +49,7 @@ def json_grade(df: DataFrame, actual: str, expected: str, pointer: str = "") ->
     want = canonical_json(F.col(expected))
     return df.withColumn(
         "grade",
-        F.when(F.try_parse_json(actual).isNull(), F.lit("malformed"))
+        F.when(canonical_json(F.col(actual)).isNull(), F.lit("malformed"))
         .when(got.isNull(), F.lit("missing"))
         .when(got == want, F.lit("match"))
         .otherwise(F.lit("mismatch")),

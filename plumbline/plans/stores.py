@@ -197,8 +197,8 @@ def pointer_check(t: Tables) -> DataFrame:
 def order_records(t: Tables) -> DataFrame:
     body = F.concat(
         F.lit('{"source_ref":{"source_kind":"file_span","locator":"o.csv:'), F.col("o_orderkey"), F.lit('","path":"o.csv","start_line":'), F.col("o_orderkey"),
-        F.lit('},"record_type":"result","record_id":"o'), F.col("o_orderkey"), F.lit('","refs":[{"record_type":"claim","record_id":"c'), F.col("o_custkey"),
-        F.lit('"},{"record_type":"claim","record_id":"c'), F.col("o_custkey"), F.lit('"}],"a/b":{"record_id":"s'), F.col("o_orderstatus"), F.lit('","record_type":"status"}}'),
+        F.lit('},"record_type":"result","record_id":"o'), F.col("o_orderkey"), F.lit('","refs":[{"note":{"source_kind":"note","locator":"n"},"record_type":"claim","record_id":"c'), F.col("o_custkey"),
+        F.lit('"},{"record_type":7,"record_id":"c'), F.col("o_custkey"), F.lit('"},{"record_type":"claim","record_id":"c'), F.col("o_custkey"), F.lit('"}],"a/b":{"record_id":"s'), F.col("o_orderstatus"), F.lit('","record_type":"status"}}'),
     )
     return t.orders.select(F.lit("result").alias("record_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("record_id"), body.alias("body"))
 
@@ -221,7 +221,7 @@ def record_store(t: Tables) -> DataFrame:
 
 @query(
     "evidence_edges",
-    """SELECT 'result' AS source_type, 'o' || o_orderkey AS source_id, '/refs/' || i AS pointer, 'claim' AS target_type, 'c' || o_custkey AS target_id FROM orders, range(2) r(i)
+    """SELECT 'result' AS source_type, 'o' || o_orderkey AS source_id, '/refs/' || 2 * i AS pointer, 'claim' AS target_type, 'c' || o_custkey AS target_id FROM orders, range(2) r(i)
     UNION ALL SELECT 'result', 'o' || o_orderkey, '/a~1b', 'status', 's' || o_orderstatus FROM orders""",
 )
 def evidence_edges(t: Tables) -> DataFrame:
@@ -230,7 +230,8 @@ def evidence_edges(t: Tables) -> DataFrame:
 
 @query(
     "evidence_locations",
-    """SELECT 'o' || o_orderkey AS source_id, '/source_ref' AS pointer, 'file_span' AS source_kind, 'o.csv:' || o_orderkey AS locator, 'o.csv' AS path, o_orderkey AS start_line FROM orders""",
+    """SELECT 'o' || o_orderkey AS source_id, '/source_ref' AS pointer, 'file_span' AS source_kind, 'o.csv:' || o_orderkey AS locator, 'o.csv' AS path, o_orderkey AS start_line FROM orders
+    UNION ALL SELECT 'o' || o_orderkey, '/refs/0/note', 'note', 'n', NULL, NULL FROM orders""",
 )
 def evidence_locations(t: Tables) -> DataFrame:
     return records.evidence_index(order_records(t))[2].select("source_id", "pointer", "source_kind", "locator", "path", "start_line")

@@ -360,7 +360,7 @@ def multiplicity_declaration(t: Tables) -> DataFrame:
 @query(
     "json_grade",
     """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'malformed' WHEN event_id % 11 = 0 THEN 'missing'
-      WHEN CAST(json_extract(props, '$.k') AS INT) % 3 = 0 THEN 'match' ELSE 'mismatch' END AS grade FROM events""",
+      WHEN CAST(json_extract(props, '$.k') AS INT) % 3 = 0 AND event_id % 13 > 2 THEN 'match' ELSE 'mismatch' END AS grade FROM events""",
 )
 def json_grade(t: Tables) -> DataFrame:
     props = (
@@ -369,18 +369,28 @@ def json_grade(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit('{"a/b": ['), F.col("props"), F.lit("]}")))
     )
     k = F.get_json_object("props", "$.k").cast("int")
-    want = F.when(k % 3 == 0, F.concat(F.lit('{ "k" : '), k, F.lit("}"))).otherwise(F.lit('{"k": -1}'))
+    # Values that equal the number and are spelt otherwise, or differ in the last of fifty digits, do not match.
+    other = F.when(F.col("event_id") % 13 == 0, F.concat(k, F.lit(".0"))).when(F.col("event_id") % 13 == 1, F.concat(k, F.lit("e0"))).otherwise(F.concat(F.repeat(F.lit("9"), F.lit(49)), k))
+    number = F.when(F.col("event_id") % 13 > 2, k.cast("string")).otherwise(other)
+    want = F.when(k % 3 == 0, F.concat(F.lit('{ "k" : '), number, F.lit("}"))).otherwise(F.lit('{"k": -1}'))
     rows = t.events.select("event_id", props.alias("actual"), want.alias("expected"))
     return values.json_grade(rows, "actual", "expected", "/a~1b/0").select("event_id", "grade")
 
 
 @query(
     "canonical_json",
-    """SELECT event_id, '{"a":"' || event_type || '","z":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS canonical FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 6 < 5 THEN '{"a":"' || event_type || '","n":' || CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '1.0' WHEN 2 THEN '1e-07'
+      WHEN 3 THEN repeat('1234567890', 5) || event_id ELSE '-0.0' END || ',"z":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' END AS canonical FROM events""",
 )
 def canonical_json(t: Tables) -> DataFrame:
+    m = F.col("event_id") % 6
+    number = (
+        F.when(m == 0, F.lit("1")).when(m == 1, F.lit("1.0")).when(m == 2, F.lit("0.0000001"))
+        .when(m == 3, F.concat(F.repeat(F.lit("1234567890"), F.lit(5)), F.col("event_id")))
+        .when(m == 4, F.lit("-0.0")).otherwise(F.lit('1.5, "n": 2'))  # the last repeats a key
+    )
     raw = F.concat(
-        F.lit('{ "z" : '), F.get_json_object("props", "$.k"), F.lit(', "a" : "'), F.col("event_type"), F.lit('" }')
+        F.lit('{ "z" : '), F.get_json_object("props", "$.k"), F.lit(', "n":'), number, F.lit(', "a" : "'), F.col("event_type"), F.lit('" }')
     )
     return t.events.select("event_id", ids.canonical_json(raw).alias("canonical"))
 

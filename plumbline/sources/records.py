@@ -40,18 +40,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("record_type", identity.alias("record_id"), F.col("value").alias("body"), problem.alias("problem"))
 
 
-def _walk(value: Any, pointer: str, edges: list[tuple], spots: list[tuple]) -> None:
-    if isinstance(value, dict):
-        if set(value) == {"record_type", "record_id"}:
-            edges.append((pointer, str(value["record_type"]), str(value["record_id"])))
-            return
-        if "source_kind" in value and "locator" in value:
-            spots.append((pointer, value))
-        for key in value:
-            _walk(value[key], f"{pointer}/{key.replace('~', '~0').replace('/', '~1')}", edges, spots)
-    elif isinstance(value, list):
-        for i, item in enumerate(value):
-            _walk(item, f"{pointer}/{i}", edges, spots)
+def _named(value: dict, *keys: str) -> bool:
+    return all(isinstance(value.get(k), str) for k in keys)
+
+
+def _walk(root: Any, start: str, edges: list[tuple], spots: list[tuple]) -> None:
+    """Outermost references and outermost source references below ``root``; either kind may hold the other."""
+    todo = [(root, start, True, True)]
+    while todo:
+        value, pointer, want_edge, want_spot = todo.pop()
+        if isinstance(value, dict):
+            if want_edge and _named(value, "record_type", "record_id"):
+                edges.append((pointer, value["record_type"], value["record_id"]))
+                want_edge = False
+            if want_spot and _named(value, "source_kind", "locator"):
+                spots.append((pointer, value))
+                want_spot = False
+        if want_edge or want_spot:
+            below = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+            for key, item in below:
+                token = str(key).replace("~", "~0").replace("/", "~1")
+                todo.append((item, f"{pointer}/{token}", want_edge, want_spot))
 
 
 INDEX_SCHEMA = (
