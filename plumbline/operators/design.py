@@ -32,6 +32,8 @@ DIMENSIONS = (
     "affected_target",
 )
 MAX_DRIVER_LEVELS = 2000
+# A squared distance from the span below this is rounding: cells weigh 1, whatever their counts.
+RESIDUAL = 1e-7
 
 
 def unit_counts(df: DataFrame, keys: Sequence[str], case: Sequence[str] = ()) -> DataFrame:
@@ -231,10 +233,11 @@ def design_integrity(df: DataFrame, contract: DesignContract, case: Sequence[str
 def aliasing(contrast: DataFrame, contract: DesignContract, case: Sequence[str]) -> DataFrame:
     """Is the test indicator in the span of intercept and dummy-coded adjustments, per case?
 
-    One adjustment: every level holds one condition.  Several: the adjustment with most levels
-    is swept out by aggregation, and the rank of the remaining small cross-product matrix is
-    compared with and without the indicator.  Null where the remaining levels exceed
-    ``MAX_DRIVER_LEVELS``.
+    One adjustment: every level holds one condition.  Several: a cell of levels that holds both
+    conditions decides against it; otherwise the adjustment with most levels is swept out by
+    aggregation, and the indicator is projected on the rest.  Each distinct cell weighs 1, since how
+    often it occurs cannot change a span.  A case whose remaining levels exceed ``MAX_DRIVER_LEVELS``
+    keeps its row, with null.
     """
     c, case, factors = contract, list(case), list(contract.required_adjustments)
     if not factors:
@@ -242,9 +245,9 @@ def aliasing(contrast: DataFrame, contract: DesignContract, case: Sequence[str])
     if len(factors) == 1:
         per_level = contrast.groupBy(*case, factors[0]).agg(F.countDistinct(c.condition).alias("_k"))
         return per_level.groupBy(*case).agg((F.max("_k") == 1).alias("aliased"))
+    tested = (F.col(c.condition) == c.test_level).cast("double")
     cells = contrast.groupBy(*case, *factors).agg(
-        F.sum("_n").cast("double").alias("n"),
-        F.sum(F.when(F.col(c.condition) == c.test_level, F.col("_n")).otherwise(0)).cast("double").alias("y"),
+        F.lit(1.0).alias("n"), F.max(tested).alias("y"), (F.max(tested) != F.min(tested)).alias("both")
     )
     sizes = cells.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).head()
     swept = max(factors, key=lambda f: sizes[f])
@@ -256,6 +259,7 @@ def aliasing(contrast: DataFrame, contract: DesignContract, case: Sequence[str])
     )
     key = case or ["_one"]
     wide = cells if case else cells.withColumn("_one", F.lit(0))
+    mixed = wide.groupBy(*key).agg(F.max("both").alias("both"))
     levels = wide.select(*key, F.explode(terms).alias("x")).groupBy(*key).agg(F.countDistinct("x.t").alias("_p"))
     wide = wide.join(levels.where(F.col("_p") <= MAX_DRIVER_LEVELS), key, "left_semi")
     per_level = (
@@ -292,11 +296,12 @@ def aliasing(contrast: DataFrame, contract: DesignContract, case: Sequence[str])
         fitted = np.linalg.pinv(matrix[np.ix_(keep, keep)], hermitian=True) @ matrix[keep, y]
         residual = matrix[y, y] - matrix[keep, y] @ fitted
         out = pdf[key].head(1).copy()
-        out["aliased"] = bool(residual <= 1e-9 * max(1.0, abs(matrix[y, y])))
+        out["aliased"] = bool(residual <= RESIDUAL)
         return out
 
     verdict = gram.groupBy(*key).applyInPandas(decide, schema + ", aliased boolean")
-    return verdict if case else verdict.select("aliased")
+    verdict = mixed.join(verdict, key, "left")
+    return verdict.select(*case, F.when(F.col("both"), F.lit(False)).otherwise(F.col("aliased")).alias("aliased"))
 
 
 # Membership columns of the three declaration profiles, with the columns that

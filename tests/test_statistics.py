@@ -162,3 +162,21 @@ def test_declared_units_reject_other_columns(spark):
     twice = design.declared_units(df.unionByName(df.limit(1)), "single_cell").collect()[0]
     assert twice.applicability == "unsupported"
     assert df.where(F.col("case_id") == "x").count() == 2
+
+
+def test_aliasing_does_not_depend_on_counts(spark):
+    rows = [("k", a, b, "t" if a == "0" else "c", 10**10) for a in "01" for b in "xy"]
+    contract = DesignContract("arm", "c", "t", ["b"], ["b"], required_adjustments=["a", "b"])
+    schema = "case string, a string, b string, arm string, _n long"
+    aliased = lambda r: [x.aliased for x in design.aliasing(spark.createDataFrame(r, schema), contract, ["case"]).collect()]
+    assert aliased(rows) == [True]
+    assert aliased([*rows, ("k", "0", "x", "c", 2)]) == [False]
+    odd = [("k", a, b, "t" if a == b else "c", 10**10) for a in "01" for b in "01"]
+    assert aliased(odd) == [False]
+
+
+def test_a_case_with_too_many_levels_keeps_its_row(spark):
+    rows = [("k", str(i), str(-i), "t" if i % 2 else "c", 1) for i in range(2100)] + [("m", "0", "x", "t", 1), ("m", "1", "x", "c", 1)]
+    contract = DesignContract("arm", "c", "t", ["b"], ["b"], required_adjustments=["a", "b"])
+    frame = spark.createDataFrame(rows, "case string, a string, b string, arm string, _n long")
+    assert {r.case: r.aliased for r in design.aliasing(frame, contract, ["case"]).collect()} == {"k": None, "m": True}
