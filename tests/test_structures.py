@@ -48,10 +48,12 @@ def test_unique_paths_match_enumeration(spark, seed):
         assert (tuple(r.path) if r.path else None) == (found[0] if len(found) == 1 else None)
 
 
-def test_closure_stops_at_the_hop_limit(spark):
+def test_closure_goes_to_the_end_unless_limited(spark):
     edges = spark.createDataFrame([(f"n{i}", "next", f"n{i + 1}") for i in range(12)] + [("n3", "back", "n0")], "source string, relation string, target string")
-    got = graph.lineage_closure(edges, spark.createDataFrame([("n0",)], "seed string")).collect()
-    assert {r.node: r.depth for r in got} == {f"n{i}": i for i in range(1, 9)}
+    seeds = spark.createDataFrame([("n0",)], "seed string")
+    for limit, last in ((None, 12), (8, 8)):
+        got = graph.lineage_closure(edges, seeds, limit).collect()
+        assert {r.node: r.depth for r in got} == {f"n{i}": i for i in range(1, last + 1)}
 
 
 def test_draws_match_hashlib(spark):

@@ -24,7 +24,7 @@ def tokens(spark, body):
         ("12 kg, 3mm, 4 hours, 5 h.", [("4", False)]),
         ("0.375 and 12.5 percent", [("0.375", False), ("12.5", True)]),
         ("-5 then 6", [("6", False)]),
-        ("9" * 20 + " or 8", [("8", False)]),
+        ("9" * 20 + " or 8", [("9" * 20, False), ("8", False)]),
         ("3-fold 10-20", []),
     ],
 )
