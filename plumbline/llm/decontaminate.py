@@ -24,7 +24,7 @@ WINDOW = 10
 #: Bytes of benchmark text sent to the tasks at once; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 16 * 1024 * 1024
 #: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 
 _WORD_BYTES = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)

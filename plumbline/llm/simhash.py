@@ -26,7 +26,7 @@ SEED = 42
 #: Fingerprints of a tile.  Two tiles are 1 MB and at most 2**34 comparisons, most of them skipped by quarters.
 TILE = 1 << 16
 #: Comparisons held at once inside a task.
-CELLS_AT_ONCE = 1 << 22
+CELLS_AT_ONCE = 1 << 20
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _QUARTERS = np.array([0, 16, 32, 48], dtype=np.uint64)
