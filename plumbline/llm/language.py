@@ -20,6 +20,7 @@ from plumbline.llm.rows import annotate
 #: Bytes of a language's dictionary, and the most rows that fill it.
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS = 400
+SAMPLE_PARTS = 64
 #: Texts are compressed in blocks, so that a long text does not become its own dictionary.
 BLOCK_BYTES = 2048
 LEVEL = 6
@@ -53,9 +54,12 @@ def learn(
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text")
     )
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = usable.select("lang", "h").distinct().withColumn("n", F.row_number().over(first))
-    chosen = chosen.where(F.col("n") <= sample_rows).select("lang", "h")
+    # Ranked in parts first, so that the last ranking sees at most SAMPLE_PARTS * sample_rows rows of a language.
+    chosen = usable.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(SAMPLE_PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        chosen = chosen.withColumn("n", rank).where(F.col("n") <= sample_rows).drop("n")
+    chosen = chosen.select("lang", "h")
     share = 2 * dictionary_bytes // sample_rows
     rows = (
         usable.join(F.broadcast(chosen), ["lang", "h"], "left_semi")  # at most sample_rows a language
