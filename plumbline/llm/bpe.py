@@ -6,8 +6,9 @@ read the merged token now can, leading to a copy of the state where the right pa
 are exactly the token sequences that the merges produce, and each text has one of them.  Every token leads to one
 state whatever came before, so states are named by tokens, and a state is kept as the arcs its gadgets took away.
 
-Encoding runs a word's symbols through a trie of the tokens and the automaton's transition table together; each
-prefix of a word is reached by one arc, and the arcs read backwards are the ids.  Decoding emits the arcs' labels.
+Encoding reads a word's symbols through an automaton of the tokens' spellings, and takes at each place the token
+ending there for which the state at its start has an arc.  Each prefix of a word is reached by one arc, and the arcs
+read backwards are the ids.  Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Callable, Sequence
@@ -28,8 +30,12 @@ from pyspark.sql import types as T
 from plumbline.llm.rows import annotate
 
 WORD_END = "</w>"
-#: Runs of text whose ids a task keeps at hand; beyond that the table starts anew.
-WORDS_HELD = 200_000
+#: Words and runs whose ids a task keeps at hand, in each of two generations, and transitions it keeps.
+WORDS_HELD = 150_000
+RUNS_HELD = 40_000
+ARCS_HELD = 1_000_000
+#: Bits of a token or symbol in a table's key.
+_SHIFT = 24
 
 
 def byte_symbols() -> list[str]:
@@ -103,13 +109,53 @@ class Automaton:
                 self.parts[merged] = left, right, rank
                 self.taken[left, right] = rank
                 tokens.add(merged)
-        self.table: dict[tuple[int, int], bool] = {}
-        self.trie: dict[int, dict] = {}
+        #: The table of transitions, filled as it is used: state and token -> whether there is an arc.
+        self.table: dict[int, bool] = {}
+        #: Transitions of the symbols' automaton: node and symbol -> node.  A node is the longest end of what was read
+        #: that begins a token; ``ending`` lists the tokens that end there with their lengths, longest first.
+        self.nodes: dict[int, int] = {}
+        at_node = [-1]
+        children: list[list[tuple[int, int]]] = [[]]
         for token in tokens:
-            node = self.trie
+            node = 0
             for symbol in spelling[token]:
-                node = node.setdefault(symbol, {})
-            node[-1] = token
+                key = node << _SHIFT | symbol
+                below = self.nodes.get(key, -1)
+                if below < 0:
+                    below = self.nodes[key] = len(at_node)
+                    children[node].append((symbol, below))
+                    children.append([])
+                    at_node.append(-1)
+                node = below
+            at_node[node] = token
+        self.shorter = [0] * len(at_node)
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(at_node)
+        self.followed: dict[int, int] = {}
+        level, length = [0], 0
+        while level:
+            length += 1
+            below_level = []
+            for node in level:
+                for symbol, below in children[node]:
+                    back = self.shorter[below] = self._follow(self.shorter[node], symbol) if node else 0
+                    own = ((at_node[below], length),) if at_node[below] >= 0 else ()
+                    self.ending[below] = own + self.ending[back]
+                    below_level.append(below)
+            level = below_level
+        self.followed.clear()
+
+    def _follow(self, node: int, symbol: int) -> int:
+        """The transition from any node, through ever shorter ends; kept for the next time."""
+        first = node
+        while True:
+            found = self.nodes.get(node << _SHIFT | symbol, -1)
+            if found >= 0 or not node:
+                break
+            node = self.shorter[node]
+        if len(self.followed) >= ARCS_HELD:
+            self.followed.clear()
+        found = self.followed[first << _SHIFT | symbol] = max(found, 0)
+        return found
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether ``token`` can be read in ``state``.
@@ -132,32 +178,41 @@ class Automaton:
                 return True
             _, state, copied = self.parts[state]
 
-    def step(self, state: int, token: int) -> bool:
-        """The table of transitions, filled as it is used."""
-        found = self.table.get((state, token))
-        if found is None:
-            found = self.table[state, token] = state < 0 or self.has_arc(state, token)
-        return found
-
     def encode(self, symbols: Sequence[int]) -> list[int]:
-        """The arcs of the only path that spells ``symbols``."""
-        size = len(symbols)
-        arc = [-1] * (size + 1)  # the token that ends at each place reached; it is also the state there
-        start = [0] * (size + 1)
-        for at in range(size):
-            here = arc[at]
-            if here < 0 and at:
-                continue
-            node = self.trie
-            for end in range(at, size):
-                node = node.get(symbols[end])
-                if node is None:
-                    break
-                token = node.get(-1)
-                if token is not None and self.step(here, token):
-                    arc[end + 1], start[end + 1] = token, at
+        """The arcs of the only path that spells ``symbols``.
+
+        Each prefix is spelt by one path, so a place is reached by one arc, whose token is the state there.
+        """
+        nodes, followed, ending, table = self.nodes, self.followed, self.ending, self.table
+        arc, start = [-1], [0]
+        node = end = 0
+        for symbol in symbols:
+            end += 1
+            key = node << _SHIFT | symbol
+            after = nodes.get(key)
+            if after is None:
+                after = followed.get(key)
+                if after is None:
+                    after = self._follow(node, symbol)
+            node = after
+            for token, length in ending[node]:
+                at = end - length
+                if at:
+                    key = arc[at] << _SHIFT | token
+                    allowed = table.get(key)
+                    if allowed is None:
+                        if len(table) >= ARCS_HELD:
+                            table.clear()
+                        allowed = table[key] = self.has_arc(arc[at], token)
+                    if not allowed:
+                        continue
+                arc.append(token)
+                start.append(at)
+                break
+            else:
+                raise ValueError("a symbol is no token")
         ids = []
-        at = size
+        at = end
         while at:
             ids.append(arc[at])
             at = start[at]
@@ -198,15 +253,21 @@ class WordTokenizer:
             split = split.replace(rf"\p{{{name}}}", ranges(name))
         self.split = regex.compile(split.replace("[[", "[").replace("]]", "]"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.packed = _Packed(self)
+        #: Ids, as bytes, of the pre-split words and of the runs between white space seen so far.
+        self.known = _Held(self._word, WORDS_HELD)
+        self.packed = _Held(self._run, RUNS_HELD)
 
     def words_of(self, text: str) -> list[str]:
         """The pre-split words of a normalised text."""
         return (self.plain if max(text, default="") < LATE else self.split).findall(text)
 
-    def word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         octets = word.encode()
-        return self.automaton.encode([*(self.inner[b] for b in octets[:-1]), self.final[octets[-1]]])
+        ids = self.automaton.encode([*(self.inner[b] for b in octets[:-1]), self.final[octets[-1]]])
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _run(self, run: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.words_of(run)))
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids as unsigned 32-bit little-endian numbers."""
@@ -229,18 +290,21 @@ class WordTokenizer:
             return " ".join([labels[i] for i in ids if i in labels])
 
 
-class _Packed(dict):
-    """Ids of the runs between white space seen so far, as bytes; at most WORDS_HELD."""
+class _Held(dict):
+    """Values made once and kept in two generations of at most ``most`` keys, so that what is in use stays."""
 
-    def __init__(self, coder: WordTokenizer):
-        self.coder = coder
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= WORDS_HELD:
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-            self.coder.automaton.table.clear()
-        ids = [i for w in self.coder.words_of(run) for i in self.coder.word(w)]
-        found = self[run] = np.array(ids, dtype="<u4").tobytes()
+        self[key] = found
         return found
 
 

@@ -74,10 +74,14 @@ def test_special_tokens_and_long_words(coder, library):
         assert coder.encode(text).tolist() == ids_of(library, text)
 
 
-def test_table_of_words_starts_anew(coder, library, monkeypatch):
-    monkeypatch.setattr(bpe, "WORDS_HELD", 3)
-    text = "one two three four five one two three four five"
-    assert coder.encode(text).tolist() == ids_of(library, text)
+def test_generations_of_words_and_arcs(library, monkeypatch):
+    for name in ("WORDS_HELD", "RUNS_HELD", "ARCS_HELD"):
+        monkeypatch.setattr(bpe, name, 3)
+    small = bpe.WordTokenizer(PATH)
+    text = "onebone twobone, three four five onebone six twobone, three four. seven eight nine five"
+    for _ in range(2):
+        assert small.encode(text).tolist() == ids_of(library, text)
+    assert len(small.known) <= 3 and len(small.packed) <= 3 and len(small.automaton.table) <= 3
 
 
 def test_columns_and_odd_rows(spark, odd_documents, library):
