@@ -33,7 +33,8 @@ from plumbline.session import cut_lineage
 LENGTH = 200
 #: Bytes of a gram; windows of LENGTH bytes hold LENGTH - GRAM + 1 grams.
 GRAM = 32
-#: Bytes of a text worked on at once; windows never straddle, segments overlap by LENGTH - 1.
+#: Bytes of a text worked on at once; windows never straddle, segments overlap by LENGTH - 1, and an anchor of the
+#: windows on both sides of a cut is joined again.
 SEGMENT = 1 << 22
 #: Members of a bucket of a suffix array: about 100 MB with their keys.
 ROWS_PER_BUCKET = 100_000
@@ -55,15 +56,19 @@ def _gram_hashes(octets: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def anchors(octets: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(
+    octets: bytes, length: int = LENGTH, gram: int = GRAM, segment: int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a text: place, gram hash, first and last start of the windows each decides.
 
-    The least hash of a window wins, the leftmost of equal ones; hashes are compared by their upper 41 bits.
+    The least hash of a window wins, the leftmost of equal ones; hashes are compared by their upper 41 bits.  An anchor
+    whose windows lie in several segments is one anchor: every place is there once.
     """
     empty = np.zeros(0, dtype=np.int64)
+    segment = segment or SEGMENT
     found = []
-    for begin in range(0, max(1, len(octets) - length + 1), SEGMENT):
-        part = np.frombuffer(octets, np.uint8, min(SEGMENT + length - 1, len(octets) - begin), begin)
+    for begin in range(0, max(1, len(octets) - length + 1), segment):
+        part = np.frombuffer(octets, np.uint8, min(segment + length - 1, len(octets) - begin), begin)
         if len(part) < length:
             break
         h = _gram_hashes(part, gram)
@@ -78,10 +83,15 @@ def anchors(octets: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
         last = np.append(first[1:], len(at)) - 1
         place = at[first]
         found.append((place + begin, h[place].view(np.int64), first + begin, last + begin))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty,) * 4
+    if not found:
+        return (empty,) * 4
+    place, h, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    opening = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    closing = np.append(opening[1:], len(place)) - 1
+    return place[opening], h[opening], first[opening], last[closing]
 
 
-def anchor_rows(documents: DataFrame, text: str, length: int, gram: int) -> DataFrame:
+def anchor_rows(documents: DataFrame, text: str, length: int, gram: int, segment: int = SEGMENT) -> DataFrame:
     """id, version, place, before, after, gram, block of each anchor: its windows start from ``place - before`` to
     ``place - after``, and ``block`` is the hash of their bytes and of the place in them."""
 
@@ -92,7 +102,7 @@ def anchor_rows(documents: DataFrame, text: str, length: int, gram: int) -> Data
                 found, blocks, counts = [], [], []
                 for octets in texts(part.column(text)):
                     octets = octets or b""
-                    place, h, first, last = anchors(octets, length, gram)
+                    place, h, first, last = anchors(octets, length, gram, segment)
                     found.append((place, place - first, place - last, h))
                     counts.append(len(place))
                     for p, f, q in zip(place.tolist(), first.tolist(), last.tolist(), strict=True):
@@ -281,10 +291,12 @@ def _offsets(members: DataFrame, pairs: DataFrame, length: int) -> DataFrame:
     )
 
 
-def repeated_spans(documents: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(
+    documents: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT
+) -> DataFrame:
     """id, version, start, end (bytes) of stretches whose every window of ``length`` bytes is repeated."""
     spark = documents.sparkSession
-    found = anchor_rows(documents, text, length, gram)
+    found = anchor_rows(documents, text, length, gram, segment)
     grams = cut_lineage(found.groupBy("gram").count().where("count > 1").select("gram"))
     shared = cut_lineage(found.join(grams, "gram", "left_semi"))
     place = F.min(F.struct("id", "version", "place", "before", "after")).alias("one")
@@ -333,7 +345,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def find_repeats(
-    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM
+    documents: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    segment: int = SEGMENT,
 ) -> DataFrame:
     """Add ``n_bytes``, ``removed`` (maximal runs of bytes, start and end) and ``kept_sha256`` to each document.
 
@@ -345,7 +363,7 @@ def find_repeats(
     documents = documents.drop("n_bytes", "removed", "kept_sha256")
     version = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
     keyed = documents.select(F.col(doc_id).alias("id"), version.alias("version"), F.col(text).alias("text"))
-    spans = repeated_spans(keyed, length=length, gram=gram).groupBy("id", "version").agg(
+    spans = repeated_spans(keyed, length=length, gram=gram, segment=segment).groupBy("id", "version").agg(
         F.collect_set(F.struct("start", "end")).alias("_spans")
     )
     keyed = documents.withColumns({"_id": F.col(doc_id), "_version": version})

@@ -55,6 +55,30 @@ def test_equals_brute_force(spark, length, gram, letters):
     assert any(e[1] for e in expected)
 
 
+@pytest.mark.parametrize("segment", [1, 7, 64])
+def test_segments_change_nothing(spark, segment):
+    rng = random.Random(segment)
+    texts = planted(rng, "abcd", 30, 150, 5, 60)
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(900)), texts[2], "a" * 100, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = brute(texts, 20)
+    for r in s.find_repeats(frame, length=20, gram=6, segment=segment).collect():
+        assert (r.n_bytes, r.removed, r.kept_sha256) == expected[r.doc_id]
+
+
+def test_text_longer_than_a_segment(spark):
+    rng = random.Random(5)
+    make = lambda k: rng.randbytes(-(-k // 2)).hex()[:k]
+    alone, passage = make(s.SEGMENT + 5000), "#" + make(600) + "#"
+    cut = s.SEGMENT - 300
+    held = "!" + alone[1 : cut] + passage + alone[cut:]
+    frame = spark.createDataFrame([(0, make(s.SEGMENT + 5000)), (1, held), (2, passage)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.removed) for r in s.find_repeats(frame).collect()}
+    assert got[0] == (s.SEGMENT + 5000, [])
+    assert got[1] == (len(held), [[cut, cut + len(passage)]])
+    assert got[2] == (len(passage), [[0, len(passage)]])
+
+
 def test_anchors_depend_on_the_window_alone(monkeypatch):
     rng = random.Random(1)
     text = "".join(rng.choice("ab") for _ in range(900)).encode()
