@@ -1,4 +1,4 @@
-"""Append-only record ingest: exact duplicates dropped, latest record kept per id."""
+"""Append-only record ingest: every record kept, duplicates merged, latest record read per id."""
 
 from __future__ import annotations
 
@@ -11,22 +11,23 @@ from plumbline.operators.ordering import latest_per_id
 
 
 def deduplicated(records: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """``records``: record_type, record_id, digest, at, seq, ... as a stream."""
+    """``records``: record_type, record_id, digest, at, seq, ... as a stream; those later than the watermark are dropped."""
     return records.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["record_type", "record_id", "digest"])
 
 
 def ingest(records: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write each micro-batch's latest records under ``store``; :func:`current` merges them.
+    """Write each micro-batch's records under ``store``, exact duplicates in a batch once; :func:`current` merges them.
 
+    No record is too late: there is no watermark and no state, so duplicates in different batches stay in the store.
     Batches are written under their own id, so a batch that is replayed after a failure
     replaces itself instead of appearing twice.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_per_id(batch, ["record_type", "record_id"], ["seq"])
-        newest.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        single = batch.dropDuplicates(["record_type", "record_id", "seq", "digest"])
+        single.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-    writer = deduplicated(records).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    writer = records.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     writer = writer.queryName(f"records_{uuid.uuid4().hex[:8]}")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 

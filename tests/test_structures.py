@@ -243,3 +243,26 @@ def test_removing_a_check_leaves_its_siblings(spark):
     assert full == {"first": "applicable", "second": "unsupported"}
     registry.remove("second")
     assert [r.check_id for r in registry.evaluate(spark, inputs).collect()] == ["first"]
+
+
+def test_ingest_keeps_records_of_any_lateness(spark, tmp_path):
+    from plumbline.streaming import records as record_stream
+
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    names = "record_type string, record_id string, seq long, at timestamp, digest string"
+    day = "2026-01-0{} 00:00:00"
+    batches = [
+        [("t", "a", 2, day.format(5), "d2")],
+        [("t", "b", 1, day.format(8), "d1"), ("t", "b", 1, day.format(8), "d1")],
+        [("t", "late", 1, day.format(1), "d1"), ("t", "a", 1, day.format(2), "d1"), ("t", "a", 3, day.format(3), "d3")],
+        [("t", "late", 1, day.format(1), "d1")],
+    ]
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "record_type string, record_id string, seq long, at string, digest string")
+        frame.withColumn("at", frame["at"].cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(names).parquet(source)
+        record_stream.ingest(stream, store, str(tmp_path / "checkpoint")).awaitTermination()
+    kept = spark.read.parquet(store)
+    assert kept.count() == 6 and kept.select("batch").distinct().count() == 4
+    now = record_stream.current(kept)
+    assert sorted((r.record_id, r.seq) for r in now.collect()) == [("a", 3), ("b", 1), ("late", 1)]
