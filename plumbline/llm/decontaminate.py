@@ -1,8 +1,8 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Tasks cut their documents into shards of words, sort each shard's suffixes, and look up every suffix of every
-benchmark item by binary search.  The documents are never shuffled; the benchmark travels to them in blocks of a
-checked size.
+benchmark item by binary search.  The documents are never shuffled; the benchmark travels to them in blocks, dealt by
+a running sum of bytes over its distinct texts.
 """
 
 from __future__ import annotations
@@ -18,11 +18,17 @@ from pyspark.sql import types as T
 
 from plumbline.llm.rows import texts
 from plumbline.session import cut_lineage
+from plumbline.skew import running, with_blocks
 
 #: Words of a window, and so of the shortest match between long texts.
 WINDOW = 10
-#: Bytes of benchmark text sent to the tasks at once; a larger benchmark goes in several blocks.
+#: Bytes of benchmark text whose windows are sent to the tasks at once; a larger benchmark goes in several blocks, a
+#: longer text in pieces of its windows (each with the text's word ids, four bytes a word).
 BLOCK_BYTES = 16 * 1024 * 1024
+#: Distinct benchmark texts whose sizes are summed in one task.
+TEXTS_PER_BLOCK = 100_000
+#: Pairs of a place in documents and one in items that are followed at once, or the places of one window.
+PAIRS = 1 << 18
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1 << 18
 
@@ -44,27 +50,46 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """A block of benchmark items: vocabulary, distinct windows, and the items and full texts behind them."""
+    """A block of benchmark items: vocabulary, word ids of each text once, and where each distinct window starts.
 
-    def __init__(self, rows: Sequence[tuple[str, bytes | None]], window: int):
+    A row is the item or items of a text, the text and, for a piece of a text, its number and the number of pieces:
+    a piece has its share of the window starts.  Memory grows with the words, whatever the length of an item.
+    """
+
+    def __init__(self, rows: Sequence[tuple], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.window = window
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        #: Words that follow a window in each item it starts in; the longest match is sought among these.
-        tails: dict[tuple[int, ...], set[tuple[int, ...]]] = defaultdict(set)
-        for item, text in rows:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
+        self.items: list[list[str]] = []
+        parts, starts, at = [np.zeros(1, dtype=np.uint32)], [], 1
+        places: dict[int, list[np.ndarray]] = defaultdict(list)
+        for items, text, *piece in rows:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype=np.uint32)
+            if not len(ids):
+                continue
             length = min(window, len(ids))
-            for at in range(len(ids) - length + 1 if ids else 0):
-                key = ids[at : at + length]
-                owners[key].add(item)
-                tails[key].add(ids[at + length :])
-        by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for key in sorted(owners):
-            by_length[len(key)].append(key)
-        self.windows = {n: np.array(keys, dtype=np.uint32) for n, keys in by_length.items()}
-        self.owners = {n: [sorted(owners[k]) for k in keys] for n, keys in by_length.items()}
-        self.tails = {n: [sorted(tails[k]) for k in keys] for n, keys in by_length.items()}
+            number, of = piece or (0, 1)
+            n = len(ids) - length + 1
+            places[length].append(np.arange(at + n * number // of, at + n * (number + 1) // of))
+            starts.append(at)
+            self.items.append([items] if isinstance(items, str) else list(items))
+            parts += [ids, np.zeros(1, dtype=np.uint32)]  # no word parts the texts
+            at += len(ids) + 1
+        self.words = np.concatenate(parts)
+        self.starts = np.array(starts, dtype=np.int64)
+        self.windows: dict[int, np.ndarray] = {}
+        #: For each length, all places by window, and where those of each distinct window begin and end.
+        self.places: dict[int, np.ndarray] = {}
+        self.bounds: dict[int, np.ndarray] = {}
+        for length, found in places.items():
+            where = np.concatenate(found)
+            if not len(where):
+                continue
+            keys = _keys(self.words[where[:, None] + np.arange(length)], length, 0)
+            order = np.argsort(keys, kind="stable")
+            where, keys = where[order], keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.windows[length] = self.words[where[first][:, None] + np.arange(length)]
+            self.places[length], self.bounds[length] = where, np.append(first, len(where))
         self.shortest = min(self.windows, default=window)
 
 
@@ -94,27 +119,37 @@ def search_shard(docs: Sequence[list[bytes]], tests: TestSuffixes) -> list[tuple
     array, keys = places[order], keys[order]
 
     covered = np.zeros(len(ids) + 1, dtype=np.int64)
-    items: list[set[str]] = [set() for _ in docs]
+    texts_hit: list[set[int]] = [set() for _ in docs]
     longest = np.zeros(len(docs), dtype=np.int64)
     for length, table in tests.windows.items():
         low = np.searchsorted(keys, _keys(table, tests.window, 0), "left")
         high = np.searchsorted(keys, _keys(table, tests.window, 0xFFFFFFFF), "right")
+        bounds = tests.bounds[length]
         for which in np.flatnonzero(high > low):
             found = array[low[which] : high[which]]
             np.add.at(covered, found, 1)
             np.add.at(covered, found + length, -1)
             owner = np.searchsorted(starts, found, "right") - 1
+            places = tests.places[length][bounds[which] : bounds[which + 1]]
+            behind = np.unique(np.searchsorted(tests.starts, places, "right") - 1).tolist()
             for doc in np.unique(owner):
-                items[doc].update(tests.owners[length][which])
-            for tail in tests.tails[length][which]:
-                np.maximum.at(longest, owner, length)
-                still = found
-                for step, word in enumerate(tail, length):
-                    still = still[still + step < len(ids)]
-                    still = still[ids[still + step] == word]
-                    if not len(still):
-                        break
-                    np.maximum.at(longest, np.searchsorted(starts, still, "right") - 1, step + 1)
+                texts_hit[doc].update(behind)
+            np.maximum.at(longest, owner, length)
+            for begin in range(0, len(places), max(1, PAIRS // len(found))):
+                group = places[begin : begin + max(1, PAIRS // len(found))]
+                p, q = np.repeat(found, len(group)), np.tile(group, len(found))
+                # A match that also agrees one word earlier is followed from there.
+                new = (ids[p - 1] != tests.words[q - 1]) | (tests.words[q - 1] == 0) | (p == 0)
+                p, q, step = p[new], q[new], length
+                while len(p):
+                    more = p + step < len(ids)
+                    p, q = p[more], q[more]
+                    word = tests.words[q + step]
+                    more = (word != 0) & (ids[p + step] == word)
+                    p, q = p[more], q[more]
+                    step += 1
+                    np.maximum.at(longest, np.searchsorted(starts, p, "right") - 1, step)
+    items = [set().union(*(tests.items[t] for t in hit)) for hit in texts_hit]
     hit = np.cumsum(covered) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     spans: list[list[list[int]]] = [[] for _ in docs]
@@ -181,18 +216,25 @@ def contamination(
 
     Words are runs of digits, letters (A-Z in lower case) and non-ASCII characters.  A word is hit if it lies in an
     occurrence of ``window`` consecutive words of an item, or of all words of a shorter item.  Null and empty texts
-    have no words; items without words or without an id match nothing; repeated documents are judged one by one; an
-    empty benchmark hits nothing.  A column of the documents named like ``out`` is replaced.
+    have no words; items without words match nothing; items without an id hit words but are not listed; repeated
+    documents are judged one by one; an empty benchmark hits nothing.  A column of the documents named like ``out`` is replaced.
     """
     documents = documents.drop(out)
-    named = benchmark.where(F.col(item).isNotNull()).select(
-        F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
+    named = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    # A repeated text is one row with all its ids; every hit document lists them in one row too.
+    distinct = named.groupBy("text").agg(F.collect_set("item").alias("items")).where("text <> ''")
+    sized = cut_lineage(distinct.withColumn("size", F.octet_length("text").cast("long")).withColumn("key", F.xxhash64("text")))
+    blocked, n_blocks = with_blocks(sized, "key", TEXTS_PER_BLOCK)
+    summed = running(blocked.withColumn("_all", F.lit(0)), n_blocks, ["_all"], [F.col("key"), F.col("text")], F.col("size"), "sum", "end")
+    first = F.floor((F.col("end") - F.col("size")) / block_bytes)
+    last = F.floor((F.col("end") - 1) / block_bytes)
+    pieces = cut_lineage(
+        summed.select("items", "text", (last - first + 1).alias("of"), F.posexplode(F.sequence(first, last)).alias("number", "block"))
     )
-    total = named.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    blocks = 1 + (pieces.agg(F.max("block")).head()[0] or 0)
     for block in range(blocks):
-        rows = named.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        tests = TestSuffixes([(r.item, r.text.encode()) for r in rows], window)
+        rows = pieces.where(F.col("block") == block).collect()
+        tests = TestSuffixes([(r["items"], r.text.encode(), r.number, r.of) for r in rows], window)
         if block == 0:
             documents = _pass(documents, text, tests, out)
             continue

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import random
 import re
 
@@ -52,6 +53,29 @@ def test_equals_brute_force(spark):
     check(spark, docs, items, block_bytes=60)  # several blocks
 
 
+def test_long_repeated_and_nameless_items(spark):
+    rng = random.Random(9)
+    make = lambda n: " ".join(rng.choice(["a", "b", "c", "d9", "é"]) for _ in range(n))
+    long, often, nameless = make(300), make(12), "no id has this one"
+    items = [(1, long)] + [(i, often) for i in range(2, 40)]
+    docs = [f"x {long} y", f"z {' '.join(long.split()[40:140])} z", f"{make(3)} {often}", f"see {nameless}!", make(50)]
+    check(spark, docs, items)
+    check(spark, docs, items, block_bytes=100)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (None, nameless), (None, often)], "item_id long, text string")
+    got = {r.doc_id: r.contamination for r in d.contamination(frame, bench, block_bytes=100).collect()}
+    assert got[3].spans == [[1, 6]] and got[3]["items"] == [] and got[3].longest == 5
+    assert sorted(got[2]["items"]) == sorted(str(i) for i in range(2, 40))
+    assert {r.doc_id for r in d.clean_documents(frame, bench).collect()} <= {4}
+
+
+def test_memory_follows_the_words_of_an_item():
+    text = " ".join(map(str, range(50_000))).encode()
+    tests = d.TestSuffixes([("1", text)], 10)
+    assert len(pickle.dumps(tests)) < 8_000_000
+    assert d.search_shard([d.words_of(text)], tests) == [(50_000, [[0, 50_000]], ["1"], 50_000)]
+
+
 def test_shards_of_any_size_agree(spark, monkeypatch):
     docs = [b"p q r s t u v w x y z".split(), [], b"q r s t u v w x y z k l".split()] * 3
     tests = d.TestSuffixes([("1", b"p q r s t u v w x y z"), ("2", b"k l")], 10)
