@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.rows import annotate
+from plumbline.session import cut_lineage
 
 #: Bytes of a language's dictionary, and the most rows that fill it.
 DICTIONARY_BYTES = 64 * 1024
@@ -27,6 +28,9 @@ LEVEL = 6
 #: The runner-up must need this share more bytes than the winner, or the text is rejected.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
+#: Characters of a piece of a long text at least, and the most pieces of one text.
+PIECE = 160
+MOST_PIECES = 256
 
 GUESS = T.StructType(
     [
@@ -47,9 +51,11 @@ def learn(
 ) -> dict[str, bytes]:
     """A dictionary for each language, from a bounded sample.
 
-    The sample is the ``sample_rows`` different texts of a language with the lowest hashes, each giving an equal share
-    of the dictionary.  Rows with a null language or a text without letters teach nothing; an empty table gives no
-    dictionaries.  Only the shares reach the driver.
+    The sample is the ``sample_rows`` different texts of a language with the lowest hashes.  Each may fill an equal
+    share of the dictionary, and what short texts leave goes to the longer ones.  Of a text longer than its share,
+    pieces are read at hashed places spread over the whole text; a piece that several texts hold is taken once.  Rows
+    with a null language or a text without letters teach nothing; an empty table gives no dictionaries.  Only the
+    pieces reach the driver.
     """
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text")
@@ -59,19 +65,56 @@ def learn(
     for keys in (["lang", "part"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
         chosen = chosen.withColumn("n", rank).where(F.col("n") <= sample_rows).drop("n")
-    chosen = chosen.select("lang", "h")
-    share = 2 * dictionary_bytes // sample_rows
+    chosen = cut_lineage(chosen.select("lang", "h"))
+    sizes = chosen.groupBy("lang").agg(F.count("*").alias("n"))
+    chosen = chosen.join(F.broadcast(sizes), "lang")
+    # Twice the bytes: letters_of shortens texts, and some are shorter than their share.
+    share = F.ceil(F.lit(2 * dictionary_bytes) / F.col("n")).cast("int")
     rows = (
-        usable.join(F.broadcast(chosen), ["lang", "h"], "left_semi")  # at most sample_rows a language
+        usable.join(F.broadcast(chosen), ["lang", "h"])  # at most sample_rows a language
+        .select("lang", "h", _pieces(F.col("text"), F.col("h"), share).alias("pieces"))
         .groupBy("lang", "h")
-        .agg(F.min(F.substring("text", 1, share)).alias("text"))
+        .agg(F.min("pieces").alias("pieces"))
         .orderBy("lang", "h")
         .collect()
     )
-    found: dict[str, list[bytes]] = {}
+    found: dict[str, dict[int, list[bytes]]] = {}
     for row in rows:
-        found.setdefault(row.lang, []).append(letters_of(row.text))
-    return {k: b" ".join(v)[:dictionary_bytes] for k, v in sorted(found.items())}
+        known = found.setdefault(row.lang, {})
+        known[row.h] = [x for x in map(letters_of, row.pieces) if x]
+    return {k: _filled(list(v.values()), dictionary_bytes) for k, v in sorted(found.items())}
+
+
+def _pieces(text: Column, h: Column, share: Column) -> Column:
+    """The text, or pieces of it of ``share`` characters together, each at a hashed place in its part of the text."""
+    size = F.char_length(text)
+    n = F.greatest(F.lit(1), F.least(F.lit(MOST_PIECES), F.floor(share / PIECE))).cast("int")
+    long = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.substring(
+            text,
+            (F.floor(size * i / n) + F.pmod(F.xxhash64(h, i), F.greatest(F.lit(1), F.floor((size - share) / n))) + 1).cast("int"),
+            F.ceil(share / n).cast("int"),
+        ),
+    )
+    return F.when(size <= share, F.array(text)).otherwise(long)
+
+
+def _filled(texts: list[list[bytes]], room: int) -> bytes:
+    """The pieces of all texts; if they do not fit, texts are cut to the one size that fills the room."""
+    seen: set[bytes] = set()
+    whole = []
+    for pieces in texts:
+        new = [p for p in pieces if not (p in seen or seen.add(p))]
+        whole.append(b" ".join(new))
+    whole = [w for w in whole if w]
+    left, n, most = room, len(whole), 0
+    for size in sorted(len(w) + 1 for w in whole):
+        if size * n > left:
+            most = left // n
+            break
+        left, n, most = left - size, n - 1, size
+    return b" ".join(w[: max(0, most - 1)] for w in whole)[:room]
 
 
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import zlib
 
 import pytest
@@ -48,6 +49,27 @@ def test_learning_is_bounded_and_ignores_copies_and_order(spark):
     assert learnt == language.learn(frame.repartition(7), dictionary_bytes=600, sample_rows=10)
 
 
+def test_few_long_texts_fill_the_dictionary_and_banners_do_not(spark):
+    rng = random.Random(3)
+
+    def words(letters: str) -> list[str]:
+        return ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(2000)]
+
+    def text(vocabulary: list[str], n: int) -> str:
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    rare, often = words("aeiklmnoprstu"), words("aeiklmnoprstu")
+    banner = "this banner stands before every text of the source " * 12
+    train = [(i, banner + text(rare, 8000), "rare") for i in range(5)]
+    train += [(i, banner + text(often, 300), "often") for i in range(10, 410)]
+    learnt = language.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert len(learnt["rare"]) > 0.9 * language.DICTIONARY_BYTES
+    assert all(v.count(b"banner") < 0.05 * len(v.split()) for v in learnt.values())
+    held = [(i, banner + text(rare if i % 2 else often, 150), "rare" if i % 2 else "often") for i in range(60)]
+    judge = language.Compressors(learnt)
+    assert sum(judge.guess(t)[0] == lang for _, t, lang in held) >= 57
+
+
 def test_odd_rows_and_empty_tables(spark, odd_documents):
     learnt = language.learn(odd_documents.limit(0))
     assert learnt == {}
