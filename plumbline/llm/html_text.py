@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.linalg import Vectors
@@ -23,8 +25,11 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown as text.
-SILENT = "script|style|noscript|template|iframe|object|svg|math|textarea|select|title|head"
+#: Elements whose text is never shown as text: raw ones up to their end tag, the others up to the end of what holds them.
+RAW = "script|style|title|textarea|iframe"
+SILENT = frozenset("noscript template object svg math select".split())
+#: Elements a head may hold; any other tag ends it.
+HEAD = frozenset("base link meta noscript template".split())
 #: Elements, roles and words of class or id that stand for anything but the article.
 APART = frozenset("nav aside footer form button dialog menu fieldset".split())
 APART_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
@@ -33,12 +38,23 @@ APART_WORDS = frozenset(
     "dialog disqus footer masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
     "promotion related recommended replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: A word before or after one of these says what a page has or is, not what an element is.
+NOT_BEFORE = frozenset("has no not with without".split())
+NOT_LAST = frozenset("layout page site template theme".split())
+#: A container named like something else that holds more than this share of a page's text is the page's.
+MOST_OF_PAGE = 0.75
+#: Named containers in each other that are told apart; text still deeper counts to these.
+MOST_NAMED = 64
+_REST = r"(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:(?<=/)>|>.*?(?:</(?P=silent)\s*>|\Z))"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
+    rf"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*){_REST}>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW.split("|")}
+#: Where a raw element without an end tag ends: with the head, or else with the page.
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "article")
@@ -126,12 +142,27 @@ LABELLED = """
 """
 
 
+class _Open(NamedTuple):
+    """An open element: whether it stands apart by itself, lies in an article, hides its text, and the containers
+    named like something else that it lies in."""
+
+    tag: str
+    apart: bool = False
+    article: bool = False
+    silent: bool = False
+    named: tuple[int, ...] = ()
+
+
 def blocks(page: str) -> list[tuple]:
     """Text blocks in page order: text, words, links, apart, article."""
-    found: list[tuple[str, int, float, int, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, apart, in an article
+    found: list[tuple[str, int, float, bool, bool, tuple[int, ...]]] = []
+    stack: list[_Open] = []
     pieces: list[tuple[str, bool]] = []
-    in_link = any_article = False
+    articles: list[tuple[int, ...]] = []  # the named containers around each article or main
+    endless: set[str] = set()  # raw elements that have no end tag any more
+    n_named = 0
+    in_link = False
+    top = _Open("")
 
     def finish() -> None:
         if not pieces:
@@ -140,59 +171,101 @@ def blocks(page: str) -> list[tuple]:
         if text:
             linked = sum(len(p.strip()) for p, link in pieces if link)
             size = sum(len(p.strip()) for p, _ in pieces)
-            _, apart, article = stack[-1] if stack else ("", False, False)
-            found.append((text, len(text.split()), linked / max(1, size), int(apart), int(article)))
+            found.append((text, len(text.split()), linked / max(1, size), top.apart, top.article, top.named))
         pieces.clear()
 
     at = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
+    while token := _TOKEN.search(page, at):
+        if token.start() > at and not top.silent:
             pieces.append((page[at : token.start()], in_link))
         at = token.end()
         if token["tag"] is None:
-            if token["silent"]:
-                finish()
+            raw = (token["raw"] or "").lower()
+            if not raw:
+                continue
+            finish()
+            if page[at - 2] == "/":
+                continue
+            end = None if raw in endless else _RAW_END[raw].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            endless.add(raw)
+            if raw in ("textarea", "iframe"):
+                stack.append(top := top._replace(tag=raw, silent=True))
+            else:
+                end = _HEAD_END.search(page, at)
+                at = end.start() if end else len(page)
             continue
         tag = token["tag"].lower()
+        if top.tag == "head" and tag not in HEAD and not token["close"]:
+            stack.pop()
+            top = stack[-1] if stack else _Open("")
         if tag == "a":
             in_link = not token["close"]
-        if tag == "br":
+        if tag == "br" and not top.silent:
             pieces.append((" ", in_link))
         if tag in INLINE:
             continue
         finish()
         if token["close"]:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
+            top = stack[-1] if stack else _Open("")
         elif tag not in VOID and not token["rest"].endswith("/"):
-            _, apart, article = stack[-1] if stack else ("", False, False)
             if tag in ("article", "main"):
-                article = any_article = True
-            stack.append((tag, apart or _stands_apart(tag, token["rest"], article), article))
-    if at < len(page):
+                articles.append(top.named)
+            article = top.article or tag in ("article", "main")
+            apart, named = _stands_apart(tag, token["rest"], article)
+            around = top.named
+            if named:
+                n_named += 1
+                around = (*around, n_named) if len(around) < MOST_NAMED else around
+            top = _Open(tag, top.apart or apart, article, top.silent or tag in SILENT or tag == "head", around)
+            stack.append(top)
+    if at < len(page) and not top.silent:
         pieces.append((page[at:], in_link))
     finish()
-    beside = -1 if any_article else 0
-    return [(*b[:4], 1 if b[4] else beside) for b in found]
-
-
-def _stands_apart(tag: str, rest: str, article: bool) -> bool:
-    """An article's own header holds its title; any other header is the site's."""
+    # A named container is the page's own if it holds the first article, or, without one, most of the text.
+    own = set(articles[0]) if articles else set()
+    if not articles:
+        held: Counter[int] = Counter()
+        for b in found:
+            if not b[3]:
+                held.update(dict.fromkeys(b[5], b[1]))
+        total = sum(b[1] for b in found if not b[3])
+        own = {k for k, n in held.items() if n > MOST_OF_PAGE * total}
+    beside = -1 if articles else 0
+    return [(*b[:3], int(b[3] or not own.issuperset(b[5])), 1 if b[4] else beside) for b in found]
+
+
+def _stands_apart(tag: str, rest: str, article: bool) -> tuple[bool, bool]:
+    """Whether an element is something else by its tag, role or hiding, and whether by the words of its class or id.
+
+    An article's own header holds its title; any other header is the site's.
+    """
     if tag in APART or tag == "header" and not article:
-        return True
-    if "=" not in rest and "hidden" not in rest:
-        return False
+        return True, False
+    if "=" not in rest and "hidden" not in rest.lower():
+        return False, False
+    named = False
     for name, *values in _ATTRIBUTE.findall(rest):
         value = "".join(values)
         name = name.lower()
         if name == "hidden" or name == "role" and value.lower() in APART_ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if any(w.lower() in APART_WORDS for w in _WORD.findall(value)):
-                return True
-    return False
+            named = named or any(map(_names_apart, value.split()))
+    return False, named
+
+
+def _names_apart(token: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(token)]
+    if not words or words[-1] in NOT_LAST:
+        return False
+    return any(w in APART_WORDS and not (i and words[i - 1] in NOT_BEFORE) for i, w in enumerate(words))
 
 
 def features(rows: Iterable[tuple[int, float, int, int]]) -> list[tuple[float, ...]]:

@@ -57,6 +57,36 @@ def test_pages_of_other_shapes(spark, tree):
     assert got[1] == ["A title of some words", long.strip(), long.strip()]
 
 
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div style='overflow:hidden' aria-hidden=false data-id=sidebar><article><p>{LONG}</article></div>",
+        f"<div class='layout has-sidebar'><div class=no-comments><p>{LONG}<p>{LONG}</div></div>",
+        f"<div id=related-layout><main><p>{LONG}</main></div><div class=comments><article><p>{LONG}</article></div>",
+        f"<div class=share><article><p>{LONG}</article></div>",
+        f"<div class=social><p>{LONG}<p>{LONG}</div><p><a href=/>Home</a>",
+        f"<head><title>T</title><meta charset=utf-8><p>{LONG}<p>{LONG}",
+        f"<head><title>T</head><body><article><p>{LONG}</article>",
+        f"<div><select><option>One</div><article><p>{LONG}</article>",
+        f"<div><textarea>One</div><article><p>{LONG}</article>",
+        f"<head><noscript>x</noscript><style>p{{}}</style></head><div><svg><text>s</div><article><p>{LONG}</article>",
+    ],
+)
+def test_loose_pages_keep_their_article(spark, tree, page):
+    frame = spark.createDataFrame([(1, page)], "page_id long, html string")
+    text = html_text.extract(frame, tree).head().text
+    assert text and set(text.split("\n")) == {LONG.strip()}
+
+
+def test_attributes_are_read_by_their_whole_names():
+    apart = lambda page: [b[3] for b in html_text.blocks(page + "<p>" + LONG * 9)]
+    assert apart("<div hidden>a</div>") == apart("<div class='my comments'>a</div>") == [1, 0]
+    assert apart("<div data-class=comments aria-hidden=true>a</div>") == apart("<div title='a hidden one'>a</div>") == [0, 0]
+
+
 def test_odd_rows(spark, tree):
     rows = [(1, None, "k"), (2, "", "k"), (3, "<", "k"), (3, "<", "k"), (None, "<p>" * 50_000, None), (4, "<article><p>one<p>two", "k")]
     frame = spark.createDataFrame(rows, "page_id long, html string, text string")
