@@ -182,7 +182,7 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         *[of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
-        secrets.listed(F.col("secrets")).alias("spans"),
+        secrets.listed(F.filter("secrets", lambda s: s["base"] | s["live"])).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: s["base"] & (s["n_owners"] >= secrets.MANY_OWNERS)).alias("n_copied"),
     )

@@ -19,6 +19,13 @@ MANY_OWNERS = 3
 #: Different characters a random-looking value has at least.
 DISTINCT_CHARACTERS = 8
 PLACEHOLDER = "(?i)example|sample|changeme|placeholder|your|dummy|test|xxxx|0123456|1234567|abcdef"
+#: For redaction: words of a placeholder that stand alone in a value, and values that are no more than a sequence.
+PLACEHOLDER_ALONE = (
+    "(?i)(?:^|[^a-z])(?:example|sample|changeme|placeholder|your|dummy|test)(?:[^a-z]|$)"
+    "|^(?:0?1234567[0-9]*|(?:0123456789)?abcdef[a-z]*)$"
+)
+#: Kinds that are known by their form alone.
+WELL_FORMED = ("access", "prefixed", "signed")
 #: Running sums are made in blocks of this many matches, so that a text full of matches stays cheap.
 BLOCK = 256
 
@@ -112,6 +119,14 @@ def looks_random(value: Column) -> Column:
     return mixed & (distinct >= DISTINCT_CHARACTERS) & ~value.rlike(PLACEHOLDER)
 
 
+def leaks(kind: Column, value: Column) -> Column:
+    """Whether a value that few owners hold is redacted: any of a well-formed kind, others with many different
+    characters that are no placeholder.  Digits alone are a number, not hexadecimal."""
+    distinct = F.size(F.array_distinct(F.split(value, "")))
+    varied = (distinct >= DISTINCT_CHARACTERS) & ~value.rlike(PLACEHOLDER_ALONE)
+    return kind.isin(*WELL_FORMED) | (varied & ((kind != "hex") | value.rlike("[a-f]")))
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """``hash``, ``n_repositories``, ``n_owners``, ``n_found`` of each candidate in columns hash, repository, owner.
 
@@ -137,10 +152,11 @@ def scan(
     many_owners: int = MANY_OWNERS,
     out: str = "secrets",
 ) -> DataFrame:
-    """Add ``out``: an array of kind, start, end, base, n_repositories, n_owners, n_found, live; by start, then kind.
+    """Add ``out``: an array of kind, start, end, base, n_repositories, n_owners, n_found, live, leak; by start, then kind.
 
     ``keep`` names the columns to carry (default: all, texts too).  Base kinds are always there, others only if
-    live: held by fewer than ``many_owners`` owners and random to look at.  A null repository or owner is no place;
+    live, held by fewer than ``many_owners`` owners and random to look at, or a leak: held by as few and of a kind's
+    form (``leaks``), which is what is redacted.  A null repository or owner is no place;
     null and empty texts have no secrets; repeated rows each get theirs, and count once for a place.  A column named
     like ``out`` is replaced.
     """
@@ -156,8 +172,9 @@ def scan(
     each = each.join(cut_lineage(ownership(each.select("hash", "repository", "owner"))), "hash")
     live = (F.col("n_owners") < many_owners) & looks_random(F.col("value"))
     base = F.col("kind").isin([k.name for k in kinds if k.base])
-    fields = ["order", "start", "end", "kind", "base", "n_repositories", "n_owners", "n_found", "live"]
-    each = each.withColumn("live", live).withColumn("base", base).where("base or live")
+    fields = ["order", "start", "end", "kind", "base", "n_repositories", "n_owners", "n_found", "live", "leak"]
+    leak = live | ((F.col("n_owners") < many_owners) & leaks(F.col("kind"), F.col("value")))
+    each = each.withColumn("leak", leak).withColumn("live", live).withColumn("base", base).where("base or leak")
     sort = F.sort_array(F.collect_list(F.struct("start", "order", *[f for f in fields if f not in ("start", "order")])))
     judged = some.select("id", "row").join(each.groupBy("id").agg(sort.alias(out)), "id", "left")
     empty = F.lit(None).cast(judged.schema[out].dataType)
@@ -171,12 +188,12 @@ def listed(spans: Column) -> Column:
 
 
 def redact(documents: DataFrame, *, repository: str | Column, owner: str | Column, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """The documents with every live secret replaced by ``mark``; copied examples and everything else stay.
+    """The documents with every live or leaked secret replaced by ``mark``; copied examples and everything else stay.
 
     Spans that overlap are replaced by one mark.  Columns and rows are those of ``documents``.
     """
     found = scan(documents, repository=repository, owner=owner, text=text, out="_secrets", **options)
-    spans = F.filter("_secrets", lambda s: s["live"])
+    spans = F.filter("_secrets", lambda s: s["leak"])
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
