@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, html_text, language, licenses, quality, secrets, simhash, suffix_dedup, token_counts
+from plumbline.llm import bpe, chat, decontaminate, html_text, language, licenses, quality, secrets, simhash, suffix_dedup, token_counts
 from plumbline.session import cut_lineage, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,3 +252,32 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
     scanned = licenses.scan(documents).drop("text").withColumn("path", F.concat_ws("/", folders, name))
     return licenses.inherit(scanned).select("doc_id", "path", "license", "cosine", "line", "effective", "origin")
+
+
+@query(
+    "op11_chat_format",
+    r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') "role", coalesce(text, '') t FROM conversations
+           UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, "role", t) i FROM r),
+s AS (SELECT *, lag("role") OVER (PARTITION BY conv_id ORDER BY i) b, lead(i) OVER (PARTITION BY conv_id ORDER BY i) nx,
+        length(t) + 2 * len(regexp_extract_all(t, '<s>|</s>|\[/?INST\]|\[/?SYS\]|\[OUT\]|\[/?ROLE\]|\[SAYS\]'))
+        + length(regexp_replace(t, '[^\\]', '', 'g'))
+        + CASE "role" WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 19 + length("role") END c,
+        CASE "role" WHEN 'system' THEN b IS NULL WHEN 'user' THEN b IS NULL OR b IN ('system', 'assistant')
+          WHEN 'assistant' THEN coalesce(b, '') = 'user' ELSE false END fine FROM o)
+SELECT conv_id, count(*)::BIGINT n_turns,
+       sha256(string_agg("role" || chr(10) || t || chr(10), '' ORDER BY i)) turns_sha256,
+       coalesce(sum(length(t)) FILTER ("role" = 'assistant'), 0)::BIGINT loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER ("role" = 'assistant'), '')) loss_sha256,
+       (3 + sum(c))::BIGINT formatted_chars, count(*) FILTER (NOT fine)::BIGINT n_refused,
+       max("role") FILTER (nx IS NULL) = 'assistant' complete
+FROM s GROUP BY conv_id
+""",
+)
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one whose texts are made of control strings, read back from what was formatted."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(given.unionByName(extra)), shuffle=False)
