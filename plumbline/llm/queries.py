@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, html_text, language, licenses, quality, secrets, simhash, suffix_dedup, token_counts
+from plumbline.llm import bpe, chat, decontaminate, html_text, language, licenses, prefix_trie, quality, secrets, simhash, suffix_dedup, token_counts
 from plumbline.session import cut_lineage, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,3 +281,34 @@ def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_conversations(given.unionByName(extra)), shuffle=False)
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+WITH t AS (SELECT conv_id, coalesce("role", '') r, coalesce(text, '') t, row_number() OVER
+             (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce("role", ''), coalesce(text, '')) i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''),
+             lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+             lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+             4294967295::BIGINT) % 4 h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, 0 part, i, r, t FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i <= h
+      UNION ALL SELECT conv_id, 1, i, r, t FROM c JOIN t USING (conv_id) WHERE i > h),
+p AS (SELECT conv_id, row_number() OVER w d, string_agg(md5(r || chr(10) || t), '') OVER w k,
+             len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) words FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT k, d, min(conv_id) conv_id, count(*) n_convs, any_value(words) words FROM p GROUP BY k, d),
+ch AS (SELECT left(k, 32 * (d - 1)) k, count(*) n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) n_children FROM n LEFT JOIN ch USING (k)),
+s AS (SELECT p.k, sum((n_convs - 1) * m.words) saved, count(*) FILTER (n_children = 0) leaves
+      FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY p.k),
+e AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) ids
+      FROM (SELECT conv_id, arg_max(k, d) k FROM p GROUP BY conv_id) GROUP BY k)
+SELECT m.conv_id::BIGINT conv_id, m.d::BIGINT "depth", q.conv_id::BIGINT parent_conv_id, m.n_convs::BIGINT n_convs,
+       m.n_children::BIGINT n_children, leaves::BIGINT n_leaves, saved::BIGINT saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+FROM m JOIN s USING (k) LEFT JOIN e USING (k) LEFT JOIN m q ON m.d > 0 AND q.k = left(m.k, 32 * (m.d - 1))
+""",
+)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"), prefix_trie.Graft(span=20, heads=4))
