@@ -10,7 +10,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, html_text, language, licenses, prefix_trie, quality, secrets, simhash, suffix_dedup, token_counts
+from plumbline.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    html_text,
+    language,
+    licenses,
+    prefix_trie,
+    quality,
+    ranked_search,
+    secrets,
+    simhash,
+    suffix_dedup,
+    token_counts,
+)
 from plumbline.session import cut_lineage, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,3 +326,25 @@ FROM m JOIN s USING (k) LEFT JOIN e USING (k) LEFT JOIN m q ON m.d > 0 AND q.k =
 )
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"), prefix_trie.Graft(span=20, heads=4))
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+WITH d AS (SELECT row_number() OVER () i, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents),
+n AS (SELECT i, doc_id, len(w) n, w FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) docs, sum(n)::BIGINT l FROM n),
+q AS (SELECT item, item_id, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
+      FROM (SELECT row_number() OVER () item, item_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w FROM benchmark)),
+qt AS (SELECT item, item_id, t, count(*) times FROM q GROUP BY ALL),
+tf AS (SELECT i, doc_id, n, t, count(*) tf FROM (SELECT i, doc_id, n, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT w FROM (SELECT t, count(*) df FROM tf GROUP BY t), c),
+x AS (SELECT i, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // l))) v FROM tf JOIN w USING (t), c),
+s AS (SELECT item, item_id, i, doc_id, sum(times * v)::BIGINT score FROM qt JOIN x USING (t) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST, i)::INTEGER "rank", doc_id, score
+FROM s QUALIFY "rank" <= 20
+""",
+)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
