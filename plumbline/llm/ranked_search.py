@@ -30,7 +30,7 @@ ITEMS_PER_BLOCK = 100_000
 #: Most postings and documents of a bucket (a longer document is a bucket of its own), and postings of a partition.
 BUCKET_POSTINGS = 1 << 20
 BUCKET_ROWS = 1 << 14
-PARTITION_POSTINGS = 1 << 22
+PARTITION_POSTINGS = 1 << 21
 #: Longest vectors that set the first thresholds.
 SEEDS = 4096
 #: Bytes of a text that are split into terms at once.
@@ -222,6 +222,27 @@ def _vectors(index: DataFrame, sent) -> DataFrame:
     return index.where("size(terms) > 0").mapInArrow(run, VECTORS)
 
 
+def _by_length(vectors: DataFrame) -> DataFrame:
+    """Vectors in order of length, dealt into partitions of equal postings.
+
+    Long vectors hold most postings, so partitions are cut by the postings of some hundred classes of length, summed
+    beforehand; a class larger than a partition is dealt over several.
+    """
+    level = F.floor(8 * F.log2("length")).cast("int")
+    sums = vectors.groupBy(level.alias("level")).agg(F.sum(F.size("terms").cast("long")).alias("postings")).collect()
+    before, starts = 0, []
+    for row in sorted(sums, reverse=True):
+        starts.append((row.level, before, row.postings))
+        before += row.postings
+    partitions = max(1, -(-before // PARTITION_POSTINGS))
+    classes = vectors.sparkSession.createDataFrame(starts, "level int, before long, postings long")
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)
+    placed = vectors.withColumns({"level": level, "share": share}).join(F.broadcast(classes), "level")
+    place = F.floor((F.col("before") + F.col("share") * F.col("postings")) / PARTITION_POSTINGS)
+    dealt = placed.select("doc_id", "length", "terms", "impacts", place.alias("place")).repartition(partitions, "place")
+    return dealt.sortWithinPartitions("place", F.desc("length")).drop("place")
+
+
 def _search(vectors: DataFrame, sent, thresholds: list[int], top: int) -> DataFrame:
     """Best documents of each item in each task: ``item`` (its place in the block), ``doc_id``, ``score``."""
     floors = vectors.sparkSession.sparkContext.broadcast(thresholds)
@@ -311,11 +332,7 @@ def _search_block(documents: DataFrame, block: DataFrame, top: int, seeds: int)
     df = {r[0]: r[1] for r in index.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
     items.weigh(n_docs, max(1, total), df)
     sent = spark.sparkContext.broadcast(items)
-    partitions = max(spark.sparkContext.defaultParallelism, -(-postings // PARTITION_POSTINGS))
-    made = _vectors(index, sent).withColumn("tie", F.monotonically_increasing_id())
-    vectors = cut_lineage(
-        made.repartitionByRange(partitions, F.desc("length"), "tie").sortWithinPartitions(F.desc("length"), "tie").drop("tie")
-    )
+    vectors = cut_lineage(_by_length(_vectors(index, sent)))
     nothing = [0] * len(rows)
     least = vectors.select("length").orderBy(F.desc("length")).limit(seeds).agg(F.min("length")).head()[0] or 0.0
     first = cut_lineage(_best(_search(vectors.where(F.col("length") >= least), sent, nothing, top), top))
