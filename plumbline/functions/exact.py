@@ -75,6 +75,38 @@ def text_of(number: Column) -> Column:
     return F.concat(F.lit("0."), digits, F.lit("E"), power.cast("string"))
 
 
+def double_of(number: Column) -> Column:
+    return text_of(number).cast("double")
+
+
+#: Doubles read from decimals and their quotients are off by less than this share of their value, above TINY.
+SLACK = 1e-14
+TINY = 1e-290
+
+
+def least_of(approximate: Column) -> Column:
+    """A lower bound of the number or quotient that a double stands for; grows with the double."""
+    return F.when(approximate < TINY, F.lit(0.0)).otherwise(approximate * (1 - SLACK))
+
+
+def most_of(approximate: Column) -> Column:
+    """An upper bound, likewise."""
+    return F.when(approximate < TINY, F.lit(2 * TINY)).otherwise(approximate * (1 + SLACK))
+
+
+def compare_quotients(
+    a: Column, a_divisor: Column, a_double: Column, b: Column, b_divisor: Column, b_double: Column, limbs: int
+) -> Column:
+    """-1, 0 or 1 as a / a_divisor is less than, equal to or more than b / b_divisor, for numbers not below zero.
+
+    Doubles decide where their bounds lie apart; digits are spelt out only for the rest.
+    """
+    x, y = a_double / a_divisor, b_double / b_divisor
+    keys = F.struct(quotient_key(a, a_divisor, limbs).alias("a"), quotient_key(b, b_divisor, limbs).alias("b"))
+    by_digits = let(keys, lambda k: F.when(k["a"] < k["b"], F.lit(-1)).otherwise((k["a"] > k["b"]).cast("int")))
+    return F.when(most_of(x) < least_of(y), F.lit(-1)).when(least_of(x) > most_of(y), F.lit(1)).otherwise(by_digits)
+
+
 def limbs_for(longest: int) -> int:
     """Limbs of a quotient so that equal keys mean equal quotients, for numerators of ``longest`` digits."""
     return -(-(longest + GUARD) // LIMB)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 UNIT_SEPARATOR = "\x1f"
 
@@ -25,9 +26,12 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(joined, 256), 1, 20))
 
 
-# Texts whose numbers or keys the JVM's variant type would spell or sort in another way: fractions, exponents, minus
-# zero, integers of 16 digits and more, characters beyond the basic plane.
-SPELT = r"\d[.eE]|-0|\d{16}|[^\x00-\uFFFF]|\\\\u[dD][89abAB]"
+# Texts that the JVM's variant type may spell, sort or read in another way: escapes, fractions, exponents, minus zero,
+# integers of 16 digits and more, characters beyond the basic plane.  So do long and deeply nested ones.
+SPELT = r"\\|\d[.eE]|-0|\d{16}|[^\x00-\uFFFF]"
+LONG = 1 << 16
+DEEP = 200
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 class _Repeated(ValueError):
@@ -60,31 +64,67 @@ def resolve(value: Any, pointer: str) -> Any:
 
 
 def canonical_text(text: str | None, pointer: str = "") -> str | None:
-    """One text's canonical form, or that of the place a pointer names; numbers keep integers and fractions apart."""
+    """One text's canonical form, or that of the place a pointer names; numbers keep integers and fractions apart.
+
+    A lone surrogate, which no UTF-8 text can hold, stays the escape it was written as, in small letters.
+    """
     if text is None:
         return None
     try:
         value = resolve(json.loads(text, object_pairs_hook=_once, parse_constant=_refuse), pointer)
-        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        spelt = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", spelt)
     except (ValueError, LookupError, RecursionError):
         return None
 
 
-def canonical_at(text: Column, pointer: str, plain: Column) -> Column:
-    """``plain``, made in the JVM, except for texts it could spell otherwise; only those are sent to Python."""
+def canonical_at(text: Column, pointer: str, place: Callable[[Column], Column] | None = None) -> Column:
+    """Canonical JSON of a text, or of the place a pointer names, which ``place`` finds in the parsed text.
+
+    Made in the JVM, except for texts it could spell otherwise, and all texts where ``place`` is not given; only those
+    are sent to Python.  The variant parser stops after one value, so what it read must be as long as the text, but for
+    white space.
+    """
 
     @pandas_udf(StringType())
     def spell(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: canonical_text(t, pointer), na_action="ignore")
 
-    spelt = F.coalesce(text.rlike(SPELT), F.lit(False))
-    return F.when(spelt, spell(F.when(spelt, text))).otherwise(plain)
+    if place is None:
+        return spell(text)
+    parsed = F.try_parse_json(text)
+    whole = F.to_json(parsed)
+    read_to_its_end = F.length(F.replace(whole, F.lit(" "))) == F.length(F.regexp_replace(text, r"[ \t\r\n]", ""))
+    other = text.rlike(SPELT) | (F.length(text) > LONG) | (F.size(F.split(text, r"[\[{]")) > DEEP)
+    other = F.coalesce(other, F.lit(False))
+    return F.when(other, spell(F.when(other, text))).when(read_to_its_end, place(parsed))
 
 
 def canonical_json(text: Column) -> Column:
-    """Sorted keys, no spaces, 1 and 1.0 apart, integers of any length; null where the text is not one JSON value or
-    repeats a key."""
-    return canonical_at(text, "", F.to_json(F.try_parse_json(text)))
+    """Keys sorted by code point, no spaces, only the escapes that must be, 1 and 1.0 apart.
+
+    Null where the text is not exactly one JSON value, repeats a key, nests deeper than Python reads, or has an integer
+    of more than 4,300 digits or a number beyond the doubles.
+    """
+    return canonical_at(text, "", F.to_json)
+
+
+def is_json(text: Column) -> Column:
+    """Exactly one JSON value, repeated keys included; null for null."""
+
+    def reads(text: str) -> bool:
+        try:
+            json.loads(text)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    @pandas_udf(BooleanType())
+    def check(texts: pd.Series) -> pd.Series:
+        return texts.map(reads, na_action="ignore")
+
+    sound = canonical_json(text).isNotNull()
+    return sound | (~sound & check(F.when(~sound, text)))
 
 
 def semantic_digest(text: Column) -> Column:

@@ -37,13 +37,15 @@ def bh_levels(
     ``weight`` names a column that says how many tests a row stands for.
     """
     family = list(family)
-    approximate = (E.text_of(F.col(p)) if limbs else F.col(p)).cast("double")
+    approximate = E.double_of(F.col(p)) if limbs else F.col(p).cast("double")
     levels = df.groupBy(*family, p).agg((F.sum(weight) if weight else F.count("*")).alias("n_tests")).withColumn("_d", approximate)
     blocked, blocks = with_blocks(levels, "_d", rows_per_block)
     ranked = running(blocked, blocks, family, [F.col(p)], F.col("n_tests"), "sum", "rank")
-    ratio = E.quotient_key(F.col(p), F.col("rank"), limbs) if limbs else F.col(p) / F.col("rank")
-    step = F.struct(ratio.alias("q"), F.col(p).alias("p"), F.col("rank").alias("r"))
-    stepped = running(ranked, blocks, family, [F.col(p)], step, "min", "_step", descending=True)
+    if limbs:
+        stepped = _least_ratios(ranked, blocks, family, p, limbs)
+    else:
+        step = F.struct((F.col(p) / F.col("rank")).alias("q"), F.col(p).alias("p"), F.col("rank").alias("r"), F.col("_d").alias("d"))
+        stepped = running(ranked, blocks, family, [F.col(p)], step, "min", "_step", descending=True)
     size = blocked.groupBy(*family).agg(F.sum("n_tests").alias("family_size"))
     return stepped.join(size, family).select(
         *family,
@@ -53,10 +55,34 @@ def bh_levels(
         "family_size",
         F.col("_step.p").alias("best_p"),
         F.col("_step.r").alias("best_rank"),
-        F.col("_step.q").alias("best_ratio"),
+        F.col("_step.d").alias("best_double"),
     )
 
 
+def _least_ratios(ranked: DataFrame, blocks: int, family: list[str], p: str, limbs: int) -> DataFrame:
+    """Add ``_step``, the level of least ``p / rank`` from each level upwards, exactly.
+
+    Read from the largest p down, a level is a clear record if its ratio lies under all before by the bounds of
+    doubles, clearly none if it lies over the least, else contested.  A contested level can only meet the last clear
+    record and the contested ones since; only these get the digits of their ratios.
+    """
+    def scan(df: DataFrame, value: Column, kind: str, out: str, **how) -> DataFrame:
+        return running(df, blocks, family, [F.col(p)], value, kind, out, **how)
+
+    ratio = F.col("_d") / F.col("rank")
+    seen = scan(ranked, ratio, "min", "_above", descending=True, inclusive=False)
+    record = F.col("_above").isNull() | (E.most_of(ratio) < E.least_of(F.col("_above")))
+    contested = ~record & (E.least_of(ratio) <= E.most_of(F.col("_above")))
+    seen = seen.withColumns({"_record": record, "_contested": contested})
+    seen = scan(seen, F.when(F.col("_record"), ratio), "min", "_last", descending=True)
+    event = F.when(F.col("_record") | F.col("_contested"), F.struct(F.col(p).alias("p"), F.col("_contested").alias("contested")))
+    seen = scan(seen, event, "max", "_next", inclusive=False)
+    spelt = F.col("_contested") | (F.col("_record") & F.coalesce(F.col("_next.contested"), F.lit(False)))
+    digits = F.when(spelt, E.quotient_key(F.col(p), F.col("rank"), limbs))
+    step = F.struct(F.col("_last").alias("q"), digits.alias("digits"), F.col(p).alias("p"), F.col("rank").alias("r"), F.col("_d").alias("d"))
+    return scan(seen, F.when(F.col("_record") | F.col("_contested"), step), "min", "_step", descending=True)
+
+
 def adjusted_value(best_p: Column) -> Column:
     return F.least(best_p.cast("double") * F.col("family_size") / F.col("best_rank"), F.lit(1.0))
 
@@ -79,38 +105,43 @@ def bh_adjust(df: DataFrame, family: Sequence[str], p: str, **options) -> DataFr
     judged = judged.withColumn("_p", F.when(F.col("applicability") == APPLICABLE, F.col("_p")))
     levels = bh_levels(judged.where(F.col("_p").isNotNull()), family, "_p", **options)
     levels = levels.withColumn("adjusted", adjusted_value(F.col("best_p")))
-    levels = levels.drop("family_size", "best_p", "best_rank", "best_ratio")
+    levels = levels.drop("family_size", "best_p", "best_rank", "best_double")
     return attach(judged, levels, [*family, "_p"], "n_tests").drop("n_tests", "_p")
 
 
-def _with_unit(levels: DataFrame, limbs: int) -> DataFrame:
-    """Add ``unit``, 1 / family_size: the adjusted value is 1 where ``best_ratio`` is not less."""
-    return levels.withColumn("unit", E.quotient_key(E.literal("1"), F.col("family_size"), limbs))
+def _best_against(number: Column, double: Column, limbs: int) -> Column:
+    """-1, 0 or 1: the adjusted value before it is capped at 1, ``best_p * family_size / best_rank``, against a number."""
+    best = [F.col("best_p"), F.col("best_rank"), F.col("best_double")]
+    return E.compare_quotients(*best, number, F.col("family_size"), double, limbs)
+
+
+def _with_cap(levels: DataFrame, limbs: int) -> DataFrame:
+    """Add ``capped``: the adjusted value is 1."""
+    return levels.withColumn("capped", _best_against(E.literal("1"), F.lit(1.0), limbs) >= 0)
 
 
 def _at_most(alpha: str, limbs: int) -> Column:
     """The adjusted value is at most ``alpha``."""
-    given = E.literal(alpha)
-    below = F.col("best_ratio") <= E.quotient_key(given, F.col("family_size"), limbs)
-    return F.when(F.col("best_ratio") < F.col("unit"), below).otherwise(given >= E.literal("1"))
+    below = _best_against(E.literal(alpha), F.lit(float(alpha)), limbs) <= 0
+    return F.when(F.col("capped"), F.lit(Decimal(alpha) >= 1)).otherwise(below)
 
 
 def differs_from_adjusted(reported: Column, limbs: int, scale: int | None) -> Column:
-    """``reported`` differs from ``min(best_p * m / r, 1)``; both are divided by m and compared by digits.
+    """``reported`` differs from ``min(best_p * m / r, 1)``, exactly.
 
     With ``scale`` the report counts as equal when it is the adjusted value rounded half up to that many decimals; a
-    report of more than 36 decimals is no rounded one.  The row has best_ratio, unit and family_size.
+    report of more than 36 decimals is no rounded one.  The row has what :func:`bh_levels` gives, and ``capped``.
     """
-    ratio, size = F.col("best_ratio"), F.col("family_size")
-    capped = ratio >= F.col("unit")
+    capped = F.col("capped")
     if scale is None:
-        return F.when(capped, reported != E.literal("1")).otherwise(ratio != E.quotient_key(reported, size, limbs))
+        return F.when(capped, reported != E.literal("1")).otherwise(_best_against(reported, E.double_of(reported), limbs) != 0)
     half = F.lit(Decimal(5).scaleb(-scale - 1)).cast("decimal(37,36)")
 
     def beside(stated: Column) -> Column:
-        low, high = E.parse(F.greatest(stated - half, F.lit(0))), E.parse(stated + half)
-        inside = (ratio >= E.quotient_key(low, size, limbs)) & (ratio < E.quotient_key(high, size, limbs))
-        return F.when(capped, stated + half > 1).otherwise(inside)
+        low, high = stated - half, stated + half
+        over = F.when(low <= 0, F.lit(True)).otherwise(_best_against(E.parse(low), low.cast("double"), limbs) >= 0)
+        under = _best_against(E.parse(high), high.cast("double"), limbs) < 0
+        return F.when(capped, high > 1).otherwise(over & under)
 
     short = (reported["digits"] == "") | (F.length(reported["digits"]) - reported["exponent"] <= 36)
     return ~(short & E.let(E.text_of(reported).cast("decimal(37,36)"), beside))
@@ -154,7 +185,7 @@ def bh_recheck_rows(
     good = attach(typed.drop("reasons"), state, ["family"], "n_rows").where(F.col("applicability") == APPLICABLE)
     good = good.select("family", "test_id", "raw", "reported", "reported_call")
     limbs = _limbs(typed, "raw", "reported")
-    levels = _with_unit(bh_levels(good, ["family"], "raw", limbs=limbs, **options), limbs)
+    levels = _with_cap(bh_levels(good, ["family"], "raw", limbs=limbs, **options), limbs)
     levels = levels.withColumns(
         {"adjusted": adjusted_value(E.text_of(F.col("best_p"))), "recomputed_call": _at_most(str(c.alpha), limbs)}
     )
@@ -211,7 +242,7 @@ def correction_scope(
     part = bh_levels(corrected, family, "p", limbs=limbs, weight="n", **options)
 
     def misses(levels: DataFrame, out: str) -> DataFrame:
-        joined = corrected.join(_with_unit(levels, limbs).drop("n_tests", "rank"), [*family, "p"])
+        joined = corrected.join(_with_cap(levels, limbs).drop("n_tests", "rank"), [*family, "p"])
         wrong = differs_from_adjusted(F.col("asserted"), limbs, scale)
         return joined.groupBy(*family).agg(F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias(out))
 

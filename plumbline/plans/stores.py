@@ -203,20 +203,49 @@ def order_records(t: Tables) -> DataFrame:
     return t.orders.select(F.lit("result").alias("record_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("record_id"), body.alias("body"))
 
 
+def stored_records(t: Tables) -> DataFrame:
+    """A store as it was written, with fractions, escapes and floats in its records, and with lines spoilt by hand."""
+    store = scratch(t, "records")
+    k = F.substring("record_id", 2, 20).cast("long") % 100
+    number = F.when(k % 3 == 0, F.lit("1.0")).when(k % 3 == 1, F.lit("0.0000001")).otherwise(F.lit("12345678901234567890"))
+    more = F.concat(F.lit('"n":'), number, F.lit(',"s":"\\u001F\\u00e9\\/","'))
+    made = order_records(t).withColumn("body", F.regexp_replace("body", '^\\{"', F.concat(F.lit("{"), F.replace(more, F.lit("\\"), F.lit("\\\\")))))
+    records.write_records(made.where(~k.isin(1, 2, 4, 5, 6)), store)
+    records.write_records(made.where(k == 3).withColumn("record_type", F.lit("claim")), store)
+    spoilt = (
+        F.when(k == 1, F.concat(F.lit("["), F.col("body"))).when(k == 2, F.concat(F.lit(" "), F.col("body")))
+        .when(k == 4, F.concat(F.col("body"), F.lit(" {}"))).when(k == 5, F.lit('["result"]')).otherwise(F.lit('{"a":1,"a":1}'))
+    )
+    made.where(k.isin(1, 2, 4, 5, 6)).select("record_type", spoilt.alias("value")).write.mode("append").partitionBy("record_type").text(store)
+    last = made.agg(F.min_by("body", F.substring("record_id", 2, 20).cast("long")).alias("value"))
+    # A line that ends otherwise than in a newline.
+    last.select(F.lit("result").alias("record_type"), "value").coalesce(1).write.mode("append").partitionBy("record_type").text(store, lineSep=" ")
+    return records.read_records(t.spark, store)
+
+
 @query(
     "record_store",
-    """SELECT 'result' AS record_type, CASE WHEN o_orderkey % 100 <> 1 THEN 'o' || o_orderkey END AS record_id, CASE WHEN o_orderkey % 100 = 1 THEN 'malformed' WHEN o_orderkey % 100 = 2 THEN 'not_canonical' END AS problem FROM orders
-    UNION ALL SELECT 'claim', 'o' || o_orderkey, 'wrong_type' FROM orders WHERE o_orderkey % 100 = 3""",
+    """SELECT 'result' AS record_type, CASE WHEN o_orderkey % 100 NOT IN (1, 4, 5, 6) THEN 'o' || o_orderkey END AS record_id,
+      CASE o_orderkey % 100 WHEN 1 THEN 'malformed' WHEN 2 THEN 'not_canonical' WHEN 4 THEN 'malformed' WHEN 5 THEN 'not_an_object' WHEN 6 THEN 'not_canonical' END AS problem FROM orders
+    UNION ALL SELECT 'claim', 'o' || o_orderkey, 'wrong_type' FROM orders WHERE o_orderkey % 100 = 3
+    UNION ALL SELECT 'result', 'o' || min(o_orderkey), 'torn' FROM orders""",
 )
 def record_store(t: Tables) -> DataFrame:
-    store = scratch(t, "records")
-    made = order_records(t)
-    k = F.substring("record_id", 2, 20).cast("long") % 100
-    records.write_records(made.where(~k.isin(1, 2)), store)
-    records.write_records(made.where(k == 3).withColumn("record_type", F.lit("claim")), store)
-    broken = F.when(k == 1, F.concat(F.lit("["), F.col("body"))).otherwise(F.concat(F.lit(" "), F.col("body")))
-    made.where(k.isin(1, 2)).select("record_type", broken.alias("value")).write.mode("append").partitionBy("record_type").text(store)
-    return records.read_records(t.spark, store).select("record_type", "record_id", "problem")
+    return stored_records(t).select("record_type", "record_id", "problem")
+
+
+@query(
+    "record_lines",
+    """SELECT 'result' AS record_type, count(*) + 1 AS n_lines, true AS numbered FROM orders
+    UNION ALL SELECT 'claim', count(*), true FROM orders WHERE o_orderkey % 100 = 3 HAVING count(*) > 0""",
+)
+def record_lines(t: Tables) -> DataFrame:
+    """Every file's lines are numbered from 1 to its number of lines."""
+    n = F.col("line_number")
+    by_file = stored_records(t).groupBy("record_type", "file").agg(
+        F.count("*").alias("lines"), ((F.min(n) == 1) & (F.max(n) == F.count("*")) & (F.sum(n) * 2 == F.count("*") * (F.count("*") + 1))).alias("ok")
+    )
+    return by_file.groupBy("record_type").agg(F.sum("lines").alias("n_lines"), F.bool_and("ok").alias("numbered"))
 
 
 @query(

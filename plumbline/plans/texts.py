@@ -359,40 +359,56 @@ def multiplicity_declaration(t: Tables) -> DataFrame:
 
 @query(
     "json_grade",
-    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'malformed' WHEN event_id % 11 = 0 THEN 'missing'
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 17 = 1 THEN 'malformed' WHEN event_id % 11 = 0 THEN 'missing'
       WHEN CAST(json_extract(props, '$.k') AS INT) % 3 = 0 AND event_id % 13 > 2 THEN 'match' ELSE 'mismatch' END AS grade FROM events""",
 )
 def json_grade(t: Tables) -> DataFrame:
+    n = F.col("event_id")
+    place = F.concat(F.lit('{"a/b": ['), F.col("props"), F.lit("]}"))
     props = (
-        F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{"), F.col("props")))
-        .when(F.col("event_id") % 11 == 0, F.lit('{"other": 1}'))
-        .otherwise(F.concat(F.lit('{"a/b": ['), F.col("props"), F.lit("]}")))
+        F.when(n % 7 == 0, F.concat(F.lit("{"), F.col("props")))
+        .when(n % 17 == 1, F.concat(place, F.when(n % 2 == 0, F.lit(" true")).otherwise(F.lit("\n,"))))  # more than one value
+        .when(n % 11 == 0, F.lit('{"other": 1}'))
+        .when(n % 5 == 0, F.concat(F.lit('{"a\\u002fb": {"0": '), F.col("props"), F.lit("}}")))
+        .when(n % 5 == 1, F.concat(F.lit('{"a/b": {"0": '), F.col("props"), F.lit("}}")))
+        .otherwise(place)
     )
     k = F.get_json_object("props", "$.k").cast("int")
     # Values that equal the number and are spelt otherwise, or differ in the last of fifty digits, do not match.
-    other = F.when(F.col("event_id") % 13 == 0, F.concat(k, F.lit(".0"))).when(F.col("event_id") % 13 == 1, F.concat(k, F.lit("e0"))).otherwise(F.concat(F.repeat(F.lit("9"), F.lit(49)), k))
-    number = F.when(F.col("event_id") % 13 > 2, k.cast("string")).otherwise(other)
-    want = F.when(k % 3 == 0, F.concat(F.lit('{ "k" : '), number, F.lit("}"))).otherwise(F.lit('{"k": -1}'))
+    other = F.when(n % 13 == 0, F.concat(k, F.lit(".0"))).when(n % 13 == 1, F.concat(k, F.lit("e0"))).otherwise(F.concat(F.repeat(F.lit("9"), F.lit(49)), k))
+    number = F.when(n % 13 > 2, k.cast("string")).otherwise(other)
+    key = F.when(n % 2 == 0, F.lit('{ "k" : ')).otherwise(F.lit('{"\\u006B":'))
+    want = F.when(k % 3 == 0, F.concat(key, number, F.lit("}"))).otherwise(F.lit('{"k": -1}'))
     rows = t.events.select("event_id", props.alias("actual"), want.alias("expected"))
     return values.json_grade(rows, "actual", "expected", "/a~1b/0").select("event_id", "grade")
 
 
 @query(
     "canonical_json",
-    """SELECT event_id, CASE WHEN event_id % 6 < 5 THEN '{"a":"' || event_type || '","n":' || CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '1.0' WHEN 2 THEN '1e-07'
-      WHEN 3 THEN repeat('1234567890', 5) || event_id ELSE '-0.0' END || ',"z":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' END AS canonical FROM events""",
+    r"""WITH c AS (SELECT event_id, CASE WHEN event_id % 15 IN (5, 13, 14) THEN NULL ELSE '{"a":' || CASE event_id % 15 WHEN 6 THEN '"' || chr(92) || 'u001f"'
+        WHEN 7 THEN '"' || chr(92) || 'ud800' || event_type || '"' WHEN 8 THEN '"' || chr(92) || chr(92) || 'ud800"' WHEN 9 THEN '"/' || chr(233) || chr(128512) || '"'
+        WHEN 10 THEN '"' || chr(92) || 'n' || chr(92) || '""' ELSE '"' || event_type || '"' END || ',"n":' || CASE event_id % 15 WHEN 1 THEN '1.0' WHEN 2 THEN '1e-07'
+        WHEN 3 THEN repeat('1234567890', 5) || event_id WHEN 4 THEN '-0.0' WHEN 11 THEN '{"B":[],"' || chr(61440) || '":1,"' || chr(128512) || '":{}}'
+        WHEN 12 THEN repeat('[', 300) || repeat(']', 300) ELSE '1' END || ',"z":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' END AS canonical FROM events)
+      SELECT *, 'sha256:' || sha256(canonical) AS digest FROM c""",
 )
 def canonical_json(t: Tables) -> DataFrame:
-    m = F.col("event_id") % 6
+    m = F.col("event_id") % 15
     number = (
-        F.when(m == 0, F.lit("1")).when(m == 1, F.lit("1.0")).when(m == 2, F.lit("0.0000001"))
+        F.when(m == 1, F.lit("1.0")).when(m == 2, F.lit("0.0000001"))
         .when(m == 3, F.concat(F.repeat(F.lit("1234567890"), F.lit(5)), F.col("event_id")))
-        .when(m == 4, F.lit("-0.0")).otherwise(F.lit('1.5, "n": 2'))  # the last repeats a key
+        .when(m == 4, F.lit("-0.0")).when(m == 5, F.lit('1, "n": 2'))  # repeats a key
+        .when(m == 11, F.lit('{"\U0001f600": { }, "B":[\n], "\uf000" :1}'))
+        .when(m == 12, F.lit("[" * 300 + "]" * 300)).otherwise(F.lit("1"))
     )
-    raw = F.concat(
-        F.lit('{ "z" : '), F.get_json_object("props", "$.k"), F.lit(', "n":'), number, F.lit(', "a" : "'), F.col("event_type"), F.lit('" }')
-    )
-    return t.events.select("event_id", ids.canonical_json(raw).alias("canonical"))
+    word = (
+        F.when(m == 6, F.lit('"\\u001F"')).when(m == 7, F.concat(F.lit('"\\uD800'), F.col("event_type"), F.lit('"')))
+        .when(m == 8, F.lit('"\\\\ud800"')).when(m == 9, F.lit('"\\/\\u00E9\\uD83D\\uDE00"')).when(m == 10, F.lit('"\\u000a\\""'))
+        .otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+    )
+    rest = F.when(m == 13, F.lit("} x")).when(m == 14, F.lit("}\n{}")).otherwise(F.lit("}\t"))
+    raw = F.concat(F.lit('{ "z" : '), F.get_json_object("props", "$.k"), F.lit(', "n":'), number, F.lit(', "a" : '), word, rest)
+    return t.events.select("event_id", ids.canonical_json(raw).alias("canonical"), ids.semantic_digest(raw).alias("digest"))
 
 
 @query(

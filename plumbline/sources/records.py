@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ids import canonical_json
+from plumbline.functions.ids import canonical_json, is_json, sha256_digest
+from plumbline.session import cut_lineage
 
 # The columns of a task trace, in order.
 TRACE_COLUMNS = (
@@ -26,18 +27,65 @@ def write_records(records: DataFrame, path: str) -> None:
     ).text(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files as ``value``, with ``file``, ``line_number`` in it (from 1) and ``torn``.
+
+    A file is read in splits; a line's number is its place in the split, where rows come in order, after the lines of
+    the splits before it, of which one row each is added up.  The last line of a file is torn if no newline ends it,
+    which its size tells.  Partition columns are kept.
+    """
+    read = spark.read.text(path, lineSep="\n").select(
+        "*",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.col("_metadata.file_size").alias("_size"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    read = cut_lineage(read)
+    splits = read.groupBy("file", "_split").agg(
+        F.count("*").alias("_lines"),
+        F.min("_row").alias("_first"),
+        F.sum(F.octet_length("value").cast("long") + 1).alias("_bytes"),
+        F.first("_size").alias("_size"),
+    )
+    by_file = Window.partitionBy("file")
+    before = by_file.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select(
+        "file",
+        "_split",
+        "_first",
+        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"),
+        F.sum("_lines").over(by_file).alias("_all"),
+        (F.sum("_bytes").over(by_file) > F.col("_size")).alias("_torn"),
+    )
+    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    joined = read.drop("_size").join(placed, ["file", "_split"]).withColumn("line_number", number)
+    torn = F.col("_torn") & (F.col("line_number") == F.col("_all"))
+    return joined.withColumn("torn", torn).drop("_split", "_first", "_before", "_all", "_torn", "_row")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Stored lines with what is wrong with each: malformed, of another type, not canonical."""
-    lines = spark.read.text(path)
-    parsed = F.try_parse_json("value")
+    """Stored lines with file, line number and what is wrong with each.
+
+    ``torn`` (the last line has no newline), ``malformed`` (not UTF-8 or not JSON), ``not_an_object``,
+    ``not_canonical`` (not as :func:`write_records` spells it) or ``wrong_type``, the first that holds.
+    """
+    lines = numbered_lines(spark, path)
+    text = F.try_validate_utf8("value")
+    lines = lines.withColumns({"_text": text, "_canonical": canonical_json(text)})
+    parsed = F.try_parse_json("_canonical")
     stated = F.try_variant_get(parsed, "$.record_type", "string")
     problem = (
-        F.when(parsed.isNull(), F.lit("malformed"))
+        F.when(F.col("torn"), F.lit("torn"))
+        .when(~F.coalesce(is_json(F.col("_text")), F.lit(False)), F.lit("malformed"))
+        .when(~F.ltrim(F.col("_text")).startswith("{"), F.lit("not_an_object"))
+        .when(~F.col("_canonical").eqNullSafe(F.col("_text")), F.lit("not_canonical"))
         .when(~stated.eqNullSafe(F.col("record_type")), F.lit("wrong_type"))
-        .when(F.to_json(parsed) != F.col("value"), F.lit("not_canonical"))
     )
     identity = F.try_variant_get(parsed, "$.record_id", "string")
-    return lines.select("record_type", identity.alias("record_id"), F.col("value").alias("body"), problem.alias("problem"))
+    return lines.select(
+        "record_type", identity.alias("record_id"), F.col("value").alias("body"), "file", "line_number", problem.alias("problem")
+    )
 
 
 def _named(value: dict, *keys: str) -> bool:
@@ -75,12 +123,8 @@ def evidence_index(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     Every typed reference inside a record becomes an edge at its JSON pointer, and every source
     reference a location.  Records are walked in Arrow batches, one record at a time.
     """
-    base = records.select(
-        "record_type",
-        "record_id",
-        canonical_json(F.col("body")).alias("body"),
-        F.concat(F.lit("sha256:"), F.sha2(canonical_json(F.col("body")), 256)).alias("digest"),
-    )
+    base = cut_lineage(records.select("record_type", "record_id", canonical_json(F.col("body")).alias("body")))
+    base = base.withColumn("digest", sha256_digest(F.col("body")))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -24,6 +25,50 @@ def test_grade_needs_the_same_spelling(spark):
     assert [r.grade for r in values.json_grade(frame, "a", "b", "/0").collect()] == [r[2] for r in rows]
 
 
+def test_canonical_json_is_what_python_writes(spark):
+    """Escapes in small letters and only where they must be, keys by code point, one value and no more."""
+    values_ = [{"\U0001f600": 1, "\uf000": [2], "z": "\x1f\x7f\u2028/\\\"", "a": " \t"}, "\ud800x", "\\ud800", [[[]]], {"": {}}, "  spaced  out ", 10**20, 0.1, "é\n"]
+    texts = [json.dumps(v) for v in values_] + [json.dumps(v, indent=1, ensure_ascii=False) for v in values_ if v != "\ud800x"]
+    texts += ["[" * 150 + "]" * 150, "[" * 600 + "]" * 600, json.dumps({"k": "x" * 100_000}), ' {"b":"é" , "a":"x y"}\r\n']
+    want = []
+    for t in texts:
+        spelt = json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        want.append(re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", spelt))
+    bad = ['{"a":true} x', "1 2", "[],", '{"a":1}{}', "", " ", '{"a":1,"a":1}', "01", "[1,]", "'a'", "\ufeff1", '"\x01"', '"a\nb"', "tru", "1\x0b", "\xa01", "[" * 300_000 + "]" * 300_000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts + bad)], "i int, t string")
+    rows = frame.select("i", ids.canonical_json(F.col("t")).alias("c"), ids.semantic_digest(F.col("t")).alias("d")).orderBy("i").collect()
+    assert [r.c for r in rows] == want + [None] * len(bad)
+    assert rows[1].c != rows[2].c and len({r.d for r in rows[:9]}) == 9
+    again = spark.createDataFrame([(r.i, r.c) for r in rows[: len(texts)]], "i int, t string").select("i", ids.canonical_json(F.col("t")).alias("c"))
+    assert [r.c for r in again.orderBy("i").collect()] == want
+
+
+def test_pointers_name_places_in_arrays_and_keys_of_objects(spark):
+    cases = [("[[1]]", "/0/0", "1"), ('{"0":{"0":"\\u0061"}}', "/0/0", '"a"'), ('[{"0":2}]', "/0/0", "2"), ("[7]", "/00", None), ('{"00":7}', "/00", "7"), ('{"a\'b":3}', "/a'b", "3"), ('{"a":null}', "/a", "null"), ('{"a":1} x', "/a", None), ("[1]", "/1", None), ("1", "/0", None), ("[5]", "", "[5]")]
+    for text_, pointer, want in cases:
+        frame = spark.createDataFrame([(text_,)], "t string")
+        assert frame.select(values.json_at(F.col("t"), pointer).alias("v")).head().v == want, (text_, pointer)
+
+
+def test_a_store_reads_back_what_it_wrote(spark, tmp_path):
+    bodies = ['{"record_type":"t","record_id":"%d","x":%s}' % (i, x) for i, x in enumerate(["1.0", "1e-7", '"\\u001F"', '"\\ud800"', '{"\U0001f600":1,"\uf000":2}', "1", '"a\\nb"'])] * 40
+    frame = spark.createDataFrame([("t", str(i), b) for i, b in enumerate(bodies)], "record_type string, record_id string, body string").coalesce(1)
+    path = str(tmp_path / "store")
+    records.write_records(frame, path)
+    (file,) = (tmp_path / "store" / "record_type=t").glob("part*")
+    (file.parent / f".{file.name}.crc").unlink()  # the checksum of the file as Spark wrote it
+    with open(file, "ab") as f:
+        f.write(b'\n[1]\n{"a"\n\xff\xfe\n{"a":1,"a":2}\n{"record_id":"1","record_type":"u"}\n{"record_id":"9","record_type":"t"}\r\n{"record_id":"1","record_type":"t"}')
+    n = len(bodies)
+    want = {n + 1: "malformed", n + 2: "not_an_object", n + 3: "malformed", n + 4: "malformed", n + 5: "not_canonical", n + 6: "wrong_type", n + 7: "not_canonical", n + 8: "torn"}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = {r.line_number: r.problem for r in records.read_records(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: want.get(i) for i in range(1, n + 9)}
+
+
 def test_references_with_other_fields_and_inside_sources(spark):
     body = {
         "one": {"record_type": "t", "record_id": "1", "note": {"source_kind": "k", "locator": "n"}},
