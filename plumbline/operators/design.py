@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.contracts import ContractError, DesignContract
 from plumbline.outcomes import APPLICABLE, UNSUPPORTED, outcome_of
+from plumbline.session import cut_lineage
+from plumbline.skew import attach
 
 # The safeguards a dependence case must have looked for.
 SAFEGUARDS = (
@@ -31,9 +34,12 @@ DIMENSIONS = (
     "row_independence",
     "affected_target",
 )
-MAX_DRIVER_LEVELS = 2000
-# A squared distance from the span below this is rounding: cells weigh 1, whatever their counts.
-RESIDUAL = 1e-7
+# Equations over 0 and 1 are solved in this field; an answer differs from that over the rationals only where the prime
+# divides a subdeterminant.
+PRIME = (1 << 61) - 1
+#: Equations reduced in one task before parts of a case meet, and parts that meet at once.
+EQUATIONS_PER_TASK = 200_000
+PARTS_TOGETHER = 8
 
 
 def unit_counts(df: DataFrame, keys: Sequence[str], case: Sequence[str] = ()) -> DataFrame:
@@ -230,78 +236,168 @@ def design_integrity(df: DataFrame, contract: DesignContract, case: Sequence[str
     )
 
 
-def aliasing(contrast: DataFrame, contract: DesignContract, case: Sequence[str]) -> DataFrame:
+def aliasing(
+    contrast: DataFrame, contract: DesignContract, case: Sequence[str], *, equations_per_task: int = EQUATIONS_PER_TASK
+) -> DataFrame:
     """Is the test indicator in the span of intercept and dummy-coded adjustments, per case?
 
-    One adjustment: every level holds one condition.  Several: a cell of levels that holds both
-    conditions decides against it; otherwise the adjustment with most levels is swept out by
-    aggregation, and the indicator is projected on the rest.  Each distinct cell weighs 1, since how
-    often it occurs cannot change a span.  A case whose remaining levels exceed ``MAX_DRIVER_LEVELS``
-    keeps its row, with null.
+    It is if ``indicator = sum of one unknown a level`` can be solved over the distinct cells of levels.  One
+    adjustment: every level holds one condition.  Two: levels are nodes, cells are differences between two of them, and
+    potentials must agree around every cycle.  More: the adjustment with most levels is eliminated by subtracting one
+    cell of each level from the others, the rest by sparse elimination, as are two in a table of few cells.  No number
+    of levels is too high.  A missing level leaves its case undecided, with null.
     """
     c, case, factors = contract, list(case), list(contract.required_adjustments)
     if not factors:
         return contrast.select(*case).distinct().withColumn("aliased", F.lit(False))
-    if len(factors) == 1:
-        per_level = contrast.groupBy(*case, factors[0]).agg(F.countDistinct(c.condition).alias("_k"))
-        return per_level.groupBy(*case).agg((F.max("_k") == 1).alias("aliased"))
-    tested = (F.col(c.condition) == c.test_level).cast("double")
-    cells = contrast.groupBy(*case, *factors).agg(
-        F.lit(1.0).alias("n"), F.max(tested).alias("y"), (F.max(tested) != F.min(tested)).alias("both")
-    )
-    sizes = cells.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).head()
-    swept = max(factors, key=lambda f: sizes[f])
-    rest = [f for f in factors if f != swept]
-    # Terms of one cell: its level in every remaining factor, and the indicator itself.
-    terms = F.array(
-        *[F.struct(F.concat(F.lit(f + "="), F.col(f)).alias("t"), F.col("n").alias("w")) for f in rest],
-        F.struct(F.lit("~indicator").alias("t"), F.col("y").alias("w")),
-    )
+    tested = (F.col(c.condition) == c.test_level).cast("int")
+    levels = [F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(factors)]
     key = case or ["_one"]
-    wide = cells if case else cells.withColumn("_one", F.lit(0))
-    mixed = wide.groupBy(*key).agg(F.max("both").alias("both"))
-    levels = wide.select(*key, F.explode(terms).alias("x")).groupBy(*key).agg(F.countDistinct("x.t").alias("_p"))
-    wide = wide.join(levels.where(F.col("_p") <= MAX_DRIVER_LEVELS), key, "left_semi")
-    per_level = (
-        wide.select(*key, F.col(swept).alias("_a"), F.explode(terms).alias("x"))
-        .groupBy(*key, "_a", F.col("x.t").alias("t"))
-        .agg(F.sum("x.w").alias("s"))
-    )
-    size = wide.groupBy(*key, F.col(swept).alias("_a")).agg(F.sum("n").alias("_na"))
-    left = per_level.join(size, [*key, "_a"])
-    right = per_level.select(*key, "_a", F.col("t").alias("t2"), F.col("s").alias("s2"))
-    absorbed = left.join(right, [*key, "_a"]).groupBy(*key, "t", "t2").agg(
-        (-F.sum(F.col("s") * F.col("s2") / F.col("_na"))).alias("g")
+    rows = contrast if case else contrast.withColumn("_one", F.lit(0))
+    # A cell has the levels of every adjustment; how often it occurs cannot change a span.
+    cells = cut_lineage(
+        rows.select(*key, *levels, tested.alias("y"))
+        .groupBy(*key, *[f"_f{i}" for i in range(len(factors))])
+        .agg(F.max("y").alias("y"), (F.max("y") != F.min("y")).alias("both"))
     )
-    # Raw cross products: n for two levels of a cell, y for a level and the indicator.
-    weight = F.when(
-        (F.col("x.t") == "~indicator") | (F.col("x2.t") == "~indicator"), F.col("y")
-    ).otherwise(F.col("n"))
-    raw = (
-        wide.select(*key, "n", "y", F.explode(terms).alias("x"), terms.alias("_all"))
-        .select(*key, "n", "y", "x", F.explode("_all").alias("x2"))
-        .groupBy(*key, F.col("x.t").alias("t"), F.col("x2.t").alias("t2"))
-        .agg(F.sum(weight).alias("g"))
-    )
-    gram = raw.unionByName(absorbed).groupBy(*key, "t", "t2").agg(F.sum("g").alias("g"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gram.select(*key).schema)
-
-    def decide(pdf):
-        names = sorted(set(pdf["t"]))
-        at = {t: i for i, t in enumerate(names)}
-        matrix = np.zeros((len(names), len(names)))
-        matrix[pdf["t"].map(at), pdf["t2"].map(at)] = pdf["g"]
-        y = at["~indicator"]
-        keep = [i for i in range(len(names)) if i != y]
-        fitted = np.linalg.pinv(matrix[np.ix_(keep, keep)], hermitian=True) @ matrix[keep, y]
-        residual = matrix[y, y] - matrix[keep, y] @ fitted
-        out = pdf[key].head(1).copy()
-        out["aliased"] = bool(residual <= RESIDUAL)
+    named = [F.col(f"_f{i}") for i in range(len(factors))]
+    gap = F.lit(False)
+    for level in named:
+        gap = gap | level.isNull() | (F.trim(level) == "")
+    state = cells.groupBy(*key).agg(F.bool_or(gap).alias("gap"), F.bool_or("both").alias("both"))
+    decidable = cells.join(state.where("NOT gap AND NOT both"), key, "left_semi").drop("both")
+    if len(factors) == 1:
+        broken = decidable.limit(0).select(*key)  # every cell is a level, so it is solved by its own unknown
+    elif len(factors) == 2 and cells.count() > equations_per_task:
+        broken = _broken_cycles(decidable, key)
+    else:
+        broken = _unsolvable(_differences(decidable, key, len(factors)), key, equations_per_task)
+    verdict = state.join(broken.distinct().withColumn("_broken", F.lit(True)), key, "left")
+    aliased = F.when(F.col("gap"), F.lit(None)).otherwise(~F.col("both") & F.col("_broken").isNull())
+    return verdict.select(*case, aliased.alias("aliased"))
+
+
+def _broken_cycles(cells: DataFrame, key: list[str]) -> DataFrame:
+    """Cases whose two adjustments cannot explain ``y``: potentials that differ around a cycle.
+
+    A cell says ``left - right = y`` of two nodes.  Every step of large-star and small-star rewrites an edge as the
+    difference to a smaller neighbour, from which it can be had back; so the system stays the same while it shrinks to
+    one edge a node.  Edges that end up between the same nodes with different values are the broken cycles.  Neighbours
+    are only ever reduced to their minimum, so a level of any size is safe.
+    """
+    nodes = cells.select(*key, F.concat(F.lit("0"), "_f0").alias("a"), F.concat(F.lit("1"), "_f1").alias("b"), F.col("y").cast("long").alias("d"))
+    edges = nodes.select(*key, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("d")).alias("d"))  # the larger node first
+    found: list[DataFrame] = []
+
+    def settle(links: DataFrame) -> tuple[DataFrame, tuple]:
+        """One edge between two nodes; cases with two that differ are done."""
+        table = cut_lineage(links.where("a <> b").groupBy(*key, "a", "b").agg(F.min("d").alias("d"), F.max("d").alias("e")))
+        bad = table.where("d <> e").select(*key).distinct()
+        if not bad.isEmpty():
+            found.append(cut_lineage(bad))
+            table = cut_lineage(table.join(found[-1], key, "left_anti"))
+        row = F.xxhash64(*key, "a", "b", "d").cast("decimal(38,0)")
+        return table.drop("e"), tuple(table.agg(F.count("*"), F.sum(row)).head())
+
+    table, state = settle(edges)
+    while True:
+        both = table.unionByName(table.select(*key, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("d")).alias("d")))
+        near = both.groupBy(*key, "a").agg(F.min(F.struct("b", "d")).alias("n"))
+        # x[a] - x[m] = o, where m is the least of a and its neighbours.
+        least = near.select(*key, "a", F.least("a", "n.b").alias("m"), F.when(F.col("n.b") < F.col("a"), F.col("n.d")).otherwise(0).alias("o"))
+        large, _ = settle(both.where("b > a").join(least, [*key, "a"]).select(*key, F.col("b").alias("a"), F.col("m").alias("b"), (F.col("o") - F.col("d")).alias("d")))
+        below = large.groupBy(*key, "a").agg(F.min(F.struct("b", "d")).alias("n"))
+        small = large.join(below, [*key, "a"]).select(
+            *key,
+            F.explode(
+                F.array(
+                    F.struct(F.col("a"), F.col("n.b").alias("b"), F.col("n.d").alias("d")),
+                    F.struct(F.col("b").alias("a"), F.col("n.b").alias("b"), (F.col("n.d") - F.col("d")).alias("d")),
+                )
+            ).alias("x"),
+        )
+        table, now = settle(small.select(*key, "x.a", "x.b", "x.d"))
+        if now == state:
+            break
+        state = now
+    return reduce(DataFrame.unionByName, found) if found else table.limit(0).select(*key)
+
+
+def _differences(cells: DataFrame, key: list[str], n_factors: int) -> DataFrame:
+    """Equations without the adjustment that has most levels: each cell less the least cell of its level.
+
+    ``terms`` are the unknowns of the other adjustments and ``signs`` their coefficients, 1 or -1; ``rhs`` is what they
+    must sum to.  Unknowns of larger adjustments sort later, so that they are eliminated first.
+    """
+    names = [f"_f{i}" for i in range(n_factors)]
+    sizes = cells.agg(*[F.approx_count_distinct(f).alias(f) for f in names]).head()
+    swept, *rest = sorted(names, key=lambda f: -sizes[f])
+    unknowns = F.array(*[F.concat(F.lit(f"{len(rest) - i:03d}:"), F.col(f)) for i, f in enumerate(rest)])
+    own = cells.select(*key, F.col(swept).alias("_level"), unknowns.alias("own"), F.col("y").cast("long").alias("y"))
+    pivots = own.groupBy(*key, "_level").agg(F.count("*").alias("_n"), F.min(F.struct("own", "y")).alias("_least"))
+    paired = attach(own, pivots, [*key, "_level"], "_n").where("own <> _least.own")
+    mine, theirs = F.array_except("own", "_least.own"), F.array_except("_least.own", "own")
+    return paired.select(
+        *key,
+        F.concat(mine, theirs).alias("terms"),
+        F.concat(F.transform(mine, lambda _: F.lit(1).cast("long")), F.transform(theirs, lambda _: F.lit(-1).cast("long"))).alias("signs"),
+        (F.col("y") - F.col("_least.y")).alias("rhs"),
+    ).distinct()
+
+
+def reduce_equations(rows: Iterable[tuple[Sequence[str], Sequence[int], int]]) -> tuple[dict[str, dict[str, int]], bool]:
+    """Row echelon form of sparse equations over the field of ``PRIME`` elements, and whether they can be solved.
+
+    A row is kept under its last unknown, with coefficient 1; the right side has the name "".
+    """
+    basis: dict[str, dict[str, int]] = {}
+    for terms, signs, rhs in rows:
+        row = {t: int(s) % PRIME for t, s in zip(terms, signs, strict=True)}
+        row[""] = int(rhs) % PRIME
+        while True:
+            row = {t: v for t, v in row.items() if v}
+            last = max(row, default=None)
+            if last is None:
+                break
+            if last == "":
+                return {}, False
+            pivot = basis.get(last)
+            if pivot is None:
+                scale = pow(row[last], -1, PRIME)
+                basis[last] = {t: v * scale % PRIME for t, v in row.items()}
+                break
+            factor = row[last]
+            for t, v in pivot.items():
+                row[t] = (row.get(t, 0) - factor * v) % PRIME
+    return basis, True
+
+
+def _unsolvable(equations: DataFrame, key: list[str], equations_per_task: int) -> DataFrame:
+    """Cases whose equations contradict each other.
+
+    Each part of a case is reduced to its independent equations, of which there are no more than unknowns; parts are
+    then put together, some at a time, and reduced again, until a case is one part.
+    """
+    table = cut_lineage(equations)
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*key).schema)
+    schema = f"{given}, terms array<string>, signs array<long>, rhs long, sound boolean"
+
+    def independent(pdf: pd.DataFrame) -> pd.DataFrame:
+        basis, sound = reduce_equations(zip(pdf["terms"], pdf["signs"], pdf["rhs"], strict=True))
+        made = [([t for t in row if t], [v for t, v in row.items() if t], row.get("", 0), True) for row in basis.values()]
+        out = pd.DataFrame(made if sound else [([], [], 1, False)], columns=["terms", "signs", "rhs", "sound"])
+        for position, name in enumerate(key):
+            out.insert(position, name, pdf[name].iat[0])
         return out
 
-    verdict = gram.groupBy(*key).applyInPandas(decide, schema + ", aliased boolean")
-    verdict = mixed.join(verdict, key, "left")
-    return verdict.select(*case, F.when(F.col("both"), F.lit(False)).otherwise(F.col("aliased")).alias("aliased"))
+    parts = max(1, -(-table.count() // equations_per_task))
+    table = table.withColumn("sound", F.lit(True))
+    while True:
+        part = F.pmod(F.xxhash64("terms", "rhs"), F.lit(parts))
+        table = cut_lineage(table.groupBy(*key, part.alias("_part")).applyInPandas(independent, schema))
+        if parts == 1:
+            return table.where("NOT sound").select(*key).distinct()
+        parts = -(-parts // PARTS_TOGETHER)
 
 
 # Membership columns of the three declaration profiles, with the columns that

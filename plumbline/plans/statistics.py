@@ -547,6 +547,26 @@ def aliasing_factors(t: Tables) -> DataFrame:
     return design.aliasing(cells, contract, ["site"])
 
 
+@query(
+    "aliasing_levels",
+    """SELECT l_suppkey % 2 AS site, l_suppkey % 2 = 0 AS aliased FROM lineitem GROUP BY ALL""",
+)
+def aliasing_levels(t: Tables) -> DataFrame:
+    """Two adjustments with nearly a level a row: orders' lines by four and parts by supplier.  The condition follows the
+    order; at odd sites two orders and two parts more make a square that no sum of levels explains."""
+    site = F.col("l_suppkey") % 2
+    rows = t.lineitem.select(
+        site.alias("site"),
+        F.concat_ws("-", "l_orderkey", F.col("l_linenumber") % 4).alias("a"),
+        F.concat_ws("-", "l_partkey", "l_suppkey").alias("b"),
+        F.when(F.col("l_orderkey") % 2 == 1, F.lit("t")).otherwise(F.lit("c")).alias("arm"),
+    )
+    square = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(arm).alias("arm")) for a, b, arm in ("AXt", "AYc", "BXc", "BYc")]))
+    more = t.lineitem.select(site.alias("site")).where("site = 1").distinct().select("site", square.alias("x")).select("site", "x.*")
+    contract = DesignContract("arm", "c", "t", ["b"], ["b"], required_adjustments=["a", "b"])
+    return design.aliasing(rows.unionByName(more), contract, ["site"], equations_per_task=10_000)
+
+
 @query(
     "ols_sign",
     """WITH d AS (SELECT p_brand AS feature, l_orderkey, count(*) AS n, any_value(l_orderkey % 3) AS g,

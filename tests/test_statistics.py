@@ -121,27 +121,61 @@ def test_design_integrity_finds_merged_groups_and_pairs(spark):
     assert got["gap"].applicability == got["one"].applicability == "unsupported"
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_aliasing_matches_matrix_rank(spark, seed):
+@pytest.mark.parametrize("seed, factors, per_task", [(0, 2, 10**6), (1, 2, 1), (2, 3, 10**6), (3, 3, 2), (4, 4, 3), (5, 1, 1)])
+def test_aliasing_matches_matrix_rank(spark, seed, factors, per_task):
+    """By elimination in one task, in many parts that meet, and by potentials around cycles."""
     rng = random.Random(seed)
     rows, want = [], {}
-    for case in range(4):
+    for case in range(12):
         cells = []
-        for a, b in itertools.product("pqr", "uvw"):
-            if rng.random() < 0.8:
-                arm = (a in "pq") if case % 2 else rng.random() < 0.5
-                cells.append((str(case), a, b, "t" if arm else "c"))
+        levels = [[f"{f}{i}" for i in range(rng.choice([2, 3, 5]))] for f in range(factors)]
+        effect = {x: rng.choice([0, 0, 1]) for x in itertools.chain(*levels)}
+        for cell in itertools.product(*levels):
+            if rng.random() < (0.8 if case % 4 < 3 else 0.3):
+                total = sum(effect[x] for x in cell)
+                arm = total == 1 if case % 2 else rng.random() < 0.5
+                cells.append((str(case), *cell, "t" if arm else "c"))
+        cells = cells or [(str(case), *[x[0] for x in levels], "t")]
         rows += [(*c, 1) for c in cells]
         columns = [[1.0] * len(cells)]
-        for pos in (1, 2):
+        for pos in range(1, factors + 1):
             for level in sorted({c[pos] for c in cells})[1:]:
                 columns.append([float(c[pos] == level) for c in cells])
         x = np.array(columns).T
-        y = np.array([[float(c[3] == "t")] for c in cells])
+        y = np.array([[float(c[-1] == "t")] for c in cells])
         want[str(case)] = bool(np.linalg.matrix_rank(np.hstack([x, y])) == np.linalg.matrix_rank(x))
-    df = spark.createDataFrame(rows, "case string, a string, b string, arm string, _n long")
-    contract = DesignContract("arm", "c", "t", ["a"], ["a"], required_adjustments=["a", "b"])
-    assert {r.case: r.aliased for r in design.aliasing(df, contract, ["case"]).collect()} == want
+    names = list("abde"[:factors])
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in ["case", *names, "arm"]) + ", _n long")
+    contract = DesignContract("arm", "c", "t", ["a"], ["a"], required_adjustments=names)
+    assert {r.case: r.aliased for r in design.aliasing(df, contract, ["case"], equations_per_task=per_task).collect()} == want
+    assert factors == 1 or set(want.values()) == {True, False}
+
+
+@pytest.mark.parametrize("per_task", [10**6, 1000])
+def test_aliasing_has_no_highest_number_of_levels(spark, per_task):
+    """One case without a key, 6,000 levels: a path of cells with one cycle that closes, or does not."""
+    n = 3000
+    path = [(f"a{i}", f"b{i}", "t" if i % 3 == 0 else "c") for i in range(n)] + [(f"a{i + 1}", f"b{i}", "c") for i in range(n - 1)]
+    contract = DesignContract("arm", "c", "t", ["b"], ["b"], required_adjustments=["a", "b"])
+    potential = {"a0": 0}
+    for i in range(n):
+        potential[f"b{i}"] = potential[f"a{i}"] - (i % 3 == 0)
+        potential[f"a{i + 1}"] = potential[f"b{i}"]
+    # A cell over half the path may only say what the path says.
+    far = next((i, j) for i in range(5, n) for j in (n - 1 - i,) if potential[f"a{i}"] - potential[f"b{j}"] in (0, 1))
+    value = potential[f"a{far[0]}"] - potential[f"b{far[1]}"]
+    for said in (value, 1 - value):
+        frame = spark.createDataFrame([*path, (f"a{far[0]}", f"b{far[1]}", "t" if said else "c")], "a string, b string, arm string").repartition(8)
+        got = design.aliasing(frame, contract, [], equations_per_task=per_task).collect()
+        assert [r.aliased for r in got] == [said == value]
+
+
+def test_a_missing_level_leaves_its_case_undecided(spark):
+    rows = [("k", "x", None, "t"), ("k", "y", "u", "c"), ("m", "x", "", "t"), ("n", "x", "u", "t"), ("n", "y", "u", "c")]
+    contract = DesignContract("arm", "c", "t", ["b"], ["b"], required_adjustments=["a", "b"])
+    frame = spark.createDataFrame(rows, "case string, a string, b string, arm string")
+    assert {r.case: r.aliased for r in design.aliasing(frame, contract, ["case"]).collect()} == {"k": None, "m": None, "n": True}
+    assert design.aliasing(frame.limit(0), contract, ["case"]).count() == 0
 
 
 def test_unit_multiplicity_and_empty_keys(spark):
@@ -175,8 +209,8 @@ def test_aliasing_does_not_depend_on_counts(spark):
     assert aliased(odd) == [False]
 
 
-def test_a_case_with_too_many_levels_keeps_its_row(spark):
+def test_a_case_with_many_levels_is_decided(spark):
     rows = [("k", str(i), str(-i), "t" if i % 2 else "c", 1) for i in range(2100)] + [("m", "0", "x", "t", 1), ("m", "1", "x", "c", 1)]
     contract = DesignContract("arm", "c", "t", ["b"], ["b"], required_adjustments=["a", "b"])
     frame = spark.createDataFrame(rows, "case string, a string, b string, arm string, _n long")
-    assert {r.case: r.aliased for r in design.aliasing(frame, contract, ["case"]).collect()} == {"k": None, "m": True}
+    assert {r.case: r.aliased for r in design.aliasing(frame, contract, ["case"]).collect()} == {"k": True, "m": True}
