@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the spellings of a finite decimal number.
 NUMBER = r"^([+-]?)(\d+)?(?:\.(\d+)?)?(?:[eE]([+-]?\d+))?$"
+PLAIN = r"^[0-9]+(\.[0-9]+)?$"
 ZERO_EXPONENT = -(1 << 30)
 LIMB = 18
 #: Digits that tell two quotients apart beyond those of their numerators, for divisors up to 10**13.
@@ -28,7 +29,8 @@ def parse(text: Column) -> Column:
 
     Structs of non-negative numbers order like the numbers, and are equal exactly if the numbers are.
     """
-    text = F.regexp_replace(text.cast("string"), r"^\s+|\s+$|_", "")  # underscores group digits
+    given = text.cast("string")
+    text = F.regexp_replace(given, r"^\s+|\s+$|_", "")  # underscores group digits
 
     def read(parts: Column) -> Column:
         whole, power = parts[1], parts[3]
@@ -51,8 +53,18 @@ def parse(text: Column) -> Column:
             ),
         )
 
+    # The usual spelling is read without regular groups.
+    written = F.replace(given, F.lit("."), F.lit(""))
+    lead = F.ltrim(written, F.lit("0"))
+    plain = F.struct(
+        F.when(lead == "", F.lit(ZERO_EXPONENT))
+        .otherwise(F.length(F.substring_index(given, ".", 1)) - F.length(written) + F.length(lead))
+        .alias("exponent"),
+        F.rtrim(lead, F.lit("0")).alias("digits"),
+        F.lit(False).alias("negative"),
+    )
     parts = F.split(F.regexp_replace(text, NUMBER, "$1|$2|$3|$4"), r"\|")
-    return F.when(text.rlike(NUMBER), let(parts, read))
+    return F.when(given.rlike(PLAIN), plain).when(text.rlike(NUMBER), let(parts, read))
 
 
 def literal(text: str) -> Column:
@@ -60,12 +72,9 @@ def literal(text: str) -> Column:
 
 
 def in_unit(number: Column) -> Column:
-    """0 <= number <= 1; false for null."""
-
-    def inside(n: Column) -> Column:
-        return ~n["negative"] & ((n["exponent"] <= 0) | ((n["exponent"] == 1) & (n["digits"] == "1")))
-
-    return F.coalesce(let(number, inside), F.lit(False))
+    """0 <= number <= 1; false for null.  ``number`` is a column or :func:`let`, being named several times."""
+    inside = ~number["negative"] & ((number["exponent"] <= 0) | ((number["exponent"] == 1) & (number["digits"] == "1")))
+    return F.coalesce(inside, F.lit(False))
 
 
 def text_of(number: Column) -> Column:

@@ -77,6 +77,8 @@ def _least_ratios(ranked: DataFrame, blocks: int, family: list[str], p: str, lim
     seen = scan(seen, F.when(F.col("_record"), ratio), "min", "_last", descending=True)
     event = F.when(F.col("_record") | F.col("_contested"), F.struct(F.col(p).alias("p"), F.col("_contested").alias("contested")))
     seen = scan(seen, event, "max", "_next", inclusive=False)
+    if blocks == 1:
+        seen = seen.repartition(*family, p)  # a family's digits are not spelt in the one task that scans it
     spelt = F.col("_contested") | (F.col("_record") & F.coalesce(F.col("_next.contested"), F.lit(False)))
     digits = F.when(spelt, E.quotient_key(F.col(p), F.col("rank"), limbs))
     step = F.struct(F.col("_last").alias("q"), digits.alias("digits"), F.col(p).alias("p"), F.col("rank").alias("r"), F.col("_d").alias("d"))
@@ -160,22 +162,23 @@ def bh_recheck_rows(
     bound = V.bind_columns(
         df, {"family": c.family, "test_id": c.test_id, "raw": c.raw, "reported": c.adjusted, "call": c.call}
     )
+    # Cells are parsed once; the rules, the gate, the ranking and the comparison read the numbers.
+    parsed = spread(bound).withColumns({"_raw": E.parse(F.col("raw")), "_reported": E.parse(F.col("reported"))})
     checked = V.validate_cells(
-        spread(bound),
+        parsed,
         [
             V.nonempty("test_id"),
-            V.exact_unit_decimal("raw"),
-            V.exact_unit_decimal("reported"),
+            V.unit_number("raw", F.col("_raw")),
+            V.unit_number("reported", F.col("_reported")),
             V.boolean_text("call"),
         ],
     )
-    # Cells are parsed once; the gate, the ranking and the comparison read the typed table.
     typed = cut_lineage(
         checked.select(
             "family",
             "test_id",
-            E.parse(F.col("raw")).alias("raw"),
-            E.parse(F.col("reported")).alias("reported"),
+            F.col("_raw").alias("raw"),
+            F.col("_reported").alias("reported"),
             (F.lower(F.col("call").cast("string")) == "true").alias("reported_call"),
             "reasons",
         )
@@ -224,12 +227,11 @@ def correction_scope(
     repeated test is unsupported: it has no scope, and its reason is given.
     """
     family = list(family)
-    asserted_cell = F.when(F.col(asserted).isNotNull(), V.exact_unit_decimal(asserted))
-    checked = V.validate_cells(df, [V.nonempty(test_id), V.exact_unit_decimal(p), asserted_cell], "_reasons")
+    parsed = df.withColumns({"_p": E.parse(F.col(p)), "_asserted": E.parse(F.col(asserted))})
+    asserted_cell = F.when(F.col(asserted).isNotNull(), V.unit_number(asserted, F.col("_asserted")))
+    checked = V.validate_cells(parsed, [V.nonempty(test_id), V.unit_number(p, F.col("_p")), asserted_cell], "_reasons")
     typed = cut_lineage(
-        checked.select(
-            *family, test_id, E.parse(F.col(p)).alias("p"), E.parse(F.col(asserted)).alias("asserted"), "_reasons"
-        )
+        checked.select(*family, test_id, F.col("_p").alias("p"), F.col("_asserted").alias("asserted"), "_reasons")
     )
     gate = cut_lineage(V.family_gate(typed, family, [test_id], "_reasons"))
     limbs = _limbs(typed, "p", "asserted")

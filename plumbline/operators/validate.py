@@ -58,7 +58,12 @@ def unit_interval(name: str) -> Column:
 
 def exact_unit_decimal(name: str) -> Column:
     """A finite decimal in [0, 1], in plain or exponent spelling, of any number of digits."""
-    return _rule(~exact.in_unit(exact.parse(F.col(name))), f"{name} is not an exact decimal in [0, 1]")
+    return exact.let(exact.parse(F.col(name)), lambda number: unit_number(name, number))
+
+
+def unit_number(name: str, number: Column) -> Column:
+    """The same rule where the cell ``name`` is parsed already."""
+    return _rule(~exact.in_unit(number), f"{name} is not an exact decimal in [0, 1]")
 
 
 def boolean_text(name: str) -> Column:

@@ -14,7 +14,6 @@ from plumbline.contracts import (
     Predicate,
     SensitivityContract,
 )
-from plumbline.functions import exact
 from plumbline.operators import design, filters, groups, multiplicity
 from plumbline.operators import validate as V
 from plumbline.plans.registry import Tables, query
@@ -72,21 +71,23 @@ def bh_adjust(t: Tables) -> DataFrame:
 def reported(t: Tables) -> DataFrame:
     """A report of the recheck: values rounded half up to 8 decimals, some of them changed."""
     rows = tests(t)
-    rows = rows.withColumn("number", exact.parse(F.col("p")))
-    levels = multiplicity.bh_levels(rows, ["family"], "number", limbs=4)
-    levels = levels.withColumn("best_p", exact.text_of(F.col("best_p")).cast("decimal(20,8)"))
+    # Doubles keep these ratios apart: k * k / rank of different value differ by more than their rounding.
+    rows = rows.withColumn("number", F.col("p").cast("double"))
+    levels = multiplicity.bh_levels(rows, ["family"], "number").withColumn("best_p", F.col("best_p").cast("decimal(20,8)"))
     units = F.expr(
         "least((cast(best_p * 100000000 as bigint) * family_size * 2 + best_rank) div (2 * best_rank), 100000000)"
     )
     levels = levels.select("family", "number", "n_tests", units.cast("bigint").alias("u"))
     joined = multiplicity.attach(rows, levels, ["family", "number"], "n_tests")
     changed = F.when((F.col("k") % 97 == 0) & (F.col("u") > 1), F.col("u") - 1).otherwise(F.col("u"))
-    table = joined.select(
-        "family",
-        "test_id",
-        F.col("p").cast("string").alias("p"),
-        (changed.cast("decimal(10,0)") * F.lit(Decimal("0.00000001"))).cast("string").alias("reported"),
-        F.when((F.col("u") <= 5000000) != (F.col("k") % 101 == 7), F.lit("true")).otherwise(F.lit("False")).alias("call"),
+    table = cut_lineage(
+        joined.select(
+            "family",
+            "test_id",
+            F.col("p").cast("string").alias("p"),
+            (changed.cast("decimal(10,0)") * F.lit(Decimal("0.00000001"))).cast("string").alias("reported"),
+            F.when((F.col("u") <= 5000000) != (F.col("k") % 101 == 7), F.lit("true")).otherwise(F.lit("False")).alias("call"),
+        )
     )
     return cut_lineage(table.unionByName(hostile(table)))
 
@@ -174,9 +175,8 @@ def bh_mismatch_rows(t: Tables) -> DataFrame:
 def correction_scope(t: Tables) -> DataFrame:
     rows = tests(t)
     inside = (F.col("supplier") % 3 != 0) | (F.col("price") < 50000)
-    rows = rows.withColumn("number", exact.parse(F.col("p")))
-    levels = multiplicity.bh_levels(rows.where(inside), ["supplier"], "number", limbs=4)
-    levels = levels.withColumn("best_p", exact.text_of(F.col("best_p")).cast("decimal(20,8)"))
+    rows = rows.withColumn("number", F.col("p").cast("double"))
+    levels = multiplicity.bh_levels(rows.where(inside), ["supplier"], "number").withColumn("best_p", F.col("best_p").cast("decimal(20,8)"))
     units = F.expr(
         "least((cast(best_p * 100000000 as bigint) * family_size * 2 + best_rank) div (2 * best_rank), 100000000)"
     )
