@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType
 
 # Fixed value: the spellings of a finite decimal number.
 NUMBER = r"^([+-]?)(\d+)?(?:\.(\d+)?)?(?:[eE]([+-]?\d+))?$"
 PLAIN = r"^[0-9]+(\.[0-9]+)?$"
 ZERO_EXPONENT = -(1 << 30)
-LIMB = 18
 #: Digits that tell two quotients apart beyond those of their numerators, for divisors up to 10**13.
 GUARD = 40
 
@@ -103,69 +105,56 @@ def most_of(approximate: Column) -> Column:
     return F.when(approximate < TINY, F.lit(2 * TINY)).otherwise(approximate * (1 + SLACK))
 
 
-def compare_quotients(
-    a: Column, a_divisor: Column, a_double: Column, b: Column, b_divisor: Column, b_double: Column, limbs: int
-) -> Column:
-    """-1, 0 or 1 as a / a_divisor is less than, equal to or more than b / b_divisor, for numbers not below zero.
-
-    Doubles decide where their bounds lie apart; digits are spelt out only for the rest.
-    """
-    x, y = a_double / a_divisor, b_double / b_divisor
-    keys = F.struct(quotient_key(a, a_divisor, limbs).alias("a"), quotient_key(b, b_divisor, limbs).alias("b"))
-    by_digits = let(keys, lambda k: F.when(k["a"] < k["b"], F.lit(-1)).otherwise((k["a"] > k["b"]).cast("int")))
-    return F.when(most_of(x) < least_of(y), F.lit(-1)).when(least_of(x) > most_of(y), F.lit(1)).otherwise(by_digits)
+def _sign(a: str, a_exponent: int, a_divisor: int, b: str, b_exponent: int, b_divisor: int) -> int:
+    """a / a_divisor against b / b_divisor, in whole numbers."""
+    if not a or not b:
+        return bool(a) - bool(b)
+    # Divisors have up to 19 digits, so numbers further apart are not brought together by them.
+    if abs(a_exponent - b_exponent) > 40:
+        return 1 if a_exponent > b_exponent else -1
+    shift = (a_exponent - len(a)) - (b_exponent - len(b))
+    left, right = int(a) * b_divisor * 10 ** max(shift, 0), int(b) * a_divisor * 10 ** max(-shift, 0)
+    return (left > right) - (left < right)
 
 
-def limbs_for(longest: int) -> int:
-    """Limbs of a quotient so that equal keys mean equal quotients, for numerators of ``longest`` digits."""
-    return -(-(longest + GUARD) // LIMB)
+@pandas_udf(IntegerType())
+def _signs(a: pd.DataFrame, a_divisor: pd.Series, b: pd.DataFrame, b_divisor: pd.Series) -> pd.Series:
+    rows = zip(a["digits"], a["exponent"], a_divisor, b["digits"], b["exponent"], b_divisor, strict=True)
+    return pd.Series([None if r[0] is None or r[3] is None else _sign(r[0], *map(int, r[1:3]), r[3], *map(int, r[4:])) for r in rows], dtype="Int32")
 
 
-def quotient_key(number: Column, divisor: Column, limbs: int) -> Column:
-    """``number / divisor`` as (exponent, first digits), by long division: keys order like the quotients.
+def compare_quotients(a: Column, a_divisor: Column, a_double: Column, b: Column, b_divisor: Column, b_double: Column) -> Column:
+    """-1, 0 or 1 as a / a_divisor is less than, equal to or more than b / b_divisor, for numbers not below zero.
 
-    ``divisor`` is a positive long.  No digit of the quotient is rounded.
+    Doubles decide where their bounds lie apart; only the rest is sent to Python's whole numbers.
     """
-    base = F.lit(10**LIMB).cast("decimal(19,0)")
+    x, y = a_double / a_divisor, b_double / b_divisor
+    less, more = most_of(x) < least_of(y), least_of(x) > most_of(y)
+    digits = _signs(F.when(~less & ~more, a), a_divisor, F.when(~less & ~more, b), b_divisor)
+    return F.when(less, F.lit(-1)).when(more, F.lit(1)).otherwise(digits)
 
-    def divide(x: Column) -> Column:
-        whole = F.substr(x["padded"], F.lit(1), x["width"]).cast("long")
-        fits = F.struct(x["padded"], x["width"], x["divisor"], x["exponent"], whole.alias("whole"), (whole >= x["divisor"]).alias("fits"))
-        return let(fits, digits)
 
-    def digits(x: Column) -> Column:
-        shorter = F.coalesce(F.substr(x["padded"], F.lit(1), x["width"] - 1).try_cast("long"), F.lit(0))
-        first = x["width"] + 1 - x["fits"].cast("int")
+def digits_for(longest: int) -> int:
+    """Digits of a quotient so that equal keys mean equal quotients, for numerators of ``longest`` digits."""
+    return longest + GUARD
 
-        def step(acc: Column, i: Column) -> Column:
-            chunk = F.substr(x["padded"], first + LIMB * i, F.lit(LIMB)).cast("decimal(18,0)")
-            return let((acc["rest"] * base + chunk).cast("decimal(38,0)"), lambda now: limb(acc["out"], now))
 
-        def limb(out: Column, now: Column) -> Column:
-            part = let((now % x["divisor"]).cast("decimal(18,0)"), lambda rest: F.struct(rest.alias("rest"), now.alias("now")))
-            quotient = lambda p: ((p["now"] - p["rest"]).cast("decimal(38,0)") / x["divisor"]).cast("long")
-            return let(part, lambda p: F.struct(p["rest"].alias("rest"), F.concat(out, F.array(quotient(p))).alias("out")))
+def quotient_key(number: Column, divisor: Column, size: int) -> Column:
+    """``number / divisor`` as its exponent and first ``size`` digits: texts that order like the quotients.
 
-        start = F.struct(
-            F.when(x["fits"], shorter).otherwise(x["whole"]).cast("decimal(18,0)").alias("rest"),
-            F.array().cast("array<long>").alias("out"),
-        )
-        places = F.array(*[F.lit(i) for i in range(limbs)])
-        return F.struct(
-            F.when(x["exponent"] == ZERO_EXPONENT, x["exponent"])
-            .otherwise(x["exponent"] - x["width"] + x["fits"].cast("int"))
-            .alias("exponent"),
-            F.aggregate(places, start, step, lambda acc: acc["out"]).alias("limbs"),
-        )
+    ``divisor`` is a positive long.  No digit of the quotient is rounded.  Made in Python, from whole numbers; null for
+    a null number.
+    """
 
-    def pad(n: Column) -> Column:
-        width = F.length(divisor.cast("string"))
-        padded = F.rpad(n["digits"], width + LIMB * limbs, F.lit("0"))
-        return let(
-            F.struct(
-                padded.alias("padded"), width.alias("width"), divisor.cast("decimal(18,0)").alias("divisor"), n["exponent"].alias("exponent")
-            ),
-            divide,
-        )
+    def key(digits: str, exponent: int, divisor: int) -> str:
+        if not digits:
+            return ""
+        quotient = str(int(digits) * 10 ** (size + len(str(divisor))) // divisor)
+        return f"{(1 << 40) + exponent - len(digits) - size - len(str(divisor)) + len(quotient):013d}{quotient[:size]}"
+
+    @pandas_udf(StringType())
+    def keys(number: pd.DataFrame, divisor: pd.Series) -> pd.Series:
+        rows = zip(number["digits"], number["exponent"], divisor, strict=True)
+        return pd.Series([None if d is None else key(d, int(e), int(by)) for d, e, by in rows], dtype=object)
 
-    return let(number, pad)
+    return keys(number, divisor)

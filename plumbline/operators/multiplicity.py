@@ -18,31 +18,31 @@ from plumbline.skew import attach, running, spread, with_blocks
 ROWS_PER_BLOCK = 2_000_000
 
 
-def longest_digits(df: DataFrame, *numbers: str) -> int:
-    """Digits of the longest of the parsed numbers, 1 at least; it sets how many limbs an exact quotient takes."""
-    sizes = [F.max(F.length(F.col(n)["digits"])) for n in numbers]
-    return max([1, *(x for x in df.agg(*sizes).head() if x is not None)])
+def key_digits(df: DataFrame, number: str) -> int:
+    """Digits that a key of exact quotients needs, by the longest of the parsed numbers."""
+    longest = df.agg(F.max(F.length(F.col(number)["digits"]))).head()[0]
+    return E.digits_for(longest or 1)
 
 
 def bh_levels(
-    df: DataFrame, family: Sequence[str], p: str, *, limbs: int | None = None, weight: str | None = None,
+    df: DataFrame, family: Sequence[str], p: str, *, digits: int | None = None, weight: str | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """One row per (family, distinct p): tests at p, rank, family size and the step that sets
     the adjusted value, ``min(best_p * family_size / best_rank, 1)``.
 
     Equal p-values share one adjusted value, so only distinct values are ranked; the rank is
-    the one of the last of the ties, which gives the smallest ratio.  With ``limbs`` the p-values are
+    the one of the last of the ties, which gives the smallest ratio.  With ``digits`` the p-values are
     numbers of :mod:`plumbline.functions.exact` and ratios are compared exactly; without, they are doubles.
     ``weight`` names a column that says how many tests a row stands for.
     """
     family = list(family)
-    approximate = E.double_of(F.col(p)) if limbs else F.col(p).cast("double")
+    approximate = E.double_of(F.col(p)) if digits else F.col(p).cast("double")
     levels = df.groupBy(*family, p).agg((F.sum(weight) if weight else F.count("*")).alias("n_tests")).withColumn("_d", approximate)
     blocked, blocks = with_blocks(levels, "_d", rows_per_block)
     ranked = running(blocked, blocks, family, [F.col(p)], F.col("n_tests"), "sum", "rank")
-    if limbs:
-        stepped = _least_ratios(ranked, blocks, family, p, limbs)
+    if digits:
+        stepped = _least_ratios(ranked, blocks, family, p, digits)
     else:
         step = F.struct((F.col(p) / F.col("rank")).alias("q"), F.col(p).alias("p"), F.col("rank").alias("r"), F.col("_d").alias("d"))
         stepped = running(ranked, blocks, family, [F.col(p)], step, "min", "_step", descending=True)
@@ -59,7 +59,7 @@ def bh_levels(
     )
 
 
-def _least_ratios(ranked: DataFrame, blocks: int, family: list[str], p: str, limbs: int) -> DataFrame:
+def _least_ratios(ranked: DataFrame, blocks: int, family: list[str], p: str, size: int) -> DataFrame:
     """Add ``_step``, the level of least ``p / rank`` from each level upwards, exactly.
 
     Read from the largest p down, a level is a clear record if its ratio lies under all before by the bounds of
@@ -80,8 +80,8 @@ def _least_ratios(ranked: DataFrame, blocks: int, family: list[str], p: str, lim
     if blocks == 1:
         seen = seen.repartition(*family, p)  # a family's digits are not spelt in the one task that scans it
     spelt = F.col("_contested") | (F.col("_record") & F.coalesce(F.col("_next.contested"), F.lit(False)))
-    digits = F.when(spelt, E.quotient_key(F.col(p), F.col("rank"), limbs))
-    step = F.struct(F.col("_last").alias("q"), digits.alias("digits"), F.col(p).alias("p"), F.col("rank").alias("r"), F.col("_d").alias("d"))
+    seen = seen.withColumn("_digits", E.quotient_key(F.when(spelt, F.col(p)), F.col("rank"), size))
+    step = F.struct(F.col("_last").alias("q"), F.col("_digits").alias("digits"), F.col(p).alias("p"), F.col("rank").alias("r"), F.col("_d").alias("d"))
     return scan(seen, F.when(F.col("_record") | F.col("_contested"), step), "min", "_step", descending=True)
 
 
@@ -111,47 +111,41 @@ def bh_adjust(df: DataFrame, family: Sequence[str], p: str, **options) -> DataFr
     return attach(judged, levels, [*family, "_p"], "n_tests").drop("n_tests", "_p")
 
 
-def _best_against(number: Column, double: Column, limbs: int) -> Column:
+def _best_against(number: Column, double: Column) -> Column:
     """-1, 0 or 1: the adjusted value before it is capped at 1, ``best_p * family_size / best_rank``, against a number."""
-    best = [F.col("best_p"), F.col("best_rank"), F.col("best_double")]
-    return E.compare_quotients(*best, number, F.col("family_size"), double, limbs)
+    return E.compare_quotients(F.col("best_p"), F.col("best_rank"), F.col("best_double"), number, F.col("family_size"), double)
 
 
-def _with_cap(levels: DataFrame, limbs: int) -> DataFrame:
+def _with_cap(levels: DataFrame) -> DataFrame:
     """Add ``capped``: the adjusted value is 1."""
-    return levels.withColumn("capped", _best_against(E.literal("1"), F.lit(1.0), limbs) >= 0)
+    return levels.withColumn("capped", _best_against(E.literal("1"), F.lit(1.0)) >= 0)
 
 
-def _at_most(alpha: str, limbs: int) -> Column:
+def _at_most(alpha: str) -> Column:
     """The adjusted value is at most ``alpha``."""
-    below = _best_against(E.literal(alpha), F.lit(float(alpha)), limbs) <= 0
+    below = _best_against(E.literal(alpha), F.lit(float(alpha))) <= 0
     return F.when(F.col("capped"), F.lit(Decimal(alpha) >= 1)).otherwise(below)
 
 
-def differs_from_adjusted(reported: Column, limbs: int, scale: int | None) -> Column:
-    """``reported`` differs from ``min(best_p * m / r, 1)``, exactly.
+def with_differences(judged: DataFrame, reported: str, scale: int | None, out: str) -> DataFrame:
+    """Add ``out``: the number ``reported`` differs from ``min(best_p * m / r, 1)``, exactly.
 
     With ``scale`` the report counts as equal when it is the adjusted value rounded half up to that many decimals; a
-    report of more than 36 decimals is no rounded one.  The row has what :func:`bh_levels` gives, and ``capped``.
+    report of more than 36 decimals is no rounded one.  The rows have what :func:`bh_levels` gives, and ``capped``.
     """
-    capped = F.col("capped")
+    capped, number = F.col("capped"), F.col(reported)
     if scale is None:
-        return F.when(capped, reported != E.literal("1")).otherwise(_best_against(reported, E.double_of(reported), limbs) != 0)
+        differs = F.when(capped, number != E.literal("1")).otherwise(_best_against(number, E.double_of(number)) != 0)
+        return judged.withColumn(out, differs)
     half = F.lit(Decimal(5).scaleb(-scale - 1)).cast("decimal(37,36)")
-
-    def beside(stated: Column) -> Column:
-        low, high = stated - half, stated + half
-        over = F.when(low <= 0, F.lit(True)).otherwise(_best_against(E.parse(low), low.cast("double"), limbs) >= 0)
-        under = _best_against(E.parse(high), high.cast("double"), limbs) < 0
-        return F.when(capped, high > 1).otherwise(over & under)
-
-    short = (reported["digits"] == "") | (F.length(reported["digits"]) - reported["exponent"] <= 36)
-    return ~(short & E.let(E.text_of(reported).cast("decimal(37,36)"), beside))
-
-
-def _limbs(df: DataFrame, *numbers: str) -> int:
-    # Half-unit bounds of a rounded report have up to 37 digits.
-    return E.limbs_for(max(37, longest_digits(df, *numbers)))
+    short = (number["digits"] == "") | (F.length(number["digits"]) - number["exponent"] <= 36)
+    stated = E.text_of(number).cast("decimal(37,36)")
+    bounded = judged.withColumns({"_low": F.when(short, stated - half), "_high": F.when(short, stated + half)})
+    low, high = F.col("_low"), F.col("_high")
+    over = (low <= 0) | (_best_against(E.parse(low), low.cast("double")) >= 0)
+    under = _best_against(E.parse(high), high.cast("double")) < 0
+    same = F.when(capped, high > 1).otherwise(over & under)
+    return bounded.withColumn(out, ~F.coalesce(same, F.lit(False))).drop("_low", "_high")
 
 
 def bh_recheck_rows(
@@ -162,41 +156,29 @@ def bh_recheck_rows(
     bound = V.bind_columns(
         df, {"family": c.family, "test_id": c.test_id, "raw": c.raw, "reported": c.adjusted, "call": c.call}
     )
-    # Cells are parsed once; the rules, the gate, the ranking and the comparison read the numbers.
-    parsed = spread(bound).withColumns({"_raw": E.parse(F.col("raw")), "_reported": E.parse(F.col("reported"))})
-    checked = V.validate_cells(
-        parsed,
-        [
-            V.nonempty("test_id"),
-            V.unit_number("raw", F.col("_raw")),
-            V.unit_number("reported", F.col("_reported")),
-            V.boolean_text("call"),
-        ],
-    )
-    typed = cut_lineage(
-        checked.select(
-            "family",
-            "test_id",
-            F.col("_raw").alias("raw"),
-            F.col("_reported").alias("reported"),
-            (F.lower(F.col("call").cast("string")) == "true").alias("reported_call"),
-            "reasons",
-        )
+    # Cells are parsed once; the rules, the gate, the ranking and the comparison read the written numbers.
+    parsed = cut_lineage(
+        spread(bound).select("family", "test_id", E.parse(F.col("raw")).alias("raw"), E.parse(F.col("reported")).alias("reported"), "call")
     )
+    rules = [
+        V.nonempty("test_id"),
+        V.unit_number("raw", F.col("raw")),
+        V.unit_number("reported", F.col("reported")),
+        V.boolean_text("call"),
+    ]
+    typed = V.validate_cells(parsed, rules).withColumn("reported_call", F.lower(F.col("call").cast("string")) == "true").drop("call")
     gate = cut_lineage(V.family_gate(typed, ["family"], ["test_id"]))
     state = gate.select("family", "n_rows", "applicability")
     good = attach(typed.drop("reasons"), state, ["family"], "n_rows").where(F.col("applicability") == APPLICABLE)
     good = good.select("family", "test_id", "raw", "reported", "reported_call")
-    limbs = _limbs(typed, "raw", "reported")
-    levels = _with_cap(bh_levels(good, ["family"], "raw", limbs=limbs, **options), limbs)
+    levels = _with_cap(bh_levels(good, ["family"], "raw", digits=key_digits(typed, "raw"), **options))
     levels = levels.withColumns(
-        {"adjusted": adjusted_value(E.text_of(F.col("best_p"))), "recomputed_call": _at_most(str(c.alpha), limbs)}
+        {"adjusted": adjusted_value(E.text_of(F.col("best_p"))), "recomputed_call": _at_most(str(c.alpha))}
     )
     # Rows of one p-value and one reported value get one comparison.
     said = cut_lineage(good.groupBy("family", "raw", "reported").agg(F.count("*").alias("_n")))
-    differs = differs_from_adjusted(F.col("reported"), limbs, reported_scale).alias("adjusted_differs")
-    judged = said.join(levels, ["family", "raw"]).select(
-        "family", "raw", "reported", "_n", "adjusted", "recomputed_call", differs
+    judged = with_differences(said.join(levels, ["family", "raw"]), "reported", reported_scale, "adjusted_differs").select(
+        "family", "raw", "reported", "_n", "adjusted", "recomputed_call", "adjusted_differs"
     )
     rows = attach(good, judged, ["family", "raw", "reported"], "_n").drop("_n")
     return gate, rows.withColumn("call_differs", F.col("reported_call") != F.col("recomputed_call"))
@@ -227,26 +209,27 @@ def correction_scope(
     repeated test is unsupported: it has no scope, and its reason is given.
     """
     family = list(family)
-    parsed = df.withColumns({"_p": E.parse(F.col(p)), "_asserted": E.parse(F.col(asserted))})
-    asserted_cell = F.when(F.col(asserted).isNotNull(), V.unit_number(asserted, F.col("_asserted")))
-    checked = V.validate_cells(parsed, [V.nonempty(test_id), V.unit_number(p, F.col("_p")), asserted_cell], "_reasons")
-    typed = cut_lineage(
-        checked.select(*family, test_id, F.col("_p").alias("p"), F.col("_asserted").alias("asserted"), "_reasons")
+    parsed = cut_lineage(
+        df.select(
+            *family, test_id, E.parse(F.col(p)).alias("p"), E.parse(F.col(asserted)).alias("asserted"), F.col(asserted).isNotNull().alias("_given")
+        )
     )
+    asserted_cell = F.when(F.col("_given"), V.unit_number(asserted, F.col("asserted")))
+    typed = V.validate_cells(parsed, [V.nonempty(test_id), V.unit_number(p, F.col("p")), asserted_cell], "_reasons").drop("_given")
     gate = cut_lineage(V.family_gate(typed, family, [test_id], "_reasons"))
-    limbs = _limbs(typed, "p", "asserted")
+    digits = key_digits(typed, "p")
     state = gate.select(*family, "n_rows", "applicability")
     exact = attach(typed.drop("_reasons"), state, family, "n_rows").where(F.col("applicability") == APPLICABLE)
     per_value = cut_lineage(exact.groupBy(*family, "p", "asserted").agg(F.count("*").alias("n")))
     # The levels need no more than how often each p-value stands in each scope.
-    full = bh_levels(per_value, family, "p", limbs=limbs, weight="n", **options)
+    full = bh_levels(per_value, family, "p", digits=digits, weight="n", **options)
     corrected = per_value.where(F.col("asserted").isNotNull())
-    part = bh_levels(corrected, family, "p", limbs=limbs, weight="n", **options)
+    part = bh_levels(corrected, family, "p", digits=digits, weight="n", **options)
 
     def misses(levels: DataFrame, out: str) -> DataFrame:
-        joined = corrected.join(_with_cap(levels, limbs).drop("n_tests", "rank"), [*family, "p"])
-        wrong = differs_from_adjusted(F.col("asserted"), limbs, scale)
-        return joined.groupBy(*family).agg(F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias(out))
+        joined = corrected.join(_with_cap(levels).drop("n_tests", "rank"), [*family, "p"])
+        judged = with_differences(joined, "asserted", scale, "_wrong")
+        return judged.groupBy(*family).agg(F.sum(F.when(F.col("_wrong"), F.col("n")).otherwise(0)).alias(out))
 
     sizes = per_value.groupBy(*family).agg(
         F.sum("n").alias("family_rows"), F.sum(F.when(F.col("asserted").isNotNull(), F.col("n")).otherwise(0)).alias("corrected_rows")

@@ -152,12 +152,18 @@ def test_quotients_order_exactly(spark):
     rows += [("0.3333333333333333333333333333333333333333", 10**12 - 1), ("0.3333333333333333333333333333333333333334", 10**12 - 1)]
     rows += [(f"{k}e-3", k) for k in range(1, 40)]
     frame = spark.createDataFrame(rows, "t string, r long")
-    keyed = frame.select("t", "r", E.quotient_key(E.parse(F.col("t")), F.col("r"), E.limbs_for(40)).alias("k")).collect()
+    keyed = frame.select("t", "r", E.quotient_key(E.parse(F.col("t")), F.col("r"), E.digits_for(40)).alias("k")).collect()
     for a in keyed:
         for b in keyed:
             x, y = Fraction(Decimal(a.t)) / a.r, Fraction(Decimal(b.t)) / b.r
-            ka, kb = (a.k.exponent, a.k.limbs), (b.k.exponent, b.k.limbs)
-            assert (ka < kb, ka == kb) == (x < y, x == y), (a, b)
+            assert (a.k < b.k, a.k == b.k) == (x < y, x == y), (a, b)
+    some = frame.select(E.parse(F.col("t")).alias("n"), "r", "t")
+    two = some.crossJoin(some.select(F.col("n").alias("m"), F.col("r").alias("s"), F.col("t").alias("u")))
+    one = [F.col("n"), F.col("r"), E.double_of(F.col("n"))]
+    other = [F.col("m"), F.col("s"), E.double_of(F.col("m"))]
+    for r in two.select("t", "r", "u", "s", E.compare_quotients(*one, *other).alias("sign")).collect():
+        x, y = Fraction(Decimal(r.t)) / r.r, Fraction(Decimal(r.u)) / r.s
+        assert r.sign == (x > y) - (x < y), r
 
 
 @pytest.mark.parametrize("rows_per_block", [10_000, 25])
