@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.contracts import LoopContract, SensitivityContract
 from plumbline.outcomes import APPLICABLE, UNSUPPORTED, outcome_of
+from plumbline.session import cut_lineage
 
 
 def _is_finite(c: Column) -> Column:
@@ -170,6 +171,9 @@ def loop_strength(
 
     ``bins``: bin_id, start, masked.  ``contacts``: replicate columns, condition, bin_i, bin_j,
     observed_count.  ``targets``: target_id, bin_i, bin_j.  ``results``: target_id, delta.
+
+    No table of bin pairs is made.  A grid of n bins has n - k pairs k bins apart; contacts get their distance from the
+    places of their two bins, and samples that hold all pairs of a distance tell how many meet a masked bin.
     """
     c = contract
     replicate = list(c.replicate)
@@ -199,44 +203,45 @@ def loop_strength(
             F.col("bin_id").alias(f"bin_{side}"), F.col("start").alias(f"_s{side}"), F.col("masked").alias(f"_m{side}")
         )
 
-    placed = targets.join(end("i"), "bin_i", "left").join(end("j"), "bin_j", "left").select(
-        "target_id",
-        pair_key(F.col("bin_i"), F.col("bin_j")).alias("target"),
-        F.abs(F.col("_si") - F.col("_sj")).alias("distance"),
-        (F.col("_mi") | F.col("_mj")).alias("target_masked"),
-    )
-    by_distance = placed.select("distance").where(F.col("distance") > 0).distinct()
-    # Pairs depend on the distance alone, so they are made once per distance, not per target.
-    pairs = _pairs_at(starts, by_distance)
-    counted = (
-        contacts.where(F.col("condition").isin(c.reference_level, c.test_level))
-        .withColumn("pair", pair_key(F.col("bin_i"), F.col("bin_j")))
-        .groupBy(*replicate, "condition", "pair")
+    def placed(rows: DataFrame) -> DataFrame:
+        joined = rows.join(end("i"), "bin_i", "left").join(end("j"), "bin_j", "left")
+        return joined.withColumns(
+            {
+                "pair": pair_key(F.col("bin_i"), F.col("bin_j")),
+                "distance": F.abs(F.col("_si") - F.col("_sj")),
+                "masked": F.col("_mi") | F.col("_mj"),
+            }
+        ).drop("_si", "_sj", "_mi", "_mj", "bin_i", "bin_j")
+
+    asked = placed(targets.select("target_id", "bin_i", "bin_j")).withColumnRenamed("masked", "target_masked")
+    asked = cut_lineage(asked.withColumnRenamed("pair", "target"))
+    wanted = asked.select("distance").where(F.col("distance") > 0).distinct()
+    counted = cut_lineage(
+        placed(contacts.where(F.col("condition").isin(c.reference_level, c.test_level)))
+        .groupBy(*replicate, "condition", "pair", "distance", "masked")
         .agg(F.count("*").alias("_n"), F.sum("observed_count").alias("count"), F.min("observed_count").alias("_low"))
     )
-    bad_sample = (
-        counted.groupBy(*replicate)
-        .agg(
-            (
-                (F.countDistinct("condition") > 1)
-                | F.some(F.col("_n") > 1)
-                | F.some(F.col("pair").isNull())
-                | F.some(F.col("_low") < 0)
-            ).alias("_bad")
-        )
-    )
-    any_bad = bad_sample.select(F.coalesce(F.some("_bad"), F.lit(False))).scalar()
-    observed = counted.join(pairs, "pair").select(*replicate, "condition", "pair", "count", "distance", "masked")
-    stratum = observed.groupBy(*replicate, "condition", "distance").agg(
+    nameless = F.lit(False)
+    for name in replicate:
+        nameless = nameless | F.col(name).isNull() | (F.col(name).cast("string") == "")
+    unfit = (F.col("_n") > 1) | F.col("pair").isNull() | F.col("distance").isNull() | F.coalesce(F.col("_low") < 0, F.lit(True)) | nameless
+    samples = counted.groupBy(*replicate).agg((F.countDistinct("condition") > 1).alias("_two"), F.some(unfit).alias("_unfit"))
+    any_bad, n_samples = samples.agg(F.coalesce(F.some(F.col("_two") | F.col("_unfit")), F.lit(False)), F.count("*")).head()
+    at_distance = counted.join(wanted, "distance", "left_semi")
+    stratum = at_distance.groupBy(*replicate, "condition", "distance").agg(
         F.count("*").alias("_seen"),
+        F.count_if(~F.col("masked")).alias("_unmasked"),
         F.sum(F.when(~F.col("masked"), F.col("count"))).alias("_open_sum"),
     )
-    need = pairs.groupBy("distance").agg(F.count("*").alias("_need"), F.count_if(~F.col("masked")).alias("_open"))
+    need = _pair_counts(stratum, wanted, starts, expected, c.view_start, c.resolution)
+    sparse = stratum.join(need, "distance").groupBy("distance").agg(
+        ((F.count("*") < n_samples) | F.some(F.col("_seen") < F.col("_need"))).alias("_sparse")
+    )
     level = (
-        placed.join(need, "distance", "left")
+        asked.join(need, "distance", "left")
         .join(stratum, "distance", "left")
         .join(
-            observed.select(*replicate, "condition", F.col("pair").alias("target"), F.col("count").alias("_target")),
+            at_distance.select(*replicate, "condition", F.col("pair").alias("target"), F.col("count").alias("_target")),
             [*replicate, "condition", "target"],
             "left",
         )
@@ -259,23 +264,22 @@ def loop_strength(
         F.count_if(at_test).alias("test_replicates"),
         F.avg(F.when(at_ref, F.col("_strength"))).alias("reference_mean"),
         F.avg(F.when(at_test, F.col("_strength"))).alias("test_mean"),
-        F.some(F.coalesce(F.col("_seen") < F.col("_need"), F.lit(True))).alias("_sparse"),
         F.some(F.col("_strength").isNull()).alias("_flat"),
-    )
+    ).join(sparse, "distance", "left")
     stated = results.groupBy("target_id").agg(F.count("*").alias("_reports"), F.first("delta").alias("reported_delta"))
     joined = per_target.join(stated, "target_id", "left").withColumn(
         "recomputed_delta", F.col("test_mean") - F.col("reference_mean")
     )
     reason = (
         F.when(~F.coalesce(whole, F.lit(False)), F.lit("the bins are not one complete grid"))
-        .when(any_bad, F.lit("the contacts are invalid"))
+        .when(F.lit(any_bad), F.lit("the contacts are invalid"))
         .when(F.coalesce(F.col("_masked"), F.lit(True)), F.lit("the target is unavailable or masked"))
         .when(
             (F.col("distance") <= 0) | (F.pmod(F.col("distance"), F.lit(c.resolution)) != 0),
             F.lit("the target is off the grid"),
         )
         .when(F.coalesce(F.col("background_pairs"), F.lit(0)) < c.minimum_background, F.lit("too few background pairs"))
-        .when(F.col("_sparse"), F.lit("a replicate lacks part of the distance stratum"))
+        .when(F.coalesce(F.col("_sparse"), F.lit(n_samples > 0)), F.lit("a replicate lacks part of the distance stratum"))
         .when(F.col("_flat"), F.lit("an observed or expected count is not positive"))
         .when(
             (F.col("reference_replicates") == 0) | (F.col("test_replicates") == 0), F.lit("a level has no replicates")
@@ -296,20 +300,24 @@ def loop_strength(
     )
 
 
-def _pairs_at(starts: DataFrame, distances: DataFrame) -> DataFrame:
-    """Bin pairs at each wanted distance: far starts are enumerated per bin and equi-joined.
+def _pair_counts(stratum: DataFrame, wanted: DataFrame, starts: DataFrame, n_bins: int, first: int, step: int) -> DataFrame:
+    """``distance``, ``_need`` (bin pairs so far apart in a whole grid), ``_open`` (those that meet no masked bin).
 
-    Each bin is joined to itself only through the wanted distances, which the grid bounds.
+    A sample with all pairs of a distance has counted them.  Only for distances that no sample covers are the pairs of
+    masked bins listed, each by its near end.
     """
-    wanted = distances.agg(F.collect_set("distance").alias("d")).select("d").scalar()
-    near = starts.select(
-        F.col("bin_id").alias("_near"), F.col("masked").alias("_m1"), "start", F.explode(wanted).alias("distance")
-    ).withColumn("start", F.col("start") + F.col("distance"))
-    far = starts.select("start", F.col("bin_id").alias("_far"), F.col("masked").alias("_m2"))
-    return near.join(far, "start").select(
-        "distance", pair_key(F.col("_near"), F.col("_far")).alias("pair"), (F.col("_m1") | F.col("_m2")).alias("masked")
-    )
-
+    apart = wanted.where(F.pmod("distance", F.lit(step)) == 0).withColumn("_need", F.greatest(n_bins - F.col("distance") / step, F.lit(0)).cast("long"))
+    whole = stratum.join(apart, "distance").where("_seen = _need").groupBy("distance").agg(F.max("_unmasked").alias("_counted"))
+    known = cut_lineage(apart.join(whole, "distance", "left"))
+    left = known.where("_counted IS NULL AND _need > 0").agg(F.collect_set("distance")).head()[0]
+    if not left:
+        return known.select("distance", "_need", F.coalesce("_counted", F.lit(0)).alias("_open"))
+    masked = starts.where("masked").select("start", F.explode(F.array(*[F.lit(d).cast("long") for d in left])).alias("distance"))
+    near = masked.select("distance", F.explode(F.array(F.col("start"), F.col("start") - F.col("distance"))).alias("near"))
+    inside = (F.col("near") >= first) & (F.col("near") + F.col("distance") <= first + (n_bins - 1) * step)
+    met = near.where(inside).groupBy("distance").agg(F.countDistinct("near").alias("_met"))
+    counted = F.coalesce(F.col("_counted"), F.col("_need") - F.coalesce("_met", F.lit(0)))
+    return known.join(met, "distance", "left").select("distance", "_need", counted.alias("_open"))
 
 def replicate_sensitivity(
     reported: DataFrame, recomputed: DataFrame, family: Sequence[str], feature: str, contract: SensitivityContract

@@ -604,51 +604,49 @@ LOOP = LoopContract(
 
 
 def loop_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A 70-bin grid taken from part keys; contact counts are line items between two bins."""
+    """A 70-bin grid taken from part keys; contact counts are line items between two bins, 1 at least, of every flag."""
     place = F.col("p_partkey") % 70
-    bins = t.part.select(
-        F.concat(F.lit("b"), F.lpad(place.cast("string"), 3, "0")).alias("bin_id"),
-        (place * 10).alias("start"),
-        (place == 33).alias("masked"),
-    ).distinct()
-    i, d = F.col("l_partkey") % 70, 5 + F.col("l_suppkey") % 2
-    kept = t.lineitem.where((F.col("l_returnflag") != "R") & ((i + d) < 70))
     name = lambda c: F.concat(F.lit("b"), F.lpad(c.cast("string"), 3, "0"))
-    contacts = kept.groupBy(
-        F.concat(F.col("l_returnflag"), (F.col("l_linenumber") % 2).cast("string")).alias("sample"),
-        F.col("l_returnflag").alias("condition"),
-        name(i).alias("bin_i"),
-        name(i + d).alias("bin_j"),
-    ).agg(F.count("*").alias("observed_count"))
-    targets = bins.where(F.col("start") < 640).select(
-        F.col("bin_id").alias("target_id"), "bin_id", F.col("start")
-    ).join(bins.select(F.col("bin_id").alias("bin_j"), (F.col("start") - 50).alias("start")), "start").select(
-        "target_id", F.col("bin_id").alias("bin_i"), "bin_j"
-    )
-    results = targets.select("target_id", F.lit(0.1).alias("delta"))
-    return contacts, bins, targets, results
+    bins = t.part.select(name(place).alias("bin_id"), (place * 10).alias("start"), (place == 33).alias("masked")).distinct()
+    sample = F.concat(F.col("l_returnflag"), (F.col("l_linenumber") % 2).cast("string"))
+    items = t.lineitem.select(sample.alias("sample"), F.col("l_returnflag").alias("condition"), (F.col("l_partkey") % 70).alias("i"), (5 + F.col("l_suppkey") % 2).alias("d"))
+    # Samples list every pair five apart, and of those six apart all but one.
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(69).cast("long"))).alias("i")
+    every = items.select("sample", "condition").distinct().select("sample", "condition", places).select("*", F.explode(F.array(F.lit(5), F.lit(6))).alias("d"))
+    pixels = items.unionByName(every).where("i + d < 70 AND NOT (d = 6 AND i = 60)").groupBy("sample", "condition", "i", "d").agg(F.count("*").alias("observed_count"))
+    contacts = pixels.select("sample", "condition", name(F.col("i")).alias("bin_i"), name(F.col("i") + F.col("d")).alias("bin_j"), "observed_count")
+    # Five bins apart at every place, off the grid's end too; six and sixty apart; one bin alone; a bin that is not there.
+    i = F.col("start") / 10
+    far = bins.select(i.cast("long").alias("i")).select("i", F.explode(F.array(F.lit(5), F.lit(6), F.lit(60), F.lit(0), F.lit(1000))).alias("d")).where("d = 5 OR i = 7")
+    targets = far.select(F.concat_ws("-", "i", "d").alias("target_id"), name(F.col("i")).alias("bin_i"), name(F.col("i") + F.col("d")).alias("bin_j"))
+    results = targets.where("target_id <> '9-5'").select("target_id", F.lit(0.1).alias("delta"))
+    return contacts, bins, targets, results.unionByName(results.where("target_id = '8-5'"))
 
 
 @query(
     "loop_strength",
-    """WITH c AS (SELECT concat(l_returnflag, l_linenumber % 2) AS sample, l_returnflag AS condition,
-      l_partkey % 70 AS i, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' AND l_suppkey % 2 = 0
-      AND l_partkey % 70 + 5 < 70 GROUP BY ALL),
-    b AS (SELECT sample, condition, i, n, i IN (33, 28) AS masked,
-      sum(n) FILTER (i NOT IN (33, 28)) OVER (PARTITION BY sample) AS open_sum FROM c),
-    s AS (SELECT sample, condition, i, log2(n / ((open_sum - n) / 62.0)) AS v FROM b WHERE NOT masked AND i < 64),
-    m AS (SELECT i, avg(v) FILTER (condition = 'N') AS r, avg(v) FILTER (condition = 'A') AS t FROM s GROUP BY ALL)
-    SELECT 'b' || lpad(CAST(i AS VARCHAR), 3, '0') AS target_id, CAST(62 AS BIGINT) AS background_pairs,
-      round(r, 6) AS reference_mean, round(t, 6) AS test_mean, round(t - r, 6) AS recomputed_delta,
-      'applicable' AS applicability, CASE WHEN abs(0.1 - (t - r)) <= 0.05 THEN 'conformant' ELSE 'nonconformant' END
-      AS comparison_outcome FROM m""",
+    """WITH c AS (SELECT sample, condition, i, count(*) AS n FROM (SELECT concat(l_returnflag, l_linenumber % 2) AS sample, l_returnflag AS condition, l_partkey % 70 AS i
+      FROM lineitem WHERE l_suppkey % 2 = 0 UNION ALL SELECT DISTINCT concat(l_returnflag, l_linenumber % 2), l_returnflag, unnest(range(70)) FROM lineitem)
+      WHERE i + 5 < 70 AND condition IN ('N', 'A') GROUP BY ALL),
+    b AS (SELECT sample, condition, i, n, sum(n) FILTER (i NOT IN (33, 28)) OVER (PARTITION BY sample) AS open_sum FROM c),
+    s AS (SELECT sample, condition, i, log2(n / ((open_sum - n) / 62.0)) AS v FROM b WHERE i NOT IN (33, 28)),
+    m AS (SELECT i, avg(v) FILTER (condition = 'N') AS r, avg(v) FILTER (condition = 'A') AS t FROM s GROUP BY ALL),
+    q AS (SELECT unnest(range(70)) AS i, 5 AS d UNION ALL SELECT 7, unnest([6, 60, 0, 1000])),
+    w AS (SELECT i || '-' || d AS target_id, i, d, CASE WHEN i + d >= 70 OR (d = 5 AND i IN (33, 28)) THEN 'the target is unavailable or masked'
+      WHEN d = 0 THEN 'the target is off the grid' WHEN d = 60 THEN 'too few background pairs' WHEN d = 6 THEN 'a replicate lacks part of the distance stratum'
+      WHEN i IN (8, 9) THEN 'the reported delta is absent or not unique' END AS reason FROM q)
+    SELECT target_id, CASE d WHEN 5 THEN CASE WHEN i < 65 THEN 62 END WHEN 6 THEN 61 WHEN 60 THEN 9 END::BIGINT AS background_pairs,
+      round(CASE WHEN d = 5 AND i NOT IN (33, 28) THEN r END, 6) AS reference_mean, round(CASE WHEN d = 5 AND i NOT IN (33, 28) THEN t END, 6) AS test_mean,
+      round(CASE WHEN d = 5 AND i NOT IN (33, 28) THEN t - r END, 6) AS recomputed_delta,
+      CASE WHEN reason IS NULL THEN 'applicable' ELSE 'unsupported' END AS applicability,
+      CASE WHEN reason IS NOT NULL THEN 'unknown' WHEN abs(0.1 - (t - r)) <= 0.05 THEN 'conformant' ELSE 'nonconformant' END AS comparison_outcome, reason
+    FROM w LEFT JOIN m USING (i)""",
 )
 def loop_strength(t: Tables) -> DataFrame:
-    out = groups.loop_strength(*loop_inputs(t), LOOP)
-    return out.where(F.col("applicability") == "applicable").select(
-        "target_id", "background_pairs", F.round("reference_mean", 6).alias("reference_mean"),
-        F.round("test_mean", 6).alias("test_mean"), F.round("recomputed_delta", 6).alias("recomputed_delta"),
-        "applicability", "comparison_outcome",
+    fit = F.col("distance") == 50  # six bins apart have means too, of pairs that are there, but no verdict
+    return groups.loop_strength(*loop_inputs(t), LOOP).select(
+        "target_id", "background_pairs", *[F.when(fit & ~F.col("target_id").isin("33-5", "28-5"), F.round(c, 6)).alias(c) for c in ("reference_mean", "test_mean", "recomputed_delta")],
+        "applicability", "comparison_outcome", "reason",
     )
 
 
