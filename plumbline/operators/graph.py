@@ -18,10 +18,11 @@ def unique_paths(
 ) -> DataFrame:
     """For each (source, target): the path when exactly one simple path of allowed edges exists.
 
-    ``edges``: source, target, profile.  Parallel edges are collapsed to a multiplicity, nodes
-    that cannot reach the target within the remaining edges are never entered, and a pair
-    leaves the walk once it has two paths, since a third cannot change its answer.
-    Output: source, target, n_paths (0, 1, or at least 2), path (node array when exactly one).
+    ``edges``: source, target, profile.  Parallel edges are collapsed to a multiplicity.  Walks are counted from both
+    ends to the middle, one row for each end and node, however many walks there are; a single walk keeps its nodes.
+    The shortest walks of a pair are paths, and a walk whose nodes are known is seen to be one.  Only pairs that this
+    leaves open, where several longer walks may or may not return to a node, are walked path by path.
+    Output: source, target, n_paths (0, 1, or 2 for at least 2), path (node array when exactly one).
     """
     hop = cut_lineage(
         edges.where(F.col("profile").isin(*profiles) & (F.col("source") != F.col("target")))
@@ -29,7 +30,65 @@ def unique_paths(
         .agg(F.count("*").alias("m"))
         .select(F.col("source").alias("node"), F.col("target").alias("next"), "m")
     )
+    back = hop.select(F.col("next").alias("node"), F.col("node").alias("next"), "m")
     wanted = cut_lineage(pairs.select("source", "target").where("source <> target").distinct())
+    ahead = _walks(hop, wanted.select(F.col("source").alias("end")).distinct(), (max_edges + 1) // 2)
+    behind = _walks(back, wanted.select(F.col("target").alias("end")).distinct(), max_edges // 2)
+    met = (
+        behind.select(F.col("end").alias("target"), "node", F.col("h").alias("h2"), F.col("ways").alias("w2"), F.col("path").alias("p2"))
+        .join(wanted, "target")
+        .join(ahead.select(F.col("end").alias("source"), "node", F.col("h").alias("h1"), F.col("ways").alias("w1"), F.col("path").alias("p1")), ["source", "node"])
+        # A walk of n edges meets after the first half of them, the longer one if n is odd.
+        .where("h1 > 0 AND h1 - h2 IN (0, 1)")
+    )
+    one = (F.col("w1") == 1) & (F.col("w2") == 1)
+    rest = F.slice(F.reverse("p2"), 2, max_edges + 1)
+    found = met.select("source", "target", (F.col("h1") + F.col("h2")).alias("n"), F.when(one, F.concat("p1", rest)).alias("path"), (F.col("w1") * F.col("w2")).alias("ways"))
+    found = found.where("path IS NULL OR size(array_distinct(path)) = size(path)")
+    by_length = found.groupBy("source", "target", "n").agg(
+        F.count("path").alias("known"), F.sum(F.when(F.col("path").isNull(), F.col("ways")).otherwise(0)).alias("open"), F.min("path").alias("path")
+    )
+    summed = by_length.groupBy("source", "target").agg(
+        (F.sum("known") + F.min_by("open", "n")).alias("low"), (F.sum("open") - F.min_by("open", "n")).alias("open"), F.min("path").alias("path")
+    )
+    sums = cut_lineage(summed)
+    undecided = sums.where("low < 2 AND open > 0").select("source", "target")
+    if not undecided.isEmpty():
+        walked = _walk(hop, undecided, max_edges)
+        sums = sums.where("low >= 2 OR open = 0").select("source", "target", "low", "path").unionByName(walked)
+    counts = sums.select("source", "target", F.least("low", F.lit(2)).cast("long").alias("n_paths"), F.col("path").alias("_p"))
+    return pairs.select("source", "target").distinct().join(counts, ["source", "target"], "left").select(
+        "source",
+        "target",
+        F.coalesce("n_paths", F.lit(0)).alias("n_paths"),
+        F.when(F.col("n_paths") == 1, F.col("_p")).alias("path"),
+    )
+
+
+def _walks(hop: DataFrame, ends: DataFrame, edges: int) -> DataFrame:
+    """(end, node, h, ways, path): walks of h edges from each end to a node, 2 for more than one; ``path`` of a single one.
+
+    A single walk that returns to a node of its own is no path and goes.
+    """
+    level = cut_lineage(ends.select("end", F.col("end").alias("node"), F.lit(0).alias("h"), F.lit(1).cast("long").alias("ways"), F.array("end").alias("path")))
+    levels = level
+    for h in range(1, edges + 1):
+        step = (
+            level.join(hop, "node")
+            .where(F.col("path").isNull() | ~F.array_contains("path", F.col("next")))
+            .groupBy("end", F.col("next").alias("node"))
+            .agg(F.least(F.sum(F.col("ways") * F.col("m")), F.lit(2)).alias("ways"), F.min(F.array_append("path", F.col("next"))).alias("path"))
+        )
+        level = cut_lineage(step.select("end", "node", F.lit(h).alias("h"), "ways", F.when(F.col("ways") == 1, F.col("path")).alias("path")))
+        if level.isEmpty():
+            break
+        levels = levels.unionByName(level)
+    return levels
+
+
+def _walk(hop: DataFrame, wanted: DataFrame, max_edges: int) -> DataFrame:
+    """(source, target, low, path): paths node by node.  Nodes that cannot reach the target within the edges left are
+    never entered, and a pair leaves once it has two paths, since a third cannot change its answer."""
     distance = _distance_to(hop, wanted.select("target").distinct(), max_edges)
     toward = cut_lineage(
         hop.join(distance.select("target", F.col("node").alias("next"), F.col("d").alias("d_next")), "next")
@@ -58,13 +117,7 @@ def unique_paths(
             break
         settled = found.groupBy("source", "target").agg(F.sum("ways").alias("n")).where("n >= 2")
         walk = walk.join(settled, ["source", "target"], "left_anti")
-    counts = found.groupBy("source", "target").agg(F.sum("ways").alias("n_paths"), F.min("path").alias("_p"))
-    return pairs.select("source", "target").distinct().join(counts, ["source", "target"], "left").select(
-        "source",
-        "target",
-        F.coalesce("n_paths", F.lit(0)).alias("n_paths"),
-        F.when(F.col("n_paths") == 1, F.col("_p")).alias("path"),
-    )
+    return found.groupBy("source", "target").agg(F.sum("ways").alias("low"), F.min("path").alias("path"))
 
 
 def _distance_to(hop: DataFrame, targets: DataFrame, max_edges: int) -> DataFrame:
