@@ -41,12 +41,13 @@ def unique_paths(
         # A walk of n edges meets after the first half of them, the longer one if n is odd.
         .where("h1 > 0 AND h1 - h2 IN (0, 1)")
     )
-    one = (F.col("w1") == 1) & (F.col("w2") == 1)
     rest = F.slice(F.reverse("p2"), 2, max_edges + 1)
-    found = met.select("source", "target", (F.col("h1") + F.col("h2")).alias("n"), F.when(one, F.concat("p1", rest)).alias("path"), (F.col("w1") * F.col("w2")).alias("ways"))
+    found = met.select("source", "target", (F.col("h1") + F.col("h2")).alias("n"), F.concat("p1", rest).alias("path"), (F.col("w1") * F.col("w2")).alias("ways"))
     found = found.where("path IS NULL OR size(array_distinct(path)) = size(path)")
     by_length = found.groupBy("source", "target", "n").agg(
-        F.count("path").alias("known"), F.sum(F.when(F.col("path").isNull(), F.col("ways")).otherwise(0)).alias("open"), F.min("path").alias("path")
+        F.sum(F.when(F.col("path").isNull(), 0).otherwise(F.col("ways"))).alias("known"),
+        F.sum(F.when(F.col("path").isNull(), F.col("ways")).otherwise(0)).alias("open"),
+        F.min("path").alias("path"),
     )
     summed = by_length.groupBy("source", "target").agg(
         (F.sum("known") + F.min_by("open", "n")).alias("low"), (F.sum("open") - F.min_by("open", "n")).alias("open"), F.min("path").alias("path")
@@ -66,9 +67,9 @@ def unique_paths(
 
 
 def _walks(hop: DataFrame, ends: DataFrame, edges: int) -> DataFrame:
-    """(end, node, h, ways, path): walks of h edges from each end to a node, 2 for more than one; ``path`` of a single one.
+    """(end, node, h, ways, path): walks of h edges from each end to a node, 2 for more than one.
 
-    A single walk that returns to a node of its own is no path and goes.
+    ``path`` holds the nodes where all walks, over parallel edges, have the same.  If they return to a node they go.
     """
     level = cut_lineage(ends.select("end", F.col("end").alias("node"), F.lit(0).alias("h"), F.lit(1).cast("long").alias("ways"), F.array("end").alias("path")))
     levels = level
@@ -77,9 +78,13 @@ def _walks(hop: DataFrame, ends: DataFrame, edges: int) -> DataFrame:
             level.join(hop, "node")
             .where(F.col("path").isNull() | ~F.array_contains("path", F.col("next")))
             .groupBy("end", F.col("next").alias("node"))
-            .agg(F.least(F.sum(F.col("ways") * F.col("m")), F.lit(2)).alias("ways"), F.min(F.array_append("path", F.col("next"))).alias("path"))
+            .agg(
+                F.least(F.sum(F.col("ways") * F.col("m")), F.lit(2)).alias("ways"),
+                F.count("*").alias("into"),
+                F.min(F.array_append("path", F.col("next"))).alias("path"),
+            )
         )
-        level = cut_lineage(step.select("end", "node", F.lit(h).alias("h"), "ways", F.when(F.col("ways") == 1, F.col("path")).alias("path")))
+        level = cut_lineage(step.select("end", "node", F.lit(h).alias("h"), "ways", F.when(F.col("into") == 1, F.col("path")).alias("path")))
         if level.isEmpty():
             break
         levels = levels.unionByName(level)
