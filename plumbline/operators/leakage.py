@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from plumbline.functions.text import normalize_text
 from plumbline.session import cut_lineage
@@ -112,10 +115,34 @@ def contained_texts(documents: DataFrame, forbidden: DataFrame, *, document: str
     )
 
 
+def decoded_texts(documents: DataFrame, document: str, payload: str) -> DataFrame:
+    """(document, text): what the bytes of each document say, once for each way to read them.
+
+    UTF-8 with or without a byte order mark; and, where there is a NUL or another mark, UTF-16 of either byte order from
+    the first and from the second byte, so that text inside other bytes is read too.  Only those bytes go to Python.
+    """
+
+    @pandas_udf(ArrayType(StringType()))
+    def wide(payloads: pd.Series) -> pd.Series:
+        def read(data: bytes) -> list[str]:
+            found = [data[at:].decode(code, "replace") for code in ("utf-16-le", "utf-16-be") for at in (0, 1)]
+            return list(dict.fromkeys([data.decode("utf-8", "replace"), *[t.removeprefix("\ufeff") for t in found]]))
+
+        return payloads.map(read, na_action="ignore")
+
+    data = F.col(payload)
+    marked = F.coalesce(F.substring(data, 1, 2).isin(b"\xff\xfe", b"\xfe\xff") | F.contains(data, F.lit(b"\x00")), F.lit(False))
+    narrow = F.when(F.substring(data, 1, 3) == F.lit(b"\xef\xbb\xbf"), F.substring(data, 4, 1 << 30)).otherwise(data)
+    sent = documents.select(document, narrow.alias("_narrow"), wide(F.when(marked, data)).alias("_wide"))
+    one = F.array(F.coalesce(F.try_validate_utf8(F.col("_narrow").cast("string")), F.make_valid_utf8(F.col("_narrow").cast("string"))))
+    return sent.select(document, F.explode(F.coalesce("_wide", one)).alias("text")).where(F.col("text").isNotNull())
+
+
 def leakage_scan(
     documents: DataFrame,
     forbidden_texts: DataFrame,
     *,
+    payload: str | None = None,
     markers: DataFrame | None = None,
     forbidden_digests: DataFrame | None = None,
     forbidden_paths: DataFrame | None = None,
@@ -124,13 +151,15 @@ def leakage_scan(
     """(document, reason): forbidden path, digest, marker or embedded text.
 
     ``documents``: id, text and, for paths, path.  ``forbidden_texts`` and ``markers``: item_id,
-    text.  ``forbidden_digests``: digest of the exact text.  ``forbidden_paths``: path.
+    text.  ``forbidden_digests``: digest of the exact text.  ``forbidden_paths``: path.  With ``payload``, a column of
+    bytes takes the place of the text and is read as :func:`decoded_texts` reads it.
     """
-    found = [contained_texts(documents, forbidden_texts, document=document).select(document, F.lit("text").alias("reason"))]
+    texts = documents if payload is None else cut_lineage(decoded_texts(documents, document, payload))
+    found = [contained_texts(texts, forbidden_texts, document=document).select(document, F.lit("text").alias("reason"))]
     if markers is not None:
-        found.append(contained_texts(documents, markers, document=document).select(document, F.lit("marker").alias("reason")))
+        found.append(contained_texts(texts, markers, document=document).select(document, F.lit("marker").alias("reason")))
     if forbidden_digests is not None:
-        digested = documents.select(document, F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("digest"))
+        digested = documents.select(document, F.concat(F.lit("sha256:"), F.sha2(payload or "text", 256)).alias("digest"))
         found.append(
             digested.join(forbidden_digests.select("digest"), "digest", "left_semi").select(
                 document, F.lit("digest").alias("reason")

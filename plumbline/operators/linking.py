@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 from plumbline.functions.text import LINE_BREAK, text_key
 from plumbline.skew import attach
 
@@ -241,16 +243,26 @@ def required_matrix(
     """(block, envelope, cell type) cells of a plan without exactly one assignment.
 
     ``blocks``: plan, block_id.  ``envelopes``: plan, envelope_id.  The declared lists meet on
-    their plan; the cell types are a fixed list.
+    their plan; the cell types are a fixed list.  Assignments are counted for each block and type; only where they
+    are fewer than the plan's envelopes are envelopes looked through for those without one.
     """
-    cells = blocks.join(envelopes, plan).withColumn("cell_type", F.explode(F.array(*[F.lit(c) for c in cell_types])))
     keys = [plan, "block_id", "envelope_id", "cell_type"]
-    counts = assignments.groupBy(*keys).agg(F.count("*").alias("assigned"))
-    return (
-        cells.join(counts, keys, "left")
-        .withColumn("assigned", F.coalesce("assigned", F.lit(0)))
-        .where(F.col("assigned") != 1)
+    blocks, envelopes = blocks.select(plan, "block_id").distinct(), envelopes.select(plan, "envelope_id").distinct()
+    declared = (
+        assignments.where(F.col("cell_type").isin(*cell_types))
+        .groupBy(*keys)
+        .agg(F.count("*").alias("assigned"))
+        .join(blocks, [plan, "block_id"], "left_semi")
+        .join(envelopes, [plan, "envelope_id"], "left_semi")
     )
+    declared = cut_lineage(declared)
+    width = envelopes.groupBy(plan).agg(F.count("*").alias("_width"))
+    lines = blocks.join(width, plan).withColumn("cell_type", F.explode(F.array(*[F.lit(c) for c in cell_types])))
+    filled = declared.groupBy(plan, "block_id", "cell_type").agg(F.count("*").alias("_filled"))
+    short = lines.join(filled, [plan, "block_id", "cell_type"], "left").where(F.coalesce("_filled", F.lit(0)) < F.col("_width"))
+    gaps = short.select(plan, "block_id", "cell_type").join(envelopes, plan).join(declared, keys, "left_anti")
+    again = declared.where("assigned <> 1").select(*keys, "assigned")
+    return again.unionByName(gaps.select(*keys, F.lit(0).cast("long").alias("assigned")))
 
 
 def tolerance_compare(actual: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -568,6 +568,28 @@ def leakage_scan(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "leakage_payloads",
+    """WITH m AS (SELECT item_id, string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4] AS text FROM benchmark)
+    SELECT DISTINCT doc_id, 'text' AS reason FROM documents d JOIN benchmark b ON contains(nfc_normalize(d.text), nfc_normalize(b.text))
+    UNION SELECT DISTINCT doc_id, 'marker' FROM documents d JOIN m ON contains(nfc_normalize(d.text), nfc_normalize(m.text))
+    UNION SELECT doc_id, 'digest' FROM documents WHERE doc_id % 6 = 5 AND text IN (SELECT text FROM documents WHERE doc_id % 30 = 5)""",
+)
+def leakage_payloads(t: Tables) -> DataFrame:
+    """The documents as bytes: UTF-16 of both orders, with and without a mark, after an odd byte, and UTF-8."""
+    n, text = F.col("doc_id") % 6, F.col("text")
+    little, big, narrow = F.encode(text, "UTF-16LE"), F.encode(text, "UTF-16BE"), F.encode(text, "UTF-8")
+    payload = (
+        F.when(n == 0, F.concat(F.lit(b"\xff\xfe"), little)).when(n == 1, big).when(n == 2, F.concat(F.lit(b"\xef\xbb\xbf"), narrow))
+        .when(n == 3, F.concat(F.lit(b"\x00\xff\x01"), little)).when(n == 4, F.concat(F.lit(b"\xfe\xff"), big)).otherwise(narrow)
+    )
+    documents = t.documents.select("doc_id", payload.alias("payload"))
+    word = F.split("text", " ")
+    markers = t.benchmark.select("item_id", F.concat_ws(" ", F.get(word, F.lit(2)), F.get(word, F.lit(3))).alias("text"))
+    known = documents.where("doc_id % 30 = 5").select(ids.sha256_digest(F.col("payload")).alias("digest"))
+    return leakage.leakage_scan(documents, t.benchmark.select("item_id", "text"), payload="payload", markers=markers, forbidden_digests=known)
+
+
 @query(
     "latest_per_id",
     """SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus,

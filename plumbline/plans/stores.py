@@ -436,17 +436,24 @@ def stream_segment_clock(t: Tables) -> DataFrame:
 
 @query(
     "stream_records",
-    """SELECT event_type AS record_type, CAST(user_id AS VARCHAR) AS record_id, max(event_id) AS seq, 'sha256:' || sha256(CAST(max_by(value, event_id) AS VARCHAR)) IS NOT NULL AS has_digest
+    """SELECT event_type AS record_type, CAST(user_id AS VARCHAR) AS record_id, max(event_id) AS seq,
+      'sha256:' || sha256(max_by(event_id || '|' || event_type || '|' || props, event_id)) AS digest, count(*) AS n_stored, true AS several_batches
     FROM events GROUP BY event_type, user_id""",
 )
 def stream_records(t: Tables) -> DataFrame:
-    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """Six files, each with events of all times and sent twice, a micro-batch for each file."""
+    folder = scratch(t, "arriving")
+    t.events.withColumn("file", F.col("event_id") % 6).repartition(6, "file").write.partitionBy("file").parquet(folder)
+    stream = t.spark.readStream.schema(t.spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
     rows = stream.select(
         F.col("event_type").alias("record_type"), F.col("user_id").cast("string").alias("record_id"), F.col("event_id").alias("seq"),
-        F.col("ts").cast("timestamp").alias("at"), ids.sha256_digest(F.concat_ws("|", "event_id", "value")).alias("digest"),
+        F.col("ts").cast("timestamp").alias("at"), ids.sha256_digest(F.concat_ws("|", "event_id", "event_type", "props")).alias("digest"),
     )
     twice = rows.unionByName(rows)
     store, checkpoint = scratch(t, "ingest"), scratch(t, "checkpoint")
     record_stream.ingest(twice, store, checkpoint).awaitTermination()
-    now = record_stream.current(t.spark.read.parquet(store))
-    return now.select("record_type", "record_id", "seq", F.col("digest").isNotNull().alias("has_digest"))
+    kept = t.spark.read.parquet(store)
+    several = kept.agg((F.countDistinct("batch") > 2).alias("several_batches"))
+    stored = kept.dropDuplicates(["record_type", "record_id", "seq", "digest"]).groupBy("record_type", "record_id").agg(F.count("*").alias("n_stored"))
+    now = record_stream.current(kept).join(stored, ["record_type", "record_id"])
+    return now.select("record_type", "record_id", "seq", "digest", "n_stored", F.lit(several.head()[0]).alias("several_batches"))

@@ -10,11 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.operators.ordering import latest_per_id
 
 
-def deduplicated(records: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """``records``: record_type, record_id, digest, at, seq, ... as a stream; those later than the watermark are dropped."""
-    return records.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["record_type", "record_id", "digest"])
-
-
 def ingest(records: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write each micro-batch's records under ``store``, exact duplicates in a batch once; :func:`current` merges them.
 

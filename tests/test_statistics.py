@@ -78,6 +78,23 @@ def test_loop_strength_quartet(spark):
     assert sparse.applicability == "unsupported" and "stratum" in sparse.reason
 
 
+def test_loop_strength_counts_pairs_of_masked_bins_where_no_sample_does(spark):
+    """Masked bins as near end, far end and both; a stratum no sample covers is refused, with its pairs counted."""
+    contacts, bins, targets, results = loop_case(spark)
+    masked = bins.withColumn("masked", F.col("bin_id").isin("b00", "b05", "b10", "b58"))
+    met = sum(a in (0, 5, 10, 58) or a + 5 in (0, 5, 10, 58) for a in range(55))
+    full = groups.loop_strength(contacts, masked, targets, results, LOOP).collect()[0]
+    assert (full.background_pairs, full.applicability) == (55 - met - 1, "applicable")
+    some = contacts.where("NOT (bin_j = 'b03')")
+    short = groups.loop_strength(some, masked, targets, results, LOOP).collect()[0]
+    assert short.background_pairs == 55 - met - 1 and "stratum" in short.reason
+    elsewhere = contacts.where("sample = 's2' AND bin_j = 'b01'").withColumn("bin_j", F.lit("b50"))  # s2 has no pair five apart
+    absent = groups.loop_strength(contacts.where("sample <> 's2'").unionByName(elsewhere), masked, targets, results, LOOP).collect()[0]
+    assert "stratum" in absent.reason
+    for wrong in (contacts.unionByName(contacts.limit(1)), contacts.withColumn("bin_i", F.when(F.col("bin_i") == "b30", "zz").otherwise(F.col("bin_i"))), contacts.withColumn("sample", F.nullif("sample", F.lit("s1")))):
+        assert groups.loop_strength(wrong, bins, targets, results, LOOP).collect()[0].reason == "the contacts are invalid"
+
+
 def test_replicate_sensitivity_and_user_engine(spark):
     said = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.02), ("f", "c", 0.9), ("g", "a", 0.9)], "f string, feature string, reported_padj double")
     redone = spark.createDataFrame([("f", "a", 0.01, 0.1), ("f", "b", 0.5, 9.0)], "f string, feature string, padj double, se double")

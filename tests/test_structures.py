@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import diff, evaluation, graph, linking, ordering
+from plumbline.operators import diff, evaluation, graph, leakage, linking, ordering
 from plumbline.plans import CheckRegistry
 from plumbline.sources import delimited, files, records
 
@@ -266,3 +266,49 @@ def test_ingest_keeps_records_of_any_lateness(spark, tmp_path):
     assert kept.count() == 6 and kept.select("batch").distinct().count() == 4
     now = record_stream.current(kept)
     assert sorted((r.record_id, r.seq) for r in now.collect()) == [("a", 3), ("b", 1), ("late", 1)]
+
+
+def test_payloads_are_read_in_every_encoding(spark):
+    needle = "Hidden answér 42"
+    said = f"prefix {needle} suffix"
+    hits = [
+        said.encode(), b"\xef\xbb\xbf" + needle.encode(), said.encode("utf-16"), said.encode("utf-16-le"), said.encode("utf-16-be"), b"\x01\x00\x02" + said.encode("utf-16-be"),
+        b"\xff\x00 junk " + said.encode(), "Hidden answe\u0301r 42".encode(), b"\xfe" + said.encode("utf-16-le") + b"\xd8",
+    ]
+    misses = [b"", None, b"\x00", b"\xff\xfe", needle[1:].encode("utf-16-le"), needle.encode("utf-32-le"), b"\xff" * 9]
+    frame = spark.createDataFrame(list(enumerate(hits + misses)), "doc_id long, payload binary")
+    items = spark.createDataFrame([(1, needle)], "item_id long, text string")
+    got = leakage.leakage_scan(frame, items, payload="payload", markers=items).collect()
+    assert {(r.doc_id, r.reason) for r in got} == {(i, why) for i in range(len(hits)) for why in ("text", "marker")} and len(got) == 2 * len(hits)
+
+
+def test_required_matrix_lists_gaps_and_doubles_alone(spark):
+    types = ["x", "y"]
+    blocks = [("p", "b1"), ("p", "b2"), ("q", "b1"), ("q", "b1"), ("none", "b1")]
+    envelopes = [("p", "e1"), ("p", "e2"), ("p", "e3"), ("q", "e1")]
+    whole = [(p, b, e, c) for p, b in set(blocks) for q, e in envelopes if p == q for c in types]
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    names = "plan block_id envelope_id cell_type"
+
+    def found(rows):
+        out = linking.required_matrix(frame(rows, names), frame(blocks, "plan block_id"), frame(envelopes, "plan envelope_id"), "plan", types)
+        return sorted(tuple(r[c] for c in [*names.split(), "assigned"]) for r in out.collect())
+
+    assert found(whole) == []
+    gone = [whole[0], whole[3], ("q", "b1", "e1", "x")]
+    rows = [r for r in whole if r not in gone] + [whole[5]] * 2 + [("p", "b9", "e1", "x"), ("p", "b1", "e9", "x"), ("p", "b1", "e1", "z"), ("q", "b1", "e2", "x")]
+    want = {(*r, 0) for r in gone} | ({(*whole[5], 3)} if whole[5] not in gone else {(*whole[5], 2)})
+    assert found(rows) == sorted(want)
+
+
+def test_cycles_and_parallel_edges_leave_one_path(spark):
+    edges = [("a", "b"), ("b", "c"), ("b", "x"), ("x", "b"), ("x", "b"), ("c", "d"), ("d", "c"), ("d", "e"), ("p", "q"), ("p", "q"), ("q", "p"), ("q", "r")]
+    pairs = [("a", "c"), ("a", "d"), ("a", "e"), ("a", "x"), ("x", "e"), ("p", "r"), ("r", "p"), ("e", "a"), ("a", "zz"), ("a", "a")]
+    got = graph.unique_paths(
+        spark.createDataFrame([(*e, "ok") for e in edges], "source string, target string, profile string"),
+        spark.createDataFrame(pairs, "source string, target string"), ["ok"], 7,
+    )
+    want = {(s, t): all_simple_paths(edges, s, t, 7) if s != t else [] for s, t in pairs}
+    for r in got.collect():
+        assert r.n_paths == min(2, len(want[r.source, r.target])), r
+        assert r.n_paths != 1 or tuple(r.path) == want[r.source, r.target][0]
