@@ -45,16 +45,18 @@ NOT_LAST = frozenset("layout page site template theme".split())
 MOST_OF_PAGE = 0.75
 #: Named containers in each other that are told apart; text still deeper counts to these.
 MOST_NAMED = 64
-_REST = r"(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)"
+#: The rest of a tag.  Quotes enclose a value only right after its equals sign, and a tag ends before the next one begins,
+#: so that no character is looked at again from another tag.
+_REST = r"(?P<%s>(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?|[^<>=])*+)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
-    rf"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*){_REST}>|<[!?][^>]*>",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{RAW})(?=[\s/>]){_REST % 'more'}>"
+    rf"|<(?P<close>/?)(?P<tag>[a-z][^\s/<>]*){_REST % 'rest'}>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW.split("|")}
 #: Where a raw element without an end tag ends: with the head, or else with the page.
 _HEAD_END = re.compile(r"</head\s*>|<body\b", re.IGNORECASE)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "article")
@@ -157,6 +159,7 @@ def blocks(page: str) -> list[tuple]:
     """Text blocks in page order: text, words, links, apart, article."""
     found: list[tuple[str, int, float, bool, bool, tuple[int, ...]]] = []
     stack: list[_Open] = []
+    n_open: Counter[str] = Counter()  # of the stack, by tag
     pieces: list[tuple[str, bool]] = []
     articles: list[tuple[int, ...]] = []  # the named containers around each article or main
     endless: set[str] = set()  # raw elements that have no end tag any more
@@ -193,13 +196,14 @@ def blocks(page: str) -> list[tuple]:
             endless.add(raw)
             if raw in ("textarea", "iframe"):
                 stack.append(top := top._replace(tag=raw, silent=True))
+                n_open[raw] += 1
             else:
                 end = _HEAD_END.search(page, at)
                 at = end.start() if end else len(page)
             continue
         tag = token["tag"].lower()
         if top.tag == "head" and tag not in HEAD and not token["close"]:
-            stack.pop()
+            n_open[stack.pop().tag] -= 1
             top = stack[-1] if stack else _Open("")
         if tag == "a":
             in_link = not token["close"]
@@ -209,9 +213,10 @@ def blocks(page: str) -> list[tuple]:
             continue
         finish()
         if token["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+            while n_open[tag]:
+                closed = stack.pop().tag
+                n_open[closed] -= 1
+                if closed == tag:
                     break
             top = stack[-1] if stack else _Open("")
         elif tag not in VOID and not token["rest"].endswith("/"):
@@ -225,6 +230,7 @@ def blocks(page: str) -> list[tuple]:
                 around = (*around, n_named) if len(around) < MOST_NAMED else around
             top = _Open(tag, top.apart or apart, article, top.silent or tag in SILENT or tag == "head", around)
             stack.append(top)
+            n_open[tag] += 1
     if at < len(page) and not top.silent:
         pieces.append((page[at:], in_link))
     finish()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import os
 import re
+import time
 
 import pytest
 
@@ -94,3 +95,20 @@ def test_odd_rows(spark, tree):
     assert sorted(got.columns) == ["html", "page_id", "text"]
     assert {(r.page_id, r.text) for r in got.collect()} >= {(1, ""), (2, ""), (None, ""), (4, "one\ntwo")}
     assert got.count() == len(rows) and html_text.extract(frame.limit(0), tree).count() == 0
+
+
+def test_apostrophes_comment_ends_and_stray_tags_lose_no_article():
+    said = lambda page: [b[0] for b in html_text.blocks(page)]
+    assert said("<article><p title=it's>long</p><p>don't stop</p></article>") == ["long", "don't stop"]
+    assert said("<article><!-- x --!><p>long</p></article>") == said("<!--><p>long</p>") == said("<!---><p>long</p>") == ["long"]
+    assert said("""<p title="a>b" data-x='c>d' class=a'b"c>one</p><p a = 'x>y'>two</p>""") == ["one", "two"]
+    assert said("3 < 4 and <b>5</b> > 2<br>") == ["3 < 4 and 5 > 2"]
+    assert said("<div><p>a</x></div></p></div>b") == ["a", "b"]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a x="', "<a x='", "<a b=c ", "<!--", "</x>", "<script ", "<div ='", "<div></x>", "<p<"])
+def test_hostile_pages_take_linear_time(part):
+    start = time.perf_counter()
+    html_text.blocks(part * (600_000 // len(part)))
+    html_text.blocks("<div>" * 60_000 + "</x>" * 60_000)
+    assert time.perf_counter() - start < 5
