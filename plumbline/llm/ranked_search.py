@@ -31,6 +31,8 @@ ITEMS_PER_BLOCK = 100_000
 BUCKET_POSTINGS = 1 << 20
 BUCKET_ROWS = 1 << 14
 PARTITION_POSTINGS = 1 << 21
+#: Postings that are dealt to a partition together; several to each, so that hashing evens them out.
+PLACE_POSTINGS = 1 << 17
 #: Longest vectors that set the first thresholds.
 SEEDS = 4096
 #: Bytes of a text that are split into terms at once.
@@ -238,7 +240,7 @@ def _by_length(vectors: DataFrame) -> DataFrame:
     classes = vectors.sparkSession.createDataFrame(starts, "level int, before long, postings long")
     share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)
     placed = vectors.withColumns({"level": level, "share": share}).join(F.broadcast(classes), "level")
-    place = F.floor((F.col("before") + F.col("share") * F.col("postings")) / PARTITION_POSTINGS)
+    place = F.floor((F.col("before") + F.col("share") * F.col("postings")) / PLACE_POSTINGS)
     dealt = placed.select("doc_id", "length", "terms", "impacts", place.alias("place")).repartition(partitions, "place")
     return dealt.sortWithinPartitions("place", F.desc("length")).drop("place")
 
