@@ -16,7 +16,7 @@ from plumbline.plans.registry import CheckRegistry, Tables, query
 from plumbline.plans.statistics import CONTRACT, HOSTILE, REPORTED, reported
 from plumbline.plans.texts import CLAIMS
 from plumbline.operators import multiplicity
-from plumbline.session import shared_folder
+from plumbline.session import cut_lineage, shared_folder
 from plumbline.skew import running, with_blocks
 from plumbline.sources import delimited, files, matrices, records
 from plumbline.streaming import records as record_stream
@@ -43,6 +43,44 @@ def read_delimited(t: Tables) -> DataFrame:
     return gate.select(F.col("t").cast("long").alias("t"), "n_rows", "reason", "applicability")
 
 
+@query(
+    "read_tables",
+    """WITH o AS (SELECT o_orderkey % 8 AS t, o_orderkey, o_orderpriority, o_orderkey % 8 = 4 AND o_orderkey % 3 = 0 AS bad FROM orders),
+    g AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad, sum(o_orderkey) FILTER (WHERE NOT bad) AS ids, sum(length(o_orderpriority)) FILTER (WHERE NOT bad) AS letters FROM o GROUP BY t)
+    SELECT t, CASE t WHEN 2 THEN 'columns_missing' WHEN 3 THEN 'header_duplicated' WHEN 6 THEN 'invalid_compression' WHEN 7 THEN 'unclosed_quote' ELSE 'read' END AS status,
+      CASE WHEN t IN (2, 3, 6, 7) THEN 0 ELSE n END::BIGINT AS n_rows, n_bad, CASE WHEN t NOT IN (2, 3, 6, 7) THEN ids END::BIGINT AS ids,
+      CASE WHEN t NOT IN (2, 3, 6, 7) THEN letters + CASE t WHEN 1 THEN 2 * n ELSE 0 END END::BIGINT AS letters FROM g""",
+)
+def read_tables(t: Tables) -> DataFrame:
+    """Eight tables: plain; other column order with line breaks and quotes inside cells; a column short; a column twice;
+    ragged rows; gzip; not gzip under its name; a quote that stays open."""
+    folder, n = scratch(t, "tables"), F.col("o_orderkey") % 8
+    cell = F.concat(F.lit('"'), F.col("o_orderpriority"), F.when(n == 1, F.lit('""\n')).otherwise(F.lit("")), F.when(n == 7, F.lit("")).otherwise(F.lit('"')))
+    first = t.orders.where("o_orderkey % 8 = 7").agg(F.min("o_orderkey")).head()[0]
+    line = (
+        F.when(n == 1, F.concat_ws(",", cell, F.lit(""), "o_orderkey"))
+        .when(n == 4, F.concat_ws(",", "o_orderkey", cell, F.when(F.col("o_orderkey") % 3 == 0, F.lit("x,y")).otherwise(F.lit("x"))))
+        .when(n == 7, F.concat_ws(",", "o_orderkey", F.when(F.col("o_orderkey") == F.lit(first), cell).otherwise(F.lit("p")), F.lit("x")))
+        .otherwise(F.concat_ws(",", "o_orderkey", cell, F.lit("x")))
+    )
+    body = t.orders.select(n.alias("t"), F.lit(1).alias("place"), line.alias("value"))
+    names = F.when(F.col("t") == 1, "priority,note,id").when(F.col("t") == 2, "id,note,other").when(F.col("t") == 3, "id,id,priority").otherwise("id,priority,note")
+    head = body.select("t").distinct().select("t", F.lit(0).alias("place"), names.alias("value"))
+    table = cut_lineage(body.unionByName(head).repartition("t").sortWithinPartitions("t", "place"))
+    for packed in (False, True):
+        rows = table.where((F.col("t") == 5) == packed).repartition("t").sortWithinPartitions("t", "place").drop("place")
+        rows.write.mode("append").option("compression", "gzip" if packed else "none").partitionBy("t").text(folder)
+    context = t.spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    for found in store.globStatus(path(f"{folder}/t=6/part*")):
+        store.rename(found.getPath(), path(f"{folder}/t=6/part.txt.gz"))
+    found, rows = delimited.read_tables(t.spark, folder, ["id", "priority"])
+    good = rows.where("NOT _bad").groupBy("file").agg(F.sum(F.col("id").cast("long")).alias("ids"), F.sum(F.length("priority").cast("long")).alias("letters"))
+    of = F.regexp_extract("file", "/t=(\\d)/", 1).cast("long")
+    return found.join(good, "file", "left").select(of.alias("t"), "status", "n_rows", "n_bad", "ids", "letters")
+
+
 def table_files(t: Tables) -> DataFrame:
     """The orders of each status written as one headed table file per status."""
     folder = scratch(t, "tables")

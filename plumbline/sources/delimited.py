@@ -5,13 +5,20 @@ from __future__ import annotations
 import csv
 import gzip
 import io
+import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import cut_lineage
+from plumbline.skew import attach, running, with_blocks
+from plumbline.sources.records import numbered_lines
+
 # Table suffixes with their separator, and the widest header that is listed.
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".csv.gz": ",", ".tsv.gz": "\t"}
 MAX_HEADER_COLUMNS = 1024
@@ -64,6 +71,95 @@ def read_delimited(
     )
 
 
+def _unreadable_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` of gzip files that do not decompress to their end; each is read in pieces, whatever it holds."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path)
+
+    def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    with gzip.GzipFile(fileobj=io.BytesIO(content.as_py())) as stream:
+                        while stream.read(1 << 20):
+                            pass
+                except (OSError, EOFError, zlib.error):
+                    yield pa.RecordBatch.from_pydict({"file": [file]})
+
+    return found.select("path", "content").mapInArrow(bad, "file string")
+
+
+def _records(lines: DataFrame, lines_per_block: int) -> tuple[DataFrame, DataFrame]:
+    """(records, unclosed): lines joined where a quoted cell holds their break, and files whose last quote stays open.
+
+    A line begins a record if the quotes before it are even.  Quotes are added up over a file in blocks of lines, so a
+    file of any size is read by many tasks; files in which every line has its quotes closed are not scanned at all.
+    """
+    quotes = F.size(F.split("value", '"')) - 1
+    counted = lines.withColumn("_quotes", quotes.cast("long"))
+    by_file = counted.groupBy("file").agg(F.sum("_quotes").alias("all"), F.bool_or(F.col("_quotes") % 2 == 1).alias("broken"))
+    by_file = cut_lineage(by_file)
+    whole = lines.join(by_file.where("broken"), "file", "left_anti").withColumnRenamed("line_number", "record")
+    some = counted.join(by_file.where("broken AND all % 2 = 0"), "file", "left_semi")
+    blocked, blocks = with_blocks(some, "line_number", lines_per_block, ["file"])
+    before = running(blocked, blocks, ["file"], [F.col("line_number")], F.col("_quotes"), "sum", "_before", inclusive=False)
+    starts = before.withColumn("_start", F.when(F.coalesce("_before", F.lit(0)) % 2 == 0, F.col("line_number")))
+    placed = running(starts, blocks, ["file"], [F.col("line_number")], F.col("_start"), "max", "record")
+    part = F.sort_array(F.collect_list(F.struct("line_number", "value")))
+    joined = placed.groupBy("file", "record").agg(
+        F.array_join(F.transform(part, lambda x: x["value"]), "\n").alias("value"), F.bool_and("valid").alias("valid")
+    )
+    return whole.select("file", "record", "value", "valid").unionByName(joined), by_file.where("all % 2 = 1").select("file")
+
+
+def read_tables(
+    spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",", *, lines_per_block: int = 2_000_000
+) -> tuple[DataFrame, DataFrame]:
+    """(files, rows) of all tables below ``path``, each bound by its own header.
+
+    ``files``: file, status (``read``, or why no row of it is used: ``invalid_compression``, ``unclosed_quote``,
+    ``header_unavailable``, ``header_duplicated``, ``columns_missing``), header, n_rows, n_bad.
+    ``rows``: file, record (line it begins on), the wanted ``columns`` by name, and ``_bad`` where a row is not as wide
+    as its header, has a quote inside a bare cell, or is not UTF-8.  One bad file leaves the others alone.
+    """
+    lines = numbered_lines(spark, path, ignoreCorruptFiles="true", recursiveFileLookup="true").select(
+        "file",
+        "line_number",
+        F.regexp_replace(F.make_valid_utf8("value"), "\r$", "").alias("value"),
+        F.is_valid_utf8("value").alias("valid"),
+    )
+    archives = cut_lineage(_unreadable_archives(spark, path))
+    lines = cut_lineage(lines.join(archives, "file", "left_anti"))
+    records, unclosed = _records(lines, lines_per_block)
+    text, quoted = F.when(F.col("valid"), F.col("value")), re.escape(sep)
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), text), F.lit(f'{quoted}("(?:[^"]++|"")*+"|[^"{quoted}]*+)'), 1)
+    read = F.aggregate("_raw", F.lit(0), lambda n, cell: n + F.length(cell) + 1) == F.length(text) + 1
+    plain = F.transform("_raw", lambda c: F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    parsed = records.withColumn("_raw", raw).select("file", "record", F.when(F.coalesce(read, F.lit(False)), plain).alias("cells"))
+    parsed = cut_lineage(parsed.join(unclosed, "file", "left_anti"))
+    header = parsed.where("record = 1").select("file", F.col("cells").alias("header"))
+    sizes = parsed.groupBy("file").agg(F.count("*").alias("n"))
+    wanted = F.array(*[F.lit(c) for c in columns])
+    status = (
+        F.when(F.col("header").isNull() | F.exists("header", lambda h: h == ""), F.lit("header_unavailable"))
+        .when(F.size(F.array_distinct("header")) < F.size("header"), F.lit("header_duplicated"))
+        .when(F.size(F.array_except(wanted, F.col("header"))) > 0, F.lit("columns_missing"))
+        .otherwise(F.lit("read"))
+    )
+    heads = cut_lineage(sizes.join(header, "file", "left").withColumn("status", status))
+    bound = attach(parsed.where("record > 1"), heads.select("file", "header", "status", "n"), ["file"], "n").where("status = 'read'")
+    at = {c: F.try_element_at("cells", F.array_position("header", c).cast("int")) for c in columns}
+    bad = F.col("cells").isNull() | (F.size("cells") != F.size("header"))
+    rows = bound.select("file", "record", *[F.coalesce(v, F.lit("")).alias(c) for c, v in at.items()], bad.alias(BAD))
+    counts = rows.groupBy("file").agg(F.count("*").alias("n_rows"), F.count_if(BAD).alias("n_bad"))
+    known = heads.select("file", "status", "header").join(counts, "file", "left").fillna(0, ["n_rows", "n_bad"])
+
+    def refused(frame: DataFrame, why: str) -> DataFrame:
+        nothing = F.lit(0).cast("long")
+        return frame.select("file", F.lit(why).alias("status"), F.lit(None).cast("array<string>").alias("header"), nothing.alias("n_rows"), nothing.alias("n_bad"))
+
+    return known.unionByName(refused(archives, "invalid_compression")).unionByName(refused(unclosed, "unclosed_quote")), rows
+
+
 def _first_record(path: str) -> tuple[list[str], str]:
     local = path.removeprefix("file:")
     low = local.lower()

@@ -27,14 +27,14 @@ def write_records(records: DataFrame, path: str) -> None:
     ).text(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """Lines of text files as ``value``, with ``file``, ``line_number`` in it (from 1) and ``torn``.
 
     A file is read in splits; a line's number is its place in the split, where rows come in order, after the lines of
     the splits before it, of which one row each is added up.  The last line of a file is torn if no newline ends it,
     which its size tells.  Partition columns are kept.
     """
-    read = spark.read.text(path, lineSep="\n").select(
+    read = spark.read.options(**options).text(path, lineSep="\n").select(
         "*",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_split"),

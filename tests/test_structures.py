@@ -312,3 +312,42 @@ def test_cycles_and_parallel_edges_leave_one_path(spark):
     for r in got.collect():
         assert r.n_paths == min(2, len(want[r.source, r.target])), r
         assert r.n_paths != 1 or tuple(r.path) == want[r.source, r.target][0]
+
+
+@pytest.mark.parametrize("lines_per_block", [2_000_000, 3])
+def test_tables_are_bound_by_their_own_headers(spark, tmp_path, lines_per_block):
+    cells = [["1", 'say "hi"', "a,b"], ["2", "two\nlines\n\nmore", ""], ["3", "", "é"], ["4", "x\n", "y"]]
+
+    def spelt(rows, quoted=True):
+        return "".join(",".join('"' + c.replace('"', '""') + '"' if quoted else c for c in row) + "\r\n" for row in rows)
+
+    files_ = {
+        "ok.csv": "id,note,more\n" + spelt(cells),
+        "moved.csv": '"more",id,"note"\n' + spelt([[c, a, b] for a, b, c in cells]),
+        "short.csv": "id,other\n1,2\n",
+        "twice.csv": "id,id,note\n1,1,2\n",
+        "blank.csv": "id,,note\n1,2,3\n",
+        "open.csv": 'id,note\n1,"a\n2,b\n',
+        "ragged.csv": 'id,note\n1,a\n2\n3,b,c\n4,x"y"z\n5,d',
+        "none.csv": "id,note\n",
+    }
+    for name, text in files_.items():
+        (tmp_path / name).write_bytes(text.replace("\r\n", "\n").encode() if name == "ok.csv" else text.encode())
+    (tmp_path / "good.csv.gz").write_bytes(gzip.compress(b"note,id\nz,9\n"))
+    (tmp_path / "cut.csv.gz").write_bytes(gzip.compress(b"id,note\n" + bytes(range(65, 91)) * 9000)[:-12])
+    (tmp_path / "fake.csv.gz").write_bytes(b"id,note\n1,2\n")
+    (tmp_path / "bytes.csv").write_bytes(b"id,note\n1,\xff\n2,b\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20")
+    try:
+        found, rows = delimited.read_tables(spark, str(tmp_path), ["id", "note"], lines_per_block=lines_per_block)
+        status = {os.path.basename(r.file): (r.status, r.n_rows, r.n_bad) for r in found.collect()}
+        got = sorted((os.path.basename(r.file), r.id, r.note, r._bad) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    read = {"ok.csv": (4, 0), "moved.csv": (4, 0), "ragged.csv": (5, 3), "none.csv": (0, 0), "good.csv.gz": (1, 0), "bytes.csv": (2, 1)}
+    refused = {"short.csv": "columns_missing", "twice.csv": "header_duplicated", "blank.csv": "header_unavailable", "open.csv": "unclosed_quote", "cut.csv.gz": "invalid_compression", "fake.csv.gz": "invalid_compression"}
+    assert status == {k: ("read", *v) for k, v in read.items()} | {k: (v, 0, 0) for k, v in refused.items()}
+    want = [(f, a, b, False) for f in ("ok.csv", "moved.csv") for a, b, _ in cells]
+    want += [("good.csv.gz", "9", "z", False), ("ragged.csv", "1", "a", False), ("ragged.csv", "5", "d", False), ("bytes.csv", "2", "b", False)]
+    assert [g for g in got if not g[3]] == sorted(want)
+    assert [g[0] for g in got if g[3]] == ["bytes.csv", "ragged.csv", "ragged.csv", "ragged.csv"]
