@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.skew import attach
+
 RESULT_SCHEMA = "feature string, replicates bigint, effect double, se double, p double"
 
 
@@ -16,10 +18,11 @@ def log_cpm_ols(bulk: DataFrame) -> DataFrame:
 
     ``bulk``: replicate, arm, feature, total.
     """
-    depth = bulk.groupBy("replicate").agg(F.sum("total").alias("_depth"))
+    bulk = bulk.where(F.col("replicate").isNotNull())
+    depth = bulk.groupBy("replicate").agg(F.sum("total").alias("_depth"), F.count("*").alias("_rows"))
     y = F.log1p(F.col("total") * 1e6 / F.col("_depth"))
     fit = (
-        bulk.join(depth, "replicate")
+        attach(bulk, depth, ["replicate"], "_rows")
         .select("feature", F.col("arm").cast("double").alias("x"), y.alias("y"))
         .groupBy("feature")
         .agg(

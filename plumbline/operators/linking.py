@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
-
 from plumbline.functions.text import LINE_BREAK, text_key
+from plumbline.session import cut_lineage
 from plumbline.skew import attach
 
 
@@ -76,11 +75,13 @@ def link_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
             text_key(F.col("outcome_column")).alias("o"),
         ).alias("_key")
     ).agg(F.count("*").alias("candidates"), F.min("result_id").alias("_only"))
+    # Claims about one comparison may be a large share of all.
+    load = said.where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("_claims"))
     return (
-        said.join(found, "_key", "left")
+        attach(said, found.join(load, "_key"), ["_key"], "_claims")
         .withColumn("candidates", F.coalesce("candidates", F.lit(0)))
         .withColumn("result_id", F.when(F.col("candidates") == 1, F.col("_only")))
-        .drop("_key", "_only")
+        .drop("_key", "_only", "_claims")
     )
 
 

@@ -351,3 +351,20 @@ def test_tables_are_bound_by_their_own_headers(spark, tmp_path, lines_per_block)
     want += [("good.csv.gz", "9", "z", False), ("ragged.csv", "1", "a", False), ("ragged.csv", "5", "d", False), ("bytes.csv", "2", "b", False)]
     assert [g for g in got if not g[3]] == sorted(want)
     assert [g[0] for g in got if g[3]] == ["bytes.csv", "ragged.csv", "ragged.csv", "ragged.csv"]
+
+
+def test_claims_of_one_hot_comparison_are_linked(spark):
+    claims = spark.range(3000).select(
+        F.col("id").alias("claim_id"), F.lit("score").alias("object"),
+        F.when(F.col("id") % 3 > 0, "A versus B").when(F.col("id") % 6 == 0, F.concat(F.lit("G versus "), F.col("id").cast("string"))).otherwise("no comparison").alias("comparison"),
+    )
+    pairs = claims.where("comparison LIKE 'G%'").select("claim_id", F.lit("G").alias("left_group"), F.substring("comparison", 10, 9).alias("right_group"))
+    results = pairs.unionByName(spark.createDataFrame([(7, "a", "B")], "claim_id long, left_group string, right_group string")).select(
+        F.col("claim_id").alias("result_id"), "left_group", "right_group", F.lit("Score ").alias("outcome_column"), F.concat_ws(" versus ", "left_group", "right_group").alias("comparison")
+    )
+    twice = results.where("result_id = 12")
+    got = linking.link_claims(claims, results.unionByName(twice)).collect()
+    assert len(got) == 3000
+    for r in got:
+        want = (1, 7) if r.claim_id % 3 else (2, None) if r.claim_id == 12 else (1, r.claim_id) if r.claim_id % 6 == 0 else (0, None)
+        assert (r.candidates, r.result_id) == want
