@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ METRICS = (
     "unresolved_comparison_rate",
 )
 REPLICATES = 10_000
+#: Bootstrap: clusters whose sums are held at once, draws of a replicate packed in one row, draws of one group.
+CLUSTERS_PER_BLOCK = 1 << 17
+DRAWS_PER_ROW = 1 << 20
+DRAWS_PER_GROUP = 1 << 23
 
 
 def _how_many(array: str, test) -> Column:
@@ -211,6 +218,61 @@ def counter_draw(domain: str, input_digest: str, replicate: Column, position: Co
     return value
 
 
+def resampled_totals(
+    sums: DataFrame, size: int, domain: str, input_digest: str, replicates: int, *, block: int = CLUSTERS_PER_BLOCK
+) -> DataFrame:
+    """Column totals of every replicate over the clusters it draws, as :func:`counter_draw` numbers them.
+
+    ``sums``: idx from 0 to ``size - 1`` and whole numbers.  The draws of a replicate leave the task that makes them as
+    one packed row for each block of clusters (4 bytes a draw, no row a draw).  They meet the block's sums in groups of
+    bounded size, are counted by cluster, and only one total for each replicate and block is merged.
+    """
+    if size >= 2**31:
+        raise ValueError("size must fit a positive int")
+    spark: SparkSession = sums.sparkSession
+    names = [c for c in sums.columns if c != "idx"]
+    sums = sums.fillna(0)
+    head = domain.encode() + b"\0" + bytes.fromhex(input_digest.removeprefix("sha256:"))
+    parts = -(-size // DRAWS_PER_ROW)
+    together = max(1, min(DRAWS_PER_GROUP // max(1, min(size, block)), -(-replicates // 64)))
+    groups = -(-replicates // together)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["block", "part", "replicate", "draws"]
+        for batch in batches:
+            rows, held = [], 0
+            for i in batch["id"]:
+                replicate, part = divmod(int(i), parts)
+                start = head + replicate.to_bytes(8, "big")
+                places = range(part * DRAWS_PER_ROW, min(size, (part + 1) * DRAWS_PER_ROW))
+                digests = (hashlib.sha256(start + p.to_bytes(8, "big") + bytes(8)).digest() for p in places)
+                idx = np.fromiter((int.from_bytes(d, "big") % size for d in digests), np.int64, len(places))
+                idx.sort()
+                edges = np.flatnonzero(np.diff(idx // block)) + 1
+                for run in np.split(idx, edges):
+                    at = int(run[0]) // block
+                    rows.append((at, replicate // together, replicate, (run - at * block).astype("<u4").tobytes()))
+                held += len(idx)
+                if held >= DRAWS_PER_GROUP:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
+
+    def add(drawn: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        matrix = table.sort_values("idx")[names].to_numpy(dtype=np.int64)
+        totals = [np.bincount(np.frombuffer(d, dtype="<u4"), minlength=len(matrix)) @ matrix for d in drawn["draws"]]
+        made = pd.DataFrame(np.array(totals, dtype=np.int64).reshape(-1, len(names)), columns=names)
+        made.insert(0, "replicate", drawn["replicate"].to_numpy())
+        return made.groupby("replicate", as_index=False).sum()
+
+    packed = spark.range(0, replicates * parts).mapInPandas(draw, "block bigint, part bigint, replicate bigint, draws binary")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(max(1, groups) - 1).cast("long"))
+    placed = sums.withColumn("block", F.floor(F.col("idx") / block)).withColumn("part", F.explode(every))
+    schema = "replicate bigint, " + ", ".join(f"{n} bigint" for n in names)
+    met = packed.groupBy("block", "part").cogroup(placed.groupBy("block", "part")).applyInPandas(add, schema)
+    return met.groupBy("replicate").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def cluster_bootstrap(
     outcomes: DataFrame, cluster: str, input_digest: str, *, domain: str = "plumbline-bootstrap-v1", replicates: int = REPLICATES
 ) -> DataFrame:
@@ -219,17 +281,10 @@ def cluster_bootstrap(
     Clusters are summed once; each replicate adds up the clusters it drew.  The interval is the
     order statistics ceil(n/40) and ceil(39n/40) of the valid replicates.
     """
-    spark: SparkSession = outcomes.sparkSession
     sums = numbered(_wide_pairs(outcomes, [cluster]), [cluster])
     sums = cut_lineage(sums)
     size = sums.count()
-    draws = spark.range(0, replicates * size).select(
-        F.floor(F.col("id") / size).alias("replicate"),
-        counter_draw(domain, input_digest, F.floor(F.col("id") / size), F.pmod("id", F.lit(size)), max(size, 1)).alias("idx"),
-    )
-    totals = [F.sum(f"{x}{i}").alias(f"{x}{i}") for i in range(len(METRICS)) for x in "nd"]
-    # Each replicate's draws are counted per cluster before they meet the sums.
-    drawn = draws.join(sums.drop(cluster), "idx").groupBy("replicate").agg(*totals)
+    drawn = resampled_totals(sums.drop(cluster), size, domain, input_digest, replicates)
     long = cut_lineage(_stack(["replicate"], drawn))
     per_metric = long.groupBy("metric_name").agg(
         F.count("estimate").alias("valid_replicates"), F.count_if(F.col("estimate").isNull()).alias("invalid_replicates")

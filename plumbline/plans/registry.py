@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from plumbline.outcomes import CHECK_SCHEMA
+from plumbline.session import cut_lineage, shared_folder
 
 
 class Tables:
@@ -45,9 +48,9 @@ Check = Callable[[Mapping[str, DataFrame]], DataFrame]
 class CheckRegistry:
     """Independent checks over shared inputs; each returns the common observation schema.
 
-    Taking one check out leaves the others unchanged.  A check that cannot be planned is
-    reported as unsupported and does not stop its siblings.  Two checks registered under one
-    name make that name ambiguous instead of picking one.
+    Taking one check out leaves the others unchanged.  Each check is planned and written by a job of its own, a few at
+    a time, so one that fails while planning or on the executors becomes a row, unsupported, and does not stop its
+    siblings.  Two checks registered under one name make that name ambiguous instead of picking one.
     """
 
     checks: dict[str, list[Check]] = field(default_factory=dict)
@@ -58,17 +61,24 @@ class CheckRegistry:
     def remove(self, name: str) -> None:
         self.checks.pop(name, None)
 
-    def evaluate(self, spark: SparkSession, inputs: Mapping[str, DataFrame]) -> DataFrame:
-        results: list[DataFrame] = []
-        for name, observers in sorted(self.checks.items()):
-            if len(observers) > 1:
-                results.append(_boundary(spark, name, "ambiguous", "more than one adapter observes this check"))
-                continue
+    def evaluate(self, spark: SparkSession, inputs: Mapping[str, DataFrame], *, at_once: int = 4) -> DataFrame:
+        empty = spark.createDataFrame([], CHECK_SCHEMA)
+
+        def observe(name: str) -> DataFrame:
+            if len(self.checks[name]) > 1:
+                return _boundary(spark, name, "ambiguous", "more than one adapter observes this check")
+            tag = "check " + name.replace(",", ";")
+            spark.addTag(tag)
             try:
-                results.append(spark.createDataFrame([], CHECK_SCHEMA).unionByName(observers[0](inputs)))
+                return cut_lineage(empty.unionByName(self.checks[name][0](inputs)))
             except Exception as error:  # a check that fails is isolated to its own row
-                results.append(_boundary(spark, name, "unsupported", type(error).__name__))
-        return reduce(DataFrame.unionByName, results, spark.createDataFrame([], CHECK_SCHEMA))
+                return _boundary(spark, name, "unsupported", type(error).__name__)
+            finally:
+                spark.removeTag(tag)
+
+        shared_folder(spark)  # set once, before the checks ask for it
+        with ThreadPoolExecutor(at_once) as pool:
+            return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(observe), sorted(self.checks)), empty)
 
 
 def _boundary(spark: SparkSession, name: str, state: str, reason: str) -> DataFrame:

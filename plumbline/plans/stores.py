@@ -295,6 +295,26 @@ def evidence_edges(t: Tables) -> DataFrame:
     return records.evidence_index(order_records(t))[1]
 
 
+@query(
+    "index_verify",
+    """SELECT 'edge' AS part, 'o' || o_orderkey AS record_id, '/a~1b' AS pointer, 'missing' AS problem FROM orders WHERE o_orderkey % 97 IN (0, 1)
+    UNION ALL SELECT 'edge', 'o' || o_orderkey, '/a~1b', 'not_in_records' FROM orders WHERE o_orderkey % 97 = 1
+    UNION ALL SELECT 'location', 'o' || o_orderkey, '/source_ref', unnest(['missing', 'not_in_records']) FROM orders WHERE o_orderkey % 97 = 2
+    UNION ALL SELECT 'record', 'o' || o_orderkey, NULL, unnest(['missing', 'not_in_records']) FROM orders WHERE o_orderkey % 97 = 3""",
+)
+def index_verify(t: Tables) -> DataFrame:
+    """An index with lost and changed edges, moved locations and changed digests against its records."""
+    made = cut_lineage(order_records(t))
+    base, edges, places = map(cut_lineage, records.evidence_index(made))
+    key = lambda c: F.substring(c, 2, 20).cast("long") % 97
+    own = F.col("pointer") == "/a~1b"
+    edges = edges.where(~(own & (key("source_id") == 0)))
+    edges = edges.withColumn("target_id", F.when(own & (key("source_id") == 1), F.lit("x")).otherwise(F.col("target_id")))
+    places = places.withColumn("start_line", F.col("start_line") + (key("source_id") == 2).cast("int"))
+    base = base.withColumn("digest", F.when(key("record_id") == 3, F.lit("sha256:0")).otherwise(F.col("digest")))
+    return records.verify_index(made, base, edges, places).select("part", "record_id", "pointer", "problem")
+
+
 @query(
     "evidence_locations",
     """SELECT 'o' || o_orderkey AS source_id, '/source_ref' AS pointer, 'file_span' AS source_kind, 'o.csv:' || o_orderkey AS locator, 'o.csv' AS path, o_orderkey AS start_line FROM orders
@@ -426,8 +446,12 @@ def checks() -> CheckRegistry:
     def failing(inputs) -> DataFrame:
         return inputs["absent"]
 
+    def failing_on_executors(inputs) -> DataFrame:
+        return repeated(inputs).withColumn("reason", F.when(F.col("case_id").isNotNull(), F.raise_error(F.lit("bad row"))))
+
     registry.register("repeated_units", repeated)
     registry.register("failing_check", failing)
+    registry.register("failing_on_executors", failing_on_executors)
     registry.register("watched_twice", repeated)
     registry.register("watched_twice", failing)
     return registry
@@ -437,7 +461,8 @@ def checks() -> CheckRegistry:
     "check_registry",
     """WITH u AS (SELECT o_orderpriority, o_custkey, count(*) AS n FROM orders GROUP BY ALL)
     SELECT 'repeated_units' AS check_id, o_orderpriority AS case_id, 'applicable' AS applicability, CASE WHEN max(n) > 1 THEN 'nonconformant' ELSE 'conformant' END AS comparison_outcome FROM u GROUP BY o_orderpriority
-    UNION ALL SELECT 'failing_check', NULL, 'unsupported', 'unknown' UNION ALL SELECT 'watched_twice', NULL, 'ambiguous', 'unknown'""",
+    UNION ALL SELECT 'failing_check', NULL, 'unsupported', 'unknown'
+    UNION ALL SELECT 'failing_on_executors', NULL, 'unsupported', 'unknown' UNION ALL SELECT 'watched_twice', NULL, 'ambiguous', 'unknown'""",
 )
 def check_registry(t: Tables) -> DataFrame:
     seen = checks().evaluate(t.spark, {"orders": t.orders})
@@ -446,19 +471,33 @@ def check_registry(t: Tables) -> DataFrame:
 
 @query(
     "stream_segment_clock",
-    """WITH g AS (SELECT user_id, epoch_us(ts) AS t, event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w, 0) AS gap,
+    """WITH g AS (SELECT user_id, epoch_us(ts) AS t, event_id, event_type, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w, 0) AS gap,
       coalesce(lag(event_type) OVER w = 'error', false) AS paused FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, CASE WHEN paused THEN 0 ELSE gap END AS act, sum(CASE WHEN paused THEN 0 ELSE gap END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS spent FROM g),
-    k AS (SELECT *, spent - act < 1500000000000 AS open FROM s)
-    SELECT CAST(user_id AS VARCHAR) AS segment, count(*) AS events, CAST(sum(CASE WHEN open THEN act ELSE 0 END) AS BIGINT) AS active_micros,
-      CAST(sum(CASE WHEN open AND paused THEN gap ELSE 0 END) AS BIGINT) AS paused_micros, min(CASE WHEN spent >= 1500000000000 THEN t END) AS exhausted_micros, CAST(0 AS BIGINT) AS rejected FROM k GROUP BY ALL""",
+    k AS (SELECT *, spent - act < 1500000000000 AS open FROM s),
+    m AS (SELECT max(epoch_ms(ts)) - 172800000 AS mark FROM events),
+    c AS (SELECT user_id, count(*) AS events, CAST(sum(CASE WHEN open THEN act ELSE 0 END) AS BIGINT) AS active_micros,
+      CAST(sum(CASE WHEN open AND paused THEN gap ELSE 0 END) AS BIGINT) AS paused_micros, min(CASE WHEN spent >= 1500000000000 THEN t END) AS exhausted_micros,
+      CAST(min(CASE WHEN spent >= 1500000000000 THEN t - (spent - 1500000000000) END) AS BIGINT) AS met,
+      CAST(max(t) + 1500000000000 - max(spent) AS BIGINT) AS due, max_by(event_type, (t, event_id)) = 'error' AS stopped FROM k GROUP BY user_id)
+    SELECT CAST(user_id AS VARCHAR) AS segment, events, active_micros, paused_micros, exhausted_micros,
+      coalesce(met, CASE WHEN NOT stopped AND (due + 999) // 1000 < mark THEN due END) AS limit_micros, CAST(0 AS BIGINT) AS rejected, true AS several_batches FROM c, m""",
 )
 def stream_segment_clock(t: Tables) -> DataFrame:
-    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """Events in five files by time, every seventh up to a day late, a micro-batch for each file."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = t.events.agg(F.min(micros), F.max(micros)).head()
+    day = 86_400_000_000
+    place = micros + F.when(F.col("event_id") % 7 == 0, F.lit(day)).otherwise(F.lit(0)) - F.lit(first)
+    dealt = t.events.withColumn("part", F.floor(place * 5 / F.lit((last or 0) - (first or 0) + day + 1)))
+    folder = scratch(t, "arriving")
+    for part in range(5):  # files are read in the order of their writing
+        dealt.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     events = stream.select(
         F.col("user_id").cast("string").alias("segment"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("tie"), F.col("event_type").alias("state")
     )
-    clocks = stream_segment_time(events, paused_state="error", hard_seconds=1_500_000.0)
+    clocks = stream_segment_time(events, paused_state="error", hard_seconds=1_500_000.0, watermark="2 days")
     sink, checkpoint = scratch(t, "clocks"), scratch(t, "checkpoint")
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -467,9 +506,9 @@ def stream_segment_clock(t: Tables) -> DataFrame:
     run = clocks.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
     clock = t.spark.read.parquet(sink)
-    return clock.groupBy("segment").agg(
-        *[F.max_by(c, "events").alias(c) for c in clock.columns if c not in ("segment", "events", "batch")], F.max("events").alias("events")
-    )
+    several = clock.agg((F.countDistinct("batch") >= 5).alias("several_batches")).head()[0]
+    now = clock.groupBy("segment").agg(*[F.max_by(c, "batch").alias(c) for c in clock.columns if c not in ("segment", "batch", "released")])
+    return now.withColumn("several_batches", F.lit(several))
 
 
 @query(

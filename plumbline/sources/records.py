@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ids import canonical_json, is_json, sha256_digest
+from plumbline.functions.ids import canonical_json, is_json, set_digest, sha256_digest
 from plumbline.session import cut_lineage
 
 # The columns of a task trace, in order.
@@ -156,6 +157,56 @@ def evidence_index(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return base.distinct(), edges, places
 
 
+def table_differences(stored: DataFrame, rebuilt: DataFrame, key: Sequence[str], buckets: int = 4096) -> DataFrame:
+    """Rows that two tables hold in different numbers, with ``n_stored`` and ``n_rebuilt``.
+
+    Rows fall into buckets by ``key``; order-free digests of a bucket's rows on both sides say where the tables
+    differ, and only rows of those buckets (at most ``buckets`` numbers, sent to every task) are compared.
+    """
+    columns = rebuilt.columns
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_bucket")
+    both = stored.select(*columns, bucket, F.lit(True).alias("_stored")).unionByName(
+        rebuilt.select(*columns, bucket, F.lit(False).alias("_stored"))
+    )
+    row = F.to_json(F.struct(*columns))
+    told = both.groupBy("_bucket").agg(
+        set_digest(F.when(F.col("_stored"), row)).alias("_a"), set_digest(F.when(~F.col("_stored"), row)).alias("_b")
+    )
+    differing = told.where("_a <> _b").select("_bucket")
+    counted = both.join(F.broadcast(differing), "_bucket").groupBy(*columns).agg(
+        F.count_if("_stored").alias("n_stored"), F.count_if(~F.col("_stored")).alias("n_rebuilt")
+    )
+    return counted.where("n_stored <> n_rebuilt")
+
+
+def verify_index(records: DataFrame, base: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
+    """What a stored evidence index (as :func:`evidence_index` returns it) says otherwise than its records.
+
+    One row per differing row of the index: ``part`` (record, edge or location), record, pointer and ``problem``:
+    ``missing`` from the index, ``not_in_records`` any more, or ``repeated`` another number of times.
+    """
+    again = evidence_index(records)
+    parts = []
+    for part, stored, rebuilt in zip(("record", "edge", "location"), (base, edges, places), again):
+        stated = ["record_type", "record_id"] if part == "record" else ["source_type", "source_id"]
+        if part == "record":  # bodies are compared by their digests
+            stored, rebuilt = (x.select(*stated, "digest") for x in (stored, rebuilt))
+        found = table_differences(stored, rebuilt, stated)
+        problem = (
+            F.when(F.col("n_stored") == 0, F.lit("missing"))
+            .when(F.col("n_rebuilt") == 0, F.lit("not_in_records"))
+            .otherwise(F.lit("repeated"))
+        )
+        pointer = F.lit(None).cast("string") if part == "record" else F.col("pointer")
+        parts.append(
+            found.select(
+                F.lit(part).alias("part"), F.col(stated[0]).alias("record_type"), F.col(stated[1]).alias("record_id"),
+                pointer.alias("pointer"), problem.alias("problem"), "n_stored", "n_rebuilt",
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def workflow_trace(lines: DataFrame) -> DataFrame:
     """Trace lines with the reason a line is not imported; null for consistent terminal rows.
 

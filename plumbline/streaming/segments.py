@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,59 +13,111 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CLOCK_SCHEMA = (
     "segment string, events bigint, active_micros bigint, paused_micros bigint, "
-    "exhausted_micros bigint, rejected bigint"
+    "exhausted_micros bigint, limit_micros bigint, rejected bigint, released boolean"
 )
 STATE_SCHEMA = (
-    "last_micros bigint, last_tie bigint, state string, events bigint, active bigint, paused bigint, "
-    "exhausted bigint, rejected bigint"
+    "last bigint, mode boolean, events bigint, active bigint, paused bigint, exhausted bigint, reached bigint, "
+    "rejected bigint, waiting binary"
 )
+#: Rows this much older than the watermark still come to be counted as rejected; Spark drops still older ones.
+COUNTED_DAYS = 3650
+
+
+class Clock(NamedTuple):
+    """A segment up to its last event: its time, whether it paused, events, charged time and when the limit was met."""
+
+    last: int | None = None
+    mode: bool = False
+    events: int = 0
+    active: int = 0
+    paused: int = 0
+    exhausted: int | None = None
+    reached: int | None = None
+
+    def advance(self, rows: np.ndarray, limit: int) -> Clock:
+        """Charge the gaps before ``rows`` (micros, tie, paused; in order) up to the first event at or over the limit."""
+        if not len(rows):
+            return self
+        at = rows[:, 0]
+        gap = np.diff(at, prepend=at[0] if self.last is None else self.last)
+        still = np.concatenate([[self.mode], rows[:-1, 2]]) != 0
+        active, paused, exhausted, reached = self.active, self.paused, self.exhausted, self.reached
+        if exhausted is None:
+            spent = active + np.cumsum(np.where(still, 0, gap))
+            over = int(np.searchsorted(spent, limit))  # spent never falls
+            end = min(over, len(at) - 1)
+            paused += int(gap[: end + 1][still[: end + 1]].sum())
+            active = int(spent[end])
+            if over < len(at):
+                exhausted = int(at[over])
+                reached = exhausted - (active - limit)
+        return Clock(int(at[-1]), bool(rows[-1, 2]), self.events + len(at), active, paused, exhausted, reached)
 
 
 def stream_segment_time(
-    events: DataFrame, *, paused_state: str, hard_seconds: float, watermark: str = "10 minutes"
+    events: DataFrame, *, paused_state: str, hard_seconds: float, watermark: str = "10 minutes", idle_seconds: float | None = None
 ) -> DataFrame:
-    """Running clock of each segment, one row per segment and micro-batch (update mode).
+    """Running clock of each segment, one row per segment and micro-batch that changes it (update mode).
 
-    ``events``: segment string, at timestamp, tie bigint, state string.  An event older than
-    the last one of its segment is counted as rejected and never charged.
+    ``events``: segment string, at timestamp, tie bigint, state string.  Events wait in the state (24 bytes each) until
+    the watermark passes them, so any order within the watermark gives the clock of the batch operator; a row shows
+    the waiting ones too.  An event behind the watermark is counted as rejected and never charged.
+
+    ``limit_micros`` is the moment at which active time meets the hard limit.  It is told by the next event, or by a
+    timer once the watermark has passed it without one.  ``exhausted_micros`` is the first event at or after it; from
+    then on events are only counted and none waits.  With ``idle_seconds`` a segment whose last event is that far
+    behind the watermark gets a last row, ``released``, and its state is given up; a later event opens a new clock.
     """
     limit = int(hard_seconds * 1_000_000)
+    idle = None if idle_seconds is None else int(idle_seconds * 1_000_000)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            last, tie, mode, n, active, paused, exhausted, rejected = state.get
+        mark = state.getCurrentWatermarkMs()
+        *kept, rejected, waiting = state.get if state.exists else (*Clock(), 0, b"")
+        clock = Clock(*kept)
+        arrived = [np.frombuffer(bytes(waiting), dtype=np.int64).reshape(-1, 3)]
+        for part in batches:
+            rows = np.column_stack([part[c].to_numpy(dtype=np.int64) for c in ("micros", "tie", "paused")])
+            late = rows[:, 0] // 1000 < mark
+            rejected += int(late.sum())
+            arrived.append(rows[~late])
+        rows = np.concatenate(arrived)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        settled = len(rows) if clock.exhausted is not None else int(np.searchsorted(rows[:, 0] // 1000, mark))
+        clock = clock.advance(rows[:settled], limit)
+        rows = rows[settled:]
+        shown = clock.advance(rows, limit)
+        timers = []
+        if shown.reached is None and shown.last is not None and not shown.mode:
+            moment = shown.last + limit - shown.active
+            if -(-moment // 1000) < mark:  # the watermark is past every event, so nothing waits
+                clock = shown = shown._replace(reached=moment)
+            else:
+                timers.append(-(-moment // 1000))
+        released = False
+        if idle is not None and shown.last is not None:
+            end = -(-(shown.last + idle) // 1000)
+            released = end < mark
+            timers.append(end)
+        if released:
+            state.remove()
         else:
-            last, tie, mode, n, active, paused, exhausted, rejected = None, None, None, 0, 0, 0, None, 0
-        parts = pd.concat(list(batches)).sort_values(["micros", "tie"], kind="stable")
-        for micros, t, s in zip(parts["micros"], parts["tie"], parts["state"]):
-            if last is not None and (micros, t) < (last, tie):
-                rejected += 1
-                continue
-            gap = 0 if last is None else micros - last
-            n += 1
-            if exhausted is None:
-                if mode == paused_state:
-                    paused += gap
-                else:
-                    active += gap
-                if active >= limit:
-                    exhausted = micros
-            last, tie, mode = int(micros), int(t), s
-        state.update((last, tie, mode, n, int(active), int(paused), exhausted, rejected))
-        yield pd.DataFrame(
-            {
-                "segment": [key[0]],
-                "events": [n],
-                "active_micros": [int(active)],
-                "paused_micros": [int(paused)],
-                "exhausted_micros": pd.array([exhausted], dtype="Int64"),
-                "rejected": [rejected],
-            }
-        )
+            state.update((*clock, rejected, rows.tobytes()))
+            if timers:
+                state.setTimeoutTimestamp(max(min(timers), mark + 1))
+        row = (key[0], shown.events, shown.active, shown.paused, shown.exhausted, shown.reached, rejected, released)
+        names = [c.split()[0] for c in CLOCK_SCHEMA.split(", ")]
+        yield pd.DataFrame([row], columns=names).astype({"exhausted_micros": "Int64", "limit_micros": "Int64"})
 
+    # The watermark stands on a column moved ahead: rows behind the real one still reach ``fold``.
+    ahead = F.col("at") + F.expr(f"interval {COUNTED_DAYS} days")
     return (
-        events.withWatermark("at", watermark)
-        .select("segment", F.unix_micros("at").alias("micros"), "tie", "state")
+        events.select(
+            "segment", ahead.alias("ahead"), F.unix_micros("at").alias("micros"), F.col("tie").cast("long").alias("tie"),
+            F.coalesce(F.col("state") == paused_state, F.lit(False)).cast("long").alias("paused"),
+        )
+        .where("segment is not null and micros is not null and tie is not null")
+        .withWatermark("ahead", f"{watermark} {COUNTED_DAYS} days")
         .groupBy("segment")
-        .applyInPandasWithState(fold, CLOCK_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(fold, CLOCK_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
     )

@@ -80,6 +80,21 @@ def case(i, problem, status="bounded_root_match", root="boundedly_localized", el
     return (f"k{i}", problem, "reconciled", "complete", eligible, [op], [(f"c{i}", status)], [(f"r{i}", root)])
 
 
+def test_packed_draws_add_up_to_the_counted_ones(spark):
+    digest = "sha256:" + hashlib.sha256(b"y").hexdigest()
+    sums = spark.createDataFrame([(i, i * i, 1 if i % 3 else None) for i in range(53)], "idx long, a long, b long")
+    made = {}
+    for block in (7, 53, 1 << 17):
+        rows = evaluation.resampled_totals(sums.repartition(3), 53, "d-v1", digest, 70, block=block).collect()
+        made[block] = sorted(tuple(r) for r in rows)
+    drawn = spark.range(70 * 53).select(
+        F.floor(F.col("id") / 53).alias("replicate"),
+        evaluation.counter_draw("d-v1", digest, F.floor(F.col("id") / 53), F.pmod("id", F.lit(53)), 53).alias("idx"),
+    )
+    expected = drawn.join(sums, "idx").groupBy("replicate").agg(F.sum("a"), F.coalesce(F.sum("b"), F.lit(0))).collect()
+    assert made[7] == made[53] == made[1 << 17] == sorted(tuple(r) for r in expected)
+
+
 def test_metrics_and_zero_denominators(spark):
     df = outcome_rows(spark, [case(1, "p"), case(2, "p", "false_root_localization", "missed"), case(3, "q", eligible=False)])
     got = {r.metric_name: r for r in evaluation.metric_pairs(df.repartition(3)).collect()}
@@ -245,6 +260,67 @@ def test_removing_a_check_leaves_its_siblings(spark):
     assert [r.check_id for r in registry.evaluate(spark, inputs).collect()] == ["first"]
 
 
+def test_a_check_that_fails_on_executors_leaves_its_siblings(spark):
+    from plumbline.outcomes import as_observations
+
+    base = spark.createDataFrame([(f"c{i}", "applicable", "conformant", "r") for i in range(9)], "id string, applicability string, comparison_outcome string, reason string")
+    registry = CheckRegistry()
+    registry.register("sound", lambda i: as_observations(i["obs"], "sound", "id"))
+    registry.register("breaks, late", lambda i: as_observations(i["obs"].where(F.raise_error(F.col("id")).isNull()), "breaks, late", "id"))
+    got = registry.evaluate(spark, {"obs": base}).collect()
+    assert sum(r.check_id == "sound" for r in got) == 9
+    assert [(r.applicability, r.case_id) for r in got if r.check_id == "breaks, late"] == [("unsupported", None)]
+    assert CheckRegistry().evaluate(spark, {}).count() == 0
+
+
+def test_index_differences_are_found_row_by_row(spark):
+    from plumbline.sources import records
+
+    rows = [("t", f"r{i}", json.dumps({"refs": [{"record_type": "u", "record_id": f"x{i}"}] * 2})) for i in range(30)]
+    made = spark.createDataFrame(rows, "record_type string, record_id string, body string")
+    base, edges, places = records.evidence_index(made)
+    assert records.verify_index(made, base, edges, places).count() == 0
+    twice = edges.unionByName(edges.where("source_id = 'r3'"))
+    spoilt = twice.where("not (source_id = 'r5' and pointer = '/refs/1')").withColumn("target_id", F.expr("if(source_id = 'r7', null, target_id)"))
+    got = {(r.part, r.record_id, r.pointer, r.problem) for r in records.verify_index(made, base.where("record_id <> 'r9'"), spoilt, places).collect()}
+    assert got == {
+        ("record", "r9", None, "missing"), ("edge", "r5", "/refs/1", "missing"),
+        *(("edge", "r3", f"/refs/{i}", "repeated") for i in range(2)),
+        *(("edge", "r7", f"/refs/{i}", p) for i in range(2) for p in ("missing", "not_in_records")),
+    }
+
+
+def test_clock_stream_has_a_timer_and_gives_up_idle_segments(spark, tmp_path):
+    from plumbline.streaming.segments import stream_segment_time
+
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    batches = [
+        [("a", 0, 1, "run"), ("b", 5, 1, "run"), ("c", 0, 1, "wait")],
+        [("b", 30, 2, "wait"), ("b", 20, 3, "run"), ("a", 40, 2, "run")],  # b's come in the wrong order
+        [("d", 300, 1, "run"), ("b", 35, 4, "run")],
+        [("a", 10, 9, "run"), ("b", 310, 5, "run")],  # a's is behind the watermark
+        [("d", 900, 2, "run")],
+    ]
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "segment string, s long, tie long, state string")
+        frame.select("segment", F.timestamp_seconds("s").alias("at"), "tie", "state").coalesce(1).write.mode("append").parquet(str(folder))
+    schema = "segment string, at timestamp, tie long, state string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    clocks = stream_segment_time(stream, paused_state="wait", hard_seconds=100, watermark="30 seconds", idle_seconds=400)
+    save = lambda batch, n: batch.write.parquet(f"{out}/batch={n}")
+    clocks.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    last = {s: max((r for r in rows if r.segment == s), key=lambda r: r.batch) for s in "abcd"}
+    second = 1_000_000
+    # a: the limit passes 100 s after its first event, with no event near it; its late event is only counted.
+    assert (last["a"].limit_micros, last["a"].exhausted_micros, last["a"].rejected, last["a"].released) == (100 * second, None, 1, True)
+    # b: runs 5-20, 20-30, waits 30-35, runs 35-310.
+    assert (last["b"].events, last["b"].paused_micros, last["b"].limit_micros, last["b"].exhausted_micros) == (5, 5 * second, 110 * second, 310 * second)
+    assert last["c"].limit_micros is None and last["c"].released
+    assert (last["d"].events, last["d"].limit_micros, last["d"].released) == (2, 400 * second, False)
+    assert len({r.batch for r in rows}) >= 5
+
+
 def test_ingest_keeps_records_of_any_lateness(spark, tmp_path):
     from plumbline.streaming import records as record_stream
 
