@@ -59,9 +59,10 @@ _HEAD_END = re.compile(r"</head\s*>|<body\b", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "article")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place")
 #: Blocks labelled by hand: words, share of characters in links, apart (1: in an element that stands for something
-#: else), article (1: in an article, -1: beside one, 0: the page has none), label.  Empty lines part pages.
+#: else), article (1: in an article, -1: beside one, 0: the page has none), label.  Empty lines part pages.  The tree
+#: sees the two marks as one, ``place``: 1 in the article, 0 on a page without one, -1 apart or beside.
 LABELLED = """
 1 1.0 1 -1 0
 1 1.0 1 -1 0
@@ -141,6 +142,182 @@ LABELLED = """
 26 0.0 0 0 1
 3 1.0 1 0 0
 48 0.0 1 0 0
+
+2 1.0 0 0 0
+1 1.0 0 0 0
+2 1.0 0 0 0
+6 0.0 0 0 1
+54 0.0 0 0 1
+12 0.8 0 0 1
+48 0.1 0 0 1
+4 0.0 0 0 1
+61 0.0 0 0 1
+9 1.0 0 0 1
+37 0.0 0 0 1
+2 1.0 0 0 0
+1 1.0 0 0 0
+4 0.0 0 0 0
+
+1 1.0 0 0 0
+3 1.0 0 0 0
+8 0.0 0 0 1
+29 0.0 0 0 1
+5 0.0 0 0 1
+7 0.0 0 0 1
+6 0.2 0 0 1
+42 0.0 0 0 1
+16 0.9 0 0 1
+33 0.0 0 0 1
+3 1.0 0 0 0
+2 0.0 0 0 0
+2 1.0 0 0 0
+5 0.0 0 0 0
+
+2 1.0 1 -1 0
+7 0.0 0 1 1
+44 0.1 0 1 1
+11 1.0 0 1 1
+58 0.0 0 1 1
+2 0.0 0 1 1
+14 0.9 0 1 1
+12 0.8 0 1 1
+17 1.0 0 1 1
+9 0.7 0 1 1
+3 1.0 1 -1 0
+12 1.0 0 -1 0
+
+4 0.0 0 0 0
+1 1.0 0 0 0
+2 1.0 0 0 0
+9 0.0 0 0 1
+71 0.0 0 0 1
+20 0.7 0 0 1
+66 0.0 0 0 1
+18 1.0 0 0 1
+25 0.1 0 0 1
+8 1.0 0 0 0
+7 1.0 0 0 0
+9 0.9 0 0 0
+6 0.0 0 0 0
+
+3 0.0 1 -1 0
+5 0.0 0 1 1
+30 0.0 0 1 1
+4 1.0 0 1 1
+27 0.0 0 1 1
+6 1.0 0 1 1
+8 1.0 0 1 1
+5 0.0 0 -1 0
+2 1.0 0 -1 0
+
+1 0.0 0 0 0
+2 1.0 0 0 0
+1 1.0 0 0 0
+5 0.0 0 0 1
+46 0.0 0 0 1
+3 0.0 0 0 1
+52 0.1 0 0 1
+22 0.6 0 0 1
+39 0.0 0 0 1
+4 0.0 0 0 1
+2 1.0 0 0 0
+3 0.0 0 0 0
+1 1.0 0 0 0
+2 0.0 0 0 0
+
+3 0.0 0 -1 0
+52 0.0 0 1 1
+5 0.0 0 1 1
+64 0.0 0 1 1
+10 1.0 0 1 1
+12 1.0 0 1 1
+9 1.0 0 1 1
+14 1.0 0 1 1
+11 0.9 0 1 1
+2 0.0 0 -1 0
+44 0.1 0 -1 0
+5 0.0 0 -1 0
+38 0.0 0 -1 0
+
+2 0.0 0 -1 0
+6 0.2 0 -1 0
+41 0.0 0 1 1
+8 1.0 0 1 1
+7 1.0 0 1 1
+13 0.9 0 1 1
+57 0.0 0 1 1
+4 0.0 0 -1 0
+50 0.0 0 -1 0
+1 0.0 0 -1 0
+33 0.2 0 -1 0
+
+60 0.0 0 1 1
+
+3 0.0 0 1 1
+12 1.0 0 1 1
+
+5 1.0 0 1 1
+2 0.0 0 1 1
+3 1.0 0 1 1
+1 1.0 0 1 1
+
+3 0.0 0 0 1
+52 0.0 0 0 1
+2 0.0 0 0 1
+41 0.1 0 0 1
+
+80 0.0 0 0 1
+
+2 1.0 0 0 0
+3 0.0 0 0 1
+36 0.0 0 0 1
+4 0.0 0 0 1
+64 0.0 0 0 1
+
+12 1.0 0 0 0
+6 0.0 0 0 1
+58 0.0 0 0 1
+47 0.1 0 0 1
+18 1.0 0 0 0
+
+20 0.9 0 0 0
+15 1.0 0 0 0
+9 0.0 0 0 1
+70 0.0 0 0 1
+14 1.0 0 0 0
+11 1.0 0 0 0
+
+3 0.0 0 1 1
+2 0.0 0 1 1
+1 0.0 0 1 1
+3 0.0 0 1 1
+2 0.5 0 1 1
+4 0.0 0 1 1
+
+1 0.0 0 1 1
+
+4 0.0 0 1 1
+2 0.0 0 1 1
+
+2 1.0 0 1 1
+1 1.0 0 1 1
+3 1.0 0 1 1
+2 1.0 0 1 1
+1 0.0 0 1 1
+
+2 1.0 0 0 0
+3 1.0 0 0 0
+60 0.0 0 0 1
+44 0.0 0 0 1
+1 1.0 0 0 0
+
+4 1.0 0 0 0
+1 1.0 0 0 0
+2 1.0 0 0 0
+38 0.0 0 0 1
+13 1.0 0 0 1
+51 0.1 0 0 1
+2 1.0 0 0 0
 """
 
 
@@ -279,7 +456,8 @@ def features(rows: Iterable[tuple[int, float, int, int]]) -> list[tuple[float, .
     rows = list(rows)
     padded = [(0, 0.0), *[r[:2] for r in rows], (0, 0.0)]
     return [
-        tuple(map(float, (*padded[i + 1], *padded[i], *padded[i + 2], *rows[i][2:]))) for i in range(len(rows))
+        tuple(map(float, (*padded[i + 1], *padded[i], *padded[i + 2], -1 if apart else article)))
+        for i, (_, _, apart, article) in enumerate(rows)
     ]
 
 
@@ -309,8 +487,6 @@ def train(spark: SparkSession, labelled: str = LABELLED, depth: int = 6) -> list
     return read()
 
 
-
-
 def verdict(tree: list | int, block: Column) -> Column:
     """The tree as one expression over a block's fields."""
     if isinstance(tree, int):

@@ -82,6 +82,32 @@ def test_loose_pages_keep_their_article(spark, tree, page):
     assert text and set(text.split("\n")) == {LONG.strip()}
 
 
+def test_neighbours_decide_where_a_page_says_nothing(spark, tree):
+    def asked(node) -> set[str]:
+        return set() if isinstance(node, int) else {node[0]} | asked(node[2]) | asked(node[3])
+
+    def left_of(node, **known) -> set[int]:
+        """Answers still possible where these features are known."""
+        if isinstance(node, int):
+            return {node}
+        name, threshold, low, high = node
+        sides = (low, high) if name not in known else (low,) if known[name] <= threshold else (high,)
+        return set().union(*(left_of(side, **known) for side in sides))
+
+    assert left_of(tree, place=-1) == {0} and left_of(tree, place=1) == {1} and left_of(tree, place=0) == {0, 1}
+    assert {"links", "words_before", "links_before", "words_after", "links_after"} & asked(tree) > {"links"}
+    link = lambda text: f"<p><a href=/>{text}</a></p>"
+    menu = link("Home") + link("All news") + link("About us")
+    inside = link("the full report of the committee on this year of work")
+    page = f"{menu}<h1>A title of five words</h1><p>{LONG}</p>{inside}<p>{LONG}</p>{menu}<p>All rights reserved</p>"
+    listed = f"<nav>{menu}</nav><article><p>{LONG}</p>{inside}{inside}{inside}</article>{menu}<p>Read next</p><p>{LONG}</p>"
+    frame = spark.createDataFrame([(1, page), (2, listed)], "page_id long, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_text.extract(frame, tree).collect()}
+    report = "the full report of the committee on this year of work"
+    assert got[1] == ["A title of five words", LONG.strip(), report, LONG.strip()]
+    assert got[2] == [LONG.strip(), report, report, report]
+
+
 def test_attributes_are_read_by_their_whole_names():
     apart = lambda page: [b[3] for b in html_text.blocks(page + "<p>" + LONG * 9)]
     assert apart("<div hidden>a</div>") == apart("<div class='my comments'>a</div>") == [1, 0]
