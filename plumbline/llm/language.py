@@ -25,6 +25,11 @@ SAMPLE_PARTS = 64
 #: Texts are compressed in blocks, so that a long text does not become its own dictionary.
 BLOCK_BYTES = 2048
 LEVEL = 6
+#: Stands behind every block.  zstandard stores a block that saves too little as it is, which hides the few bytes a
+#: dictionary saves on a short one; with this behind it every block is worth compressing and every match counts.
+FILLER = bytes(64)
+#: Dictionaries are also cut in so many parts; languages that need equally many bytes are told apart by their sums.
+PARTS = 4
 #: The runner-up must need this share more bytes than the winner, or the text is rejected.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
@@ -132,29 +137,45 @@ class Compressors:
         self.names = sorted(dictionaries)
         self.block_bytes = block_bytes
         self.letter = regex.compile(r"\p{L}")
-        self.compress = []
+        self.whole = [[_compressor(dictionaries[n], level)] for n in self.names]
+        self.parts = []
         for name in self.names:
-            raw = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=level)
-            made = zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False)
-            self.compress.append(made.compress)
+            octets = dictionaries[name]
+            step = -(-len(octets) // PARTS) or 1
+            self.parts.append([_compressor(octets[i : i + step], level) for i in range(0, PARTS * step, step)])
 
-    def sizes(self, octets: bytes) -> list[int]:
+    def sizes(self, octets: bytes, compressors: list[list[Callable]] | None = None) -> list[int]:
+        """Bytes left by each language, summed over its compressors (by default the one with the whole dictionary)."""
         step = self.block_bytes
-        blocks = [octets[i : i + step] for i in range(0, len(octets), step)]
-        return [sum(len(c(b)) for b in blocks) for c in self.compress]
+        blocks = [octets[i : i + step] + FILLER for i in range(0, len(octets), step)]
+        return [sum(len(c(b)) for c in own for b in blocks) for own in compressors or self.whole]
 
     def guess(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score, margin.  Ties go to the first name; the score is the winner's share of 2**-bytes."""
+        """Language, score, margin; the score is the winner's share of 2**-bytes.
+
+        Languages with equally few bytes are told apart by the mean over the parts of their dictionaries.  If these are
+        equal too the first name is given, with margin 0.
+        """
         if not text or not self.names or not self.letter.search(text):
             return UNKNOWN, 0.0, 0.0
-        sizes = np.array(self.sizes(letters_of(text)), dtype=np.float64)
+        octets = letters_of(text)
+        sizes = np.array(self.sizes(octets), dtype=np.float64)
+        tied = sizes == sizes.min()
+        if tied.sum() > 1:
+            fine = np.array(self.sizes(octets, self.parts), dtype=np.float64) / PARTS
+            sizes[tied] += fine[tied] - fine[tied].min()
         best = int(sizes.argmin())
         rest = np.delete(sizes, best)
         margin = float(rest.min() / sizes[best] - 1) if len(rest) else 1.0
         return self.names[best], float(1 / np.exp2(sizes[best] - sizes).sum()), margin
 
 
+def _compressor(octets: bytes, level: int) -> Callable[[bytes], bytes]:
+    raw = zstandard.ZstdCompressionDict(octets, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False).compress
+
+
 def identify(documents: DataFrame, dictionaries: Mapping[str, bytes], *, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1) and ``margin``; columns of these names are replaced.
 
@@ -172,7 +193,10 @@ def identify(documents: DataFrame, dictionaries: Mapping[str, bytes], *, text: s
 def confident(
     documents: DataFrame, dictionaries: Mapping[str, bytes], *, text: str = "text", min_margin: float = MIN_MARGIN
 ) -> DataFrame:
-    """The documents whose language is told with at least ``min_margin``, with their own columns."""
+    """The documents whose language is told with at least ``min_margin``, with their own columns.
+
+    Null texts, texts without a letter and ties that nothing settles go; repeated rows are judged alike and all stay.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     judged = identify(documents.select(whole.alias("row"), F.col(text).alias("text")), dictionaries)
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= min_margin)).select("row.*")
