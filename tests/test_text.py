@@ -117,6 +117,14 @@ def test_leakage_is_exact_for_every_item_length(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+def test_leakage_gives_a_text_and_an_item_once(spark):
+    said = ["alpha beta gamma", "alpha beta gamma delta", "nothing", "alpha beta gamma"]
+    docs = spark.createDataFrame([(1, t) for t in said], "doc_id int, text string")
+    items = spark.createDataFrame([(i, "alpha beta gamma") for i in range(3)], "item_id int, text string")
+    got = leakage.contained_texts(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, i) for i in range(3) for _ in range(3)]
+
+
 def test_leakage_sees_through_normal_forms(spark):
     docs = spark.createDataFrame([(1, "one\r\ntwo café three four")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "one\ntwo café three")], "item_id int, text string")
