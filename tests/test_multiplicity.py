@@ -201,3 +201,13 @@ def test_scope_of_a_bad_family_is_unknown(spark):
     frame = spark.createDataFrame(rows, "family string, id string, p string, q string")
     got = {r.family: (r.applicability, r.scope) for r in M.correction_scope(frame, ["family"], "id", "p", "q").collect()}
     assert got == {"ok": ("applicable", "complete"), "cell": ("unsupported", None), "cell2": ("unsupported", None), "twice": ("unsupported", None)}
+
+
+def test_hostile_families_are_numbered_without_one_window(spark):
+    from plumbline.plans.statistics import hostile
+
+    table = spark.range(1000).selectExpr("'A' AS family", "concat('t', id) AS test_id", "'0.5' AS p", "'0.5' AS reported", "'true' AS call")
+    rows = hostile(table)
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.p for r in rows.where("family = 'deep'").collect()} == {f"{n}e-38" for n in range(1, 1001)}
+    assert [rows.where(f"family = '{f}' AND {bad}").count() for f, bad in (("twice", "test_id = 'x'"), ("nan", "p = 'NaN'"), ("wide", "p LIKE '1.%'"))] == [2, 1, 1]
