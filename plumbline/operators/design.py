@@ -302,12 +302,13 @@ def _broken_cycles(cells: DataFrame, key: list[str]) -> DataFrame:
     table, state = settle(edges)
     while True:
         both = table.unionByName(table.select(*key, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("d")).alias("d")))
-        near = both.groupBy(*key, "a").agg(F.min(F.struct("b", "d")).alias("n"))
+        # Near the end one node has most edges, so its row is attached, not joined plainly.
+        near = both.groupBy(*key, "a").agg(F.min(F.struct("b", "d")).alias("n"), F.count("*").alias("_n"))
         # x[a] - x[m] = o, where m is the least of a and its neighbours.
-        least = near.select(*key, "a", F.least("a", "n.b").alias("m"), F.when(F.col("n.b") < F.col("a"), F.col("n.d")).otherwise(0).alias("o"))
-        large, _ = settle(both.where("b > a").join(least, [*key, "a"]).select(*key, F.col("b").alias("a"), F.col("m").alias("b"), (F.col("o") - F.col("d")).alias("d")))
-        below = large.groupBy(*key, "a").agg(F.min(F.struct("b", "d")).alias("n"))
-        small = large.join(below, [*key, "a"]).select(
+        least = near.select(*key, "a", "_n", F.least("a", "n.b").alias("m"), F.when(F.col("n.b") < F.col("a"), F.col("n.d")).otherwise(0).alias("o"))
+        large, _ = settle(attach(both.where("b > a"), least, [*key, "a"], "_n").select(*key, F.col("b").alias("a"), F.col("m").alias("b"), (F.col("o") - F.col("d")).alias("d")))
+        below = large.groupBy(*key, "a").agg(F.min(F.struct("b", "d")).alias("n"), F.count("*").alias("_n"))
+        small = attach(large, below, [*key, "a"], "_n").select(
             *key,
             F.explode(
                 F.array(

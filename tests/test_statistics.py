@@ -231,3 +231,11 @@ def test_a_case_with_many_levels_is_decided(spark):
     contract = DesignContract("arm", "c", "t", ["b"], ["b"], required_adjustments=["a", "b"])
     frame = spark.createDataFrame(rows, "case string, a string, b string, arm string, _n long")
     assert {r.case: r.aliased for r in design.aliasing(frame, contract, ["case"]).collect()} == {"k": True, "m": True}
+
+
+def test_aliasing_attaches_rows_of_nodes_with_many_edges(spark, monkeypatch):
+    weights = []
+    attach = design.attach
+    monkeypatch.setattr(design, "attach", lambda rows, table, keys, weight: weights.append(weight) or attach(rows, table, keys, weight))
+    cells = spark.createDataFrame([(0, "hub", str(i), i % 2) for i in range(40)] + [(0, "x", "0", 1), (0, "x", "1", 1)], "site int, _f0 string, _f1 string, y int")
+    assert [r.site for r in design._broken_cycles(cells, ["site"]).distinct().collect()] == [0] and set(weights) == {"_n"}
