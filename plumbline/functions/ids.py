@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 UNIT_SEPARATOR = "\x1f"
 
@@ -26,12 +26,7 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(joined, 256), 1, 20))
 
 
-# Texts that the JVM's variant type may spell, sort or read in another way: escapes, fractions, exponents, minus zero,
-# integers of 16 digits and more, characters beyond the basic plane.  So do long and deeply nested ones.
-SPELT = r"\\|\d[.eE]|-0|\d{16}|[^\x00-\uFFFF]"
-LONG = 1 << 16
-DEEP = 200
-_LONE = re.compile("[\ud800-\udfff]")
+LONE = re.compile("[\ud800-\udfff]")
 
 
 class _Repeated(ValueError):
@@ -48,6 +43,12 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
+# Made once: json.loads and json.dumps make theirs anew for every text.
+_READ = json.JSONDecoder(parse_constant=_refuse).decode
+_READ_ONCE = json.JSONDecoder(parse_constant=_refuse, object_pairs_hook=_once).decode
+_SPELL = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode
+
+
 def resolve(value: Any, pointer: str) -> Any:
     """The place a JSON pointer names; LookupError if there is none."""
     for token in pointer.split("/")[1:]:
@@ -63,6 +64,20 @@ def resolve(value: Any, pointer: str) -> Any:
     return value
 
 
+def canonical_value(text: str) -> tuple[Any, str]:
+    """The value of a JSON text and its canonical form; ValueError or RecursionError if it has none.
+
+    A key said twice costs its text a string: if the form is the text itself, or has as many quotes and the text no
+    escapes, no key was lost.  Only other texts are read again, with every object's keys counted.
+    """
+    value = _READ(text)
+    spelt = _SPELL(value)
+    if spelt != text and ("\\" in text or spelt.count('"') != text.count('"')):
+        value = _READ_ONCE(text)
+        spelt = _SPELL(value)
+    return value, spelt if spelt.isascii() else LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", spelt)
+
+
 def canonical_text(text: str | None, pointer: str = "") -> str | None:
     """One text's canonical form, or that of the place a pointer names; numbers keep integers and fractions apart.
 
@@ -71,33 +86,22 @@ def canonical_text(text: str | None, pointer: str = "") -> str | None:
     if text is None:
         return None
     try:
-        value = resolve(json.loads(text, object_pairs_hook=_once, parse_constant=_refuse), pointer)
-        spelt = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-        return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", spelt)
+        value, spelt = canonical_value(text)
+        if pointer:
+            spelt = LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", _SPELL(resolve(value, pointer)))
+        return spelt
     except (ValueError, LookupError, RecursionError):
         return None
 
 
-def canonical_at(text: Column, pointer: str, place: Callable[[Column], Column] | None = None) -> Column:
-    """Canonical JSON of a text, or of the place a pointer names, which ``place`` finds in the parsed text.
-
-    Made in the JVM, except for texts it could spell otherwise, and all texts where ``place`` is not given; only those
-    are sent to Python.  The variant parser stops after one value, so what it read must be as long as the text, but for
-    white space.
-    """
+def canonical_at(text: Column, pointer: str) -> Column:
+    """Canonical JSON of a text, or of the place a pointer names; read and spelt once, in Arrow batches."""
 
     @pandas_udf(StringType())
     def spell(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: canonical_text(t, pointer), na_action="ignore")
 
-    if place is None:
-        return spell(text)
-    parsed = F.try_parse_json(text)
-    whole = F.to_json(parsed)
-    read_to_its_end = F.length(F.replace(whole, F.lit(" "))) == F.length(F.regexp_replace(text, r"[ \t\r\n]", ""))
-    other = text.rlike(SPELT) | (F.length(text) > LONG) | (F.size(F.split(text, r"[\[{]")) > DEEP)
-    other = F.coalesce(other, F.lit(False))
-    return F.when(other, spell(F.when(other, text))).when(read_to_its_end, place(parsed))
+    return spell(text)
 
 
 def canonical_json(text: Column) -> Column:
@@ -106,25 +110,16 @@ def canonical_json(text: Column) -> Column:
     Null where the text is not exactly one JSON value, repeats a key, nests deeper than Python reads, or has an integer
     of more than 4,300 digits or a number beyond the doubles.
     """
-    return canonical_at(text, "", F.to_json)
-
+    return canonical_at(text, "")
 
-def is_json(text: Column) -> Column:
-    """Exactly one JSON value, repeated keys included; null for null."""
 
-    def reads(text: str) -> bool:
-        try:
-            json.loads(text)
-        except (ValueError, RecursionError):
-            return False
-        return True
-
-    @pandas_udf(BooleanType())
-    def check(texts: pd.Series) -> pd.Series:
-        return texts.map(reads, na_action="ignore")
-
-    sound = canonical_json(text).isNotNull()
-    return sound | (~sound & check(F.when(~sound, text)))
+def reads_as_json(text: str) -> bool:
+    """Exactly one JSON value, repeated keys included."""
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
 
 
 def semantic_digest(text: Column) -> Column:

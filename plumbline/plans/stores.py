@@ -17,7 +17,7 @@ from plumbline.plans.statistics import CONTRACT, HOSTILE, REPORTED, reported
 from plumbline.plans.texts import CLAIMS
 from plumbline.operators import multiplicity
 from plumbline.session import cut_lineage, shared_folder
-from plumbline.skew import running, with_blocks
+from plumbline.skew import running, spread, with_blocks
 from plumbline.sources import delimited, files, matrices, records
 from plumbline.streaming import records as record_stream
 from plumbline.streaming.segments import stream_segment_time
@@ -238,7 +238,7 @@ def order_records(t: Tables) -> DataFrame:
         F.lit('},"record_type":"result","record_id":"o'), F.col("o_orderkey"), F.lit('","refs":[{"note":{"source_kind":"note","locator":"n"},"record_type":"claim","record_id":"c'), F.col("o_custkey"),
         F.lit('"},{"record_type":7,"record_id":"c'), F.col("o_custkey"), F.lit('"},{"record_type":"claim","record_id":"c'), F.col("o_custkey"), F.lit('"}],"a/b":{"record_id":"s'), F.col("o_orderstatus"), F.lit('","record_type":"status"}}'),
     )
-    return t.orders.select(F.lit("result").alias("record_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("record_id"), body.alias("body"))
+    return spread(t.orders).select(F.lit("result").alias("record_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("record_id"), body.alias("body"))
 
 
 def stored_records(t: Tables) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import reduce
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from plumbline.functions.ids import canonical_json, is_json, set_digest, sha256_digest
+from plumbline.functions.ids import LONE, canonical_json, canonical_value, reads_as_json, sha256_digest
 from plumbline.session import cut_lineage
+from plumbline.skew import spread
 
 # The columns of a task trace, in order.
 TRACE_COLUMNS = (
@@ -65,36 +67,82 @@ def numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     return joined.withColumn("torn", torn).drop("_split", "_first", "_before", "_all", "_torn", "_row")
 
 
+def _stored(text: str | None) -> tuple[str | None, bool, str | None, str | None]:
+    """Canonical form, whether it is JSON at all, and the record's type and id where these are plain strings."""
+    if text is None:
+        return None, False, None, None
+    try:
+        value, spelt = canonical_value(text)
+    except (ValueError, RecursionError):
+        return None, reads_as_json(text), None, None
+    stated = [value.get(k) if isinstance(value, dict) else None for k in ("record_type", "record_id")]
+    # A lone surrogate cannot leave Python as text.
+    return spelt, True, *[x if isinstance(x, str) and not LONE.search(x) else None for x in stated]
+
+
+STORED = T.StructType(
+    [
+        T.StructField("canonical", T.StringType()),
+        T.StructField("sound", T.BooleanType()),
+        T.StructField("record_type", T.StringType()),
+        T.StructField("record_id", T.StringType()),
+    ]
+)
+
+
+@pandas_udf(STORED)
+def stored_line(texts: pd.Series) -> pd.DataFrame:
+    rows = [_stored(t) for t in texts]
+    return pd.DataFrame(rows, columns=STORED.fieldNames())
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Stored lines with file, line number and what is wrong with each.
 
     ``torn`` (the last line has no newline), ``malformed`` (not UTF-8 or not JSON), ``not_an_object``,
-    ``not_canonical`` (not as :func:`write_records` spells it) or ``wrong_type``, the first that holds.
+    ``not_canonical`` (not as :func:`write_records` spells it) or ``wrong_type``, the first that holds.  A line is
+    parsed once.
     """
-    lines = numbered_lines(spark, path)
     text = F.try_validate_utf8("value")
-    lines = lines.withColumns({"_text": text, "_canonical": canonical_json(text)})
-    parsed = F.try_parse_json("_canonical")
-    stated = F.try_variant_get(parsed, "$.record_type", "string")
+    lines = numbered_lines(spark, path).withColumn("_text", text).withColumn("_said", stored_line("_text"))
+
+    def stated(name: str) -> Column:
+        """What is no plain string is spelt by the variant type."""
+        other = F.when(F.col("_said")[name].isNull(), F.col("_said.canonical"))
+        return F.coalesce(F.col("_said")[name], F.try_variant_get(F.try_parse_json(other), f"$.{name}", "string"))
+
     problem = (
         F.when(F.col("torn"), F.lit("torn"))
-        .when(~F.coalesce(is_json(F.col("_text")), F.lit(False)), F.lit("malformed"))
+        .when(~F.col("_said.sound"), F.lit("malformed"))
         .when(~F.ltrim(F.col("_text")).startswith("{"), F.lit("not_an_object"))
-        .when(~F.col("_canonical").eqNullSafe(F.col("_text")), F.lit("not_canonical"))
-        .when(~stated.eqNullSafe(F.col("record_type")), F.lit("wrong_type"))
+        .when(~F.col("_said.canonical").eqNullSafe(F.col("_text")), F.lit("not_canonical"))
+        .when(~stated("record_type").eqNullSafe(F.col("record_type")), F.lit("wrong_type"))
     )
-    identity = F.try_variant_get(parsed, "$.record_id", "string")
     return lines.select(
-        "record_type", identity.alias("record_id"), F.col("value").alias("body"), "file", "line_number", problem.alias("problem")
+        "record_type", stated("record_id").alias("record_id"), F.col("value").alias("body"), "file", "line_number", problem.alias("problem")
     )
 
 
 def _named(value: dict, *keys: str) -> bool:
-    return all(isinstance(value.get(k), str) for k in keys)
+    for key in keys:
+        if not isinstance(value.get(key), str):
+            return False
+    return True
+
+
+def _below(value: dict | list, pointer: str) -> Iterator[tuple[dict | list, str]]:
+    """The objects and arrays right in a value, with their pointers; nothing else can hold a reference."""
+    if isinstance(value, list):
+        return ((item, f"{pointer}/{i}") for i, item in enumerate(value) if isinstance(item, (dict, list)))
+    return (
+        (item, f"{pointer}/{key.replace('~', '~0').replace('/', '~1') if '~' in key or '/' in key else key}")
+        for key, item in value.items()
+        if isinstance(item, (dict, list))
+    )
 
 
-def _walk(root: Any, start: str, edges: list[tuple], spots: list[tuple]) -> None:
-    """Outermost references and outermost source references below ``root``; either kind may hold the other."""
+def _walk(root: dict | list, start: str, edges: list[tuple], spots: list[tuple]) -> None:
+    """Outermost references and outermost source references from ``root``; either kind may hold the other."""
     todo = [(root, start, True, True)]
     while todo:
         value, pointer, want_edge, want_spot = todo.pop()
@@ -106,76 +154,95 @@ def _walk(root: Any, start: str, edges: list[tuple], spots: list[tuple]) -> None
                 spots.append((pointer, value))
                 want_spot = False
         if want_edge or want_spot:
-            below = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
-            for key, item in below:
-                token = str(key).replace("~", "~0").replace("/", "~1")
-                todo.append((item, f"{pointer}/{token}", want_edge, want_spot))
+            todo += [(item, at, want_edge, want_spot) for item, at in _below(value, pointer)]
 
 
-INDEX_SCHEMA = (
-    "source_type string, source_id string, kind string, pointer string, target_type string, target_id string, "
-    "source_kind string, locator string, path string, digest string, start_line bigint, end_line bigint"
-)
+EDGE = {"pointer": "string", "target_type": "string", "target_id": "string"}
+PLACE = {
+    "pointer": "string", "source_kind": "string", "locator": "string", "path": "string", "digest": "string",
+    "start_line": "bigint", "end_line": "bigint",
+}
+ROWS_AT_ONCE = 2048
 
 
-def evidence_index(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, edges, source locations) of nested records.
+def _column(values: list, kind: str) -> pa.Array:
+    return pa.array(values, pa.int64() if kind == "bigint" else pa.string())
 
-    Every typed reference inside a record becomes an edge at its JSON pointer, and every source
-    reference a location.  Records are walked in Arrow batches, one record at a time.
+
+def _lists(offsets: list[int], rows: list[tuple], fields: dict[str, str]) -> pa.Array:
+    """One list of structs for each record, from the rows of all."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    made = [_column(list(c), k) for c, k in zip(columns, fields.values(), strict=True)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(made, names=list(fields)))
+
+
+def _indexed(records: DataFrame) -> DataFrame:
+    """(record_type, record_id, body, edges, places): each record with its canonical body and what it refers to.
+
+    A record is parsed once; the table is written once, and all parts of the index read it.
     """
-    base = cut_lineage(records.select("record_type", "record_id", canonical_json(F.col("body")).alias("body")))
-    base = base.withColumn("digest", sha256_digest(F.col("body")))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for kind, identity, body in zip(batch["record_type"], batch["record_id"], batch["body"]):
-                edges: list[tuple] = []
-                spots: list[tuple] = []
-                if body is not None:
-                    content = json.loads(body)
-                    for key in content if isinstance(content, dict) else ():
-                        _walk(content[key], "/" + key.replace("~", "~0").replace("/", "~1"), edges, spots)
-                rows += [(kind, identity, "edge", p, t, i, None, None, None, None, None, None) for p, t, i in edges]
-                rows += [
-                    (kind, identity, "source", p, None, None, v.get("source_kind"), v.get("locator"), v.get("path"),
-                     v.get("content_digest"), v.get("start_line"), v.get("end_line"))
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                bodies, edges, spots, ends = [], [], [], [(0, 0)]
+                for body in part.column("body").to_pylist():
+                    try:
+                        content, body = (None, None) if body is None else canonical_value(body)
+                    except (ValueError, RecursionError):
+                        content, body = None, None
+                    for item, at in _below(content, "") if isinstance(content, dict) else ():
+                        _walk(item, at, edges, spots)
+                    bodies.append(body)
+                    ends.append((len(edges), len(spots)))
+                places = [
+                    (p, v["source_kind"], v["locator"], v.get("path"), v.get("content_digest"), v.get("start_line"), v.get("end_line"))
                     for p, v in spots
                 ]
-            columns = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ("start_line", "end_line"):
-                out[c] = out[c].astype("Int64")
-            yield out
-
-    found = base.select("record_type", "record_id", "body").mapInPandas(walk, INDEX_SCHEMA)
-    edges = found.where("kind = 'edge'").select("source_type", "source_id", "pointer", "target_type", "target_id").distinct()
-    places = found.where("kind = 'source'").select(
-        "source_type", "source_id", "pointer", "source_kind", "locator", "path", "digest", "start_line", "end_line"
-    )
-    return base.distinct(), edges, places
+                first, second = ([e[i] for e in ends] for i in range(2))
+                columns = [part.column("record_type"), part.column("record_id"), _column(bodies, "string")]
+                columns += [_lists(first, edges, EDGE), _lists(second, places, PLACE)]
+                yield pa.RecordBatch.from_arrays(columns, names=["record_type", "record_id", "body", "edges", "places"])
+
+    lists = [f"{name} array<struct<{', '.join(f'{c}: {k}' for c, k in fields.items())}>>" for name, fields in (("edges", EDGE), ("places", PLACE))]
+    named = spread(records.select("record_type", "record_id", "body"))
+    kinds = [f"{c} {named.schema[c].dataType.simpleString()}" for c in ("record_type", "record_id")]
+    return cut_lineage(named.mapInArrow(walk, ", ".join([*kinds, "body string", *lists])))
+
+
+def _edges(indexed: DataFrame) -> DataFrame:
+    named = [F.col("record_type").alias("source_type"), F.col("record_id").alias("source_id")]
+    return indexed.select(*named, F.inline("edges"))
+
+
+def _places(indexed: DataFrame) -> DataFrame:
+    return indexed.select(F.col("record_type").alias("source_type"), F.col("record_id").alias("source_id"), F.inline("places"))
+
+
+def evidence_index(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, edges, source locations) of nested records.
+
+    Every typed reference inside a record becomes an edge at its JSON pointer, and every source
+    reference a location.  Records are walked in Arrow batches, one record at a time.
+    """
+    indexed = _indexed(records)
+    base = indexed.select("record_type", "record_id", "body", sha256_digest(F.col("body")).alias("digest"))
+    return base.distinct(), _edges(indexed).distinct(), _places(indexed)
 
 
-def table_differences(stored: DataFrame, rebuilt: DataFrame, key: Sequence[str], buckets: int = 4096) -> DataFrame:
+def table_differences(stored: DataFrame, rebuilt: DataFrame, *, once: bool = False) -> DataFrame:
     """Rows that two tables hold in different numbers, with ``n_stored`` and ``n_rebuilt``.
 
-    Rows fall into buckets by ``key``; order-free digests of a bucket's rows on both sides say where the tables
-    differ, and only rows of those buckets (at most ``buckets`` numbers, sent to every task) are compared.
+    Both tables are counted in one shuffle, repeated rows before it.  With ``once`` a rebuilt row counts once however
+    often it comes.
     """
     columns = rebuilt.columns
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_bucket")
-    both = stored.select(*columns, bucket, F.lit(True).alias("_stored")).unionByName(
-        rebuilt.select(*columns, bucket, F.lit(False).alias("_stored"))
-    )
-    row = F.to_json(F.struct(*columns))
-    told = both.groupBy("_bucket").agg(
-        set_digest(F.when(F.col("_stored"), row)).alias("_a"), set_digest(F.when(~F.col("_stored"), row)).alias("_b")
-    )
-    differing = told.where("_a <> _b").select("_bucket")
-    counted = both.join(F.broadcast(differing), "_bucket").groupBy(*columns).agg(
-        F.count_if("_stored").alias("n_stored"), F.count_if(~F.col("_stored")).alias("n_rebuilt")
+    both = stored.select(*columns, F.lit(1).alias("_s"), F.lit(0).alias("_r")).unionByName(
+        rebuilt.select(*columns, F.lit(0).alias("_s"), F.lit(1).alias("_r"))
     )
+    again = F.max("_r").cast("long") if once else F.sum("_r")
+    counted = both.groupBy(*columns).agg(F.sum("_s").alias("n_stored"), again.alias("n_rebuilt"))
     return counted.where("n_stored <> n_rebuilt")
 
 
@@ -185,13 +252,15 @@ def verify_index(records: DataFrame, base: DataFrame, edges: DataFrame, places:
     One row per differing row of the index: ``part`` (record, edge or location), record, pointer and ``problem``:
     ``missing`` from the index, ``not_in_records`` any more, or ``repeated`` another number of times.
     """
-    again = evidence_index(records)
+    indexed = _indexed(records)
+    digests = indexed.select("record_type", "record_id", sha256_digest(F.col("body")).alias("digest"))
+    again = digests, _edges(indexed), _places(indexed)
     parts = []
     for part, stored, rebuilt in zip(("record", "edge", "location"), (base, edges, places), again):
         stated = ["record_type", "record_id"] if part == "record" else ["source_type", "source_id"]
         if part == "record":  # bodies are compared by their digests
-            stored, rebuilt = (x.select(*stated, "digest") for x in (stored, rebuilt))
-        found = table_differences(stored, rebuilt, stated)
+            stored = stored.select(*stated, "digest")
+        found = table_differences(stored, rebuilt, once=part != "location")
         problem = (
             F.when(F.col("n_stored") == 0, F.lit("missing"))
             .when(F.col("n_rebuilt") == 0, F.lit("not_in_records"))

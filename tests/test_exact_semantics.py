@@ -106,3 +106,19 @@ def test_long_numbers_and_sequences_have_no_upper_bound(spark):
     frame = spark.createDataFrame([("counted 123456789012345678 cells", "A" * 20_000 + "\nspecimen 1")], "t string, s string")
     row = frame.select(text.number_tokens(F.col("t")).alias("n"), text.sequence_record(F.col("s")).alias("r"), text.sequence_record(F.col("s"), longest=10_000).alias("b")).head()
     assert [n.raw for n in row.n] == ["123456789012345678"] and row.r and not row.b
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    """Reading, indexing and grading plan one Python step a text, over every core, and none in the JVM's parser."""
+    texts = ['{"b":1,"a":1}', '{"a":1,"a":1}', '{"a":"x","b":{"c":"y","c":"y"}}', '{"a":"\\n","a":"\\n"}', '{"a":"\\"","b":1}', '{"a" :1}']
+    want = ['{"a":1,"b":1}', None, None, None, '{"a":"\\"","b":1}', '{"a":1}']
+    assert [ids.canonical_text(t) for t in texts] == want
+    frame = spark.createDataFrame([("t", str(i), t) for i, t in enumerate(texts)], "record_type string, record_id string, body string").coalesce(1)
+    plan = frame.select(ids.canonical_json(F.col("body")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "parse_json" not in plan
+    frame.write.parquet(str(tmp_path / "one"))
+    base, edges, places = records.evidence_index(spark.read.parquet(str(tmp_path / "one")))
+    assert {r.record_id: r.body for r in base.collect()} == dict(zip(map(str, range(6)), want))
+    assert base.select("body").count() == 6 and edges.count() == places.count() == 0
+    read = [len(x.inputFiles()) for x in (base, edges, places)]
+    assert read[0] == read[1] == read[2] > 1  # one table for all parts, written by more than one task
