@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumbline.llm.rows import annotate
+from plumbline.llm.rows import annotate, held
 
 WORD_END = "</w>"
 #: Words and runs whose ids a task keeps at hand, in each of two generations, and transitions it keeps.
@@ -308,10 +308,9 @@ class _Held(dict):
         return found
 
 
-@cache
 def tokenizer(path: str) -> WordTokenizer:
-    """One per Python process: tasks on the same worker share the automaton and the words seen."""
-    return WordTokenizer(path)
+    """One per Python worker: its tasks share the automaton and the words seen, until another operator runs on it."""
+    return held(("bpe", path), lambda: WordTokenizer(path))
 
 
 def encode(documents: DataFrame, path: str, *, text: str = "text", out: str = "ids") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.rows import annotate
+from plumbline.llm.rows import annotate, held
 from plumbline.session import cut_lineage
 
 #: Bytes of a language's dictionary, and the most rows that fill it.
@@ -184,7 +184,7 @@ def identify(documents: DataFrame, dictionaries: Mapping[str, bytes], *, text: s
     """
 
     def make() -> Callable:
-        judge = Compressors(dictionaries)
+        judge = held(("language", tuple(sorted(dictionaries.items()))), lambda: Compressors(dictionaries))
         return lambda column: list(zip(*map(judge.guess, column.to_pylist()), strict=True)) if len(column) else [[]] * 3
 
     return annotate(documents, [text], make, GUESS)
@@ -197,9 +197,11 @@ def confident(
 
     Null texts, texts without a letter and ties that nothing settles go; repeated rows are judged alike and all stay.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    judged = identify(documents.select(whole.alias("row"), F.col(text).alias("text")), dictionaries)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= min_margin)).select("row.*")
+    # Columns travel under other names, as some may be called like those added; the text goes once.
+    own = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    judged = identify(documents.toDF(*own.values()), dictionaries, text=own[text])
+    told = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= min_margin))
+    return told.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def training_part(documents: DataFrame, *, doc_id: str = "doc_id", folds: int = 5) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,21 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, build: Callable[[], Any]) -> Any:
+    """``build()``, kept by the Python worker until a task on it holds something else.
+
+    A worker serves one operator after the other; without this the tables of all would stay in its memory.
+    """
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = build()
+    return _held[key]
+
+
 def annotate(
     df: DataFrame,
     inputs: Sequence[str],

@@ -94,3 +94,13 @@ def test_odd_rows_and_empty_tables(spark, odd_documents):
     assert language.identify(frame.limit(0), known).count() == 0
     kept = language.confident(frame, known)
     assert kept.columns == frame.columns and kept.where("text is null or text = ''").count() == 0
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    from plumbline.llm import rows
+
+    rows._held.clear()
+    first = rows.held("one", object)
+    assert rows.held("one", object) is first
+    rows.held("two", object)
+    assert list(rows._held) == ["two"] and rows.held("one", object) is not first
