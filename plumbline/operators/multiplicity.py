@@ -13,9 +13,10 @@ from plumbline.functions import exact as E
 from plumbline.operators import validate as V
 from plumbline.outcomes import APPLICABLE, UNSUPPORTED, outcome_of
 from plumbline.session import cut_lineage
-from plumbline.skew import attach, running, spread, with_blocks
+from plumbline.skew import attach, dealt, per_key, running, spread, with_blocks
 
-ROWS_PER_BLOCK = 2_000_000
+#: Rows of one family that one task scans: its windows hold up to two KB a row.
+ROWS_PER_BLOCK = 500_000
 
 
 def key_digits(df: DataFrame, number: str) -> int:
@@ -26,7 +27,7 @@ def key_digits(df: DataFrame, number: str) -> int:
 
 def bh_levels(
     df: DataFrame, family: Sequence[str], p: str, *, digits: int | None = None, weight: str | None = None,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK, rows: int | None = None,
 ) -> DataFrame:
     """One row per (family, distinct p): tests at p, rank, family size and the step that sets
     the adjusted value, ``min(best_p * family_size / best_rank, 1)``.
@@ -34,15 +35,18 @@ def bh_levels(
     Equal p-values share one adjusted value, so only distinct values are ranked; the rank is
     the one of the last of the ties, which gives the smallest ratio.  With ``digits`` the p-values are
     numbers of :mod:`plumbline.functions.exact` and ratios are compared exactly; without, they are doubles.
-    ``weight`` names a column that says how many tests a row stands for.
+    ``weight`` names a column that says how many tests a row stands for, ``rows`` is the number of rows if it is known.
     """
     family = list(family)
     approximate = E.double_of(F.col(p)) if digits else F.col(p).cast("double")
-    levels = df.groupBy(*family, p).agg((F.sum(weight) if weight else F.count("*")).alias("n_tests")).withColumn("_d", approximate)
-    blocked, blocks = with_blocks(levels, "_d", rows_per_block)
+    n_tests = (F.sum(weight) if weight else F.count("*")).alias("n_tests")
+    levels = per_key(df, [*family, p], rows, [n_tests], [F.sum("n_tests").alias("n_tests")]).withColumn("_d", approximate)
+    blocked, blocks = with_blocks(levels, "_d", rows_per_block, group=family)
+    n_levels = blocked.count()
+    blocked = dealt(blocked, family if blocks == 1 else [*family, "_block"], n_levels)
     ranked = running(blocked, blocks, family, [F.col(p)], F.col("n_tests"), "sum", "rank")
     if digits:
-        stepped = _least_ratios(ranked, blocks, family, p, digits)
+        stepped = _least_ratios(ranked, blocks, family, p, digits, n_levels)
     else:
         step = F.struct((F.col(p) / F.col("rank")).alias("q"), F.col(p).alias("p"), F.col("rank").alias("r"), F.col("_d").alias("d"))
         stepped = running(ranked, blocks, family, [F.col(p)], step, "min", "_step", descending=True)
@@ -59,7 +63,7 @@ def bh_levels(
     )
 
 
-def _least_ratios(ranked: DataFrame, blocks: int, family: list[str], p: str, size: int) -> DataFrame:
+def _least_ratios(ranked: DataFrame, blocks: int, family: list[str], p: str, size: int, n_levels: int) -> DataFrame:
     """Add ``_step``, the level of least ``p / rank`` from each level upwards, exactly.
 
     Read from the largest p down, a level is a clear record if its ratio lies under all before by the bounds of
@@ -78,10 +82,12 @@ def _least_ratios(ranked: DataFrame, blocks: int, family: list[str], p: str, siz
     event = F.when(F.col("_record") | F.col("_contested"), F.struct(F.col(p).alias("p"), F.col("_contested").alias("contested")))
     seen = scan(seen, event, "max", "_next", inclusive=False)
     if blocks == 1:
-        seen = seen.repartition(*family, p)  # a family's digits are not spelt in the one task that scans it
+        seen = dealt(seen.repartition(*family, p), [*family, p], n_levels)  # a family's digits are not spelt in the one task that scans it
     spelt = F.col("_contested") | (F.col("_record") & F.coalesce(F.col("_next.contested"), F.lit(False)))
     seen = seen.withColumn("_digits", E.quotient_key(F.when(spelt, F.col(p)), F.col("rank"), size))
     step = F.struct(F.col("_last").alias("q"), F.col("_digits").alias("digits"), F.col(p).alias("p"), F.col("rank").alias("r"), F.col("_d").alias("d"))
+    if blocks == 1:
+        seen = dealt(seen, family, n_levels)
     return scan(seen, F.when(F.col("_record") | F.col("_contested"), step), "min", "_step", descending=True)
 
 
@@ -216,18 +222,21 @@ def correction_scope(
     )
     asserted_cell = F.when(F.col("_given"), V.unit_number(asserted, F.col("asserted")))
     typed = V.validate_cells(parsed, [V.nonempty(test_id), V.unit_number(p, F.col("p")), asserted_cell], "_reasons").drop("_given")
-    gate = cut_lineage(V.family_gate(typed, family, [test_id], "_reasons"))
+    rows = parsed.count()
+    gate = cut_lineage(V.family_gate(typed, family, [test_id], "_reasons", rows=rows))
     digits = key_digits(typed, "p")
     state = gate.select(*family, "n_rows", "applicability")
     exact = attach(typed.drop("_reasons"), state, family, "n_rows").where(F.col("applicability") == APPLICABLE)
-    per_value = cut_lineage(exact.groupBy(*family, "p", "asserted").agg(F.count("*").alias("n")))
+    per_value = cut_lineage(per_key(exact, [*family, "p", "asserted"], rows, [F.count("*").alias("n")], [F.sum("n").alias("n")]))
+    n_values = per_value.count()
     # The levels need no more than how often each p-value stands in each scope.
-    full = bh_levels(per_value, family, "p", digits=digits, weight="n", **options)
+    full = bh_levels(per_value, family, "p", digits=digits, weight="n", rows=n_values, **options)
     corrected = per_value.where(F.col("asserted").isNotNull())
-    part = bh_levels(corrected, family, "p", digits=digits, weight="n", **options)
+    part = bh_levels(corrected, family, "p", digits=digits, weight="n", rows=n_values, **options)
 
     def misses(levels: DataFrame, out: str) -> DataFrame:
-        joined = corrected.join(_with_cap(levels).drop("n_tests", "rank"), [*family, "p"])
+        steps = dealt(_with_cap(levels).drop("n_tests", "rank"), [*family, "p"], n_values)
+        joined = corrected.join(steps, [*family, "p"])
         judged = with_differences(joined, "asserted", scale, "_wrong")
         return judged.groupBy(*family).agg(F.sum(F.when(F.col("_wrong"), F.col("n")).otherwise(0)).alias(out))
 

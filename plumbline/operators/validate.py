@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.contracts import ContractError
 from plumbline.functions import exact
 from plumbline.outcomes import APPLICABLE, UNSUPPORTED
+from plumbline.skew import per_key
 
 # Number spellings a measurement or a p-value may use.
 PVALUE_LEXEME = r"^[0-9]+(\.[0-9]+)?$"
@@ -83,18 +84,18 @@ def validate_cells(df: DataFrame, rules: Sequence[Column], out: str = "reasons")
 
 
 def family_gate(
-    df: DataFrame, family: Sequence[str], key: Sequence[str], reasons: str = "reasons"
+    df: DataFrame, family: Sequence[str], key: Sequence[str], reasons: str = "reasons", *, rows: int | None = None
 ) -> DataFrame:
     """One row per family: unsupported when any row fails or any key repeats.
 
-    ``n_rows`` is the weight to give :func:`plumbline.skew.attach`.
+    ``n_rows`` is the weight to give :func:`plumbline.skew.attach`; ``rows`` is the number of rows if it is known.
     """
-    per_key = df.groupBy(*family, *key).agg(
-        F.count("*").alias("_n"),
-        F.min(F.try_element_at(reasons, F.lit(1))).alias("_why"),
+    why = F.min(F.try_element_at(reasons, F.lit(1))).alias("_why")
+    keyed = per_key(
+        df, [*family, *key], rows, [F.count("*").alias("_n"), why], [F.sum("_n").alias("_n"), F.min("_why").alias("_why")]
     )
     return (
-        per_key.groupBy(*family)
+        keyed.groupBy(*family)
         .agg(
             F.sum("_n").alias("n_rows"),
             F.count("*").alias("n_keys"),

@@ -177,7 +177,7 @@ def correction_scope(t: Tables) -> DataFrame:
     rows = tests(t)
     inside = (F.col("supplier") % 3 != 0) | (F.col("price") < 50000)
     rows = rows.withColumn("number", F.col("p").cast("double"))
-    levels = multiplicity.bh_levels(rows.where(inside), ["supplier"], "number").withColumn("best_p", F.col("best_p").cast("decimal(20,8)"))
+    levels = multiplicity.bh_levels(rows.where(inside), ["supplier"], "number", rows=t.lineitem.count()).withColumn("best_p", F.col("best_p").cast("decimal(20,8)"))
     units = F.expr(
         "least((cast(best_p * 100000000 as bigint) * family_size * 2 + best_rank) div (2 * best_rank), 100000000)"
     )

@@ -16,6 +16,37 @@ SALTS = 256
 # More blocks than this would make the cut points themselves large; blocks grow instead.
 MAX_BLOCKS = 5000
 SMALL_BYTES = 256 * 1024 * 1024
+#: Rows in one task's share where rows are dealt by their number.
+ROWS_PER_TASK = 250_000
+
+
+def dealt(df: DataFrame, keys: Sequence[str | Column], rows: int | None, rows_per_task: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys`` into as many parts as ``rows`` need, so that a task's share does not grow with the input.
+
+    Where the session's shuffle partitions are enough, or ``rows`` is not known, ``df`` is left as it is.
+    """
+    parts = -(-(rows or 0) // (rows_per_task or ROWS_PER_TASK))
+    if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(parts, *keys)
+
+
+def per_key(
+    df: DataFrame, keys: Sequence[str], rows: int | None, once: Sequence[Column], again: Sequence[Column], rows_per_task: int | None = None
+) -> DataFrame:
+    """Rows grouped by ``keys``: ``once`` over the rows, ``again`` over what parts of a key gave, under the same names.
+
+    Rows are dealt before they are grouped, a key's rows over many parts, so that neither a part of the input nor a
+    heavy key fills one task.
+    """
+    keys = list(keys)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    salted = df.withColumn("_part", salt)
+    spread_out = dealt(salted, [*keys, "_part"], rows, rows_per_task)
+    if spread_out is salted:
+        return df.groupBy(*keys).agg(*once)
+    parts = spread_out.groupBy(*keys, "_part").agg(*once).drop("_part")
+    return dealt(parts, keys, rows, rows_per_task).groupBy(*keys).agg(*again)
 
 
 def attach(
@@ -39,7 +70,7 @@ def attach(
     if size <= heavy_parts:
         return rows.join(F.broadcast(table), keys, "left")
     if top * heavy_parts <= total:
-        return rows.join(table, keys, "left")
+        return rows.join(dealt(table, keys, int(total)), keys, "left")
     is_heavy = load * heavy_parts > total
     values = [c for c in table.columns if c not in keys]
     heavy = table.where(is_heavy).select(*keys, F.struct(*values).alias("_hv"))
@@ -48,7 +79,7 @@ def attach(
     joined = (
         rows.join(F.broadcast(heavy), keys, "left")
         .withColumn("_salt", F.when(F.col("_hv").isNotNull(), spread).otherwise(0))
-        .join(light, [*keys, "_salt"], "left")
+        .join(dealt(light, [*keys, "_salt"], int(total)), [*keys, "_salt"], "left")
         .withColumn("_v", F.coalesce("_hv", "_lv"))
     )
     kept = [F.col(c) for c in rows.columns]
@@ -67,19 +98,22 @@ def spread(df: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
 
 
 def with_blocks(
-    df: DataFrame, order: str, rows_per_block: int, ties: Sequence[str] = ()
+    df: DataFrame, order: str, rows_per_block: int, ties: Sequence[str] = (), group: Sequence[str] = ()
 ) -> tuple[DataFrame, int]:
     """Add ``_block``: position of ``order`` among evenly loaded cut points of the whole frame.
 
     Returns the frame, written once, and the number of blocks; one block means it is small.
     Only the cut points (one number per block) come back to the driver.  When many rows may
-    share one ``order`` value, ``ties`` breaks them and blocks are cut by exact position.
+    share one ``order`` value, ``ties`` breaks them and blocks are cut by exact position.  With ``group`` the
+    frame stays one block while no group is larger than a block.
     """
     from pyspark.ml.feature import Bucketizer
 
     df = cut_lineage(df)
     n_rows = df.count()
     blocks = min(max(1, -(-n_rows // rows_per_block)), MAX_BLOCKS)
+    if blocks > 1 and group and df.groupBy(*group).count().agg(F.max("count")).head()[0] <= rows_per_block:
+        blocks = 1
     if blocks == 1:
         return df.withColumn("_block", F.lit(0)), 1
     if ties:

@@ -5,7 +5,9 @@ from decimal import Decimal, localcontext
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline import skew
 from plumbline.contracts import ContractError, MultiplicityContract
 from plumbline.operators import multiplicity as M
 from plumbline.operators import validate as V
@@ -105,6 +107,17 @@ def test_correction_scope(spark):
     assert got == {"full": "complete", "part": "subset", "odd": "mismatch"}
 
 
+def test_correction_scope_is_the_same_when_rows_are_dealt(spark, monkeypatch):
+    ps = [[Fraction(f * i, 4000) for i in range(1, 41)] for f in range(1, 9)]
+    rows = [(f"f{n}", f"{i}", str(float(p)), str(float(q)) if n % 2 or i < 20 else None) for n, x in enumerate(ps) for i, (p, q) in enumerate(zip(x, twin(x)))]
+    df = spark.createDataFrame(rows, "family string, id string, p string, q string")
+    whole = sorted(M.correction_scope(df, ["family"], "id", "p", "q", scale=12).collect(), key=str)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 30)
+    levels = M.bh_levels(df.withColumn("p", F.col("p").cast("double")), ["family"], "p", rows=320)
+    assert levels.rdd.getNumPartitions() >= 10
+    assert sorted(M.correction_scope(df, ["family"], "id", "p", "q", scale=12).collect(), key=str) == whole
+
+
 def test_binding_needs_distinct_existing_columns(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     for roles in ({"x": "a", "y": "a"}, {"x": "c"}):

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.skew import attach, numbered, running, with_blocks
+from plumbline import skew
+from plumbline.skew import attach, dealt, numbered, per_key, running, with_blocks
 
 
 def test_attach_answers_heavy_and_light_keys(spark):
@@ -48,3 +49,32 @@ def test_blocks_split_equal_order_values(spark):
     for r in sorted(got, key=lambda r: r.t):
         total += r.v
         assert r.r == total
+
+
+def test_parts_follow_the_number_of_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 3 == 0).alias("hot"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    assert dealt(df, ["k"], 1000, 10).rdd.getNumPartitions() == 100
+    assert dealt(df, ["k"], 1000).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    count = [F.count("*").alias("n")]
+    got = per_key(df, ["hot", "k"], 1000, count, [F.sum("n").alias("n")], 10)
+    assert got.rdd.getNumPartitions() == 100
+    assert sorted(got.collect()) == sorted(df.groupBy("hot", "k").agg(*count).collect())
+
+
+def test_attach_deals_its_join_by_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    rows = spark.range(2000).select((F.col("id") % 500).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("w"), F.sum("id").alias("s"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = attach(rows, table, ["k"], "w", heavy_parts=400)
+        assert got.rdd.getNumPartitions() == 20
+        assert sorted(got.collect()) == sorted(rows.join(table, "k", "left").select("k", "id", "w", "s").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_groups_are_not_cut_into_blocks(spark):
+    df = spark.range(400).select((F.col("id") % 20).alias("g"), "id")
+    assert with_blocks(df, "id", 40, group=["g"])[1] == 1
+    assert with_blocks(df, "id", 15, group=["g"])[1] > 1
