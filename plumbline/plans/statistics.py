@@ -18,7 +18,7 @@ from plumbline.operators import design, filters, groups, multiplicity
 from plumbline.operators import validate as V
 from plumbline.plans.registry import Tables, query
 from plumbline.session import cut_lineage
-from plumbline.skew import numbered
+from plumbline.skew import dealt, numbered, per_key
 from plumbline.operators.engines import log_cpm_ols as engine_se
 
 
@@ -583,14 +583,13 @@ def aliasing_levels(t: Tables) -> DataFrame:
 )
 def ols_sign(t: Tables) -> DataFrame:
     pull = F.substring("p_brand", 7, 10).cast("int") % 3 - 1
-    rows = (
-        t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("p_brand").alias("feature"), "l_orderkey")
-        .agg(
-            F.first(F.col("l_orderkey") % 3).alias("dosage"),
-            F.first((F.col("l_orderkey") * 37) % 101 + 10 * (F.col("l_orderkey") % 3) * pull).alias("y"),
-        )
-    )
+    n_lines = t.lineitem.count()
+    parts = dealt(t.part.select("p_partkey", F.col("p_brand").alias("feature"), pull.alias("pull")), ["p_partkey"], n_lines)
+    lines = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    dosage = F.first(F.col("l_orderkey") % 3).alias("dosage")
+    y = F.first((F.col("l_orderkey") * 37) % 101 + 10 * (F.col("l_orderkey") % 3) * F.col("pull")).alias("y")
+    # Dealt by feature and donor, so that the operator groups the rows where they are.
+    rows = per_key(lines, ["feature", "l_orderkey"], n_lines, [dosage, y], [F.first("dosage").alias("dosage"), F.first("y").alias("y")])
     said = t.part.select(F.col("p_brand").alias("feature")).distinct().withColumn("effect", F.lit(1.5))
     fit = groups.ols_sign(rows, ["feature"], "l_orderkey", "dosage", "y", said, "effect", counts_effect_allele=False)
     return fit.select(

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import skew
+from plumbline.plans import QUERIES
 from plumbline.skew import attach, dealt, numbered, per_key, running, with_blocks
 
 
@@ -78,3 +80,14 @@ def test_small_groups_are_not_cut_into_blocks(spark):
     df = spark.range(400).select((F.col("id") % 20).alias("g"), "id")
     assert with_blocks(df, "id", 40, group=["g"])[1] == 1
     assert with_blocks(df, "id", 15, group=["g"])[1] > 1
+
+
+@pytest.mark.parametrize(("name", "parts"), [("ols_sign", 12)])
+def test_queries_deal_rows_by_their_number(spark, monkeypatch, name, parts):
+    query, folder = QUERIES[name], "/root/testdata/sf0.001"
+    want = sorted(query(spark, folder).collect(), key=str)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 500)
+    got = query(spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert f", {parts})" in "".join(re.findall(r"hashpartitioning\(.*?, \d+\)", plan))
+    assert sorted(got.collect(), key=str) == want
