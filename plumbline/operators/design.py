@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.contracts import ContractError, DesignContract
 from plumbline.outcomes import APPLICABLE, UNSUPPORTED, outcome_of
 from plumbline.session import cut_lineage
-from plumbline.skew import attach
+from plumbline.skew import attach, dealt, per_key
 
 # The safeguards a dependence case must have looked for.
 SAFEGUARDS = (
@@ -42,16 +42,17 @@ EQUATIONS_PER_TASK = 200_000
 PARTS_TOGETHER = 8
 
 
-def unit_counts(df: DataFrame, keys: Sequence[str], case: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*case, *keys).agg(F.count("*").alias("observations"))
+def unit_counts(df: DataFrame, keys: Sequence[str], case: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    observations = "observations"
+    return per_key(df, [*case, *keys], rows, [F.count("*").alias(observations)], [F.sum(observations).alias(observations)])
 
 
-def unit_multiplicity(df: DataFrame, keys: Sequence[str], case: Sequence[str] = ()) -> DataFrame:
-    """Nominal and effective N: exact keys, no trimming; one empty key stops the case."""
+def unit_multiplicity(df: DataFrame, keys: Sequence[str], case: Sequence[str] = (), *, rows: int | None = None) -> DataFrame:
+    """Nominal and effective N: exact keys, no trimming; one empty key stops the case.  ``rows`` is the number of rows if known."""
     empty = F.lit(False)
     for key in keys:
         empty = empty | F.col(key).isNull() | (F.col(key).cast("string") == "")
-    counts = unit_counts(df, keys, case)
+    counts = unit_counts(df, keys, case, rows)
     return (
         counts.groupBy(*case)
         .agg(
@@ -66,31 +67,47 @@ def unit_multiplicity(df: DataFrame, keys: Sequence[str], case: Sequence[str] =
     )
 
 
-def dependence_decision(cases: DataFrame, units: DataFrame, safeguards: DataFrame) -> DataFrame:
+def dependence_decision(cases: DataFrame, units: DataFrame, safeguards: DataFrame, *, n_cases: int | None = None) -> DataFrame:
     """Outcome and reason of each case, from the first rule of the ladder that holds.
 
     ``cases``: case_id, one ``<dimension>_state`` per dimension, analysis_target, procedure_ref,
     unit_definition, affected_target_ref, output_ceiling, unresolved (count), unsupported (count).
     ``units``: case_id, repeated_units (see :func:`unit_multiplicity`).
     ``safeguards``: case_id, safeguard_id, state, analysis_target, procedure_ref, unit_definition.
+    ``n_cases``: the number of cases if it is known; they are dealt by it.
     """
+    cases = dealt(cases, ["case_id"], n_cases)
     binding = ["analysis_target", "procedure_ref", "unit_definition"]
     own = cases.select("case_id", *[F.col(b).alias(f"_own_{b}") for b in binding])
     unbound = F.lit(False)
     for b in binding:
         unbound = unbound | ~F.col(b).eqNullSafe(F.col(f"_own_{b}"))
-    checks = (
+    which = F.lit(None).cast("int")
+    for i, safeguard in enumerate(SAFEGUARDS):
+        which = F.when(F.col("safeguard_id") == safeguard, F.lit(1 << i)).otherwise(which)
+    # Checks of one binding are counted before they meet their case: one row, not one for each safeguard.
+    bound = (
         safeguards.where(F.col("safeguard_id").isin(*SAFEGUARDS))
-        .join(own, "case_id")
-        .groupBy("case_id")
+        .groupBy("case_id", *binding)
         .agg(
-            F.countDistinct("safeguard_id").alias("safeguards_checked"),
+            F.bit_or(which).alias("_which"),
+            F.count("*").alias("_checks"),
             F.count_if(F.col("state") == "unsupported").alias("_unsupported"),
             F.count_if(F.col("state") == "unknown").alias("_unknown"),
-            F.count_if(unbound).alias("_unbound"),
             F.count_if(F.col("state") == "present").alias("safeguards_present"),
         )
     )
+    checks = (
+        bound.join(own, "case_id")
+        .groupBy("case_id")
+        .agg(
+            F.bit_count(F.bit_or("_which")).alias("safeguards_checked"),
+            F.sum("_unsupported").alias("_unsupported"),
+            F.sum("_unknown").alias("_unknown"),
+            F.sum(F.when(unbound, F.col("_checks")).otherwise(0)).alias("_unbound"),
+            F.sum("safeguards_present").alias("safeguards_present"),
+        )
+    )
     joined = cases.join(units.select("case_id", "repeated_units"), "case_id", "left").join(checks, "case_id", "left")
 
     def state(dimension: str, value: str) -> Column:

@@ -376,7 +376,7 @@ def effect_relevance(t: Tables) -> DataFrame:
     FROM u GROUP BY o_orderpriority""",
 )
 def unit_multiplicity(t: Tables) -> DataFrame:
-    return design.unit_multiplicity(t.orders, ["o_custkey"], ["o_orderpriority"])
+    return design.unit_multiplicity(t.orders, ["o_custkey"], ["o_orderpriority"], rows=t.orders.count())
 
 
 def dependence_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -400,7 +400,7 @@ def dependence_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.lit(0).alias("unsupported"),
     )
     orders = t.orders.withColumn("case_id", F.col("o_custkey"))
-    units = design.unit_multiplicity(orders, ["o_orderpriority"], ["case_id"])
+    units = design.unit_multiplicity(orders, ["o_orderpriority"], ["case_id"], rows=t.orders.count())
     checks = t.customer.select(
         F.col("c_custkey").alias("case_id"),
         F.posexplode(F.array(*[F.lit(s) for s in design.SAFEGUARDS])).alias("pos", "safeguard_id"),
@@ -468,7 +468,7 @@ _DIMS = ", ".join(f"{_dim_sql(i + 1)} AS d{i}" for i in range(7))
       ELSE 'question' END AS outcome FROM z""",
 )
 def dependence_decision(t: Tables) -> DataFrame:
-    return design.dependence_decision(*dependence_inputs(t))
+    return design.dependence_decision(*dependence_inputs(t), n_cases=t.customer.count())
 
 
 DESIGN = DesignContract(

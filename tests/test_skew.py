@@ -82,11 +82,12 @@ def test_small_groups_are_not_cut_into_blocks(spark):
     assert with_blocks(df, "id", 15, group=["g"])[1] > 1
 
 
-@pytest.mark.parametrize(("name", "parts"), [("ols_sign", 12)])
-def test_queries_deal_rows_by_their_number(spark, monkeypatch, name, parts):
+@pytest.mark.parametrize(("name", "table"), [("ols_sign", "lineitem"), ("dependence_decision", "orders")])
+def test_queries_deal_rows_by_their_number(spark, monkeypatch, name, table):
     query, folder = QUERIES[name], "/root/testdata/sf0.001"
+    parts = -(-spark.read.parquet(f"{folder}/{table}.parquet").count() // 100)
     want = sorted(query(spark, folder).collect(), key=str)
-    monkeypatch.setattr(skew, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
     got = query(spark, folder)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert f", {parts})" in "".join(re.findall(r"hashpartitioning\(.*?, \d+\)", plan))

@@ -202,6 +202,24 @@ def test_unit_multiplicity_and_empty_keys(spark):
     assert got["y"].applicability == "unsupported"
 
 
+def test_dependence_counts_checks_of_every_binding(spark):
+    fixed = ["established"] * len(design.DIMENSIONS)
+    names = ", ".join(f"{d}_state string" for d in design.DIMENSIONS)
+    rows = [(c, *fixed, "t", p, "u", "claim", "evaluation_candidate", 0, 0) for c, p in ((1, "p"), (2, "p"), (3, None), (4, "p"))]
+    cases = spark.createDataFrame(rows, f"case_id int, {names}, analysis_target string, procedure_ref string, unit_definition string, affected_target_ref string, output_ceiling string, unresolved int, unsupported int")
+    units = spark.createDataFrame([(c, 1) for c in (1, 2, 3, 4)], "case_id int, repeated_units int")
+    checks = [(c, s, "absent", "t", p, "u") for c, p in ((1, "p"), (2, "p"), (3, None)) for s in design.SAFEGUARDS]
+    checks += [(2, design.SAFEGUARDS[0], "present", "t", None, "u")]  # looked for twice, once for another procedure
+    checks += [(4, design.SAFEGUARDS[0], "present", "t", "p", "u")] * 7  # one safeguard seven times
+    found = spark.createDataFrame(checks, "case_id int, safeguard_id string, state string, analysis_target string, procedure_ref string, unit_definition string")
+    for n_cases in (None, 10**7):
+        got = {r.case_id: (r.reason_code, r.safeguards_present) for r in design.dependence_decision(cases, units, found, n_cases=n_cases).collect()}
+        assert got == {
+            1: ("repeated_units_without_dependence_safeguard", 0), 2: ("unresolved_safeguard_binding", 1),
+            3: ("repeated_units_without_dependence_safeguard", 0), 4: ("incomplete_safeguard_protocol", 7),
+        }
+
+
 def test_declared_units_reject_other_columns(spark):
     from plumbline.contracts import ContractError
 
