@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.ids import set_digest, stable_id
+from plumbline.skew import per_key
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: Sequence[str], identity: str, verified: bool = True) -> DataFrame:
@@ -186,12 +187,9 @@ def union_dedupe(parts: Sequence[DataFrame], record_id: str, digest: str, drop_c
 
 def ambiguous_claims(candidates: DataFrame, path: str, record: str) -> DataFrame:
     """Files claimed by one record only; a file claimed by two is dropped."""
-    return (
-        candidates.groupBy(path)
-        .agg(F.count_distinct(record).alias("_n"), F.min(record).alias(record))
-        .where("_n = 1")
-        .drop("_n")
-    )
+    least, most = F.min(record).alias(record), F.max(record).alias("_most")
+    claims = per_key(candidates, [path], candidates.count(), [least, most], [least, F.max("_most").alias("_most")])
+    return claims.where(F.col(record) == F.col("_most")).drop("_most")
 
 
 def obligation_difference(df: DataFrame, required: str, present: str, forbidden: str) -> DataFrame:

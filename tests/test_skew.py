@@ -82,7 +82,7 @@ def test_small_groups_are_not_cut_into_blocks(spark):
     assert with_blocks(df, "id", 15, group=["g"])[1] > 1
 
 
-@pytest.mark.parametrize(("name", "table"), [("ols_sign", "lineitem"), ("dependence_decision", "orders")])
+@pytest.mark.parametrize(("name", "table"), [("ols_sign", "lineitem"), ("dependence_decision", "orders"), ("ambiguous_claims", "lineitem")])
 def test_queries_deal_rows_by_their_number(spark, monkeypatch, name, table):
     query, folder = QUERIES[name], "/root/testdata/sf0.001"
     parts = -(-spark.read.parquet(f"{folder}/{table}.parquet").count() // 100)

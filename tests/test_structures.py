@@ -444,3 +444,8 @@ def test_claims_of_one_hot_comparison_are_linked(spark):
     for r in got:
         want = (1, 7) if r.claim_id % 3 else (2, None) if r.claim_id == 12 else (1, r.claim_id) if r.claim_id % 6 == 0 else (0, None)
         assert (r.candidates, r.result_id) == want
+
+
+def test_ambiguous_claims_with_null_and_repeated_records(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", None), ("d", None), ("d", 3), (None, 4)], "path string, record int")
+    assert set(map(tuple, diff.ambiguous_claims(df, "path", "record").collect())) == {("a", 1), ("d", 3), (None, 4)}
