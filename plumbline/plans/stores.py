@@ -484,16 +484,19 @@ def check_registry(t: Tables) -> DataFrame:
       coalesce(met, CASE WHEN NOT stopped AND (due + 999) // 1000 < mark THEN due END) AS limit_micros, CAST(0 AS BIGINT) AS rejected, true AS several_batches FROM c, m""",
 )
 def stream_segment_clock(t: Tables) -> DataFrame:
-    """Events in five files by time, every seventh up to a day late, a micro-batch for each file."""
+    """Events in five parts by time, every seventh up to a day late; the stream goes on when a part has arrived."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = t.events.agg(F.min(micros), F.max(micros)).head()
     day = 86_400_000_000
     place = micros + F.when(F.col("event_id") % 7 == 0, F.lit(day)).otherwise(F.lit(0)) - F.lit(first)
     dealt = t.events.withColumn("part", F.floor(place * 5 / F.lit((last or 0) - (first or 0) + day + 1)))
     folder = scratch(t, "arriving")
-    for part in range(5):  # files are read in the order of their writing
-        dealt.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def arrive(part: int) -> None:
+        dealt.where(F.col("part") == part).drop("part").write.mode("append").parquet(folder)
+
+    arrive(0)
+    stream = t.spark.readStream.schema(t.events.schema).parquet(folder)
     events = stream.select(
         F.col("user_id").cast("string").alias("segment"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("tie"), F.col("event_type").alias("state")
     )
@@ -503,8 +506,11 @@ def stream_segment_clock(t: Tables) -> DataFrame:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    run = clocks.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
+    for part in range(5):
+        if part:
+            arrive(part)
+        run = clocks.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
     clock = t.spark.read.parquet(sink)
     several = clock.agg((F.countDistinct("batch") >= 5).alias("several_batches")).head()[0]
     now = clock.groupBy("segment").agg(*[F.max_by(c, "batch").alias(c) for c in clock.columns if c not in ("segment", "batch", "released")])

@@ -449,3 +449,22 @@ def test_claims_of_one_hot_comparison_are_linked(spark):
 def test_ambiguous_claims_with_null_and_repeated_records(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", None), ("d", None), ("d", 3), (None, 4)], "path string, record int")
     assert set(map(tuple, diff.ambiguous_claims(df, "path", "record").collect())) == {("a", 1), ("d", 3), (None, 4)}
+
+
+def test_clock_stream_is_the_same_for_any_number_of_buckets(spark, tmp_path):
+    from plumbline.streaming.segments import stream_segment_time
+
+    rng, folder = random.Random(3), str(tmp_path / "in")
+    for part in range(3):
+        rows = [(f"s{rng.randrange(12)}", 100 * part + rng.randrange(130), part * 1000 + i, rng.choice(["run", "wait"])) for i in range(60)]
+        frame = spark.createDataFrame(rows, "segment string, s long, tie long, state string")
+        frame.select("segment", F.timestamp_seconds("s").alias("at"), "tie", "state").coalesce(1).write.mode("append").parquet(folder)
+    found = []
+    for buckets in (1, 500):
+        out = str(tmp_path / f"out{buckets}")
+        stream = spark.readStream.schema("segment string, at timestamp, tie long, state string").option("maxFilesPerTrigger", 1).parquet(folder)
+        clocks = stream_segment_time(stream, paused_state="wait", hard_seconds=90, watermark="20 seconds", idle_seconds=60, buckets=buckets)
+        save = lambda batch, n, out=out: batch.write.parquet(f"{out}/batch={n}")
+        clocks.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", str(tmp_path / f"cp{buckets}")).trigger(availableNow=True).start().awaitTermination()
+        found.append(sorted(map(str, spark.read.parquet(out).collect())))
+    assert found[0] == found[1] and len(found[0]) > 24
