@@ -143,6 +143,20 @@ class Automaton:
                     below_level.append(below)
             level = below_level
         self.followed.clear()
+        #: Of each node what a transition to it gives: the node as the first part of a key, and the tokens ending there.
+        self.reached = [(node << _SHIFT, ending) for node, ending in enumerate(self.ending)]
+        #: Transitions as they are used: node and symbol -> what is reached.
+        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+
+    def _move(self, key: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """What the transition ``key`` reaches; kept for the next time."""
+        after = self.nodes.get(key)
+        if after is None:
+            after = self._follow(key >> _SHIFT, key & (1 << _SHIFT) - 1)
+        if len(self.moves) >= ARCS_HELD:
+            self.moves.clear()
+        found = self.moves[key] = self.reached[after]
+        return found
 
     def _follow(self, node: int, symbol: int) -> int:
         """The transition from any node, through ever shorter ends; kept for the next time."""
@@ -183,30 +197,23 @@ class Automaton:
 
         Each prefix is spelt by one path, so a place is reached by one arc, whose token is the state there.
         """
-        nodes, followed, ending, table = self.nodes, self.followed, self.ending, self.table
-        arc, start = [-1], [0]
-        node = end = 0
+        move, allows = self.moves.get, self.table.get
+        # Of each place its arc, the arc as the first part of a key, and where the arc starts.
+        arc, state, start = [-1], [-1], [0]
+        base = end = 0
         for symbol in symbols:
             end += 1
-            key = node << _SHIFT | symbol
-            after = nodes.get(key)
-            if after is None:
-                after = followed.get(key)
-                if after is None:
-                    after = self._follow(node, symbol)
-            node = after
-            for token, length in ending[node]:
+            base, tokens = move(base | symbol) or self._move(base | symbol)
+            for token, length in tokens:
                 at = end - length
                 if at:
-                    key = arc[at] << _SHIFT | token
-                    allowed = table.get(key)
+                    allowed = allows(state[at] | token)
                     if allowed is None:
-                        if len(table) >= ARCS_HELD:
-                            table.clear()
-                        allowed = table[key] = self.has_arc(arc[at], token)
+                        allowed = self._allow(arc[at], token)
                     if not allowed:
                         continue
                 arc.append(token)
+                state.append(token << _SHIFT)
                 start.append(at)
                 break
             else:
@@ -216,7 +223,15 @@ class Automaton:
         while at:
             ids.append(arc[at])
             at = start[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
+
+    def _allow(self, state: int, token: int) -> bool:
+        """Whether ``token`` can be read in ``state``; kept for the next time."""
+        if len(self.table) >= ARCS_HELD:
+            self.table.clear()
+        found = self.table[state << _SHIFT | token] = self.has_arc(state, token)
+        return found
 
 
 class WordTokenizer:
@@ -263,7 +278,9 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         octets = word.encode()
-        ids = self.automaton.encode([*(self.inner[b] for b in octets[:-1]), self.final[octets[-1]]])
+        symbols = list(map(self.inner.__getitem__, octets))
+        symbols[-1] = self.final[octets[-1]]
+        ids = self.automaton.encode(symbols)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _run(self, run: str) -> bytes:

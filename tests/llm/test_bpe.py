@@ -99,3 +99,16 @@ def test_columns_and_odd_rows(spark, odd_documents, library):
         (r.doc_id, len(r.ids), sha(struct.pack(f"<{len(r.ids)}I", *r.ids)), sha(r.decoded.encode())) for r in rows
     }
     assert bpe.digests(odd_documents.limit(0), PATH).count() == 0
+
+
+def test_transitions_are_kept_once_and_within_bounds(monkeypatch):
+    merges, spelling = [(0, 1, 3), (3, 2, 4), (1, 2, 5)], {0: (0,), 1: (1,), 2: (2,), 3: (0, 1), 4: (0, 1, 2), 5: (1, 2)}
+    rng = random.Random(4)
+    words = [[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(200)]
+    whole = bpe.Automaton(merges, spelling)
+    want = [whole.encode(w) for w in words]
+    assert all(sum((spelling[t] for t in ids), ()) == tuple(w) for ids, w in zip(want, words))
+    assert whole.moves and all(whole._move(key) == found for key, found in list(whole.moves.items()))
+    monkeypatch.setattr(bpe, "ARCS_HELD", 2)
+    small = bpe.Automaton(merges, spelling)
+    assert [small.encode(w) for w in words] == want and len(small.moves) <= 2 and len(small.table) <= 2
