@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.session import cut_lineage
+from plumbline.skew import HEAVY_PARTS
 
 MAX_PATH_EDGES = 8
 
@@ -18,8 +19,9 @@ def unique_paths(
 ) -> DataFrame:
     """For each (source, target): the path when exactly one simple path of allowed edges exists.
 
-    ``edges``: source, target, profile.  Parallel edges are collapsed to a multiplicity.  Walks are counted from both
-    ends to the middle, one row for each end and node, however many walks there are; a single walk keeps its nodes.
+    ``edges``: source, target, profile.  Parallel edges are collapsed to a multiplicity.  A pair is walked from the end
+    that many pairs share, halfway; from its other end only if walks of that length are left.  Walks are counted, one
+    row for each end and node, however many there are; a single walk keeps its nodes.
     The shortest walks of a pair are paths, and a walk whose nodes are known is seen to be one.  Only pairs that this
     leaves open, where several longer walks may or may not return to a node, are walked path by path.
     Output: source, target, n_paths (0, 1, or 2 for at least 2), path (node array when exactly one).
@@ -31,43 +33,93 @@ def unique_paths(
         .select(F.col("source").alias("node"), F.col("target").alias("next"), "m")
     )
     back = hop.select(F.col("next").alias("node"), F.col("node").alias("next"), "m")
-    wanted = cut_lineage(pairs.select("source", "target").where("source <> target").distinct())
-    ahead = _walks(hop, wanted.select(F.col("source").alias("end")).distinct(), (max_edges + 1) // 2)
-    behind = _walks(back, wanted.select(F.col("target").alias("end")).distinct(), max_edges // 2)
-    met = (
-        behind.select(F.col("end").alias("target"), "node", F.col("h").alias("h2"), F.col("ways").alias("w2"), F.col("path").alias("p2"))
-        .join(wanted, "target")
-        .join(ahead.select(F.col("end").alias("source"), "node", F.col("h").alias("h1"), F.col("ways").alias("w1"), F.col("path").alias("p1")), ["source", "node"])
-        # A walk of n edges meets after the first half of them, the longer one if n is odd.
-        .where("h1 > 0 AND h1 - h2 IN (0, 1)")
-    )
-    rest = F.slice(F.reverse("p2"), 2, max_edges + 1)
-    found = met.select("source", "target", (F.col("h1") + F.col("h2")).alias("n"), F.concat("p1", rest).alias("path"), (F.col("w1") * F.col("w2")).alias("ways"))
-    found = found.where("path IS NULL OR size(array_distinct(path)) = size(path)")
-    by_length = found.groupBy("source", "target", "n").agg(
-        F.sum(F.when(F.col("path").isNull(), 0).otherwise(F.col("ways"))).alias("known"),
-        F.sum(F.when(F.col("path").isNull(), F.col("ways")).otherwise(0)).alias("open"),
-        F.min("path").alias("path"),
-    )
-    summed = by_length.groupBy("source", "target").agg(
+    asked = _first_ends(cut_lineage(pairs.select("source", "target").distinct()))
+    ahead = _from_one_end(hop, back, asked.where("NOT flipped").select("end", "other"), max_edges).withColumn("flipped", F.lit(False))
+    behind = _from_one_end(back, hop, asked.where("flipped").select("end", "other"), max_edges).withColumn("flipped", F.lit(True))
+    # Few rows share the other end, so it leads the keys that are sorted.
+    keys = ["other", "end", "flipped"]
+    summed = asked.join(ahead.unionByName(behind), keys, "left").groupBy(*keys).agg(
         (F.sum("known") + F.min_by("open", "n")).alias("low"), (F.sum("open") - F.min_by("open", "n")).alias("open"), F.min("path").alias("path")
     )
-    sums = cut_lineage(summed)
+    sums = cut_lineage(
+        summed.select(
+            F.when(F.col("flipped"), F.col("other")).otherwise(F.col("end")).alias("source"),
+            F.when(F.col("flipped"), F.col("end")).otherwise(F.col("other")).alias("target"),
+            F.coalesce("low", F.lit(0)).alias("low"),
+            F.coalesce("open", F.lit(0)).alias("open"),
+            F.when(F.col("flipped"), F.reverse("path")).otherwise(F.col("path")).alias("path"),
+        )
+    )
     undecided = sums.where("low < 2 AND open > 0").select("source", "target")
     if not undecided.isEmpty():
         walked = _walk(hop, undecided, max_edges)
         sums = sums.where("low >= 2 OR open = 0").select("source", "target", "low", "path").unionByName(walked)
-    counts = sums.select("source", "target", F.least("low", F.lit(2)).cast("long").alias("n_paths"), F.col("path").alias("_p"))
-    return pairs.select("source", "target").distinct().join(counts, ["source", "target"], "left").select(
+    return sums.select(
         "source",
         "target",
-        F.coalesce("n_paths", F.lit(0)).alias("n_paths"),
-        F.when(F.col("n_paths") == 1, F.col("_p")).alias("path"),
+        F.least("low", F.lit(2)).cast("long").alias("n_paths"),
+        F.when(F.col("low") == 1, F.col("path")).alias("path"),
     )
 
 
-def _walks(hop: DataFrame, ends: DataFrame, edges: int) -> DataFrame:
-    """(end, node, h, ways, path): walks of h edges from each end to a node, 2 for more than one.
+def _first_ends(asked: DataFrame) -> DataFrame:
+    """(end, other, flipped): the end a pair is walked from first; ``flipped`` if that is its target, null if both ends are
+    one node or one is null.
+
+    Sources that hold more than 1/HEAVY_PARTS of all pairs go first, then such targets, both broadcast; the other pairs
+    go from the side with fewer ends.
+    """
+    wanted = asked.where("source <> target")
+    sources = cut_lineage(wanted.groupBy("source").agg(F.count("*").alias("n")))
+    total = sources.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    shared = (F.col("n") > 1) & (F.col("n") * HEAVY_PARTS > total)
+    from_source = F.broadcast(sources.where(shared).select("source", F.lit(False).alias("_from_source")))
+    left = wanted.join(from_source, "source", "left_anti")
+    targets = cut_lineage(left.groupBy("target").agg(F.count("*").alias("n")))
+    from_target = F.broadcast(targets.where(shared).select("target", F.lit(True).alias("_from_target")))
+    fewer = targets.where(~shared).count() < sources.where(~shared).count()
+    side = F.coalesce("_from_source", "_from_target", F.lit(fewer))
+    turned = asked.join(from_source, "source", "left").join(from_target, "target", "left").select(
+        "source", "target", F.when(F.col("source") != F.col("target"), side).alias("flipped")
+    )
+    return turned.select(
+        F.when(F.col("flipped"), F.col("target")).otherwise(F.col("source")).alias("end"),
+        F.when(F.col("flipped"), F.col("source")).otherwise(F.col("target")).alias("other"),
+        "flipped",
+    )
+
+
+def _from_one_end(hop: DataFrame, back: DataFrame, pairs: DataFrame, max_edges: int) -> DataFrame:
+    """(end, other, n, known, open, path): walks of n edges from ``end`` to ``other``, for ``pairs`` and perhaps further ones.
+
+    One row for each n; ``known`` walks are paths, ``open`` ones may return to a node.
+    Walks up to half of ``max_edges`` come from ``end`` alone.  A longer one meets after that half, so others are walked
+    back only for ends that have walks of that length.
+    """
+    half = (max_edges + 1) // 2
+    levels, last = _walks(hop, pairs.select("end").distinct(), half)
+    known, open_ = F.when(F.col("path").isNull(), 0).otherwise(F.col("ways")), F.when(F.col("path").isNull(), F.col("ways")).otherwise(0)
+    found = levels.where("h > 0").select("end", F.col("node").alias("other"), F.col("h").alias("n"), known.alias("known"), open_.alias("open"), "path")
+    if max_edges == half or last.isEmpty():
+        return found
+    longer = pairs.join(last.select("end").distinct(), "end", "left_semi")
+    behind, _ = _walks(back, longer.select(F.col("other").alias("end")).distinct(), max_edges - half)
+    met = (
+        behind.where("h > 0").select(F.col("end").alias("other"), "node", F.col("h").alias("h2"), F.col("ways").alias("w2"), F.col("path").alias("p2"))
+        .join(longer, "other")
+        .join(last, ["end", "node"])
+        .select(
+            "end", "other", (F.col("h") + F.col("h2")).alias("n"),
+            F.concat("path", F.slice(F.reverse("p2"), 2, max_edges + 1)).alias("path"),
+            (F.col("ways") * F.col("w2")).alias("ways"),
+        )
+    )
+    met = met.where("path IS NULL OR size(array_distinct(path)) = size(path)").groupBy("end", "other", "n")
+    return found.unionByName(met.agg(F.sum(known).alias("known"), F.sum(open_).alias("open"), F.min("path").alias("path")))
+
+
+def _walks(hop: DataFrame, ends: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
+    """(end, node, h, ways, path): walks of h edges from each end to a node, 2 for more than one; and those of ``edges``.
 
     ``path`` holds the nodes where all walks, over parallel edges, have the same.  If they return to a node they go.
     """
@@ -77,7 +129,7 @@ def _walks(hop: DataFrame, ends: DataFrame, edges: int) -> DataFrame:
         step = (
             level.join(hop, "node")
             .where(F.col("path").isNull() | ~F.array_contains("path", F.col("next")))
-            .groupBy("end", F.col("next").alias("node"))
+            .groupBy(F.col("next").alias("node"), "end")
             .agg(
                 F.least(F.sum(F.col("ways") * F.col("m")), F.lit(2)).alias("ways"),
                 F.count("*").alias("into"),
@@ -88,7 +140,7 @@ def _walks(hop: DataFrame, ends: DataFrame, edges: int) -> DataFrame:
         if level.isEmpty():
             break
         levels = levels.unionByName(level)
-    return levels
+    return levels, level
 
 
 def _walk(hop: DataFrame, wanted: DataFrame, max_edges: int) -> DataFrame:

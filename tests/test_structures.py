@@ -468,3 +468,42 @@ def test_clock_stream_is_the_same_for_any_number_of_buckets(spark, tmp_path):
         clocks.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", str(tmp_path / f"cp{buckets}")).trigger(availableNow=True).start().awaitTermination()
         found.append(sorted(map(str, spark.read.parquet(out).collect())))
     assert found[0] == found[1] and len(found[0]) > 24
+
+
+def test_pairs_are_walked_from_the_end_they_share(spark, monkeypatch):
+    leaves = range(40)
+    edges = [("a", "b"), ("y", "z")] + [("b", f"leaf{i}") for i in leaves] + [(f"x{i}", "y") for i in leaves]
+    pairs = [("a", f"leaf{i}") for i in leaves] + [(f"x{i}", "z") for i in leaves]
+    walked, write = [], graph.cut_lineage
+
+    def counted(df):
+        table = write(df)
+        if "h" in table.columns:
+            walked.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    got = graph.unique_paths(
+        spark.createDataFrame([(*e, "ok") for e in edges], "source string, target string, profile string"),
+        spark.createDataFrame(pairs, "source string, target string"), ["ok"],
+    ).collect()
+    assert {(r.source, r.target): r.path for r in got} == {(s, t): ([s, "b", t] if s == "a" else [s, "y", t]) for s, t in pairs}
+    assert sum(walked) < 100  # 42 from each shared end; 324 with the walks from every leaf
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_paths_from_either_end_match_enumeration(spark, seed):
+    rng = random.Random(seed)
+    nodes = "abcdefgh"
+    edges = [e for e in ((rng.choice(nodes), rng.choice(nodes)) for _ in range(16)) if e[0] != e[1]]
+    # Walked from g, from a, and from the side with fewer ends; no walk for one node or none.
+    pairs = [(s, "g") for s in "bcde"] + [("a", t) for t in nodes] + [("f", "h"), ("g", "g"), ("g", None), (None, None)]
+    got = graph.unique_paths(
+        spark.createDataFrame([(*e, "ok") for e in edges], "source string, target string, profile string"),
+        spark.createDataFrame([*pairs, pairs[0]], "source string, target string"), ["ok"], 5,
+    ).collect()
+    assert {(r.source, r.target) for r in got} == set(pairs) and len(got) == len(pairs)
+    for r in got:
+        found = all_simple_paths(edges, r.source, r.target, 5) if r.source != r.target else []
+        assert r.n_paths == min(len(found), 2), r
+        assert (tuple(r.path) if r.path else None) == (found[0] if len(found) == 1 else None)
