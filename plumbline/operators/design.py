@@ -6,13 +6,13 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.contracts import ContractError, DesignContract
 from plumbline.outcomes import APPLICABLE, UNSUPPORTED, outcome_of
 from plumbline.session import cut_lineage
-from plumbline.skew import attach, dealt, per_key
+from plumbline.skew import HEAVY_PARTS, ROWS_PER_TASK, attach, dealt, per_key
 
 # The safeguards a dependence case must have looked for.
 SAFEGUARDS = (
@@ -40,6 +40,8 @@ PRIME = (1 << 61) - 1
 #: Equations reduced in one task before parts of a case meet, and parts that meet at once.
 EQUATIONS_PER_TASK = 200_000
 PARTS_TOGETHER = 8
+#: Buckets in which the cells of levels are counted, to tell levels that could fill a task.
+LEVEL_BUCKETS = 1 << 16
 
 
 def unit_counts(df: DataFrame, keys: Sequence[str], case: Sequence[str] = (), rows: int | None = None) -> DataFrame:
@@ -259,10 +261,10 @@ def aliasing(
     """Is the test indicator in the span of intercept and dummy-coded adjustments, per case?
 
     It is if ``indicator = sum of one unknown a level`` can be solved over the distinct cells of levels.  One
-    adjustment: every level holds one condition.  Two: levels are nodes, cells are differences between two of them, and
-    potentials must agree around every cycle.  More: the adjustment with most levels is eliminated by subtracting one
-    cell of each level from the others, the rest by sparse elimination, as are two in a table of few cells.  No number
-    of levels is too high.  A missing level leaves its case undecided, with null.
+    adjustment: every level holds one condition.  Two: the levels of the smaller are the nodes of a graph, the cells of
+    a level of the larger are differences between them, and potentials must agree around every cycle.  More: the
+    adjustment with most levels is eliminated by subtracting one cell of each level from the others, the rest by sparse
+    elimination.  No number of levels is too high.  A missing level leaves its case undecided, with null.
     """
     c, case, factors = contract, list(case), list(contract.required_adjustments)
     if not factors:
@@ -270,23 +272,29 @@ def aliasing(
     tested = (F.col(c.condition) == c.test_level).cast("int")
     levels = [F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(factors)]
     key = case or ["_one"]
-    rows = contrast if case else contrast.withColumn("_one", F.lit(0))
-    # A cell has the levels of every adjustment; how often it occurs cannot change a span.
-    cells = cut_lineage(
-        rows.select(*key, *levels, tested.alias("y"))
-        .groupBy(*key, *[f"_f{i}" for i in range(len(factors))])
-        .agg(F.max("y").alias("y"), (F.max("y") != F.min("y")).alias("both"))
-    )
+    rows = (contrast if case else contrast.withColumn("_one", F.lit(0))).select(*key, *levels, tested.alias("y"))
     named = [F.col(f"_f{i}") for i in range(len(factors))]
     gap = F.lit(False)
     for level in named:
         gap = gap | level.isNull() | (F.trim(level) == "")
+    if len(factors) == 2:
+        # Cases are numbered, so that a case whose own name is missing is one like others.
+        rows = cut_lineage(rows)
+        state = cut_lineage(rows.groupBy(*key).agg(F.bool_or(gap).alias("gap")).withColumn("_case", F.monotonically_increasing_id()))
+        own = reduce(Column.__and__, [rows[k].eqNullSafe(state[k]) for k in key])
+        decidable = rows.join(state.where("NOT gap"), own).where("y IS NOT NULL").select("_case", "_f0", "_f1", "y")
+        broken = _broken_cycles(decidable, ["_case"], equations_per_task)
+        verdict = state.join(broken.distinct().withColumn("_broken", F.lit(True)), "_case", "left")
+        return verdict.select(*case, F.when(~F.col("gap"), F.col("_broken").isNull()).alias("aliased"))
+    # A cell has the levels of every adjustment; how often it occurs cannot change a span.
+    cells = cut_lineage(
+        rows.groupBy(*key, *[f"_f{i}" for i in range(len(factors))])
+        .agg(F.max("y").alias("y"), (F.max("y") != F.min("y")).alias("both"))
+    )
     state = cells.groupBy(*key).agg(F.bool_or(gap).alias("gap"), F.bool_or("both").alias("both"))
     decidable = cells.join(state.where("NOT gap AND NOT both"), key, "left_semi").drop("both")
     if len(factors) == 1:
         broken = decidable.limit(0).select(*key)  # every cell is a level, so it is solved by its own unknown
-    elif len(factors) == 2 and cells.count() > equations_per_task:
-        broken = _broken_cycles(decidable, key)
     else:
         broken = _unsolvable(_differences(decidable, key, len(factors)), key, equations_per_task)
     verdict = state.join(broken.distinct().withColumn("_broken", F.lit(True)), key, "left")
@@ -294,51 +302,77 @@ def aliasing(
     return verdict.select(*case, aliased.alias("aliased"))
 
 
-def _broken_cycles(cells: DataFrame, key: list[str]) -> DataFrame:
+def _links(cells: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (a, b, d), ``x[a] - x[b] = d``, between the levels of one adjustment; the one with most levels is gone.
+
+    The cells of a level say the same unknown, so each tells its difference to the one before.  Levels are dealt and
+    read in order; those that could fill a task, with all that share their bucket, are compared to their least cell,
+    which is attached.  A cell repeated with another ``y`` becomes an edge from a level to itself.
+    """
+    total, *sizes = cells.agg(F.count("*"), *[F.approx_count_distinct(F.xxhash64(*key, f)) for f in ("_f0", "_f1")]).head()
+    swept, kept = ("_f0", "_f1") if sizes[0] > sizes[1] else ("_f1", "_f0")
+    heavy = "true"  # what fits in one task is attached as a whole
+    if total > ROWS_PER_TASK:
+        cells = cells.withColumn("_bucket", F.pmod(F.xxhash64(*key, swept), F.lit(LEVEL_BUCKETS)))
+        loads = cells.groupBy("_bucket").agg(F.count("*").alias("_n")).where(F.col("_n") * HEAVY_PARTS > total)
+        buckets = [str(r[0]) for r in loads.select("_bucket").collect()]  # fewer than HEAVY_PARTS
+        heavy = f"_bucket IN ({', '.join(buckets)})" if buckets else "false"
+    in_order = Window.partitionBy(*key, swept).orderBy(kept, "y")
+    light = dealt(cells.where(f"NOT ({heavy})").select(*key, swept, kept, "y"), [*key, swept], total)
+    links = light.withColumn("_other", F.lag(F.struct(F.col(kept).alias("b"), "y")).over(in_order))
+    if heavy != "false":
+        distinct = cut_lineage(cells.where(heavy).select(*key, swept, kept, "y").distinct())
+        least = distinct.groupBy(*key, swept).agg(F.min(F.struct(F.col(kept).alias("b"), "y")).alias("_other"), F.count("*").alias("_n"))
+        links = links.unionByName(attach(distinct, least, [*key, swept], "_n").drop("_n"))
+    links = links.where("_other IS NOT NULL")
+    return links.select(*key, F.col(kept).alias("a"), F.col("_other.b").alias("b"), (F.col("y") - F.col("_other.y")).cast("long").alias("d"))
+
+
+def _broken_cycles(cells: DataFrame, key: list[str], equations_per_task: int = EQUATIONS_PER_TASK) -> DataFrame:
     """Cases whose two adjustments cannot explain ``y``: potentials that differ around a cycle.
 
-    A cell says ``left - right = y`` of two nodes.  Every step of large-star and small-star rewrites an edge as the
-    difference to a smaller neighbour, from which it can be had back; so the system stays the same while it shrinks to
-    one edge a node.  Edges that end up between the same nodes with different values are the broken cycles.  Neighbours
-    are only ever reduced to their minimum, so a level of any size is safe.
+    A cell says the sum of two unknowns; with the larger adjustment gone it is a graph of differences.  In each turn a
+    node with one edge is dropped, being in no cycle, and by a coin of its own a node either stays or is replaced by a
+    neighbour that stays, from which it can be had back.  So the graph keeps its cycles while it shrinks by a share of
+    its nodes, until one task can solve it.  Edges that end up between the same nodes with different values are the
+    broken cycles.  Neighbours are only ever reduced to their minimum, so a level of any size is safe.
     """
-    nodes = cells.select(*key, F.concat(F.lit("0"), "_f0").alias("a"), F.concat(F.lit("1"), "_f1").alias("b"), F.col("y").cast("long").alias("d"))
-    edges = nodes.select(*key, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("d")).alias("d"))  # the larger node first
     found: list[DataFrame] = []
 
-    def settle(links: DataFrame) -> tuple[DataFrame, tuple]:
-        """One edge between two nodes; cases with two that differ are done."""
-        table = cut_lineage(links.where("a <> b").groupBy(*key, "a", "b").agg(F.min("d").alias("d"), F.max("d").alias("e")))
-        bad = table.where("d <> e").select(*key).distinct()
+    def settle(links: DataFrame, bound: int | None) -> tuple[DataFrame, int]:
+        """One edge between two nodes, the larger first; cases with two that differ are done."""
+        turned = links.where("a <> b OR d <> 0").select(
+            *key, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), -F.col("d")).otherwise(F.col("d")).alias("d")
+        )
+        ends = [F.min("d").alias("d"), F.max("e").alias("e")]
+        table = cut_lineage(per_key(turned.withColumn("e", F.col("d")), [*key, "a", "b"], bound, ends, ends))
+        bad = cut_lineage(table.where("a = b OR d <> e").select(*key).distinct())
         if not bad.isEmpty():
-            found.append(cut_lineage(bad))
-            table = cut_lineage(table.join(found[-1], key, "left_anti"))
-        row = F.xxhash64(*key, "a", "b", "d").cast("decimal(38,0)")
-        return table.drop("e"), tuple(table.agg(F.count("*"), F.sum(row)).head())
-
-    table, state = settle(edges)
-    while True:
+            found.append(bad)
+            table = cut_lineage(table.join(bad, key, "left_anti"))
+        return table.drop("e"), table.count()
+
+    table, size = settle(_links(cells, key), None)
+    turn = 0
+    while size > equations_per_task:
+        turn += 1
+        stays = [F.xxhash64(F.lit(turn), F.col(node)) % 2 == 0 for node in ("a", "b")]
         both = table.unionByName(table.select(*key, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("d")).alias("d")))
-        # Near the end one node has most edges, so its row is attached, not joined plainly.
-        near = both.groupBy(*key, "a").agg(F.min(F.struct("b", "d")).alias("n"), F.count("*").alias("_n"))
-        # x[a] - x[m] = o, where m is the least of a and its neighbours.
-        least = near.select(*key, "a", "_n", F.least("a", "n.b").alias("m"), F.when(F.col("n.b") < F.col("a"), F.col("n.d")).otherwise(0).alias("o"))
-        large, _ = settle(attach(both.where("b > a"), least, [*key, "a"], "_n").select(*key, F.col("b").alias("a"), F.col("m").alias("b"), (F.col("o") - F.col("d")).alias("d")))
-        below = large.groupBy(*key, "a").agg(F.min(F.struct("b", "d")).alias("n"), F.count("*").alias("_n"))
-        small = attach(large, below, [*key, "a"], "_n").select(
-            *key,
-            F.explode(
-                F.array(
-                    F.struct(F.col("a"), F.col("n.b").alias("b"), F.col("n.d").alias("d")),
-                    F.struct(F.col("b").alias("a"), F.col("n.b").alias("b"), (F.col("n.d") - F.col("d")).alias("d")),
-                )
-            ).alias("x"),
+        host = F.when(~stays[0] & stays[1], F.struct("b", "d"))
+        # x[a] - x[host] = d; near the end one node has most edges, so its row is attached, not joined plainly.
+        seen = [F.min("host").alias("host"), F.sum("_n").alias("_n")]
+        near = cut_lineage(per_key(both.select(*key, "a", host.alias("host"), F.lit(1).alias("_n")), [*key, "a"], 2 * size, seen, seen))
+        first = attach(table, near, [*key, "a"], "_n").where("_n > 1").select(
+            *key, F.coalesce("host.b", "a").alias("a"), "b", (F.col("d") - F.coalesce("host.d", F.lit(0))).alias("d")
+        )
+        second = attach(first, near.withColumnRenamed("a", "b"), [*key, "b"], "_n").where("_n > 1").select(
+            *key, "a", F.coalesce("host.b", "b").alias("b"), (F.col("d") + F.coalesce("host.d", F.lit(0))).alias("d")
         )
-        table, now = settle(small.select(*key, "x.a", "x.b", "x.d"))
-        if now == state:
-            break
-        state = now
-    return reduce(DataFrame.unionByName, found) if found else table.limit(0).select(*key)
+        table, size = settle(second, size)
+    if size:
+        equations = table.select(*key, F.array("a", "b").alias("terms"), F.expr("array(1L, -1L)").alias("signs"), F.col("d").alias("rhs"))
+        found.append(_unsolvable(equations, key, equations_per_task))
+    return reduce(DataFrame.unionByName, found) if found else table.select(*key)
 
 
 def _differences(cells: DataFrame, key: list[str], n_factors: int) -> DataFrame:

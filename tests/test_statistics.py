@@ -257,3 +257,25 @@ def test_aliasing_attaches_rows_of_nodes_with_many_edges(spark, monkeypatch):
     monkeypatch.setattr(design, "attach", lambda rows, table, keys, weight: weights.append(weight) or attach(rows, table, keys, weight))
     cells = spark.createDataFrame([(0, "hub", str(i), i % 2) for i in range(40)] + [(0, "x", "0", 1), (0, "x", "1", 1)], "site int, _f0 string, _f1 string, y int")
     assert [r.site for r in design._broken_cycles(cells, ["site"]).distinct().collect()] == [0] and set(weights) == {"_n"}
+
+
+@pytest.mark.parametrize("heavy_parts", [0, 2000])
+def test_aliasing_graph_shrinks_turn_by_turn(spark, monkeypatch, heavy_parts):
+    """Levels read in order or attached, one case without a name; what the turns write in all is no more than the rows."""
+    rng, rows = random.Random(7), []
+    for case in (None, "k", "m", "n"):
+        left, right = ([rng.choice([0, 0, 1]) for _ in range(400)] for _ in "ab")
+        pairs = {(rng.randrange(400), rng.randrange(400)) for _ in range(600)}
+        rows += [(case, f"a{i}", f"b{j}", "t" if left[i] + right[j] else "c") for i, j in pairs if left[i] + right[j] < 2]
+        (i, k), (j, m) = [x for x in range(400) if not left[x]][:2], [x for x in range(400) if not right[x]][:2]
+        rows += [(case, f"a{x}", f"b{y}", "c") for x, y in ((i, j), (i, m), (k, j))] + [(case, f"a{k}", f"b{m}", "t" if case in (None, "m") else "c")]
+    written, cut = [], design.cut_lineage
+    monkeypatch.setattr(design, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(design, "HEAVY_PARTS", heavy_parts, raising=False)
+    monkeypatch.setattr(design, "ROWS_PER_TASK", 0, raising=False)
+    frame = spark.createDataFrame(rows, "case string, a string, b string, arm string").repartition(4)
+    contract = DesignContract("arm", "c", "t", ["b"], ["b"], required_adjustments=["a", "b"])
+    got = {r.case: r.aliased for r in design.aliasing(frame, contract, ["case"], equations_per_task=100).collect()}
+    assert got == {None: False, "k": True, "m": False, "n": True}
+    sizes = [table.count() for table in written]
+    assert sum(sizes) < 4 * len(rows), sizes
