@@ -90,6 +90,31 @@ def double_of(number: Column) -> Column:
     return text_of(number).cast("double")
 
 
+#: Decimals of the whole numbers in which short numbers are counted, and further digits that tell their quotients apart.
+UNIT_PLACES = 18
+QUOTIENT_PLACES = 12
+#: Divisors up to which they do: quotients that differ, differ by the product of two divisors at least.
+MOST_DIVISOR = 10 ** (QUOTIENT_PLACES // 2)
+
+
+def units_of(number: Column) -> Column:
+    """A number in [0, 1] in whole units of ``10**-UNIT_PLACES``; null if it has more decimals, or is no such number."""
+    places = number["exponent"] + F.lit(UNIT_PLACES)
+    spelt = in_unit(number) & places.between(F.length(number["digits"]), UNIT_PLACES + 1)
+    return F.when(in_unit(number) & (number["digits"] == ""), F.lit(0).cast("long")).when(
+        spelt, F.rpad(number["digits"], places, F.lit("0")).cast("long")
+    )
+
+
+def quotient_order(units: Column, divisor: Column) -> Column:
+    """``units / divisor`` as whole numbers that order like the quotients and are equal exactly if they are.
+
+    ``divisor`` is a long from 1 to MOST_DIVISOR.
+    """
+    rest = (units % divisor) * F.lit(10**QUOTIENT_PLACES)
+    return F.struct(F.call_function("div", units, divisor).alias("whole"), F.call_function("div", rest, divisor).alias("rest"))
+
+
 #: Doubles read from decimals and their quotients are off by less than this share of their value, above TINY.
 SLACK = 1e-14
 TINY = 1e-290

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.contracts import (
@@ -30,7 +30,11 @@ def tests(t: Tables) -> DataFrame:
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")).alias("test_id"),
         F.expr("(l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 10000").alias("k"),
         F.col("l_extendedprice").alias("price"),
-    ).withColumn("p", (F.col("k") * F.col("k")).cast("decimal(12,0)") * F.lit(Decimal("0.00000001")))
+    ).withColumn("p", p_of("k"))
+
+
+def p_of(k: str) -> Column:
+    return (F.col(k) * F.col(k)).cast("decimal(12,0)") * F.lit(Decimal("0.00000001"))
 
 
 # SQL twins.  bh(): distinct levels k of a family, rank of the last tie, the step that sets the
@@ -174,20 +178,29 @@ def bh_mismatch_rows(t: Tables) -> DataFrame:
     FROM sizes s JOIN judged USING (supplier) JOIN state USING (supplier)""",
 )
 def correction_scope(t: Tables) -> DataFrame:
-    rows = tests(t)
+    sizes = t.lineitem.groupBy("l_suppkey").count()
+    n_rows, largest = sizes.agg(F.sum("count"), F.max("count")).head()
+    together = (largest or 0) <= multiplicity.ROWS_PER_BLOCK
     inside = (F.col("supplier") % 3 != 0) | (F.col("price") < 50000)
-    rows = rows.withColumn("number", F.col("p").cast("double"))
-    levels = multiplicity.bh_levels(rows.where(inside), ["supplier"], "number", rows=t.lineitem.count()).withColumn("best_p", F.col("best_p").cast("decimal(20,8)"))
-    units = F.expr(
-        "least((cast(best_p * 100000000 as bigint) * family_size * 2 + best_rank) div (2 * best_rank), 100000000)"
-    )
-    levels = levels.select("supplier", "number", "n_tests", units.cast("bigint").alias("u"))
-    said = multiplicity.attach(rows, levels, ["supplier", "number"], "n_tests").withColumn(
-        "asserted", F.when(inside, F.col("u").cast("decimal(10,0)") * F.lit(Decimal("0.00000001")))
-    )
+    rows = tests(t).select("supplier", "test_id", "k", "p", inside.alias("inside"))
+    if together:
+        # A supplier's rows are in one place from here on.
+        rows = dealt(rows.drop("p"), ["supplier"], n_rows).withColumn("k2", F.col("k") * F.col("k"))
+        rows = multiplicity.ranked_together(rows, ["supplier"], "k2", {"part": F.col("inside")})
+        u = "least((part_step.best * part_size * 2 + part_step.rank) div (2 * part_step.rank), 100000000)"
+        said = rows.withColumn("p", p_of("k")).withColumn("u", F.expr(u))
+    else:
+        rows = rows.withColumn("number", F.col("p").cast("double"))
+        levels = multiplicity.bh_levels(rows.where("inside"), ["supplier"], "number", rows=n_rows).withColumn("best_p", F.col("best_p").cast("decimal(20,8)"))
+        u = "least((cast(best_p * 100000000 as bigint) * family_size * 2 + best_rank) div (2 * best_rank), 100000000)"
+        levels = levels.select("supplier", "number", "n_tests", F.expr(u).cast("bigint").alias("u"))
+        said = multiplicity.attach(rows, levels, ["supplier", "number"], "n_tests")
+    said = said.withColumn("asserted", F.when(F.col("inside"), F.col("u").cast("decimal(10,0)") * F.lit(Decimal("0.00000001"))))
     # One supplier in thirteen has a cell that no number can be read from.
     p = F.when((F.col("supplier") % 13 == 5) & (F.col("k") < 5000), F.lit("n/a")).otherwise(F.col("p").cast("string"))
-    return multiplicity.correction_scope(said.withColumn("p", p), ["supplier"], "test_id", "p", "asserted", scale=8).drop("reason")
+    return multiplicity.correction_scope(
+        said.withColumn("p", p), ["supplier"], "test_id", "p", "asserted", scale=8, together=together
+    ).drop("reason")
 
 
 @query(

@@ -224,3 +224,48 @@ def test_hostile_families_are_numbered_without_one_window(spark):
     assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert {r.p for r in rows.where("family = 'deep'").collect()} == {f"{n}e-38" for n in range(1, 1001)}
     assert [rows.where(f"family = '{f}' AND {bad}").count() for f, bad in (("twice", "test_id = 'x'"), ("nan", "p = 'NaN'"), ("wide", "p LIKE '1.%'"))] == [2, 1, 1]
+
+
+@pytest.mark.parametrize("scale", [6, None])
+def test_correction_scope_judges_families_where_they_are(spark, monkeypatch, scale):
+    """The same verdicts for families in one place, in blocks, and with long numbers; rows in one place are not written."""
+    rng, rows, want = random.Random(5), [], {}
+    unit = Fraction(1, 10**6)
+    for n, family in enumerate(["a", "b", "c", "d", None, "far", "twice", "bad"]):
+        size = 20 if family is None else 60
+        ps = [Fraction(rng.randint(0, 200) ** 2, 40_000) + (Fraction(1, 10**20) * (family == "far")) for _ in range(size)]
+        given = [i for i in range(size) if n % 2 or i % 3]
+        values = twin([ps[i] for i in given]) if n < 3 else [twin(ps)[i] for i in given]
+        said = {i: min(int(v / unit + Fraction(1, 2)) + (n == 2 and i % 7 == 0), 10**6) * unit for i, v in zip(given, values)}
+        spelt = lambda v: str(Decimal(v.numerator) / Decimal(v.denominator))
+        rows += [(family, f"{i}", spelt(min(p, Fraction(1))), spelt(said[i]) if i in said else None) for i, p in enumerate(ps)]
+        if family in ("twice", "bad"):
+            rows += [(family, "3" if family == "twice" else "60", "0.5" if family == "twice" else "?", None)]
+            want[family] = ("unsupported", None, None, None, None, None)
+            continue
+
+        def wrong(i, value):
+            low, high = said[i] - unit / 2, said[i] + unit / 2
+            return said[i] != value if scale is None else not (high > 1 if value == 1 else (low <= 0 or value >= low) and value < high)
+
+        full, part = twin([min(p, Fraction(1)) for p in ps]), dict(zip(given, twin([min(ps[i], Fraction(1)) for i in given])))
+        misses = sum(wrong(i, full[i]) for i in given), sum(wrong(i, part[i]) for i in given)
+        want[family] = ("applicable", size, len(given), *misses, "complete" if not misses[0] else "mismatch" if misses[1] else "subset")
+    assert scale is None or {w[-1] for w in want.values()} == {"complete", "subset", "mismatch", None}
+    df = spark.createDataFrame(rows, "family string, id string, p string, q string").repartition(5)
+
+    def verdicts(frame, **how):
+        out = M.correction_scope(frame, ["family"], "id", "p", "q", scale=scale, **how).collect()
+        return {r.family: (r.applicability, r.family_rows, r.corrected_rows, r.full_mismatches, r.subset_mismatches, r.scope) for r in out}
+
+    assert verdicts(df) == want
+    assert verdicts(df, rows_per_block=50) == want
+    written = []
+    for module in (M, skew):
+        monkeypatch.setattr(module, "cut_lineage", lambda x, cut=module.cut_lineage: written.append(cut(x)) or written[-1])
+    near = df.where("family IS NULL OR family <> 'far'")
+    assert verdicts(near.repartition(3, "family"), together=True) == {k: v for k, v in want.items() if k != "far"}
+    assert [table.count() for table in written] == [len(want) - 1]
+    written.clear()
+    verdicts(near)
+    assert sum(table.count() for table in written) <= near.count() + 2 * len(want)
